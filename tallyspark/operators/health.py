@@ -6,8 +6,6 @@ from tallyspark.functions import fixed_values as V
 from tallyspark.functions.money import plain_number
 from tallyspark.functions.text import fill
 
-ZERO = F.lit(0.0)
-
 
 def savings_score(rate: Column) -> Column:
     return (F.when(rate >= 0.30, 100.0)
@@ -23,7 +21,7 @@ def expense_stability_score(n_debits: Column, cv: Column) -> Column:
              .when(cv <= 0.15, 100.0)
              .when(cv <= 0.30, F.lit(80) - (cv - 0.15) / 0.15 * 20)
              .when(cv <= 0.50, F.lit(60) - (cv - 0.30) / 0.20 * 30)
-             .otherwise(F.greatest(ZERO, F.lit(30) - (cv - 0.50) * 60)))
+             .otherwise(F.greatest(F.lit(0.0), F.lit(30) - (cv - 0.50) * 60)))
     return F.when(n_debits < 4, 70.0).otherwise(F.round(score, 1))
 
 
@@ -32,14 +30,14 @@ def debt_score(ratio: Column) -> Column:
             .when(ratio <= 0.15, 90.0)
             .when(ratio <= 0.30, F.lit(70) - (ratio - 0.15) / 0.15 * 20)
             .when(ratio <= 0.50, F.lit(50) - (ratio - 0.30) / 0.20 * 30)
-            .otherwise(F.greatest(ZERO, F.lit(20) - (ratio - 0.50) * 40)))
+            .otherwise(F.greatest(F.lit(0.0), F.lit(20) - (ratio - 0.50) * 40)))
 
 
 def emergency_score(months: Column) -> Column:
     return (F.when(months >= 6, 100.0)
             .when(months >= 3, (months - 3) / 3 * 40 + 60)
             .when(months >= 1, (months - 1) / 2 * 35 + 25)
-            .otherwise(F.greatest(ZERO, months * 25)))
+            .otherwise(F.greatest(F.lit(0.0), months * 25)))
 
 
 def income_stability_score(n_credits: Column, n_months: Column, cv: Column) -> Column:
@@ -60,24 +58,24 @@ def health_dimensions(features: DataFrame, profiles: DataFrame) -> DataFrame:
     few_credits = (F.col("n_credits") < 2) | (F.col("n_months") < 2)
     return (
         features.join(profiles, "user_id", "left")
-        .withColumn("emergency_fund", F.coalesce(F.col("emergency_fund").cast("double"), ZERO))
-        .withColumn("total_debt", F.coalesce(F.col("total_debt").cast("double"), ZERO))
+        .withColumn("emergency_fund", F.coalesce(F.col("emergency_fund").cast("double"), F.lit(0.0)))
+        .withColumn("total_debt", F.coalesce(F.col("total_debt").cast("double"), F.lit(0.0)))
         .withColumn("savings_rate_score", savings_score(F.col("savings_rate")))
         .withColumn("expense_stability_score",
                     expense_stability_score(F.col("n_debits"), F.col("weekly_cv")))
-        .withColumn("expense_cv", F.when(few_debits, ZERO)
+        .withColumn("expense_cv", F.when(few_debits, F.lit(0.0))
                     .otherwise(F.round("weekly_cv", 4)))
         .withColumn("debt_ratio", F.when(
             (F.col("income") > 0) & (F.col("total_debt") > 0),
-            F.try_divide("total_debt", income)).otherwise(ZERO))
+            F.try_divide("total_debt", income)).otherwise(F.lit(0.0)))
         .withColumn("debt_ratio_score", debt_score(F.col("debt_ratio")))
         .withColumn("emergency_months", F.when(
             F.col("monthly_essentials") > 0,
-            F.try_divide("emergency_fund", F.col("monthly_essentials"))).otherwise(ZERO))
+            F.try_divide("emergency_fund", F.col("monthly_essentials"))).otherwise(F.lit(0.0)))
         .withColumn("emergency_coverage_score", emergency_score(F.col("emergency_months")))
         .withColumn("income_stability_score", income_stability_score(
             F.col("n_credits"), F.col("n_months"), F.col("monthly_cv")))
-        .withColumn("income_cv", F.when(few_credits, ZERO).otherwise(F.round("monthly_cv", 4))))
+        .withColumn("income_cv", F.when(few_credits, F.lit(0.0)).otherwise(F.round("monthly_cv", 4))))
 
 
 def health_score(dimensions: DataFrame) -> DataFrame:

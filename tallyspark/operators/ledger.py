@@ -152,7 +152,7 @@ def stored_snapshot(summary: DataFrame, health: DataFrame, spend: DataFrame) ->
     """
     by_category = spend.groupBy("user_id", "month").agg(
         F.to_json(F.map_from_entries(F.sort_array(F.collect_list(
-            F.struct("slug", F.col("total").cast("double")))))).alias("expense_by_category"))
+            F.struct("slug", "total"))))).alias("expense_by_category"))
     income, net = F.col("total_income").cast("double"), F.col("net_savings").cast("double")
     rate = F.when(income > 0, F.round(F.try_divide(net, income), 4)).otherwise(F.lit(0.0))
     return (summary.join(by_category, ["user_id", "month"], "left")

@@ -1,22 +1,27 @@
-"""Labels read off a narration: bank, channel, category, known subscription."""
+"""Labels read off a narration: bank, channel, category, known subscription.
+
+Inputs are SQL expressions (usually a column name).
+"""
 
 from pyspark.sql import Column, functions as F
 
 from tallyspark.functions import fixed_values as V
-from tallyspark.functions.text import contains_any, first_matching
+from tallyspark.functions.sqltext import case, quoted
+from tallyspark.functions.text import literal
+
+
+def _holds(text: str, words: list[str]) -> str:
+    return f"{text} rlike {quoted('|'.join(literal(w) for w in words))}"
 
 
-def detect_bank(text: Column) -> Column:
-    low = F.lower(text)
-    return first_matching([(contains_any(low, words), F.lit(bank))
-                           for bank, words in V.BANK_KEYWORDS], F.lit(None).cast("string"))
+def detect_bank(text: str) -> Column:
+    return F.expr(case([(_holds(f"lower({text})", words), quoted(bank))
+                        for bank, words in V.BANK_KEYWORDS]))
 
 
-def detect_channel(text: Column) -> Column:
-    low = F.lower(text)
-    return first_matching([(contains_any(low, words), F.lit(channel))
-                           for channel, words in V.CHANNEL_KEYWORDS],
-                          F.lit(V.DEFAULT_CHANNEL))
+def detect_channel(text: str) -> Column:
+    return F.expr(case([(_holds(f"lower({text})", words), quoted(channel))
+                        for channel, words in V.CHANNEL_KEYWORDS], quoted(V.DEFAULT_CHANNEL)))
 
 
 def category_pattern(phrases: list[str]) -> str:
@@ -28,27 +33,23 @@ def category_pattern(phrases: list[str]) -> str:
     return r"(?i)\b(?:" + "|".join(branches) + r")\b"
 
 
-def matched_category(description: Column, tx_type: Column) -> Column:
+def matched_category(description: str, tx_type: str) -> Column:
     """The first category whose pattern is found in the text, else null."""
     def chain(categories):
-        return first_matching([(description.rlike(category_pattern(phrases)), F.lit(category))
-                               for category, phrases in categories],
-                              F.lit(None).cast("string"))
+        return case([(f"{description} rlike {quoted(category_pattern(phrases))}",
+                      quoted(category)) for category, phrases in categories])
 
-    return (F.when(tx_type == "credit", chain(V.CREDIT_CATEGORIES))
-            .otherwise(chain(V.DEBIT_CATEGORIES)))
+    return F.expr(f"case when {tx_type} = 'credit' then {chain(V.CREDIT_CATEGORIES)} "
+                  f"else {chain(V.DEBIT_CATEGORIES)} end")
 
 
-def known_subscription(description: Column) -> Column:
+def known_subscription(description: str) -> Column:
     """Display name of the last listed service found in the text, else null."""
-    low = F.lower(description)
-    return first_matching([(low.contains(word), F.lit(name))
-                           for word, name, _ in reversed(V.SUBSCRIPTIONS)],
-                          F.lit(None).cast("string"))
+    return F.expr(case([(f"contains(lower({description}), {quoted(word)})", quoted(name))
+                        for word, name, _ in reversed(V.SUBSCRIPTIONS)]))
 
 
-def subscription_advice(group: Column) -> Column:
+def subscription_advice(group: str) -> Column:
     """Advice of the first listed service found in a group name."""
-    low = F.lower(group)
-    return first_matching([(low.contains(word), F.lit(advice))
-                           for word, _, advice in V.SUBSCRIPTIONS], F.lit(V.DEFAULT_ADVICE))
+    return F.expr(case([(f"contains(lower({group}), {quoted(word)})", quoted(advice))
+                        for word, _, advice in V.SUBSCRIPTIONS], quoted(V.DEFAULT_ADVICE)))

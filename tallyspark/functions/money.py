@@ -9,11 +9,10 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 def parse_money(text: Column) -> Column:
     """Number in a statement cell; 0 where there is none, null for an empty (NaN) cell."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("nan")), r"[₦,\s\u00A0]", "")
-    bare = F.regexp_replace(bare, "(?i)(DR|CR)$", "")
-    return (F.when(F.lower(bare) == "nan", F.lit(None).cast("double"))
-            .when(bare.rlike(NUMBER), bare.try_cast("double"))
-            .otherwise(F.lit(0.0)))
+    bare = F.regexp_replace(text, r"[₦,\s\u00A0]", "")
+    number = F.regexp_extract(F.regexp_replace(bare, "(?i)(DR|CR)$", ""), NUMBER, 0)
+    return (F.when(text.isNotNull() & (F.lower(F.trim(text)) != "nan"),
+                   F.coalesce(number.try_cast("double"), F.lit(0.0))))
 
 
 def naira(amount: Column, show_sign: bool = False) -> Column:
@@ -29,6 +28,11 @@ def plain_number(value: Column, places: int) -> Column:
     return F.replace(F.format_number(value, places), F.lit(","), F.lit(""))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """Round by the exact value of the double, ties to even."""
+    return plain_number(value, places).cast("double")
+
+
 def signed_amount(text: Column) -> Column:
     """(amount, tx_type) of one cell: negative or DR or bare is debit, CR is credit."""
     value = parse_money(text)

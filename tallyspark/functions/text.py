@@ -1,5 +1,6 @@
 """Text expressions: descriptions, merchants, templates."""
 
+import re
 from string import Formatter
 
 from pyspark.sql import Column, functions as F
@@ -17,12 +18,14 @@ def any_of(words: list[str]) -> str:
     return "|".join(words)
 
 
+def literal(word: str) -> str:
+    """A word as a regex that matches it literally."""
+    return re.sub(r"([\\.*+?()\[\]{}^$|])", r"\\\1", word)
+
+
 def contains_any(lowered: Column, words: list[str]) -> Column:
     """True where the text holds at least one of the words."""
-    found = lowered.contains(words[0])
-    for word in words[1:]:
-        found = found | lowered.contains(word)
-    return found
+    return lowered.rlike("|".join(literal(word) for word in words))
 
 
 def first_matching(cases: list[tuple[Column, Column]], default: Column) -> Column:
@@ -37,7 +40,7 @@ def clean_description(raw: Column) -> Column:
     """Drop long digit runs and everything after a pipe; keep at most 255 characters."""
     raw = F.coalesce(raw, F.lit(""))
     kept = squeeze(F.regexp_replace(F.regexp_replace(raw, r"\b\d{8,}\b", ""), r"\|.*$", ""))
-    return F.substring(F.when(kept != "", kept).otherwise(raw), 1, 255)
+    return F.substring(F.coalesce(F.nullif(kept, F.lit("")), raw), 1, 255)
 
 
 def normalise_description(desc: Column) -> Column:
@@ -65,7 +68,7 @@ def extract_merchant(raw: Column) -> Column:
     """Readable counterparty name: no narration prefix, no trailing reference."""
     name = F.regexp_replace(raw, merchant_prefix_pattern(), "")
     name = squeeze(F.regexp_replace(name, merchant_reference_pattern(), ""))
-    return F.substring(F.when(name != "", title_case(name)).otherwise(raw), 1, 100)
+    return F.substring(F.coalesce(F.nullif(title_case(name), F.lit("")), raw), 1, 100)
 
 
 def merchant_key_pattern() -> str:

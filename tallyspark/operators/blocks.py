@@ -19,10 +19,9 @@ def carry_forward(df: DataFrame, value: str, keys: list[str], order: str) -> Dat
     """Fill nulls of ``value`` with the last earlier non-null value within ``keys``."""
     block = [*keys, "_block"]
     cut = df.withColumn("_block", _block(order))
-    last = (cut.where(F.col(value).isNotNull()).groupBy(*block)
-            .agg(F.max_by(value, order).alias("_last")))
+    spans = cut.groupBy(*block).agg(F.max_by(
+        value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
     # The value carried into a block is the last one of any earlier block.
-    spans = cut.select(*block).distinct().join(last, block, "left")
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1)
     carried = spans.select(*block, F.last("_last", ignorenulls=True).over(before).alias("_in"))

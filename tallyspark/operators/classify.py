@@ -9,18 +9,21 @@ from tallyspark.functions.labels import matched_category
 def classify(tx: DataFrame) -> DataFrame:
     """Add category, confidence and classified_by.
 
-    The rule chain sits in its own projection, so it runs once per row although
-    two columns read it.
+    The rule chain is generated as a one-element array, so it runs once per row: a
+    later filter on the category cannot be pushed below it, which would run the
+    chain a second time. Filters on stored columns still reach the scan.
     """
     is_credit = F.col("tx_type") == "credit"
     found = F.col("_found")
     return (tx
-            .withColumn("_found", matched_category(F.col("description"), F.col("tx_type")))
-            .withColumn("category", F.coalesce(
-                found, F.when(is_credit, V.CREDIT_DEFAULT[0]).otherwise(V.DEBIT_DEFAULT[0])))
-            .withColumn("confidence", F.when(found.isNotNull(), V.MATCHED_CONFIDENCE)
-                        .when(is_credit, V.CREDIT_DEFAULT[1]).otherwise(V.DEBIT_DEFAULT[1]))
-            .withColumn("classified_by", F.lit("rule"))
+            .select("*", F.explode(F.array(matched_category("description", "tx_type")))
+                    .alias("_found"))
+            .withColumns({
+                "category": F.coalesce(found, F.when(is_credit, V.CREDIT_DEFAULT[0])
+                                       .otherwise(V.DEBIT_DEFAULT[0])),
+                "confidence": F.when(found.isNotNull(), V.MATCHED_CONFIDENCE)
+                .when(is_credit, V.CREDIT_DEFAULT[1]).otherwise(V.DEBIT_DEFAULT[1]),
+                "classified_by": F.lit("rule")})
             .drop("_found"))
 
 

@@ -6,11 +6,10 @@ its days); weeks, months and the whole period are then grouping sets over those
 daily rows, and the spread of weekly and monthly sums is a second, small aggregate.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyspark.functions import fixed_values as V
 from tallyspark.functions.text import any_of
-from tallyspark.operators.recurring import subscription_count
 from tallyspark.operators.summary import IS_CREDIT, IS_DEBIT, sum_where
 from tallyspark.schema import MONEY
 
@@ -33,56 +32,51 @@ DAILY_SUMS = {
 
 
 def daily_sums(tx: DataFrame) -> DataFrame:
-    return tx.groupBy("user_id", "tx_date").agg(
+    """Sums per user, day and recurring subscription service (null for all other rows)."""
+    service = (F.expr("case when category = 'subscriptions' and is_recurring "
+                      "then recurring_group end") if "recurring_group" in tx.columns
+               else F.lit(None).cast("string"))
+    return tx.withColumn("service", service).groupBy("user_id", "tx_date", "service").agg(
         *[sum_where(condition).alias(name) for name, condition in DAILY_SUMS.items()],
-        F.count_if(F.expr(IS_CREDIT)).alias("n_credits"),
-        F.count_if(F.expr(IS_DEBIT)).alias("n_debits"))
+        F.expr(f"count_if({IS_CREDIT})").alias("n_credits"),
+        F.expr(f"count_if({IS_DEBIT})").alias("n_debits"))
 
 
 def user_features(tx: DataFrame) -> DataFrame:
-    """Sums, counts, period and spread statistics of every user."""
+    """Sums, counts, period and spread statistics of every user.
+
+    ``n_subscriptions`` counts recurring services if ``tx`` has recurring groups.
+    """
     sums = [*DAILY_SUMS, "n_credits", "n_debits"]
-    days = (daily_sums(tx)
-            .withColumn("week", F.date_trunc("week", "tx_date").cast("date"))
-            .withColumn("month", F.trunc("tx_date", "month")))
+    days = daily_sums(tx).selectExpr(
+        "*", "cast(date_trunc('week', tx_date) as date) as week",
+        "trunc(tx_date, 'month') as month")
     periods = days.groupingSets(
-        [["user_id"], ["user_id", "week"], ["user_id", "month"]],
-        "user_id", "week", "month").agg(
+        [["user_id"], ["user_id", "week"], ["user_id", "month"], ["user_id", "service"]],
+        "user_id", "week", "month", "service").agg(
             F.grouping_id().alias("level"),
             *[F.sum(name).alias(name) for name in sums],
             F.min("tx_date").alias("first_date"), F.max("tx_date").alias("last_date"))
-    # grouping_id has one bit per column left out: (week, month) are the low bits.
-    whole, weekly, monthly = 0b11, 0b01, 0b10
-
-    def at(level: int, column: str, extra: Column | None = None) -> Column:
-        condition = F.col("level") == level
-        return F.when(condition if extra is None else condition & extra, F.col(column))
-
-    week_sum = at(weekly, "expenses", F.col("n_debits") > 0).cast("double")
-    month_sum = at(monthly, "income", F.col("n_credits") > 0)
+    # grouping_id has one bit per column left out: week, month, service from the top.
+    whole, weekly, monthly, per_service = 0b111, 0b011, 0b101, 0b110
+    week_sum = f"case when level = {weekly} and n_debits > 0 then cast(expenses as double) end"
+    month_sum = f"case when level = {monthly} and n_credits > 0 then income end"
+    month_double = f"cast({month_sum} as double)"
     wide = periods.groupBy("user_id").agg(
-        *[F.max(at(whole, name)).alias(name) for name in sums],
-        F.max(at(whole, "first_date")).alias("first_date"),
-        F.max(at(whole, "last_date")).alias("last_date"),
-        F.count(week_sum).alias("n_weeks"),
-        F.try_divide(F.stddev_samp(week_sum), F.avg(week_sum)).alias("weekly_cv"),
-        F.count(month_sum).alias("n_months"),
-        F.try_divide(F.stddev_samp(month_sum.cast("double")),
-                     F.avg(month_sum.cast("double"))).alias("monthly_cv"),
-        F.min(month_sum).cast(MONEY).alias("lowest_month"))
-    essentials = sum((F.col(f"spend_{c}") for c in V.ESSENTIAL_CATEGORIES[1:]),
-                     F.col(f"spend_{V.ESSENTIAL_CATEGORIES[0]}"))
-    months = F.greatest(F.lit(1.0), F.datediff("last_date", "first_date") / F.lit(30.0))
-    return (wide
-            .withColumn("net", (F.col("income") - F.col("expenses")).cast(MONEY))
-            .withColumn("savings_rate", F.when(
-                F.col("income") > 0,
-                F.try_divide(F.col("net").cast("double"), F.col("income").cast("double")))
-                .otherwise(F.lit(0.0)))
-            .withColumn("monthly_essentials",
-                        F.round(essentials.cast("double") / months, 2)))
-
-
-def with_subscription_count(features: DataFrame, tx: DataFrame) -> DataFrame:
-    return (features.join(subscription_count(tx), "user_id", "left")
-            .fillna(0, ["n_subscriptions"]))
+        *[F.expr(f"max(case when level = {whole} then {name} end)").alias(name)
+          for name in [*sums, "first_date", "last_date"]],
+        F.expr(f"count({week_sum})").alias("n_weeks"),
+        F.expr(f"try_divide(stddev_samp({week_sum}), avg({week_sum}))").alias("weekly_cv"),
+        F.expr(f"count({month_sum})").alias("n_months"),
+        F.expr(f"try_divide(stddev_samp({month_double}), avg({month_double}))")
+        .alias("monthly_cv"),
+        F.expr(f"min({month_sum})").cast(MONEY).alias("lowest_month"),
+        F.expr(f"count(case when level = {per_service} then service end)")
+        .alias("n_subscriptions"))
+    essentials = " + ".join(f"spend_{c}" for c in V.ESSENTIAL_CATEGORIES)
+    return wide.withColumn("net", F.expr("cast(income - expenses as decimal(18,2))")).selectExpr(
+        "*",
+        "case when income > 0 then try_divide(cast(net as double), cast(income as double)) "
+        "else 0D end as savings_rate",
+        f"round(cast({essentials} as double) "
+        "/ greatest(1D, datediff(last_date, first_date) / 30D), 2) as monthly_essentials")

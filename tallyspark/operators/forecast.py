@@ -9,6 +9,7 @@ exist plus closed forms for the number of days, weekdays and weights.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyspark.functions import fixed_values as V
+from tallyspark.functions.money import rounded
 from tallyspark.operators.summary import IS_CREDIT, IS_DEBIT, signed, sum_where
 from tallyspark.schema import MONEY
 
@@ -48,8 +49,9 @@ def current_balance(tx: DataFrame) -> DataFrame:
 def monthly_income(tx: DataFrame) -> DataFrame:
     """Mean of monthly credit sums, over months with credits."""
     months = (tx.where(IS_CREDIT).groupBy("user_id", F.trunc("tx_date", "month").alias("month"))
-              .agg(F.sum("amount").cast("double").alias("income")))
-    return months.groupBy("user_id").agg(F.avg("income").alias("monthly_income"))
+              .agg(F.sum("amount").alias("income")))
+    return months.groupBy("user_id").agg(
+        (F.sum("income").cast("double") / F.count(F.lit(1))).alias("monthly_income"))
 
 
 def _weekday_count(day: int, first: Column, n_days: Column) -> Column:
@@ -168,8 +170,8 @@ def cashflow_forecast(tx: DataFrame, as_of: Column | None = None,
                       horizon: int = V.HORIZON_DAYS) -> DataFrame:
     rows = forecast_rows(forecast_features(tx, as_of), horizon)
     return rows.select("user_id", "day_no", "forecast_date",
-                       F.round("net_flow", 2).alias("net_flow"),
-                       F.round("projected_balance", 2).alias("projected_balance"))
+                       rounded(F.col("net_flow"), 2).alias("net_flow"),
+                       rounded(F.col("projected_balance"), 2).alias("projected_balance"))
 
 
 def forecast_summary(tx: DataFrame, as_of: Column | None = None,
@@ -178,19 +180,19 @@ def forecast_summary(tx: DataFrame, as_of: Column | None = None,
     """Days until the balance is low, month-end balance, monthly flows per user."""
     features = forecast_features(tx, as_of, users)
     ahead = forecast_rows(features, horizon).groupBy("user_id").agg(
-        F.min(F.when(~F.col("thin") & (F.round("projected_balance", 2) < V.LOW_BALANCE),
+        F.min(F.when(~F.col("thin") & (rounded(F.col("projected_balance"), 2) < V.LOW_BALANCE),
                      F.col("day_no"))).alias("days_until_low"),
-        F.max_by(F.round("projected_balance", 2), "day_no").alias("month_end_balance"))
+        F.max_by(rounded(F.col("projected_balance"), 2), "day_no").alias("month_end_balance"))
 
     def monthly(column: str) -> Column:
         amount = F.col(column).cast("double")
-        return F.round(F.when(F.col("thin"), amount)
+        return rounded(F.when(F.col("thin"), amount)
                        .otherwise(amount / F.col("n_days") * 30), 2)
 
     rows = features.join(ahead, "user_id", "left").select(
         "user_id", "days_until_low",
         F.lit(V.LOW_BALANCE).alias("low_balance_threshold"),
-        F.round("current_balance", 2).alias("current_balance"),
+        rounded(F.col("current_balance"), 2).alias("current_balance"),
         F.col("month_end_balance").alias("expected_month_end_balance"),
         monthly("income").alias("estimated_monthly_income"),
         monthly("expenses").alias("estimated_monthly_expenses"))

@@ -1,50 +1,54 @@
 """Financial health score (0-100) from a user's feature row."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyspark.functions import fixed_values as V
-from tallyspark.functions.money import plain_number
-from tallyspark.functions.text import fill
-
-
-def savings_score(rate: Column) -> Column:
-    return (F.when(rate >= 0.30, 100.0)
-            .when(rate >= 0.20, (rate - 0.20) / 0.10 * 20 + 80)
-            .when(rate >= 0.10, (rate - 0.10) / 0.10 * 30 + 50)
-            .when(rate >= 0, rate / 0.10 * 50)
-            .otherwise(0.0))
-
-
-def expense_stability_score(n_debits: Column, cv: Column) -> Column:
-    """Neutral below four debits; 0 where a single week leaves no spread."""
-    score = (F.when(cv.isNull(), 0.0)
-             .when(cv <= 0.15, 100.0)
-             .when(cv <= 0.30, F.lit(80) - (cv - 0.15) / 0.15 * 20)
-             .when(cv <= 0.50, F.lit(60) - (cv - 0.30) / 0.20 * 30)
-             .otherwise(F.greatest(F.lit(0.0), F.lit(30) - (cv - 0.50) * 60)))
-    return F.when(n_debits < 4, 70.0).otherwise(F.round(score, 1))
-
-
-def debt_score(ratio: Column) -> Column:
-    return (F.when(ratio == 0, 100.0)
-            .when(ratio <= 0.15, 90.0)
-            .when(ratio <= 0.30, F.lit(70) - (ratio - 0.15) / 0.15 * 20)
-            .when(ratio <= 0.50, F.lit(50) - (ratio - 0.30) / 0.20 * 30)
-            .otherwise(F.greatest(F.lit(0.0), F.lit(20) - (ratio - 0.50) * 40)))
-
-
-def emergency_score(months: Column) -> Column:
-    return (F.when(months >= 6, 100.0)
-            .when(months >= 3, (months - 3) / 3 * 40 + 60)
-            .when(months >= 1, (months - 1) / 2 * 35 + 25)
-            .otherwise(F.greatest(F.lit(0.0), months * 25)))
-
-
-def income_stability_score(n_credits: Column, n_months: Column, cv: Column) -> Column:
-    """Neutral below two credits or two months."""
-    score = (F.when(cv <= 0.10, 100.0).when(cv <= 0.25, 85.0).when(cv <= 0.40, 65.0)
-             .otherwise(F.greatest(F.lit(30.0), F.lit(65) - (cv - 0.40) * 100)))
-    return (F.when((n_credits < 2) | (n_months < 2), 70.0).otherwise(F.round(score, 1)))
+from tallyspark.functions.sqltext import case, fill, plain_number, quoted
+
+#: Score of each dimension as SQL over the feature row.
+SCORES = {
+    "savings_rate": """
+        case when savings_rate >= 0.30D then 100D
+             when savings_rate >= 0.20D then 80 + (savings_rate - 0.20D) / 0.10D * 20
+             when savings_rate >= 0.10D then 50 + (savings_rate - 0.10D) / 0.10D * 30
+             when savings_rate >= 0 then savings_rate / 0.10D * 50
+             else 0D end""",
+    # Neutral below four debits; 0 where a single week leaves no spread.
+    "expense_stability": """
+        case when n_debits < 4 then 70D
+             when weekly_cv is null then 0D
+             else round(case when weekly_cv <= 0.15D then 100D
+                             when weekly_cv <= 0.30D then 80 - (weekly_cv - 0.15D) / 0.15D * 20
+                             when weekly_cv <= 0.50D then 60 - (weekly_cv - 0.30D) / 0.20D * 30
+                             else greatest(0D, 30 - (weekly_cv - 0.50D) * 60) end, 1) end""",
+    "debt_ratio": """
+        case when debt_ratio = 0 then 100D
+             when debt_ratio <= 0.15D then 90D
+             when debt_ratio <= 0.30D then 70 - (debt_ratio - 0.15D) / 0.15D * 20
+             when debt_ratio <= 0.50D then 50 - (debt_ratio - 0.30D) / 0.20D * 30
+             else greatest(0D, 20 - (debt_ratio - 0.50D) * 40) end""",
+    "emergency_coverage": """
+        case when emergency_months >= 6 then 100D
+             when emergency_months >= 3 then 60 + (emergency_months - 3) / 3 * 40
+             when emergency_months >= 1 then 25 + (emergency_months - 1) / 2 * 35
+             else greatest(0D, emergency_months * 25) end""",
+    # Neutral below two credits or two months with credits.
+    "income_stability": """
+        case when n_credits < 2 or n_months < 2 then 70D
+             else round(case when monthly_cv <= 0.10D then 100D
+                             when monthly_cv <= 0.25D then 85D
+                             when monthly_cv <= 0.40D then 65D
+                             else greatest(30D, 65 - (monthly_cv - 0.40D) * 100) end, 1) end""",
+}
+
+#: Column, scale, label and decimals under which a dimension is shown.
+SHOWN = {
+    "savings_rate": ("savings_rate", 100, "{x}% savings rate", 1),
+    "expense_stability": ("expense_cv", 100, "CV={x}% expense variability", 0),
+    "debt_ratio": ("debt_ratio", 100, "{x}% debt-to-income", 0),
+    "emergency_coverage": ("emergency_months", 1, "{x} months covered", 1),
+    "income_stability": ("income_cv", 100, "CV={x}% income variability", 0),
+}
 
 
 def health_dimensions(features: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -53,65 +57,64 @@ def health_dimensions(features: DataFrame, profiles: DataFrame) -> DataFrame:
     ``profiles`` holds user_id, emergency_fund and total_debt; a missing profile
     counts as no fund and no debt.
     """
-    income = F.col("income").cast("double")
-    few_debits = F.col("n_debits") < 4
-    few_credits = (F.col("n_credits") < 2) | (F.col("n_months") < 2)
-    return (
-        features.join(profiles, "user_id", "left")
-        .withColumn("emergency_fund", F.coalesce(F.col("emergency_fund").cast("double"), F.lit(0.0)))
-        .withColumn("total_debt", F.coalesce(F.col("total_debt").cast("double"), F.lit(0.0)))
-        .withColumn("savings_rate_score", savings_score(F.col("savings_rate")))
-        .withColumn("expense_stability_score",
-                    expense_stability_score(F.col("n_debits"), F.col("weekly_cv")))
-        .withColumn("expense_cv", F.when(few_debits, F.lit(0.0))
-                    .otherwise(F.round("weekly_cv", 4)))
-        .withColumn("debt_ratio", F.when(
-            (F.col("income") > 0) & (F.col("total_debt") > 0),
-            F.try_divide("total_debt", income)).otherwise(F.lit(0.0)))
-        .withColumn("debt_ratio_score", debt_score(F.col("debt_ratio")))
-        .withColumn("emergency_months", F.when(
-            F.col("monthly_essentials") > 0,
-            F.try_divide("emergency_fund", F.col("monthly_essentials"))).otherwise(F.lit(0.0)))
-        .withColumn("emergency_coverage_score", emergency_score(F.col("emergency_months")))
-        .withColumn("income_stability_score", income_stability_score(
-            F.col("n_credits"), F.col("n_months"), F.col("monthly_cv")))
-        .withColumn("income_cv", F.when(few_credits, F.lit(0.0)).otherwise(F.round("monthly_cv", 4))))
+    joined = features.join(
+        profiles.selectExpr("user_id", "cast(emergency_fund as double) as emergency_fund",
+                            "cast(total_debt as double) as total_debt"),
+        "user_id", "left").fillna(0.0, ["emergency_fund", "total_debt"])
+    values = joined.selectExpr(
+        "*",
+        "case when income > 0 and total_debt > 0 "
+        "then try_divide(total_debt, cast(income as double)) else 0D end as debt_ratio",
+        "case when monthly_essentials > 0 "
+        "then try_divide(emergency_fund, monthly_essentials) else 0D end as emergency_months",
+        "case when n_debits < 4 then 0D else round(weekly_cv, 4) end as expense_cv",
+        "case when n_credits < 2 or n_months < 2 then 0D else round(monthly_cv, 4) end "
+        "as income_cv")
+    return values.selectExpr("*", *[f"{sql} as {name}_score" for name, sql in SCORES.items()])
+
+
+def _insights() -> str:
+    texts = V.INSIGHTS
+    found = [
+        case([("savings_rate < 0.10D", quoted(texts["savings_critical"])),
+              ("savings_rate < 0.20D", quoted(texts["savings_low"]))]),
+        case([("expense_cv > 0.4D", quoted(texts["expense_swings"]))]),
+        case([("debt_ratio > 0.40D", quoted(texts["debt"]))]),
+        case([("emergency_months < 3", fill(
+            texts["emergency"], months=plain_number("emergency_months", 1)))]),
+        case([("income_cv > 0.3D", quoted(texts["income_swings"]))]),
+    ]
+    return "array_compact(array(" + ", ".join(found) + "))"
+
+
+def _breakdown() -> str:
+    entries = []
+    for name, weight in V.HEALTH_WEIGHTS:
+        column, scale, label, places = SHOWN[name]
+        value = f"{column} * {scale}"
+        entries.append(
+            f"'{name}', named_struct('score', {name}_score, 'weight', {weight}D, "
+            f"'value', round({value}, 1), "
+            f"'label', {fill(label, x=plain_number(value, places))})")
+    return "map(" + ", ".join(entries) + ")"
 
 
 def health_score(dimensions: DataFrame) -> DataFrame:
     """Composite score, grade, insights and a breakdown map."""
-    weighted = F.lit(0.0)
-    for name, weight in V.HEALTH_WEIGHTS:
-        weighted = weighted + F.col(f"{name}_score") * F.lit(weight)
-    composite = F.greatest(F.lit(0), F.least(
-        F.lit(100), F.bround(weighted, 0).cast("int")))
-    texts = V.INSIGHTS
-    found = F.array_compact(F.array(
-        F.when(F.col("savings_rate") < 0.10, texts["savings_critical"])
-        .when(F.col("savings_rate") < 0.20, texts["savings_low"]),
-        F.when(F.col("expense_cv") > 0.4, texts["expense_swings"]),
-        F.when(F.col("debt_ratio") > 0.40, texts["debt"]),
-        F.when(F.col("emergency_months") < 3,
-               fill(texts["emergency"], months=plain_number(F.col("emergency_months"), 1))),
-        F.when(F.col("income_cv") > 0.3, texts["income_swings"])))
-    grade = F
-    for limit, label in V.GRADES[:-1]:
-        grade = grade.when(F.col("score") >= limit, label)
-    values = {"savings_rate": ("savings_rate", 100, "{x}% savings rate", 1),
-              "expense_stability": ("expense_cv", 100, "CV={x}% expense variability", 0),
-              "debt_ratio": ("debt_ratio", 100, "{x}% debt-to-income", 0),
-              "emergency_coverage": ("emergency_months", 1, "{x} months covered", 1),
-              "income_stability": ("income_cv", 100, "CV={x}% income variability", 0)}
-    entries = []
-    for name, weight in V.HEALTH_WEIGHTS:
-        column, scale, label, places = values[name]
-        shown = F.col(column) * scale
-        entries += [F.lit(name), F.struct(
-            F.col(f"{name}_score").alias("score"), F.lit(weight).alias("weight"),
-            F.round(shown, 1).alias("value"),
-            fill(label, x=plain_number(shown, places)).alias("label"))]
-    return (dimensions.withColumn("score", composite)
-            .withColumn("grade", grade.otherwise(V.GRADES[-1][1]))
-            .withColumn("insights", F.when(F.size(found) > 0, found)
-                        .otherwise(F.array(F.lit(texts["default"]))))
-            .withColumn("breakdown", F.create_map(*entries)))
+    weighted = "0D" + "".join(f" + {name}_score * {weight}D"
+                              for name, weight in V.HEALTH_WEIGHTS)
+    grade = case([(f"score >= {limit}", quoted(label)) for limit, label in V.GRADES[:-1]],
+                 quoted(V.GRADES[-1][1]))
+    scored = dimensions.selectExpr(
+        "*", f"greatest(0, least(100, cast(bround({weighted}, 0) as int))) as score",
+        f"{_insights()} as _found", f"{_breakdown()} as breakdown")
+    return scored.selectExpr(
+        "*", f"{grade} as grade",
+        f"case when size(_found) > 0 then _found "
+        f"else array({quoted(V.INSIGHTS['default'])}) end as insights").drop("_found")
+
+
+def score_users(features: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Health score straight from feature rows."""
+    return health_score(health_dimensions(features, profiles)).select(
+        "user_id", "score", "grade", "breakdown", F.col("insights"))

@@ -53,7 +53,7 @@ def fit_classifier(samples: DataFrame) -> PipelineModel:
         learner = LogisticRegression(
             family="multinomial", featuresCol="features", labelCol="_label",
             weightCol="weight", maxIter=V.ML_MAX_ITERATIONS, regParam=1.0 / data.count(),
-            elasticNetParam=0.0, standardization=False, probabilityCol="_probability",
+            elasticNetParam=0.0, standardization=False, tol=1e-4, probabilityCol="_probability",
             rawPredictionCol="_raw", predictionCol="_prediction")
         fitted = learner.fit(prepared.select("_label", "weight", "features"))
         named = IndexToString(inputCol="_prediction", outputCol="category_ml",

@@ -1,139 +1,125 @@
 """Recommendations: every check reads one feature row per user.
 
-A check is a nullable struct (or an array of them), so all checks of a user are one
-projection. Titles are deduplicated inside that short array; nothing is shuffled
-after the feature row.
+A check is SQL over that row: a condition and, where it holds, a struct. All checks
+of a user are one projection, and titles are deduplicated inside the short array it
+yields; nothing is shuffled after the feature row.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyspark.functions import fixed_values as V
-from tallyspark.functions.money import naira, plain_number
-from tallyspark.functions.text import fill
+from tallyspark.functions.sqltext import case, fill, naira, plain_number, quoted
 from tallyspark.operators.clean import keep_first
 from tallyspark.schema import MONEY
 
-FIELDS = "type string, title string, body string, category string, impact_amount double, " \
-         "priority int"
 BUDGETED = [category for category, _ in V.CATEGORY_TARGETS]
 
 
-def _advice(key: str, impact: Column | None = None, about: str | None = None,
-            **values: Column) -> Column:
+def _advice(key: str, impact: str = "null", about: str | None = None, **values: str) -> str:
     kind, title, body, priority = V.ADVICE[key]
-    return F.struct(
-        F.lit(kind).alias("type"), fill(title, **values).alias("title"),
-        fill(body, **values).alias("body"), F.lit(about).cast("string").alias("category"),
-        (F.lit(None) if impact is None else impact).cast("double").alias("impact_amount"),
-        F.lit(priority).alias("priority"))
+    return (f"named_struct('type', {quoted(kind)}, 'title', {fill(title, **values)}, "
+            f"'body', {fill(body, **values)}, 'category', {quoted(about)}, "
+            f"'impact_amount', cast({impact} as double), 'priority', {priority})")
 
 
-def _money(name: str) -> Column:
-    return F.col(name).cast("double")
+def _percent(share: str, places: int = 1) -> str:
+    return plain_number(f"({share}) * 100", places)
 
 
-def _percent(share: Column, places: int = 1) -> Column:
-    return plain_number(share * 100, places)
+def savings_check() -> str:
+    rate = _percent("savings_rate")
+    to_min, to_good = (f"(({limit}D - savings_rate) * income)"
+                       for limit in (V.MIN_SAVINGS_RATE, V.GOOD_SAVINGS_RATE))
+    return case([
+        ("savings_rate < 0", _advice("cash_negative", "abs(net)", gap=naira("abs(net)"))),
+        (f"savings_rate < {V.MIN_SAVINGS_RATE}D",
+         _advice("savings_low", to_min, rate=rate, gap=naira(to_min))),
+        (f"savings_rate < {V.GOOD_SAVINGS_RATE}D",
+         _advice("savings_boost", to_good, rate=rate, gap=naira(to_good)))],
+        _advice("savings_strong", rate=rate))
 
 
-def savings_check() -> Column:
-    rate, income, net = F.col("savings_rate"), _money("income"), _money("net")
-    to_min = (F.lit(V.MIN_SAVINGS_RATE) - rate) * income
-    to_good = (F.lit(V.GOOD_SAVINGS_RATE) - rate) * income
-    return (F.when(rate < 0, _advice("cash_negative", F.abs(net), gap=naira(F.abs(net))))
-            .when(rate < V.MIN_SAVINGS_RATE,
-                  _advice("savings_low", to_min, rate=_percent(rate), gap=naira(to_min)))
-            .when(rate < V.GOOD_SAVINGS_RATE,
-                  _advice("savings_boost", to_good, rate=_percent(rate), gap=naira(to_good)))
-            .otherwise(_advice("savings_strong", rate=_percent(rate))))
+def burn_check() -> str:
+    share = "(case when income > 0 then try_divide(expenses, income) else 1D end)"
+    buffer = "expenses * 0.1D"
+    return case([(f"{share} >= 0.95D and {share} < 1D",
+                  _advice("burn", buffer, share=_percent(share), buffer=naira(buffer)))])
 
 
-def burn_check() -> Column:
-    expenses, income = _money("expenses"), _money("income")
-    share = F.when(income > 0, F.try_divide(expenses, income)).otherwise(F.lit(1.0))
-    buffer = expenses * 0.1
-    return F.when((share >= 0.95) & (share < 1.0),
-                  _advice("burn", buffer, share=_percent(share), buffer=naira(buffer)))
+def overspend_check(category: str, target: float) -> str:
+    actual, saving = f"spend_{category}", f"spend_{category} * 0.15D"
+    share = f"try_divide({actual}, income)"
+    return case([(
+        f"income > 0 and {actual} > 0 and {share} > {target}D * 1.2D",
+        _advice("overspend", saving, category, title=quoted(category.title()),
+                category=quoted(category), actual=naira(actual), share=_percent(share),
+                target=quoted(f"{target * 100:.0f}"), saving=naira(saving)))])
 
 
-def overspend_check(category: str, target: float) -> Column:
-    actual, income = _money(f"spend_{category}"), _money("income")
-    share = F.try_divide(actual, income)
-    saving = actual * 0.15
-    return F.when((income > 0) & (actual > 0) & (share > target * 1.2), _advice(
-        "overspend", saving, category, title=F.lit(category.title()),
-        category=F.lit(category), actual=naira(actual), share=_percent(share),
-        target=F.lit(f"{target * 100:.0f}"), saving=naira(saving)))
-
-
-def budget_check(category: str) -> Column:
+def budget_check(category: str) -> str:
     """Over budget; only where the user has income and a budget for the category."""
-    actual, budget = _money(f"spend_{category}"), _money(f"budget_{category}")
-    over = actual - budget
-    return F.when((F.col("income") > 0) & (actual > 0) & (actual > budget), _advice(
-        "over_budget", over, category, title=F.lit(category.title()),
-        category=F.lit(category), over=naira(over), actual=naira(actual),
-        budget=naira(budget)))
-
-
-def subscription_check() -> Column:
-    total, income = _money("spend_subscriptions"), _money("income")
-    share = F.try_divide(total, income)
-    n, saving = F.col("n_subscriptions").cast("string"), total * 0.35
-    return (F.when((total > 0) & (income > 0) & (share > V.SUBSCRIPTION_SHARE),
-                   _advice("subscription_load", saving, "subscriptions", n=n,
-                           total=naira(total), share=_percent(share), saving=naira(saving)))
-            .when((total > 0) & (F.col("n_subscriptions") >= 4),
-                  _advice("subscription_count", None, "subscriptions", n=n,
-                          total=naira(total))))
-
-
-def emergency_check() -> Column:
+    actual, budget = f"spend_{category}", f"budget_{category}"
+    over = f"({actual} - {budget})"
+    return case([(f"income > 0 and {actual} > 0 and {actual} > {budget}", _advice(
+        "over_budget", over, category, title=quoted(category.title()),
+        category=quoted(category), over=naira(over), actual=naira(actual),
+        budget=naira(budget)))])
+
+
+def subscription_check() -> str:
+    total, n = "spend_subscriptions", "cast(n_subscriptions as string)"
+    share, saving = f"try_divide({total}, income)", f"{total} * 0.35D"
+    return case([
+        (f"{total} > 0 and income > 0 and {share} > {V.SUBSCRIPTION_SHARE}D",
+         _advice("subscription_load", saving, "subscriptions", n=n, total=naira(total),
+                 share=_percent(share), saving=naira(saving))),
+        (f"{total} > 0 and n_subscriptions >= 4",
+         _advice("subscription_count", "null", "subscriptions", n=n, total=naira(total)))])
+
+
+def emergency_check() -> str:
     """Skipped for users whose emergency fund is not known."""
-    fund, expenses = _money("emergency_fund"), _money("expenses")
-    months = F.try_divide(fund, expenses)
-    target = expenses * V.EMERGENCY_MONTHS
-    gap = target - fund
+    months = "try_divide(emergency_fund, expenses)"
+    target = f"(expenses * {V.EMERGENCY_MONTHS})"
+    gap = f"({target} - emergency_fund)"
     shown = plain_number(months, 1)
-    return F.when(expenses > 0, (
-        F.when(months < 1, _advice("fund_critical", gap, months=shown, gap=naira(gap)))
-        .when(months < 3, _advice("fund_low", gap / 6, months=shown, target=naira(target),
-                                  fund=naira(fund), monthly=naira(gap / 6)))
-        .when(months < V.EMERGENCY_MONTHS,
-              _advice("fund_building", None, months=shown, gap=naira(gap)))))
+    return case([
+        (f"expenses > 0 and {months} < 1",
+         _advice("fund_critical", gap, months=shown, gap=naira(gap))),
+        (f"expenses > 0 and {months} < 3",
+         _advice("fund_low", f"{gap} / 6", months=shown, target=naira(target),
+                 fund=naira("emergency_fund"), monthly=naira(f"{gap} / 6"))),
+        (f"expenses > 0 and {months} < {V.EMERGENCY_MONTHS}",
+         _advice("fund_building", "null", months=shown, gap=naira(gap)))])
 
 
-def food_check() -> Column:
-    out, groceries = _money("eat_out"), _money("groceries")
-    ratio = F.try_divide(out, groceries)
-    saving = out * 0.40
-    return F.when((out > 0) & (groceries > 0) & (ratio > 2), _advice(
-        "eating_out", saving, "food", ratio=plain_number(ratio, 1), out=naira(out),
-        groceries=naira(groceries), saving=naira(saving)))
+def food_check() -> str:
+    ratio, saving = "try_divide(eat_out, groceries)", "eat_out * 0.40D"
+    return case([(f"eat_out > 0 and groceries > 0 and {ratio} > 2", _advice(
+        "eating_out", saving, "food", ratio=plain_number(ratio, 1), out=naira("eat_out"),
+        groceries=naira("groceries"), saving=naira(saving)))])
 
 
-def weekend_check() -> Column:
-    weekend, expenses = _money("weekend_spend"), _money("expenses")
-    weekday = (F.col("expenses") - F.col("weekend_spend")).cast("double")
-    share = F.try_divide(weekend, expenses) * 100
-    return F.when(share > 40, _advice("weekend", weekend * 0.15, share=plain_number(share, 0),
-                                      weekend=naira(weekend), weekday=naira(weekday)))
+def weekend_check() -> str:
+    share = "try_divide(weekend_spend, expenses) * 100"
+    return case([(f"{share} > 40", _advice(
+        "weekend", "weekend_spend * 0.15D", share=plain_number(share, 0),
+        weekend=naira("weekend_spend"), weekday=naira("weekday_spend")))])
 
 
-def income_check() -> Column:
-    cv = F.col("monthly_cv")
-    return F.when((F.col("n_credits") >= 2) & (F.col("n_months") >= 2) & (cv > 0.3), _advice(
-        "variable_income", None, cv=_percent(cv, 0), lowest=naira(_money("lowest_month"))))
+def income_check() -> str:
+    return case([("n_credits >= 2 and n_months >= 2 and monthly_cv > 0.3D", _advice(
+        "variable_income", cv=_percent("monthly_cv", 0), lowest=naira("lowest_month")))])
 
 
-def goal_check() -> Column:
-    needed, net = _money("goal_contributions"), _money("net")
-    gap = needed - net
-    return F.when((net > 0) & (needed > net), _advice(
-        "goals", gap, needed=naira(needed), net=naira(net), gap=naira(gap)))
+def goal_check() -> str:
+    gap = "(goal_contributions - net)"
+    return case([("net > 0 and goal_contributions > net", _advice(
+        "goals", gap, needed=naira("goal_contributions"), net=naira("net"),
+        gap=naira(gap)))])
 
 
-def check_groups() -> dict[str, list[Column]]:
+def check_groups() -> dict[str, list[str]]:
     """All checks in their order, by name."""
     spending = [check for category, target in V.CATEGORY_TARGETS
                 for check in (overspend_check(category, target), budget_check(category))]
@@ -157,11 +143,11 @@ def with_plans(features: DataFrame, profiles: DataFrame, budgets: DataFrame,
     """
     latest = keep_first(budgets, ["user_id", "category"], [F.desc("month")])
     budget_row = latest.groupBy("user_id").agg(*[
-        F.max(F.when(F.col("category") == c, F.col("amount"))).alias(f"budget_{c}")
+        F.expr(f"max(case when category = '{c}' then amount end)").alias(f"budget_{c}")
         for c in BUDGETED])
-    goal_row = (goals.where(~F.coalesce("is_completed", F.lit(False))).groupBy("user_id")
-                .agg(F.sum(F.coalesce("monthly_contribution", F.lit(0))).cast(MONEY)
-                     .alias("goal_contributions")))
+    goal_row = goals.where("not coalesce(is_completed, false)").groupBy("user_id").agg(
+        F.sum(F.coalesce("monthly_contribution", F.lit(0))).cast(MONEY)
+        .alias("goal_contributions"))
     return (features
             .join(profiles.select("user_id", "emergency_fund"), "user_id", "left")
             .join(budget_row, "user_id", "left").join(goal_row, "user_id", "left"))
@@ -171,11 +157,14 @@ def recommend(planned: DataFrame, checks: list[str] | None = None) -> DataFrame:
     """One row per recommendation: by priority, then check order, first of each title."""
     groups = check_groups()
     structs = [check for name in (checks or ALL_CHECKS) for check in groups[name]]
-    found = F.array_compact(F.array(*structs))
-    ranked = F.array_sort(F.transform(found, lambda r, i: F.struct(
-        r.priority.alias("priority"), i.alias("seq"), r.alias("rec"))))
-    first = F.filter("ranked", lambda r, i: ~F.exists(
-        F.slice("ranked", 1, i), lambda earlier: earlier.rec.title == r.rec.title))
-    return (planned.select("user_id", ranked.alias("ranked"))
-            .select("user_id", F.posexplode(first).alias("pos", "r"))
-            .select("user_id", (F.col("pos") + 1).alias("rank"), "r.rec.*"))
+    # Texts and rates are worked out on doubles.
+    numbers = planned.withColumn("weekday_spend", F.col("expenses") - F.col("weekend_spend"))
+    numbers = numbers.select(*[F.col(c).cast("double") if kind.startswith("decimal")
+                               else F.col(c) for c, kind in numbers.dtypes])
+    ranked = ("array_sort(transform(array_compact(array(" + ", ".join(structs) + ")), (r, i) -> "
+              "named_struct('priority', r.priority, 'seq', i, 'rec', r)))")
+    first = ("filter(ranked, (r, i) -> not exists(slice(ranked, 1, i), "
+             "e -> e.rec.title = r.rec.title))")
+    return (numbers.selectExpr("user_id", f"{ranked} as ranked")
+            .selectExpr("user_id", f"posexplode({first}) as (pos, r)")
+            .selectExpr("user_id", "pos + 1 as rank", "r.rec.*"))

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyspark.functions import fixed_values as V
 from tallyspark.functions.labels import known_subscription, subscription_advice
-from tallyspark.functions.money import amount_bucket
+from tallyspark.functions.money import amount_bucket, rounded
 from tallyspark.functions.text import merchant_key
 
 GROUP = ["user_id", "merchant_key", "bucket"]
@@ -12,7 +12,7 @@ GROUP = ["user_id", "merchant_key", "bucket"]
 
 def match_known(tx: DataFrame) -> DataFrame:
     """Flag rows that name a known subscription service."""
-    return (tx.withColumn("recurring_group", known_subscription(F.col("description")))
+    return (tx.withColumn("recurring_group", known_subscription("description"))
             .withColumn("is_recurring", F.col("recurring_group").isNotNull()))
 
 
@@ -91,7 +91,7 @@ def recurring_summary(tx: DataFrame) -> DataFrame:
     """
     groups = tx.where("is_recurring").groupBy("user_id", "recurring_group").agg(
         F.count(F.lit(1)).alias("occurrence_count"),
-        F.avg(F.col("amount").cast("double")).alias("_avg"),
+        (F.sum("amount").cast("double") / F.count(F.lit(1))).alias("_avg"),
         F.stddev_pop(F.col("amount").cast("double")).alias("_spread"),
         F.min("tx_date").alias("_first"), F.max("tx_date").alias("_last"))
     n = F.col("occurrence_count")
@@ -104,14 +104,15 @@ def recurring_summary(tx: DataFrame) -> DataFrame:
             "user_id", F.col("recurring_group").alias("name"),
             F.when(~many, "Unknown").otherwise(
                 banded(F.col("_gap"), V.FREQUENCY_LABELS, F.lit)).alias("frequency"),
-            F.round(F.when(~many, F.col("_avg")).otherwise(F.col("_avg") * factor), 2)
+            rounded(F.when(~many, F.col("_avg")).otherwise(F.col("_avg") * factor), 2)
             .alias("estimated_monthly"),
             F.col("_last").alias("last_charged"),
             F.when(many, F.date_add("_last", F.floor("_gap").cast("int")))
             .alias("next_estimated"),
-            subscription_advice(F.col("recurring_group")).alias("action"),
+            subscription_advice("recurring_group").alias("action"),
             "occurrence_count",
-            F.round("_spread", 2).alias("amount_variation")))
+            # Six places first: equal spreads then fall on the same side of a half cent.
+            rounded(F.round("_spread", 6), 2).alias("amount_variation")))
 
 
 def subscriptions(tx: DataFrame) -> DataFrame:
@@ -121,6 +122,6 @@ def subscriptions(tx: DataFrame) -> DataFrame:
 
 def subscription_count(tx: DataFrame) -> DataFrame:
     """Number of distinct recurring services among a user's subscriptions."""
-    services = (tx.where("category = 'subscriptions' and is_recurring")
-                .select("user_id", "recurring_group").distinct())
-    return services.groupBy("user_id").agg(F.count("recurring_group").alias("n_subscriptions"))
+    services = tx.where("category = 'subscriptions' and is_recurring")
+    return services.groupBy("user_id").agg(
+        F.count_distinct("recurring_group").alias("n_subscriptions"))

@@ -24,6 +24,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tallyspark/{name}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that several consumers read, and read it back.
+
+    Its files outlive any executor, and every consumer scans only its own columns.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def append_transactions(tx: DataFrame, path: str, exists: bool = True) -> None:
     """Append the transactions whose fingerprint is new for their user.
 

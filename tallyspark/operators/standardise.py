@@ -26,11 +26,12 @@ def standardise(entries: DataFrame) -> DataFrame:
                                                F.lit(0).cast(MONEY))))
         .withColumn("balance", F.col("balance").cast(MONEY))
         .withColumn("description", clean_description(F.col("raw_desc")))
+        # A description is empty exactly where its raw text is.
         .where(F.col("tx_date").isNotNull() & (F.col("amount") > 0)
-               & (F.length("description") > 0)))
+               & (F.col("raw_desc") != "")))
     return usable.select(
         *[c for c in STANDARD if c in usable.columns],
-        detect_channel(F.col("raw_desc")).alias("channel"),
+        detect_channel("raw_desc").alias("channel"),
         extract_merchant(F.col("raw_desc")).alias("merchant"),
-        detect_bank(F.col("raw_desc")).alias("bank"),
+        detect_bank("raw_desc").alias("bank"),
         fingerprint().alias("fingerprint")).select(*STANDARD)

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyspark.functions import fixed_values as V
+from tallyspark.functions.money import rounded
 from tallyspark.operators.blocks import running_sum
 from tallyspark.operators.clean import keep_first
 from tallyspark.schema import MONEY
@@ -12,7 +13,8 @@ IS_DEBIT = "tx_type = 'debit'"
 
 
 def sum_where(condition: str, column: str = "amount") -> Column:
-    return F.coalesce(F.sum(F.when(F.expr(condition), F.col(column))), F.lit(0)).cast(MONEY)
+    return F.expr(f"cast(coalesce(sum(case when {condition} then {column} end), 0) "
+                  "as decimal(18,2))")
 
 
 def signed() -> Column:
@@ -64,7 +66,7 @@ def period_summary(tx: DataFrame) -> DataFrame:
     return (totals.withColumn("net_savings", net.cast(MONEY))
             .withColumn("savings_rate_pct", F.when(
                 F.col("total_income") > 0,
-                F.round(F.try_divide(F.col("net_savings").cast("double"),
+                rounded(F.try_divide(F.col("net_savings").cast("double"),
                                      F.col("total_income").cast("double")) * 100, 2))
                 .otherwise(F.lit(0.0))))
 

@@ -52,6 +52,11 @@ def fixed(expr: str, places: int) -> str:
     return f"format('{{:.{places}f}}', cast({expr} as double))"
 
 
+def rounded(expr: str, places: int) -> str:
+    """By the exact value of the double, ties to even."""
+    return f"cast({fixed(expr, places)} as double)"
+
+
 def grouped(expr: str, places: int) -> str:
     return f"format('{{:,.{places}f}}', cast({expr} as double))"
 
@@ -213,6 +218,9 @@ PARTS = {
     "intervals": lambda: intervals("known"),
     "rec": lambda: recurring("known", "intervals"),
     "ev_entries": lambda: tables.derive_sql("events", tables.event_columns("duckdb")),
+    "fc_entries": lambda: tables.derive_sql(
+        "events", tables.event_columns("duckdb", tables.FORECAST_SCALE)),
+    "fc_std": lambda: standardised("fc_entries"),
     "ev_std": lambda: standardised("ev_entries"),
     "ev_lab": lambda: classified("ev_std"),
     "ev_known": lambda: known("ev_lab"),
@@ -224,7 +232,7 @@ CHAINS = {
     "lab": ["entries", "std", "norm", "lab"],
     "known": ["entries", "std", "norm", "lab", "known"],
     "rec": ["entries", "std", "norm", "lab", "known", "intervals", "rec"],
-    "ev_entries": ["ev_entries"], "ev_std": ["ev_entries", "ev_std"],
+    "fc_std": ["fc_entries", "fc_std"], "ev_entries": ["ev_entries"], "ev_std": ["ev_entries", "ev_std"],
     "ev_lab": ["ev_entries", "ev_std", "ev_lab"],
     "ev_intervals": ["ev_entries", "ev_std", "ev_lab", "ev_known", "ev_intervals"],
     "ev_rec": ["ev_entries", "ev_std", "ev_lab", "ev_known", "ev_intervals", "ev_rec"],

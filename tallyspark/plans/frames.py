@@ -16,21 +16,35 @@ def standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standardise(entries(spark, sf_dir))
 
 
+def normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standardised transactions without noise rows, descriptions rewritten."""
+    return normalise_descriptions(remove_noise(standard(spark, sf_dir)))
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standardised, normalised and classified transactions."""
-    return classify(normalise_descriptions(remove_noise(standard(spark, sf_dir))))
+    return classify(normal(spark, sf_dir))
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect_recurring(labelled(spark, sf_dir))
+    """Labelled transactions with recurring payments.
+
+    Recurring payments do not depend on the category, so rows are classified last,
+    once, and not again inside the interval search.
+    """
+    return classify(detect_recurring(normal(spark, sf_dir)))
+
+
+def event_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standardise(event_entries(spark, sf_dir))
 
 
 def event_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(standardise(event_entries(spark, sf_dir)))
+    return classify(event_standard(spark, sf_dir))
 
 
 def event_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect_recurring(event_labelled(spark, sf_dir))
+    return detect_recurring(event_standard(spark, sf_dir))
 
 
 # -- repeated entries ----------------------------------------------------------

@@ -132,16 +132,23 @@ def _entry_query(name, column, spark_expr, duck_expr):
         "entries"))
     def run(spark, sf_dir):
         return entries(spark, sf_dir).select(
-            "row_ord", "raw_desc", spark_expr(F.col("raw_desc")).alias(column))
+            "row_ord", "raw_desc", spark_expr("raw_desc").alias(column))
 
 
-_entry_query("clean_desc", "description", text.clean_description, duck.clean_description)
+def _over_column(function):
+    return lambda name: function(F.col(name))
+
+
+_entry_query("clean_desc", "description", _over_column(text.clean_description),
+             duck.clean_description)
 _entry_query("detect_channel", "channel", labels.detect_channel, duck.detect_channel)
 _entry_query("detect_bank", "bank", labels.detect_bank, duck.detect_bank)
-_entry_query("extract_merchant", "merchant", text.extract_merchant, duck.extract_merchant)
-_entry_query("normalize_desc", "description", text.normalise_description,
+_entry_query("extract_merchant", "merchant", _over_column(text.extract_merchant),
+             duck.extract_merchant)
+_entry_query("normalize_desc", "description", _over_column(text.normalise_description),
              duck.normalise_description)
-_entry_query("merchant_key", "merchant_key", text.merchant_key, duck.merchant_key)
+_entry_query("merchant_key", "merchant_key", _over_column(text.merchant_key),
+             duck.merchant_key)
 
 
 @register("normalize_tx_type", duck.query("""

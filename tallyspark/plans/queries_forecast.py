@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyspark.functions import fixed_values as V
+from tallyspark.functions.money import rounded
 from tallyspark.operators import forecast
 from tallyspark.plans import duck, frames
 from tallyspark.plans.registry import plain, register
@@ -38,8 +39,8 @@ FACTORS = """
                from daily group by 1, 2) d
       on h.user_id = d.user_id and w.weekday = d.weekday"""
 INCOME = """
-    select user_id, avg(income) as monthly_income from (
-        select user_id, cast(sum(amount) as double) as income from {0}
+    select user_id, cast(sum(income) as double) / count(*) as monthly_income from (
+        select user_id, sum(amount) as income from {0}
         where tx_type = 'credit' group by user_id, date_trunc('month', tx_date))
     group by user_id"""
 BALANCE = """
@@ -57,7 +58,7 @@ AHEAD = f"""
     from (select h.*, n_days < 7 as thin,
                  (income - expenses) / greatest(a.n_active, 1) as flat
           from history h join (select user_id, count(distinct tx_date) as n_active
-                               from ev_std group by user_id) a on h.user_id = a.user_id) u
+                               from fc_std group by user_id) a on h.user_id = a.user_id) u
     cross join (select unnest(range(1, {V.HORIZON_DAYS + 1})) as day_no) s
     join factors f on f.user_id = u.user_id
          and f.weekday = isodow(u.last_date + cast(s.day_no as int)) - 1
@@ -74,18 +75,19 @@ def _parts(source: str) -> dict[str, str]:
             "income": INCOME.format(source), "opening": BALANCE.format(source)}
 
 
-FORECAST = {**_parts("ev_std"), "ahead": AHEAD, "path": PATH}
+FORECAST = {**_parts("fc_std"), "ahead": AHEAD, "path": PATH}
 
 
 def _events(spark, sf_dir):
     from tallyspark.operators.standardise import standardise
+    from tallyspark.plans import tables
     from tallyspark.plans.tables import event_entries
-    return standardise(event_entries(spark, sf_dir))
+    return standardise(event_entries(spark, sf_dir, tables.FORECAST_SCALE))
 
 
 @register("daily_history", duck.query(
     "select user_id, tx_date, cast(credits as double) as credits, "
-    "cast(debits as double) as debits from daily", "ev_std", daily=DAILY.format("ev_std")))
+    "cast(debits as double) as debits from daily", "fc_std", daily=DAILY.format("fc_std")))
 def daily_history(spark, sf_dir):
     return plain(forecast.daily_history(_events(spark, sf_dir)))
 
@@ -98,8 +100,8 @@ def daily_history_orders(spark, sf_dir):
 
 
 @register("ewm_net", duck.query(
-    "select user_id, round(ewm_net, 4) as ewm_net from history", "ev_std",
-    **_parts("ev_std")))
+    "select user_id, round(ewm_net, 4) as ewm_net from history", "fc_std",
+    **_parts("fc_std")))
 def ewm_net(spark, sf_dir):
     return forecast.history_features(_events(spark, sf_dir)).select(
         "user_id", F.round("ewm_net", 4).alias("ewm_net"))
@@ -107,7 +109,7 @@ def ewm_net(spark, sf_dir):
 
 @register("dow_factors", duck.query(
     "select user_id, cast(weekday as int) as weekday, round(factor, 6) as factor from factors",
-    "ev_std", **_parts("ev_std")))
+    "fc_std", **_parts("fc_std")))
 def dow_factors(spark, sf_dir):
     return forecast.dow_factors(_events(spark, sf_dir)).select(
         "user_id", "weekday", F.round("factor", 6).alias("factor"))
@@ -129,41 +131,43 @@ def monthly_income(spark, sf_dir):
 
 @register("cashflow_forecast", duck.query(
     "select user_id, cast(day_no as int) as day_no, forecast_date, "
-    "round(net_flow, 2) as net_flow, round(balance, 2) as projected_balance from path",
-    "ev_std", **FORECAST))
+    f"{duck.rounded('net_flow', 2)} as net_flow, "
+    f"{duck.rounded('balance', 2)} as projected_balance from path",
+    "fc_std", **FORECAST))
 def cashflow_forecast(spark, sf_dir):
     return forecast.cashflow_forecast(_events(spark, sf_dir))
 
 
 @register("simple_forecast", duck.query(
     "select user_id, cast(day_no as int) as day_no, forecast_date, "
-    "round(net_flow, 2) as net_flow, round(balance, 2) as projected_balance from path "
-    "where thin", "ev_std", **FORECAST))
+    f"{duck.rounded('net_flow', 2)} as net_flow, "
+    f"{duck.rounded('balance', 2)} as projected_balance from path "
+    "where thin", "fc_std", **FORECAST))
 def simple_forecast(spark, sf_dir):
     rows = forecast.forecast_rows(forecast.forecast_features(_events(spark, sf_dir))
                                   .where("thin"))
     return rows.select("user_id", "day_no", "forecast_date",
-                       F.round("net_flow", 2).alias("net_flow"),
-                       F.round("projected_balance", 2).alias("projected_balance"))
+        rounded(F.col("net_flow"), 2).alias("net_flow"),
+                       rounded(F.col("projected_balance"), 2).alias("projected_balance"))
 
 
 @register("forecast_summary", duck.query(f"""
-    select u.user_id, cast(min(case when not thin and round(balance, 2) < {V.LOW_BALANCE}
+    select u.user_id, cast(min(case when not thin and {duck.rounded('balance', 2)} < {V.LOW_BALANCE}
                                then day_no end) as int) as days_until_low,
            {V.LOW_BALANCE} as low_balance_threshold,
-           round(coalesce(any_value(start), 0), 2) as current_balance,
-           coalesce(max(case when day_no = {V.HORIZON_DAYS} then round(balance, 2) end), 0)
+           {duck.rounded('coalesce(any_value(start), 0)', 2)} as current_balance,
+           coalesce(max(case when day_no = {V.HORIZON_DAYS} then {duck.rounded('balance', 2)} end), 0)
                as expected_month_end_balance,
-           coalesce(round(any_value(case when thin then income else income / n_days * 30 end),
-                          2), 0) as estimated_monthly_income,
-           coalesce(round(any_value(case when thin then expenses
-                                         else expenses / n_days * 30 end), 2), 0)
+           coalesce({duck.rounded("any_value(case when thin then income "
+                                     "else income / n_days * 30 end)", 2)}, 0) as estimated_monthly_income,
+           coalesce({duck.rounded("any_value(case when thin then expenses "
+                                     "else expenses / n_days * 30 end)", 2)}, 0)
                as estimated_monthly_expenses
     from (select distinct cast(cast(floor(c_custkey) as bigint) as string) as user_id
           from customer) u
     left join path p on p.user_id = u.user_id
     left join history h on h.user_id = u.user_id
-    group by u.user_id""", "ev_std", **FORECAST))
+    group by u.user_id""", "fc_std", **FORECAST))
 def forecast_summary(spark, sf_dir):
     """All customers, most of them without any event: their forecast is empty."""
     users = spark.read.parquet(f"{sf_dir}/customer.parquet").select(

@@ -248,13 +248,19 @@ def dashboard(spark, sf_dir):
 
 @register("result_doc")
 def result_doc(spark, sf_dir):
-    """Clean, classify and annotate all entries, then one document per user."""
+    """Clean, classify and annotate all entries, then one document per user.
+
+    Five aggregates read the annotated transactions, so these are written once to
+    the shared folder and read back column by column.
+    """
     from tallyspark.operators.classify import classify
+    from tallyspark.operators.sinks import materialise
+    from tallyspark.schema import ANNOTATIONS
     cleaned = clean.clean_transactions(frames.repeated(spark, sf_dir))
-    tx = recurring.detect_recurring(classify(cleaned))
+    tx = materialise(classify(recurring.detect_recurring(cleaned)), "annotated")
     return ledger.result_documents(
         summary.period_summary(tx), tx, recurring.recurring_summary(tx),
-        clean.validation_report(cleaned), summary.dominant_bank(tx))
+        clean.validation_report(tx.drop(*ANNOTATIONS)), summary.dominant_bank(tx))
 
 
 @register("transaction_records")
@@ -320,7 +326,7 @@ def _chat_sql() -> str:
     messages=derive_sql("conversations", MESSAGE) + " where role = 'user'"))
 def chat_intents(spark, sf_dir):
     messages = derive(table(spark, sf_dir, "conversations").where("role = 'user'"), MESSAGE)
-    facts = summary.period_summary(frames.labelled(spark, sf_dir))
+    facts = summary.period_summary(frames.normal(spark, sf_dir))
     return assistant.reply(messages, facts).drop("message")
 
 

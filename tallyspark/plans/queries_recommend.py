@@ -2,7 +2,7 @@
 
 from tallyspark.functions import fixed_values as V
 from tallyspark.operators import recommend
-from tallyspark.operators.features import user_features, with_subscription_count
+from tallyspark.operators.features import user_features
 from tallyspark.plans import duck, frames
 from tallyspark.plans.queries_health import features_sql
 from tallyspark.plans.registry import plain, register
@@ -135,8 +135,7 @@ def found_sql(names: list[str]) -> str:
 
 
 def planned(spark, sf_dir):
-    tx = frames.annotated(spark, sf_dir)
-    features = with_subscription_count(user_features(tx), tx)
+    features = user_features(frames.annotated(spark, sf_dir))
     return recommend.with_plans(features, frames.profiles(spark, sf_dir),
                                 frames.budgets(spark, sf_dir), frames.goals(spark, sf_dir))
 

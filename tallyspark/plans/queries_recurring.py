@@ -12,7 +12,7 @@ from tallyspark.plans.registry import plain, register
     select row_ord, description, known_recurring as is_recurring, known_group as recurring_group
     from known""", "known"))
 def known_subscriptions(spark, sf_dir):
-    return recurring.match_known(frames.labelled(spark, sf_dir)).select(
+    return recurring.match_known(frames.normal(spark, sf_dir)).select(
         "row_ord", "description", "is_recurring", "recurring_group")
 
 
@@ -20,7 +20,7 @@ def known_subscriptions(spark, sf_dir):
     select user_id, merchant_key, bucket, cast(n as bigint) as n, round(mean_gap, 6) as mean_gap,
            round(std_gap, 4) as std_gap, is_regular from ev_intervals""", "ev_intervals"))
 def interval_groups(spark, sf_dir):
-    groups = recurring.interval_groups(frames.event_labelled(spark, sf_dir))
+    groups = recurring.interval_groups(frames.event_standard(spark, sf_dir))
     return groups.select("user_id", "merchant_key", "bucket", "n",
                          F.round("mean_gap", 6).alias("mean_gap"),
                          F.round("std_gap", 4).alias("std_gap"), "is_regular")
@@ -44,15 +44,14 @@ def summary_sql(source: str) -> str:
         select user_id, recurring_group as name,
                case when n < 2 then 'Unknown'
                     else {_bands('gap', V.FREQUENCY_LABELS, duck.lit)} end as frequency,
-               round(case when n < 2 then mean
-                          else mean * {_bands('gap', V.MONTHLY_FACTORS, duck.lit)} end, 2)
+               {duck.rounded(f"case when n < 2 then mean else mean * {_bands('gap', V.MONTHLY_FACTORS, duck.lit)} end", 2)}
                    as estimated_monthly,
                hi as last_charged,
                case when n >= 2 then hi + cast(floor(gap) as int) end as next_estimated,
                {duck.subscription_advice('recurring_group')} as action,
-               n as occurrence_count, round(spread, 2) as amount_variation
+               n as occurrence_count, {duck.rounded('round(spread, 6)', 2)} as amount_variation
         from (select user_id, recurring_group, count(*) as n,
-                     avg(cast(amount as double)) as mean,
+                     cast(sum(amount) as double) / count(*) as mean,
                      stddev_pop(cast(amount as double)) as spread, max(tx_date) as hi,
                      (max(tx_date) - min(tx_date)) / nullif(count(*) - 1, 0) as gap
               from {source} where is_recurring group by user_id, recurring_group)"""
@@ -60,7 +59,7 @@ def summary_sql(source: str) -> str:
 
 @register("recurring_summary", duck.query(summary_sql("rec"), "rec"))
 def recurring_summary(spark, sf_dir):
-    return recurring.recurring_summary(frames.annotated(spark, sf_dir))
+    return recurring.recurring_summary(recurring.detect_recurring(frames.normal(spark, sf_dir)))
 
 
 @register("recurring_summary_events", duck.query(summary_sql("ev_rec"), "ev_rec"))

@@ -32,7 +32,7 @@ SPEND = """
     where t.tx_type = 'debit' group by 1, 2, 3, 4"""
 PERIOD = """
     select *, cast(case when total_income > 0
-                        then round(net_savings / total_income * 100, 2) else 0 end as double)
+                        then {round} else 0 end as double)
                   as savings_rate_pct
     from (select user_id,
                  cast(sum(case when tx_type = 'credit' then amount else 0 end) as double)
@@ -43,12 +43,14 @@ PERIOD = """
                  count(*) as tx_count,
                  cast(sum(case when tx_type = 'credit' then amount else -amount end) as double)
                      as net_savings
-          from {0} group by user_id)"""
+          from {0} group by user_id)""".replace(
+    "{round}", duck.rounded("net_savings / total_income * 100", 2).replace("{", "{{")
+    .replace("}", "}}"))
 
 
 @register("monthly_summary", duck.query(MONTHS.format("lab"), "lab"))
 def monthly_summary(spark, sf_dir):
-    return plain(summary.monthly_summary(frames.labelled(spark, sf_dir)))
+    return plain(summary.monthly_summary(frames.normal(spark, sf_dir)))
 
 
 @register("category_spend", duck.query(SPEND.format("lab"), "lab", categories=CATEGORIES))
@@ -65,7 +67,7 @@ def period_category_spend(spark, sf_dir):
 
 @register("period_summary", duck.query(PERIOD.format("lab"), "lab"))
 def period_summary(spark, sf_dir):
-    return plain(summary.period_summary(frames.labelled(spark, sf_dir)))
+    return plain(summary.period_summary(frames.normal(spark, sf_dir)))
 
 
 @register("dominant_bank", duck.query("""
@@ -74,7 +76,7 @@ def period_summary(spark, sf_dir):
                row_number() over (partition by user_id order by count(*) desc, bank) as rn
         from lab where bank is not null group by user_id, bank) where rn = 1""", "lab"))
 def dominant_bank(spark, sf_dir):
-    return summary.dominant_bank(frames.labelled(spark, sf_dir))
+    return summary.dominant_bank(frames.normal(spark, sf_dir))
 
 
 @register("misc_rate", duck.query("""

@@ -104,7 +104,11 @@ def entry_columns(engine: str) -> dict[str, str]:
     }
 
 
-def event_columns(engine: str) -> dict[str, str]:
+#: Factor that brings event values near the low-balance threshold of the forecast.
+FORECAST_SCALE = 1000
+
+
+def event_columns(engine: str, scale: int = 1) -> dict[str, str]:
     """Events as transactions over one month; one user in ten has five days only."""
     day = "cast(ts as date)"
     narration = " ".join(f"when '{k}' then '{v}'" for k, v in EVENT_NARRATIONS.items())
@@ -115,10 +119,10 @@ def event_columns(engine: str) -> dict[str, str]:
         "tx_date": f"case when user_id % 10 = 0 then "
                    f"cast('2024-01-01' as date) + cast(event_id % 5 as int) else {day} end",
         "raw_desc": f"case event_type {narration} end",
-        "amount": "cast(cast(value as decimal(18,2)) * 1000 as decimal(18,2))",
+        "amount": f"cast(cast(value as decimal(18,2)) * {scale} as decimal(18,2))",
         "tx_type": "case when event_type = 'signup' then 'credit' else 'debit' end",
         "balance": "case when event_id % 3 = 0 then null else "
-                   "cast(cast(value as decimal(18,2)) * 5000 as decimal(18,2)) end",
+                   f"cast(cast(value as decimal(18,2)) * {scale * 5} as decimal(18,2)) end",
     }
 
 
@@ -138,5 +142,5 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(table(spark, sf_dir, "orders"), entry_columns("spark"))
 
 
-def event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(table(spark, sf_dir, "events"), event_columns("spark"))
+def event_entries(spark: SparkSession, sf_dir: str, scale: int = 1) -> DataFrame:
+    return derive(table(spark, sf_dir, "events"), event_columns("spark", scale))

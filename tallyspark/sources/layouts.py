@@ -89,8 +89,8 @@ def positions(header: Column) -> Column:
 
 def problem(columns: Column) -> Column:
     """Why a statement cannot be read, or null."""
-    has_amount = (columns.amount.isNotNull()
-                  | (columns.debit.isNotNull() & columns.credit.isNotNull()))
-    return (F.when(columns.date.isNull() | columns.desc.isNull(),
+    has_amount = (columns["amount"].isNotNull()
+                  | (columns["debit"].isNotNull() & columns["credit"].isNotNull()))
+    return (F.when(columns["date"].isNull() | columns["desc"].isNull(),
                    "Cannot determine date/description columns.")
             .when(~has_amount, "Cannot find amount column in statement."))

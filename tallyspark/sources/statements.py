@@ -140,12 +140,12 @@ def date_pattern(columns: Column, rows: Column) -> Column:
     A layout's own pattern if any value fits it, else "mixed"; without a layout, the
     pattern of the first non-empty value.
     """
-    dates = F.filter(F.transform(rows, lambda r: layouts.cell(r, columns.date)),
+    dates = F.filter(F.transform(rows, lambda r: layouts.cell(r, columns["date"])),
                      lambda d: F.trim(d) != "")
     known = sorted({layout[-1] for layout in V.LAYOUTS})
-    fits = F.exists(dates, lambda d: parse_by(d, columns.pattern, known).isNotNull())
-    return (F.when(columns.pattern.isNull(), infer_pattern(F.get(dates, F.lit(0))))
-            .when(fits, columns.pattern).otherwise("mixed"))
+    fits = F.exists(dates, lambda d: parse_by(d, columns["pattern"], known).isNotNull())
+    return (F.when(columns["pattern"].isNull(), infer_pattern(F.get(dates, F.lit(0))))
+            .when(fits, columns["pattern"]).otherwise("mixed"))
 
 
 def map_rows(scanned: DataFrame, day_first: bool = False) -> DataFrame:

@@ -20,19 +20,3 @@ def parse_mixed(text: Column, day_first: bool = False) -> Column:
     """Each value by the first pattern that fits it."""
     patterns = DAY_FIRST + [p for p in MIXED if p not in DAY_FIRST] if day_first else MIXED
     return F.coalesce(*[parse_date(text, p) for p in patterns])
-
-
-def infer_pattern(text: Column) -> Column:
-    """The pattern that fits a sample value."""
-    chain = F
-    for pattern in MIXED:
-        chain = chain.when(parse_date(text, pattern).isNotNull(), F.lit(pattern))
-    return chain.otherwise(F.lit(None).cast("string"))
-
-
-def parse_by(text: Column, pattern: Column, patterns: list[str]) -> Column:
-    """Parse with the pattern a column names, one of a known list."""
-    chain = F
-    for known in patterns:
-        chain = chain.when(pattern == known, parse_date(text, known))
-    return chain.otherwise(F.lit(None).cast("date"))

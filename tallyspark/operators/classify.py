@@ -4,20 +4,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyspark.functions import fixed_values as V
 from tallyspark.functions.labels import matched_category
+from tallyspark.functions.once import with_once
 
 
 def classify(tx: DataFrame) -> DataFrame:
     """Add category, confidence and classified_by.
 
-    The rule chain is generated as a one-element array, so it runs once per row: a
-    later filter on the category cannot be pushed below it, which would run the
-    chain a second time. Filters on stored columns still reach the scan.
+    The rule chain runs once per row, whatever later filters ask of the category.
     """
     is_credit = F.col("tx_type") == "credit"
     found = F.col("_found")
-    return (tx
-            .select("*", F.explode(F.array(matched_category("description", "tx_type")))
-                    .alias("_found"))
+    return (with_once(tx, "_found", matched_category("description", "tx_type"))
             .withColumns({
                 "category": F.coalesce(found, F.when(is_credit, V.CREDIT_DEFAULT[0])
                                        .otherwise(V.DEBIT_DEFAULT[0])),

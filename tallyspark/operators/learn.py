@@ -1,5 +1,6 @@
 """Learned classifier: TF-IDF of one- and two-word terms, multinomial logistic regression."""
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, IndexToString, NGram,
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyspark.functions import fixed_values as V
 from tallyspark.operators.classify import classify
+from tallyspark.operators.sinks import materialise
 
 
 def balanced(samples: DataFrame) -> DataFrame:
@@ -21,48 +23,61 @@ def balanced(samples: DataFrame) -> DataFrame:
     return samples.join(weights, "label")
 
 
-def fit_classifier(samples: DataFrame) -> PipelineModel:
-    """Fit on (description, label). The result is an ordinary saveable PipelineModel.
+def _tokenisers() -> list:
+    """Stages from text to terms: words of two or more letters, and pairs of them."""
+    return [
+        RegexTokenizer(inputCol="description", outputCol="_words", gaps=False,
+                       pattern=r"\b[a-zA-Z][a-zA-Z]+\b", toLowercase=True),
+        NGram(n=2, inputCol="_words", outputCol="_pairs"),
+        SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__")]
 
-    The only data on the driver is the vocabulary, at most 10,000 terms, and one
-    coefficient row per label.
-    """
-    tokens = RegexTokenizer(inputCol="description", outputCol="_words", gaps=False,
-                            pattern=r"\b[a-zA-Z][a-zA-Z]+\b", toLowercase=True)
-    pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
-    terms = SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__")
-    stages = [tokens, pairs, terms]
-    data = balanced(samples.select("description", "label")).persist()
+
+def _tokenised(df: DataFrame) -> DataFrame:
+    for stage in _tokenisers():
+        df = stage.transform(df)
+    return df
+
+
+def _fit_terms(terms: DataFrame) -> list:
+    """Fitted stages from terms to a named category."""
+    data = balanced(terms.select("label", "_terms")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         labels = StringIndexer(inputCol="label", outputCol="_label",
                                stringOrderType="alphabetAsc").fit(data)
-        prepared = labels.transform(data)
-        for stage in stages:
-            prepared = stage.transform(prepared)
         counter = CountVectorizer(inputCol="_terms", outputCol="_counts",
                                   minDF=V.ML_MIN_DOC_FREQ,
-                                  vocabSize=V.ML_MAX_FEATURES).fit(prepared)
-        prepared = counter.transform(prepared)
-        idf = IDF(inputCol="_counts", outputCol="_idf").fit(prepared)
+                                  vocabSize=V.ML_MAX_FEATURES).fit(data)
+        counted = counter.transform(labels.transform(data))
+        idf = IDF(inputCol="_counts", outputCol="_idf").fit(counted)
         # Term weight is ln((1 + n) / (1 + df)) + 1; Spark's IDF lacks the "+ 1".
         scale = ElementwiseProduct(inputCol="_counts", outputCol="_tfidf",
                                    scalingVec=Vectors.dense(idf.idf.toArray() + 1.0))
         unit = Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)
-        prepared = unit.transform(scale.transform(prepared))
+        prepared = unit.transform(scale.transform(counted))
         # Weights sum to the number of samples, so C = 1 is a penalty of 1 / n.
         learner = LogisticRegression(
             family="multinomial", featuresCol="features", labelCol="_label",
             weightCol="weight", maxIter=V.ML_MAX_ITERATIONS, regParam=1.0 / data.count(),
-            elasticNetParam=0.0, standardization=False, tol=1e-4, probabilityCol="_probability",
-            rawPredictionCol="_raw", predictionCol="_prediction")
+            elasticNetParam=0.0, standardization=False, tol=1e-2,
+            probabilityCol="_probability", rawPredictionCol="_raw",
+            predictionCol="_prediction")
         fitted = learner.fit(prepared.select("_label", "weight", "features"))
         named = IndexToString(inputCol="_prediction", outputCol="category_ml",
                               labels=labels.labels)
-        return PipelineModel(stages=[*stages, counter, scale, unit, fitted, named])
+        return [counter, scale, unit, fitted, named]
     finally:
         data.unpersist()
 
 
+def fit_classifier(samples: DataFrame) -> PipelineModel:
+    """Fit on (description, label). The result is an ordinary saveable PipelineModel.
+
+    The only data on the driver is the vocabulary, at most 10,000 terms, and one
+    coefficient row per label.
+    """
+    return PipelineModel(stages=[*_tokenisers(), *_fit_terms(_tokenised(samples))])
+
+
 def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
     """Add category_ml and its probability."""
     scored = model.transform(df)
@@ -84,13 +99,16 @@ def score_classifier(tx: DataFrame, model: PipelineModel) -> DataFrame:
 def out_of_fold(samples: DataFrame, key: str = "sample_id") -> DataFrame:
     """Predictions for every sample by a model that has not seen its fold.
 
-    Folds come from a hash of the key, so no ordering or shuffle is needed to cut them.
+    Folds come from a hash of the key, so no ordering or shuffle is needed to cut
+    them. Texts are split into terms once, for all folds.
     """
-    folds = samples.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(V.ML_FOLDS)).cast("int"))
+    fold_no = F.pmod(F.xxhash64(key), F.lit(V.ML_FOLDS)).cast("int")
+    terms = materialise(_tokenised(samples.withColumn("fold", fold_no))
+                        .select("fold", "label", "_terms"), "terms")
     result = None
     for fold in range(V.ML_FOLDS):
-        model = fit_classifier(folds.where(F.col("fold") != fold))
-        part = predict(folds.where(F.col("fold") == fold), model).select(
+        model = PipelineModel(stages=_fit_terms(terms.where(F.col("fold") != fold)))
+        part = model.transform(terms.where(F.col("fold") == fold)).select(
             "fold", "label", F.col("category_ml").alias("prediction"))
         result = part if result is None else result.unionByName(part)
     return result

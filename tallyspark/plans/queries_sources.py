@@ -67,8 +67,9 @@ def _sniff_sql() -> str:
 @register("sniff_profile", duck.query(_sniff_sql(), "entries", **SCANNED))
 def sniff_profile(spark, sf_dir):
     header = S.scan(frames.statements(spark, sf_dir)).select(
-        "upload_id", layouts.sniff(layouts.lowered(F.col("header"))).alias("s"))
-    return header.select("upload_id", "s.layout", "s.score")
+        "upload_id", layouts.lowered(F.col("header")).alias("low"))
+    return header.selectExpr("upload_id", f"{layouts.sniff('low')} as s").select(
+        "upload_id", "s.layout", "s.score")
 
 
 #: What reading a rendered statement must give back: the entries it was made from.

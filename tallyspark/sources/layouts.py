@@ -2,95 +2,86 @@
 
 A statement's header is an array of strings. The layout is worked out once per
 statement and stored as column positions, so reading a cell is an array lookup and
-statements with different headers share one schema.
+statements with different headers share one schema. Expressions here are SQL over a
+column that holds the lower-case header.
 """
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyspark.functions import fixed_values as V
+from tallyspark.functions.once import with_once
+from tallyspark.functions.sqltext import case, quoted
 
 
 def lowered(header: Column) -> Column:
     return F.transform(header, lambda h: F.lower(F.trim(h)))
 
 
-def position(header: Column, names: list[str]) -> Column:
-    """Position of the first listed name found in a lower-case header, else null."""
-    return F.coalesce(*[F.nullif(F.array_position(header, name), F.lit(0)).cast("int")
-                        for name in names])
-
-
-def cell(cells: Column, index: Column) -> Column:
-    """Cell at a position; null where the position is null or the row too short."""
-    return F.get(cells, index - 1)
+def _position(header: str, names: list[str]) -> str:
+    """Position of the first listed name found in the header, else null."""
+    found = [f"nullif(cast(array_position({header}, {quoted(n)}) as int), 0)" for n in names]
+    return f"coalesce({', '.join(found)})" if found else "cast(null as int)"
 
 
 def layout_names(layout: tuple) -> dict[str, str | None]:
     return dict(zip(V.LAYOUT_FIELDS, layout[1:-1]))
 
 
-def layout_score(header: Column, layout: tuple) -> Column:
-    """How many columns of a layout a lower-case header has (its type column aside)."""
-    names = [name.lower() for field, name in layout_names(layout).items()
-             if name and field != "type"]
-    return F.size(F.array_intersect(header, F.array(*[F.lit(n) for n in names])))
+def sniff(header: str) -> str:
+    """(layout, score) of the best layout with at least two known columns, else null.
 
+    The score counts the layout's columns, its type column aside. The first listed
+    layout wins a tie: entries are compared by score, then by how early they come.
+    """
+    entries = []
+    for i, layout in enumerate(V.LAYOUTS):
+        names = ", ".join(quoted(name.lower()) for field, name in layout_names(layout).items()
+                          if name and field != "type")
+        entries.append(f"named_struct('score', size(array_intersect({header}, array({names}))), "
+                       f"'order', {-i}, 'layout', {quoted(layout[0])})")
+    best = f"array_max(array({', '.join(entries)}))"
+    return (f"get(filter(array({best}), b -> b.score >= 2), 0)")
 
-def sniff(header: Column) -> Column:
-    """(layout, score) of the best layout with at least two known columns.
 
-    The first listed layout wins a tie: entries are compared by score, then by
-    how early they are listed.
-    """
-    entries = F.array(*[
-        F.struct(layout_score(header, layout).alias("score"), F.lit(-i).alias("order"),
-                 F.lit(layout[0]).alias("layout"))
-        for i, layout in enumerate(V.LAYOUTS)])
-    best = F.array_max(entries)
-    return F.when(best.score >= 2, F.struct(best.layout.alias("layout"),
-                                            best.score.alias("score")))
+def _columns(found: dict[str, str], pattern: str | None, name: str) -> str:
+    fields = ", ".join(f"'{field}', {found[field]}" for field in V.LAYOUT_FIELDS)
+    return (f"named_struct({fields}, 'pattern', {quoted(pattern)}, "
+            f"'layout', {quoted(name)})")
 
 
-def named_positions(header: Column, layout_name: Column) -> Column:
+def named_positions(header: str, layout_name: str) -> str:
     """Positions of a layout's columns, null for a statement it does not fit.
 
     A layout fits only if the header has its date and description columns; other
     statements are read by synonyms.
     """
-    chain = F
+    branches = []
     for layout in V.LAYOUTS:
-        names = layout_names(layout)
-        found = {field: position(header, [name.lower()]) if name
-                 else F.lit(None).cast("int") for field, name in names.items()}
-        fits = ((layout_name == layout[0]) & found["date"].isNotNull()
-                & found["desc"].isNotNull())
-        chain = chain.when(fits, F.struct(
-            *[found[field].alias(field) for field in V.LAYOUT_FIELDS],
-            F.lit(layout[-1]).alias("pattern"), F.lit(layout[0]).alias("layout")))
-    return chain.otherwise(F.lit(None))
-
-
-def synonym_positions(header: Column, synonyms: dict[str, list[str]]) -> Column:
+        found = {field: _position(header, [name.lower()] if name else [])
+                 for field, name in layout_names(layout).items()}
+        branches.append((f"{layout_name} = {quoted(layout[0])} and {found['date']} is not null "
+                         f"and {found['desc']} is not null",
+                         _columns(found, layout[-1], layout[0])))
+    return case(branches)
+
+
+def synonym_positions(header: str, synonyms: dict[str, list[str]]) -> str:
     """Positions by synonyms, for statements no layout fits."""
-    none = F.lit(None).cast("int")
-    found = {field: position(header, synonyms[field]) if field in synonyms else none
-             for field in V.LAYOUT_FIELDS}
-    return F.struct(*[found[field].alias(field) for field in V.LAYOUT_FIELDS],
-                    F.lit(None).cast("string").alias("pattern"),
-                    F.lit("generic").alias("layout"))
-
-
-def positions(header: Column) -> Column:
-    """Column positions of a statement: by layout if one fits, else by synonyms."""
-    low = lowered(header)
-    return F.coalesce(named_positions(low, sniff(low).layout),
-                      synonym_positions(low, V.GENERIC_SYNONYMS))
-
-
-def problem(columns: Column) -> Column:
-    """Why a statement cannot be read, or null."""
-    has_amount = (columns["amount"].isNotNull()
-                  | (columns["debit"].isNotNull() & columns["credit"].isNotNull()))
-    return (F.when(columns["date"].isNull() | columns["desc"].isNull(),
-                   "Cannot determine date/description columns.")
-            .when(~has_amount, "Cannot find amount column in statement."))
+    return _columns({field: _position(header, synonyms.get(field, []))
+                     for field in V.LAYOUT_FIELDS}, None, "generic")
+
+
+def with_positions(df: DataFrame) -> DataFrame:
+    """Add column positions for a header: by layout if one fits, else by synonyms."""
+    sniffed = with_once(df.withColumn("_low", lowered(F.col("header"))), "_layout",
+                        F.expr(sniff("_low") + ".layout"))
+    positions = (f"coalesce({named_positions('_low', '_layout')}, "
+                 f"{synonym_positions('_low', V.GENERIC_SYNONYMS)})")
+    return with_once(sniffed, "columns", F.expr(positions)).drop("_low", "_layout")
+
+
+PROBLEM = """
+    case when columns.date is null or columns.desc is null
+              then 'Cannot determine date/description columns.'
+         when columns.amount is null and (columns.debit is null or columns.credit is null)
+              then 'Cannot find amount column in statement.' end"""

@@ -8,8 +8,10 @@ row: a whole folder of statements is read in one pass without a shuffle.
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyspark.functions import fixed_values as V
-from tallyspark.functions.dates import MIXED, infer_pattern, parse_by, parse_mixed
+from tallyspark.functions.dates import MIXED, parse_mixed
 from tallyspark.functions.money import parse_money, signed_amount, split_amounts, typed_amount
+from tallyspark.functions.once import with_once
+from tallyspark.functions.sqltext import case, quoted
 from tallyspark.functions.text import any_of
 from tallyspark.schema import MONEY
 from tallyspark.sources import layouts
@@ -120,32 +122,63 @@ def scan(statements: DataFrame) -> DataFrame:
     csv_rows = F.filter(F.transform(records(F.coalesce("_body", F.lit(""))), csv_cells),
                         is_data_row)
     text_rows = F.array_compact(F.transform(F.split("text", LINE_BREAK), text_cells))
-    return (statements
-            .withColumn("header_line", F.when(~printed, header_line(F.col("text"))))
-            .withColumn("_parts", F.when(~printed, F.split(
-                F.col("text"), LINE_BREAK, F.col("header_line") + 2)))
-            .withColumn("_body", F.get("_parts", F.col("header_line") + 1))
-            .withColumn("header", F.when(printed, F.array(*[F.lit(c) for c in TEXT_HEADER]))
-                        .otherwise(csv_cells(F.get("_parts", F.col("header_line")))))
-            .withColumn("columns", layouts.positions(F.col("header")))
-            .withColumn("error_message", layouts.problem(F.col("columns")))
+    parts = with_once(with_once(statements, "header_line",
+                                F.when(~printed, header_line(F.col("text")))),
+                      "_parts", F.when(~printed, F.split(F.col("text"), LINE_BREAK,
+                                                         F.col("header_line") + 2)))
+    headed = with_once(parts.withColumn("_body", F.get("_parts", F.col("header_line") + 1)),
+                       "header", F.when(printed, F.array(*[F.lit(c) for c in TEXT_HEADER]))
+                       .otherwise(csv_cells(F.get("_parts", F.col("header_line")))))
+    return (layouts.with_positions(headed)
+            .withColumn("error_message", F.expr(layouts.PROBLEM))
             .withColumn("rows", F.when(printed, text_rows).otherwise(csv_rows))
             .select("user_id", "upload_id", "file_type", "header_line", "header", "columns",
                     "error_message", "rows"))
 
 
-def date_pattern(columns: Column, rows: Column) -> Column:
+def _parsed(text: str, pattern: str, patterns: list[str]) -> str:
+    """Date by the pattern a column names."""
+    return case([(f"{pattern} = {quoted(p)}",
+                  f"cast(try_to_timestamp(trim({text}), {quoted(p)}) as date)")
+                 for p in patterns])
+
+
+def _guessed(text: str) -> str:
+    """The first pattern that fits a value."""
+    return case([(f"try_to_timestamp(trim({text}), {quoted(p)}) is not null", quoted(p))
+                 for p in MIXED], "cast(null as string)")
+
+
+def _date_pattern() -> str:
     """How a statement's dates are read.
 
     A layout's own pattern if any value fits it, else "mixed"; without a layout, the
     pattern of the first non-empty value.
     """
-    dates = F.filter(F.transform(rows, lambda r: layouts.cell(r, columns["date"])),
-                     lambda d: F.trim(d) != "")
     known = sorted({layout[-1] for layout in V.LAYOUTS})
-    fits = F.exists(dates, lambda d: parse_by(d, columns["pattern"], known).isNotNull())
-    return (F.when(columns["pattern"].isNull(), infer_pattern(F.get(dates, F.lit(0))))
-            .when(fits, columns["pattern"]).otherwise("mixed"))
+    return (f"case when columns.pattern is null then {_guessed('get(_dates, 0)')} "
+            f"when exists(_dates, d -> {_parsed('d', 'columns.pattern', known)} is not null) "
+            f"then columns.pattern else 'mixed' end")
+
+
+def _money(text: str) -> Column:
+    """Number of a cell; an empty cell is missing."""
+    return parse_money(F.nullif(F.trim(text), F.lit("")))
+
+
+def _entry_columns(amount: Column, tx_date: Column) -> list[Column]:
+    """Entry columns from the cells of one row."""
+    return ["user_id", "upload_id", "row_ord", tx_date.alias("tx_date"),
+            F.trim(F.coalesce("_desc", F.lit(""))).alias("raw_desc"),
+            F.round(amount["amount"], 2).try_cast(MONEY).alias("amount"),
+            amount["tx_type"].alias("tx_type"),
+            F.round(_money("_balance"), 2).try_cast(MONEY).alias("balance")]
+
+
+def _cells(df: DataFrame) -> DataFrame:
+    """One column per meaning, from the cells and the positions of a row."""
+    return df.selectExpr("*", *[f"get(cells, columns.{field} - 1) as _{field}"
+                                for field in V.LAYOUT_FIELDS])
 
 
 def map_rows(scanned: DataFrame, day_first: bool = False) -> DataFrame:
@@ -153,35 +186,21 @@ def map_rows(scanned: DataFrame, day_first: bool = False) -> DataFrame:
 
     ``day_first`` changes only how ambiguous dates are read when no pattern fits.
     """
-    rows = (scanned.where("error_message is null")
-            .withColumn("_pattern", date_pattern(F.col("columns"), F.col("rows")))
-            .select("user_id", "upload_id", "columns", "_pattern",
-                    F.posexplode("rows").alias("pos", "cells")))
-
-    def at(field: str) -> Column:
-        return layouts.cell(F.col("cells"), F.col("columns")[field])
-
-    has_pair = F.col("columns.debit").isNotNull() & F.col("columns.credit").isNotNull()
-    has_type = F.col("columns.type").isNotNull()
-    amounts = (F.when(has_pair, split_amounts(parse_money(_blank_null(at("debit"))),
-                                              parse_money(_blank_null(at("credit")))))
-               .when(has_type, typed_amount(parse_money(_blank_null(at("amount"))), at("type")))
-               .otherwise(signed_amount(at("amount"))))
-    tx_date = (F.when(F.col("_pattern") == "mixed", parse_mixed(at("date"), day_first))
-               .otherwise(parse_by(at("date"), F.col("_pattern"),
-                                   sorted({*MIXED, *(x[-1] for x in V.LAYOUTS)}))))
-    return (rows.withColumn("_amount", amounts).select(
-        "user_id", "upload_id", F.col("pos").cast("bigint").alias("row_ord"),
-        tx_date.alias("tx_date"),
-        F.trim(F.coalesce(at("desc"), F.lit(""))).alias("raw_desc"),
-        F.round("_amount.amount", 2).try_cast(MONEY).alias("amount"),
-        F.col("_amount.tx_type").alias("tx_type"),
-        F.round(parse_money(_blank_null(at("balance"))), 2).try_cast(MONEY).alias("balance")))
-
-
-def _blank_null(text: Column) -> Column:
-    """An empty cell reads as missing."""
-    return F.when(F.trim(text) != "", text)
+    dates = "filter(transform(rows, r -> get(r, columns.date - 1)), d -> trim(d) <> '')"
+    readable = scanned.where("error_message is null").withColumn("_dates", F.expr(dates))
+    rows = _cells(readable.selectExpr("*", f"{_date_pattern()} as _pattern").selectExpr(
+        "user_id", "upload_id", "columns", "_pattern", "posexplode(rows) as (pos, cells)"))
+    rows = rows.withColumn("row_ord", F.col("pos").cast("bigint"))
+    amounts = (F.when(F.expr("columns.debit is not null and columns.credit is not null"),
+                      split_amounts(_money("_debit"), _money("_credit")))
+               .when(F.expr("columns.type is not null"),
+                     typed_amount(_money("_amount"), F.col("_type")))
+               .otherwise(signed_amount(F.col("_amount"))))
+    known = sorted({*MIXED, *(layout[-1] for layout in V.LAYOUTS)})
+    tx_date = (F.when(F.col("_pattern") == "mixed", parse_mixed(F.col("_date"), day_first))
+               .otherwise(F.expr(_parsed("_date", "_pattern", known))))
+    return rows.withColumn("_money", amounts).select(
+        *_entry_columns(F.col("_money"), tx_date))
 
 
 def read_statements(statements: DataFrame, day_first: bool = False) -> DataFrame:
@@ -240,31 +259,23 @@ def normalise_tables(tables: DataFrame) -> DataFrame:
 
 
 def map_table_rows(rows: DataFrame) -> DataFrame:
-    """Normalised table rows to entries by header synonyms."""
-    columns = layouts.synonym_positions(F.col("header"), V.TABLE_SYNONYMS)
-    ordered = rows.withColumn("columns", columns).withColumn(
-        "row_ord", F.col("table_no").cast("bigint") * 1_000_000 + F.col("row_no"))
+    """Normalised table rows to entries by header synonyms.
 
-    def at(field: str) -> Column:
-        return layouts.cell(F.col("cells"), F.col("columns")[field])
-
-    has_pair = F.col("columns.debit").isNotNull() & F.col("columns.credit").isNotNull()
-    amounts = F.when(has_pair, split_amounts(parse_money(_blank_null(at("debit"))),
-                                             parse_money(_blank_null(at("credit"))))
-                     ).otherwise(signed_amount(at("amount")))
-    # Dates follow the pattern of the upload's first one.
-    first = (ordered.where(F.trim(at("date")) != "").groupBy("user_id", "upload_id")
-             .agg(F.min_by(at("date"), "row_ord").alias("_first")))
-    dated = ordered.join(first.select("user_id", "upload_id",
-                                      infer_pattern(F.col("_first")).alias("_pattern")),
-                         ["user_id", "upload_id"], "left")
-    return (dated.withColumn("_amount", amounts).select(
-        "user_id", "upload_id", "row_ord",
-        parse_by(at("date"), F.col("_pattern"), MIXED).alias("tx_date"),
-        F.trim(F.coalesce(at("desc"), F.lit(""))).alias("raw_desc"),
-        F.round("_amount.amount", 2).try_cast(MONEY).alias("amount"),
-        F.col("_amount.tx_type").alias("tx_type"),
-        F.round(parse_money(_blank_null(at("balance"))), 2).try_cast(MONEY).alias("balance")))
+    Dates follow the pattern of the upload's first one.
+    """
+    columns = F.expr(layouts.synonym_positions("header", V.TABLE_SYNONYMS))
+    ordered = _cells(with_once(rows, "columns", columns)).withColumn(
+        "row_ord", F.col("table_no").cast("bigint") * 1_000_000 + F.col("row_no"))
+    first = (ordered.where("trim(_date) <> ''").groupBy("user_id", "upload_id")
+             .agg(F.min_by("_date", "row_ord").alias("_first"))
+             .selectExpr("user_id", "upload_id", f"{_guessed('_first')} as _pattern"))
+    amounts = (F.when(F.expr("columns.debit is not null and columns.credit is not null"),
+                      split_amounts(_money("_debit"), _money("_credit")))
+               .otherwise(signed_amount(F.col("_amount"))))
+    return (ordered.join(first, ["user_id", "upload_id"], "left")
+            .withColumn("_money", amounts)
+            .select(*_entry_columns(F.col("_money"),
+                                    F.expr(_parsed("_date", "_pattern", MIXED)))))
 
 
 # -- dispatch -----------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallyspark.functions.once import with_once
 from tallyspark.functions.text import trigram_similarity, trigrams
 
 
@@ -13,5 +14,5 @@ def trigram_search(tx: DataFrame, text: str, threshold: float = 0.3) -> DataFram
     """
     uses = tx.groupBy("description").agg(F.count(F.lit(1)).alias("n"))
     score = trigram_similarity(trigrams(F.col("description")), trigrams(F.lit(text)))
-    return (uses.withColumn("similarity", F.round(score, 6))
+    return (with_once(uses, "similarity", F.round(score, 6))
             .where(F.col("similarity") >= threshold))

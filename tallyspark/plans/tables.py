@@ -130,6 +130,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table over all cores if its files cannot be split that far.
+
+    Only a table of a few row groups is shuffled; a large one already has more
+    input partitions than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{expr} as {name}" for name, expr in columns.items()])
 
@@ -139,8 +149,10 @@ def derive_sql(source: str, columns: dict[str, str]) -> str:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(table(spark, sf_dir, "orders"), entry_columns("spark"))
+    return derive(spread(table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")), entry_columns("spark"))
 
 
 def event_entries(spark: SparkSession, sf_dir: str, scale: int = 1) -> DataFrame:
-    return derive(table(spark, sf_dir, "events"), event_columns("spark", scale))
+    return derive(spread(table(spark, sf_dir, "events").select(
+        "event_id", "ts", "user_id", "event_type", "value")), event_columns("spark", scale))

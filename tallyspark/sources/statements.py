@@ -57,7 +57,7 @@ def decode(content: str) -> Column:
     """UTF-8 text, or Latin-1 where the bytes are not valid UTF-8."""
     text = F.col(content).cast("string")
     decoded = F.when(F.is_valid_utf8(text), text).otherwise(
-        F.decode(F.col(content), F.lit("ISO-8859-1")))
+        F.decode(F.col(content), "ISO-8859-1"))
     return F.regexp_replace(decoded, "^\\uFEFF", "")
 
 

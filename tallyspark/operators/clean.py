@@ -1,5 +1,7 @@
 """Cleaning: noise rows, normalisation, ordered deduplication, missing values, validation."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyspark.functions import fixed_values as V
@@ -62,12 +64,17 @@ def newest_first(tx: DataFrame) -> DataFrame:
     return tx.orderBy(F.desc("tx_date"), F.desc("amount"), "row_ord")
 
 
-def clean_transactions(tx: DataFrame) -> DataFrame:
-    """All cleaning stages in order. Rows are left unordered; see ``newest_first``."""
-    for stage in (remove_noise, normalise_amounts, normalise_descriptions, deduplicate,
-                  fill_missing):
+def clean_transactions(tx: DataFrame,
+                       cut: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """All cleaning stages in order. Rows are left unordered; see ``newest_first``.
+
+    Carrying balances forward reads its input twice. ``cut`` (such as
+    ``sinks.materialise``) may store the deduplicated rows in between, which spares
+    the second run of the earlier stages on large data.
+    """
+    for stage in (remove_noise, normalise_amounts, normalise_descriptions, deduplicate):
         tx = tx.transform(stage)
-    return tx
+    return fill_missing(cut(tx, "deduplicated") if cut else tx)
 
 
 def validation_report(tx: DataFrame, uploads: DataFrame | None = None) -> DataFrame:

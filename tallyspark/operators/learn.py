@@ -7,7 +7,7 @@ from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, IndexT
                                 Normalizer, RegexTokenizer, SQLTransformer, StringIndexer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyspark.functions import fixed_values as V
 from tallyspark.operators.classify import classify
@@ -17,9 +17,11 @@ from tallyspark.operators.sinks import materialise
 def balanced(samples: DataFrame) -> DataFrame:
     """Add a weight per sample so that every label weighs the same in total."""
     counts = samples.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_labels"))
-    weights = counts.crossJoin(F.broadcast(totals)).select(
-        "label", (F.col("_all") / (F.col("_labels") * F.col("_n"))).alias("weight"))
+    # One row per label: few enough for a window over all of them.
+    every = Window.partitionBy(F.lit(1))
+    weights = counts.select("label", (
+        F.sum("_n").over(every) / (F.count(F.lit(1)).over(every) * F.col("_n")))
+        .alias("weight"))
     return samples.join(weights, "label")
 
 
@@ -148,6 +150,9 @@ def train_classifier(samples: DataFrame, key: str = "sample_id",
         F.sum("n").alias("samples"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n"))))
         .alias("classes"))
-    report = (counts.crossJoin(macro_f1(out_of_fold(samples, key)))
-              .withColumn("model_path", F.lit(save_path).cast("string")))
-    return model, report
+    # Two one-row results side by side.
+    report = counts.unionByName(macro_f1(out_of_fold(samples, key)),
+                                allowMissingColumns=True)
+    return model, report.agg(*[F.first(c, ignorenulls=True).alias(c)
+                               for c in report.columns],
+                             F.lit(save_path).cast("string").alias("model_path"))

@@ -166,38 +166,46 @@ def stored_snapshot(summary: DataFrame, health: DataFrame, spend: DataFrame) ->
 
 def result_documents(summary: DataFrame, tx: DataFrame, recurring: DataFrame,
                      validation: DataFrame, banks: DataFrame) -> DataFrame:
-    """One JSON document per user: summary, category map, recurring list, validation.
+    """JSON results of every user as (user_id, part, item, document).
 
-    Transactions are not folded into the document, as a user's list has no bound;
-    ``transaction_documents`` gives them as one JSON record per transaction, keyed the
-    same way.
+    Part "result" is one document per user: summary, category map, validation. A
+    user's recurring payments and transactions have no bound, so they are not folded
+    into one value; they follow as one document each, parts "recurring" and
+    "transaction", under the same user.
     """
     spend = period_category_spend(tx).groupBy("user_id").agg(
         F.map_from_entries(F.sort_array(F.collect_list(
             F.struct("category", F.col("total").cast("double"))))).alias("category_spend"))
-    listed = recurring.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(
-        (-F.col("estimated_monthly")).alias("order"), "name", "frequency",
-        "estimated_monthly", F.col("last_charged").cast("string").alias("last_charged"),
-        F.coalesce(F.col("next_estimated").cast("string"), F.lit("Unknown"))
-        .alias("next_estimated"),
-        "action", "occurrence_count", "amount_variation"))).alias("items"))
-    listed = listed.select("user_id", F.transform("items", lambda r: r.dropFields("order"))
-                           .alias("recurring_summary"))
+    counts = recurring.groupBy("user_id").agg(F.count(F.lit(1)).alias("recurring_count"))
     checks = validation.select("user_id", F.struct(
         *[c for c in validation.columns if c != "user_id"]).alias("validation_report"))
-    joined = (summary.join(spend, "user_id", "left").join(listed, "user_id", "left")
+    joined = (summary.join(spend, "user_id", "left").join(counts, "user_id", "left")
               .join(checks, "user_id", "left")
               .join(banks.select("user_id", F.col("bank").alias("bank_detected")), "user_id",
                     "left"))
     totals = F.struct(*[F.col(c).cast("double").alias(c)
                         for c in ("total_income", "total_expenses", "net_savings",
                                   "savings_rate_pct")])
-    return joined.select("user_id", "tx_count", F.to_json(F.struct(
-        F.lit("success").alias("status"), "tx_count", "bank_detected", "period_start",
-        "period_end", totals.alias("summary"), "category_spend",
-        F.coalesce("recurring_summary", F.array()).alias("recurring_summary"),
-        "validation_report", F.col("validation_report.warnings").alias("warnings")))
+    results = joined.select(
+        "user_id", F.lit("result").alias("part"), F.lit("").alias("item"),
+        F.to_json(F.struct(
+            F.lit("success").alias("status"), "tx_count", "bank_detected", "period_start",
+            "period_end", totals.alias("summary"), "category_spend",
+            F.coalesce("recurring_count", F.lit(0)).alias("recurring_count"),
+            "validation_report", F.col("validation_report.warnings").alias("warnings")))
         .alias("document"))
+    payments = recurring.select(
+        "user_id", F.lit("recurring").alias("part"), F.col("name").alias("item"),
+        F.to_json(F.struct(
+            "name", "frequency", "estimated_monthly", "last_charged",
+            F.coalesce(F.col("next_estimated").cast("string"), F.lit("Unknown"))
+            .alias("next_estimated"),
+            "action", "occurrence_count", "amount_variation")).alias("document"))
+    records = transaction_documents(tx).select(
+        "user_id", F.lit("transaction").alias("part"),
+        F.concat_ws("/", "upload_id", "row_ord").alias("item"),
+        F.col("record").alias("document"))
+    return results.unionByName(payments).unionByName(records)
 
 
 def transaction_documents(tx: DataFrame) -> DataFrame:

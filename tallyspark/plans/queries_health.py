@@ -6,7 +6,7 @@ from tallyspark.functions import fixed_values as V
 from tallyspark.operators import health
 from tallyspark.operators.features import DAILY_SUMS, DEBIT_SLUGS, user_features
 from tallyspark.plans import duck, frames
-from tallyspark.plans.registry import plain, register
+from tallyspark.plans.registry import register
 
 _ESSENTIAL = ", ".join(duck.lit(c) for c in V.ESSENTIAL_CATEGORIES)
 

@@ -13,7 +13,7 @@ from tallyspark.plans import queries_recommend as R
 from tallyspark.plans.queries_cleaning import DUP, EXACT
 from tallyspark.plans.queries_summary import CATEGORIES, MONTHS, PERIOD, SPEND
 from tallyspark.plans.registry import plain, register
-from tallyspark.plans.tables import derive, derive_sql, entries, table
+from tallyspark.plans.tables import derive, derive_sql, table
 
 _WIDTHS = {c: f"substr({c}, 1, {n}) as {c}" for c, n in V.STORED_WIDTHS.items()}
 _STORED = ", ".join(_WIDTHS.get(c, c) for c in [
@@ -248,15 +248,16 @@ def dashboard(spark, sf_dir):
 
 @register("result_doc")
 def result_doc(spark, sf_dir):
-    """Clean, classify and annotate all entries, then one document per user.
+    """Clean, classify and annotate all entries, then the result documents.
 
-    Five aggregates read the annotated transactions, so these are written once to
-    the shared folder and read back column by column.
+    Stages that are read more than once are written to the shared folder and read
+    back column by column.
     """
     from tallyspark.operators.classify import classify
     from tallyspark.operators.sinks import materialise
     from tallyspark.schema import ANNOTATIONS
-    cleaned = clean.clean_transactions(frames.repeated(spark, sf_dir))
+    cleaned = materialise(clean.clean_transactions(frames.repeated(spark, sf_dir), materialise),
+                          "cleaned")
     tx = materialise(classify(recurring.detect_recurring(cleaned)), "annotated")
     return ledger.result_documents(
         summary.period_summary(tx), tx, recurring.recurring_summary(tx),

@@ -4,8 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspark.llm import decontaminate, quality
-from tallyspark.llm.common import read
+from tallyspark.llm import decontaminate, packing, quality, tokenfile
+from tallyspark.llm.common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,27 @@ def op1(spark, sf_dir):
                                   read(spark, sf_dir, "benchmark"))
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@register("op2_packing")
+def op2(spark, sf_dir):
+    """Every piece of every document with its place in a sequence."""
+    pieces = packing.pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
+
+
+@register("op8_token_file")
+def op8(spark, sf_dir):
+    """Documents as read back from directly addressable token files."""
+    path = shared_folder(spark, "tokens")
+    tokenfile.write(read(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return tokenfile.read_digests(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def quality_sql() -> str:
     q = quality
     quote = lambda s: "'" + s.replace("'", "''") + "'"

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspark.llm import decontaminate, packing, quality, tokenfile
+from tallyspark.llm import decontaminate, neardup, packing, quality, tokenfile
 from tallyspark.llm.common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ def op3(spark, sf_dir):
     return found.select("doc_id", *[F.col(f"q_{x}").alias(x) for x in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "lost_punctuation", "lost_navigation", "lost_boilerplate", "base_failed", "kept")])
+
+
+@register("op6_near_duplicates")
+def op6(spark, sf_dir):
+    """Component of every document by four-word shingles at 80 percent."""
+    return neardup.groups(read(spark, sf_dir, "documents"), size=4, percent=80)

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspark.llm import decontaminate, neardup, packing, quality, tokenfile
+from tallyspark.llm import decontaminate, langid, neardup, packing, quality, tokenfile
 from tallyspark.llm.common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,13 @@ def op3(spark, sf_dir):
 def op6(spark, sf_dir):
     """Component of every document by four-word shingles at 80 percent."""
     return neardup.groups(read(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+@register("op7_language_id")
+def op7(spark, sf_dir):
+    """Predicted language of every document; a third of the ids are held out of training."""
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    prototypes = langid.train(docs.where("not held_out"))
+    return langid.predict(docs, prototypes, ("doc_id", "held_out"))

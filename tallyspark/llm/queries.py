@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspark.llm import decontaminate, langid, neardup, packing, quality, tokenfile
+from tallyspark.llm import decontaminate, langid, neardup, packing, quality, tokenfile, warc
 from tallyspark.llm.common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,22 @@ def op7(spark, sf_dir):
     docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     prototypes = langid.train(docs.where("not held_out"))
     return langid.predict(docs, prototypes, ("doc_id", "held_out"))
+
+
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') h from pages),
+q as (select page_id, strlen(h)::bigint payload_bytes, sha256(h) payload_digest from p),
+r as (select *, case when payload_bytes >= 100 then
+        min(page_id) over (partition by payload_digest) end first_ from q)
+select page_id, payload_bytes, payload_digest,
+       case when page_id <> first_ then 'revisit' else 'response' end record_type,
+       case when page_id <> first_ then first_ end refers_to from r"""
+
+
+@register("op4_warc", WARC_SQL)
+def op4(spark, sf_dir):
+    """Pages as read back from WARC archives."""
+    path = shared_folder(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.pages_of(warc.read(spark, path)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

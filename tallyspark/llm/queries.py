@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspark.llm import decontaminate, langid, neardup, packing, quality, tokenfile, warc
+from tallyspark.llm import decontaminate, langid, neardup, packing, quality, sharding, tokenfile, warc
 from tallyspark.llm.common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,11 @@ def op4(spark, sf_dir):
     warc.write(read(spark, sf_dir, "pages"), path)
     return warc.pages_of(warc.read(spark, path)).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op10_sharding")
+def op10(spark, sf_dir):
+    """Every document's shard of 24 and its place there, by near equal bytes."""
+    return sharding.shard(read(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))

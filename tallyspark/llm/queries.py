@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspark.llm import decontaminate, langid, neardup, packing, quality, sharding, tokenfile, warc
+from tallyspark.llm import decontaminate, langid, neardup, packing, pii, quality, sharding, tokenfile, warc
 from tallyspark.llm.common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,15 @@ def op10(spark, sf_dir):
     return sharding.shard(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The queries' key. A production job passes its own, kept outside the code.
+PII_KEY = b"key of the registered queries"
+
+
+@register("op5_pii")
+def op5(spark, sf_dir):
+    """Every document with pseudonyms for its personal values, and where they were."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.pseudonymise(docs, PII_KEY, found_col="found")
+    return found.select("doc_id", "text", F.size("found").alias("n_found"), "found")

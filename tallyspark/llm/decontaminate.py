@@ -68,7 +68,8 @@ def best_stretch(same: Column) -> Column:
 
 def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """Distinct items: smallest id, number of equal ones, token hashes."""
-    return (benchmark.select(F.col(item_col).alias("item"), token_hashes(F.col(text_col)).alias("h"))
+    return (benchmark.select(F.col(item_col).alias("item"),
+                             token_hashes(F.col(text_col)).alias("h"))
             .where(F.size("h") >= LEAST_TOKENS).groupBy("h")
             .agg(F.min("item").alias("item"), F.count(F.lit(1)).alias("n_items"))
             .select(F.xxhash64("h").alias("item_key"), "item", "n_items", F.col("h").alias("ih")))

@@ -45,8 +45,8 @@ DAYS = dt.date(2100, 1, 1).toordinal() - FIRST_DAY
 
 START, STOP = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 _NAMES = "|".join(MONTHS + [m[:3] for m in MONTHS])
-EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-                   re.ASCII)
+EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@"
+                   r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.ASCII)
 IBAN = re.compile(START + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + STOP)
 DATES = [
     (re.compile(START + r"([0-9]{4})(-)([0-9]{1,2})(-)([0-9]{1,2})" + STOP), "ymd"),
@@ -54,7 +54,8 @@ DATES = [
     (re.compile(START + rf"([0-9]{{1,2}})( )({_NAMES})(,? )([0-9]{{4}})" + STOP, re.I), "dmy"),
     (re.compile(START + rf"({_NAMES})( )([0-9]{{1,2}})(,? )([0-9]{{4}})" + STOP, re.I), "mdy"),
 ]
-CARD = re.compile(START + r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?"
+CARD = re.compile(START + r"(?:[0-9]{13,19}"
+                  r"|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?"
                   r"|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})" + STOP)
 SSN = re.compile(START + r"([0-9]{3})-([0-9]{2})-([0-9]{4})" + STOP)
 IP = re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])")

@@ -5,12 +5,13 @@ Main path: column expressions of one scan, no shuffle, no Python.
 A line fails by one of three rules:
 
 * punctuation: at least a fifth of its words hold a run of two or more symbols (``***``, ``!!``);
-* navigation: two or more of its words are bare menu separators (``|``, ``»``, ``>``, ``·``, ``/``)
-  and these are at least a fifth of them;
+* navigation: two or more of its words are bare menu separators (``|``, ``»``, ``>``, ``·``,
+  ``/``) and these are at least a fifth of them;
 * boilerplate: a license, copyright, cookie or log-in notice of at most ``NOTICE_WORDS`` words.
 
 A document is rejected if the base measures fail it, or if the lines lost to punctuation and
-navigation hold more than ``MOST_LOST`` percent of its words. Notices are cut out but never reject a document.
+navigation hold more than ``MOST_LOST`` percent of its words. Notices are cut out but never
+reject a document.
 
 Defined cases: null or empty text has no words, so ``base_failed``; lines without a word are
 kept as they are; repeated rows are judged one by one; a null ``doc_id`` is passed through.
@@ -88,8 +89,9 @@ def line_verdicts(text: Column) -> Column:
 
 
 def suspicious(low: Column, marks: Column) -> Column:
-    """Whether any line of a lower-cased text can fail at all: a mark of the line rules, or the stem of a notice.
-    Only such texts have their lines examined; a text without either has no failing line."""
+    """Whether any line of a lower-cased text can fail at all: a mark of the line rules, or the
+    stem of a notice. Only such texts have their lines examined; one without either has no
+    failing line."""
     found = F.char_length(marks) >= 2
     for stem in STEMS:
         found = found | F.contains(low, F.lit(stem))

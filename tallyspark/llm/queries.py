@@ -4,7 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspark.llm import decontaminate, langid, neardup, packing, pii, quality, sharding, tokenfile, warc
+from tallyspark.llm import (decontaminate, langid, neardup, packing, pii, quality, secretscan,
+                            sharding, tokenfile, warc)
 from tallyspark.llm.common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +150,9 @@ def op5(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.pseudonymise(docs, PII_KEY, found_col="found")
     return found.select("doc_id", "text", F.size("found").alias("n_found"), "found")
+
+
+@register("op9_secret_scan")
+def op9(spark, sf_dir):
+    """Every candidate string of every document with the forest's verdict."""
+    return secretscan.scan(read(spark, sf_dir, "documents"))

@@ -209,7 +209,8 @@ def _located(spark, path, docs: DataFrame) -> DataFrame:
     size = struct.calcsize(HEADER)
     parts = (spark.read.format("binaryFile").load(path)
              .select(F.substring("content", 1, size).alias("content"))
-             .mapInArrow(headers, "part long, ids long").groupBy("part").agg(F.max("ids").alias("ids")))
+             .mapInArrow(headers, "part long, ids long")
+             .groupBy("part").agg(F.max("ids").alias("ids")))
     before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     first = parts.select("part", F.coalesce(before, F.lit(0)).alias("first"))
     return (docs.join(first, "part").withColumn("start", F.col("first") + F.col("inside"))

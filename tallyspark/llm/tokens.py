@@ -2,8 +2,9 @@
 
 The tokenizers used here cut a text wherever white space follows something else before they
 merge anything, and between a word and the mark after it. So a text's ids are those of its
-chunks (white space, then a word or other characters) one after another. A worker keeps the ids of chunks it has seen in a dictionary of bounded
-size; the library encodes only the others. ``Encoder`` checks the tokenizer's file for this
+chunks (white space, then a word or other characters) one after another. A worker keeps the
+ids of chunks it has seen in a dictionary of bounded size; the library encodes only the
+others. ``Encoder`` checks the tokenizer's file for this
 property and encodes whole texts where it isn't given.
 
 Strings of special tokens in a text are ordinary text.
@@ -18,11 +19,11 @@ import numpy as np
 
 #: Unicode white space, stated whole: Python's ``\\s`` has four control characters more.
 WHITE = r" \t\n\v\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Latin letters that stay letters in lower case, and ASCII marks that end a run of them in every such tokenizer. The
-#: apostrophe isn't one, as it starts pieces of its own.
+#: Latin letters that stay letters in lower case, and ASCII marks that end a run of them in
+#: every such tokenizer. The apostrophe isn't one, as it starts pieces of its own.
 LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 STOPS = r"!\"#$%&()*+,./:;<=>?@\[\]^`{|}~-"
-CACHED_CHUNKS = 800_000
+CACHED_CHUNKS = 600_000
 LONGEST_CACHED = 64
 #: Chunks encoded as one text; characters up to here keep their places in that.
 JOINED = 2000

@@ -54,6 +54,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A prefix like ``name`` that no column starts with."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name = f"_{name}"
+    return name
+
+
 def words(text: Column) -> Column:
     """Words of a text in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")

@@ -7,7 +7,8 @@ diagonal and compared word by word.
 
 A document overlaps an item if, on one diagonal,
 
-* at least ``IDENTITY`` percent of the item's words are at their places, or
+* at least ``IDENTITY`` percent of the item's words are at their places (all of them if the
+  item is shorter than the longest mask), or
 * some stretch scores ``STRETCH`` or more (a word in place: +1, a wrong one: -2).
 
 Words are runs of letters and digits in lower case. Items below ``LEAST_TOKENS`` words are
@@ -109,7 +110,8 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, keys=("doc_id",), text_
                     F.size("same").cast("long").alias("item_tokens"),
                     F.size(F.filter("same", lambda x: x)).cast("long").alias("matched"),
                     best_stretch(F.col("same")).cast("long").alias("stretch"))
-            .where((100 * F.col("matched") >= IDENTITY * F.col("item_tokens"))
+            .where((100 * F.col("matched") >= F.col("item_tokens")
+                    * F.when(F.col("item_tokens") < SPAN, 100).otherwise(IDENTITY))
                    | (F.col("stretch") >= STRETCH)))
     best = (laid.groupBy(*ids, "item", "n_items", "item_tokens")
             .agg(F.max(F.struct("matched", "stretch", -F.col("token_start"))).alias("best")))

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyspark.llm.common import ship, written
+from tallyspark.llm.common import fresh, ship, written
 from tallyspark.llm.components import components
 
 ROWS, BANDS = 6, 40
@@ -297,17 +297,17 @@ def deduplicate(documents: DataFrame, size: int = 5, percent: int = SIMILARITY,
     """The documents without near-duplicates, all columns kept: one row of each component, that
     with the least id (null last; equal ids: least MD5). Texts without words all stay."""
     found = written(classify(documents, size, percent, id_col, text_col), "components")
+    own = fresh(documents.columns, "best_")
     times = found.where("component is not null").groupBy("component", "doc_id", "class") \
         .agg(F.count(F.lit(1)).alias("times"))
     best = (times.groupBy("component").agg(F.min(F.struct(*[
         F.col("doc_id").isNull().alias("gone"), "doc_id", "class", "times"])).alias("best"))
-        .select(F.col("best.doc_id").alias("best_id"), F.col("best.class").alias("best_class"),
-                F.col("best.times").alias("best_times")))
-    rows = documents.withColumn("_class_of_row", class_of(F.col(text_col)))
-    hit = rows.join(best, (F.col("_class_of_row") == F.col("best_class"))
-                    & F.col(id_col).cast("long").eqNullSafe(F.col("best_id")))
-    single = hit.where("best_times = 1").select(*documents.columns)
-    repeated = (hit.where("best_times > 1").dropDuplicates(["_class_of_row"])
+        .select(F.col("best.doc_id").alias(f"{own}id"), F.col("best.class").alias(f"{own}class"),
+                F.col("best.times").alias(f"{own}times")))
+    hit = documents.join(best, (class_of(F.col(text_col)) == F.col(f"{own}class"))
+                         & F.col(id_col).cast("long").eqNullSafe(F.col(f"{own}id")))
+    single = hit.where(F.col(f"{own}times") == 1).select(*documents.columns)
+    repeated = (hit.where(F.col(f"{own}times") > 1).dropDuplicates([f"{own}class"])
                 .select(*documents.columns))
     wordless = documents.where(~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     return single.unionByName(repeated).unionByName(wordless)

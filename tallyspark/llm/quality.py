@@ -19,7 +19,7 @@ kept as they are; repeated rows are judged one by one; a null ``doc_id`` is pass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyspark.llm.common import once, words
+from tallyspark.llm.common import fresh, once, words
 
 WINDOW = 5
 LEAST_WORDS = 10
@@ -149,9 +149,11 @@ def assess(documents: DataFrame, text_col: str = "text", prefix: str = "q_") ->
 
 def clean(documents: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The documents that pass, with their failing lines cut out and ``chars_col`` to match."""
-    new = {text_col: F.col("q_text")}
+    q = fresh(documents.columns, "q_")
+    text = F.col(f"{q}text")
+    new = {text_col: text}
     if chars_col in documents.columns:
-        new[chars_col] = F.when(F.col("q_text") == F.col(text_col), F.col(chars_col)).otherwise(
-            F.char_length("q_text").cast("long"))
-    return (assess(documents, text_col).where("q_kept")
+        new[chars_col] = F.when(text == F.col(text_col), F.col(chars_col)).otherwise(
+            F.char_length(text).cast("long"))
+    return (assess(documents, text_col, q).where(f"{q}kept")
             .select(*[new.get(c, F.col(c)).alias(c) for c in documents.columns]))

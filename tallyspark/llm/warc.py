@@ -126,7 +126,8 @@ def locate(batches):
 
 
 def exits(key, table):
-    """For each candidate of a split: the first offset outside that its chain comes to."""
+    """For each candidate of a split: the first offset outside that its chain comes to; null if
+    the chain ends inside."""
     place, after = table["place"].to_pylist(), table["next"].to_pylist()
     found = dict(zip(place, after))
     last = max(place)
@@ -135,7 +136,7 @@ def exits(key, table):
         step = found[p]
         if step is not None:
             ends[p] = step if step > last else ends.get(step)
-    kept = [p for p in sorted(ends) if ends[p] is not None]
+    kept = sorted(ends)
     n = len(kept)
     return pa.table({"file": pa.array([key[0].as_py()] * n, pa.string()),
                      "split": pa.array([key[1].as_py()] * n, pa.int64()),

@@ -2,9 +2,11 @@
 
 from pyspark.sql import Column, functions as F
 
+from tallyspark.functions.sqltext import quoted
+
 #: Patterns tried in order when no layout names the format: month before day,
 #: day first only where the month-first reading fails.
-MIXED = ["yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d", "yyyy/M/d",
+MIXED = ["yyyy-M-d", "yyyy/M/d",
          "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M/d/yy", "d/M/yy", "M-d-yy", "d-M-yy",
          "d-MMM-yyyy", "d MMM yyyy", "d-MMM-yy", "d MMM yy", "MMM d yyyy", "MMM d, yyyy",
          "d MMMM yyyy", "MMMM d, yyyy", "yyyyMMdd"]
@@ -12,8 +14,26 @@ MIXED = ["yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d", "yyyy/M/d",
 DAY_FIRST = [p for p in MIXED if not p.startswith("M/") and not p.startswith("M-")]
 
 
+#: Fixed value: a time of day after a date, with optional seconds, fraction, AM/PM and zone.
+TIME_OF_DAY = (r"(?<=[0-9])[ T]+[0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?( ?[AaPp][Mm])?"
+               r"( ?(Z|[+-][0-9]{2}:?[0-9]{2}))?$")
+
+
+def day_of(text: str, pattern: str) -> str:
+    """SQL of the text that a pattern reads: without its time of day, unless the pattern has
+    one."""
+    if "H" in pattern:
+        return f"trim({text})"
+    return f"regexp_replace(trim({text}), {quoted(TIME_OF_DAY)}, '')"
+
+
+def without_time(text: Column) -> Column:
+    return F.regexp_replace(F.trim(text), TIME_OF_DAY, "")
+
+
 def parse_date(text: Column, pattern: str) -> Column:
-    return F.try_to_timestamp(F.trim(text), F.lit(pattern)).cast("date")
+    day = F.trim(text) if "H" in pattern else without_time(text)
+    return F.try_to_timestamp(day, F.lit(pattern)).cast("date")
 
 
 def parse_mixed(text: Column, day_first: bool = False) -> Column:

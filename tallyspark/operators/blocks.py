@@ -34,8 +34,9 @@ def carry_forward(df: DataFrame, value: str, keys: list[str], order: str) -> Dat
 
 
 def running_sum(df: DataFrame, value: Column, keys: list[str], day: str, order: str,
-                name: str) -> DataFrame:
-    """Sum of ``value`` over all rows up to this one, by (``day``, ``order``) within ``keys``."""
+                name: str, ties: tuple = ()) -> DataFrame:
+    """Sum of ``value`` over all rows up to this one, by (``day``, ``order``, ``ties``) within
+    ``keys``."""
     block = [*keys, day, "_block"]
     cut = df.withColumn("_block", _block(order)).withColumn("_value", value)
     totals = cut.groupBy(*block).agg(F.sum("_value").alias("_total"))
@@ -43,7 +44,7 @@ def running_sum(df: DataFrame, value: Column, keys: list[str], day: str, order:
         Window.unboundedPreceding, -1)
     offsets = totals.select(*block, F.coalesce(F.sum("_total").over(before),
                                                F.lit(0)).alias("_in"))
-    within = Window.partitionBy(*block).orderBy(order).rowsBetween(
+    within = Window.partitionBy(*block).orderBy(order, *ties).rowsBetween(
         Window.unboundedPreceding, 0)
     return (cut.join(offsets, block)
             .withColumn(name, F.col("_in") + F.sum("_value").over(within))

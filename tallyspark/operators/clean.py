@@ -61,7 +61,7 @@ def fill_missing(tx: DataFrame) -> DataFrame:
 
 
 def newest_first(tx: DataFrame) -> DataFrame:
-    return tx.orderBy(F.desc("tx_date"), F.desc("amount"), "row_ord")
+    return tx.orderBy(F.desc("tx_date"), F.desc("amount"), "row_ord", "upload_id")
 
 
 def clean_transactions(tx: DataFrame,

@@ -35,8 +35,9 @@ def daily_history(tx: DataFrame) -> DataFrame:
 
 
 def _closing_balance() -> Column:
-    """Last balance of a group in file order."""
-    return F.max_by("balance", F.when(F.col("balance").isNotNull(), F.col("row_ord")))
+    """Last balance of a group in file order; of two uploads, that with the later id."""
+    return F.max_by("balance", F.when(F.col("balance").isNotNull(),
+                                      F.struct("row_ord", "upload_id")))
 
 
 def current_balance(tx: DataFrame) -> DataFrame:

@@ -14,14 +14,18 @@ from tallyspark.operators.classify import classify
 from tallyspark.operators.sinks import materialise
 
 
+#: Buckets that the samples of a label are numbered in.
+FOLD_BUCKETS = 1024
+
+
 def balanced(samples: DataFrame) -> DataFrame:
     """Add a weight per sample so that every label weighs the same in total."""
     counts = samples.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per label: few enough for a window over all of them.
-    every = Window.partitionBy(F.lit(1))
-    weights = counts.select("label", (
-        F.sum("_n").over(every) / (F.count(F.lit(1)).over(every) * F.col("_n")))
-        .alias("weight"))
+    # One row per label: joined with a single row of their sum and number.
+    both = counts.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_labels"))
+    weights = (counts.withColumn("_one", F.lit(1)).join(both.withColumn("_one", F.lit(1)), "_one")
+               .select("label", (F.col("_all") / (F.col("_labels") * F.col("_n")))
+                       .alias("weight")))
     return samples.join(weights, "label")
 
 
@@ -60,7 +64,7 @@ def _fit_terms(terms: DataFrame) -> list:
         learner = LogisticRegression(
             family="multinomial", featuresCol="features", labelCol="_label",
             weightCol="weight", maxIter=V.ML_MAX_ITERATIONS, regParam=1.0 / data.count(),
-            elasticNetParam=0.0, standardization=False, tol=1e-2,
+            elasticNetParam=0.0, standardization=False,
             probabilityCol="_probability", rawPredictionCol="_raw",
             predictionCol="_prediction")
         fitted = learner.fit(prepared.select("_label", "weight", "features"))
@@ -98,14 +102,34 @@ def score_classifier(tx: DataFrame, model: PipelineModel) -> DataFrame:
         F.when(unsure, "rule").otherwise("ml").alias("classified_by"))
 
 
+def with_folds(samples: DataFrame, key: str) -> DataFrame:
+    """Add a stratified fold: the samples of a label are dealt out in turn, in the order of a
+    hash of their key.
+
+    They are numbered inside hash buckets, and the buckets of a label laid one after
+    another by their counts, so that a common label isn't numbered by one task.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(FOLD_BUCKETS))
+    rows = samples.withColumn("_bucket", bucket)
+    before = Window.partitionBy("label").orderBy("_bucket").rowsBetween(
+        Window.unboundedPreceding, -1)
+    first = (rows.groupBy("label", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+             .select("label", "_bucket",
+                     F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
+    own = F.row_number().over(Window.partitionBy("label", "_bucket")
+                              .orderBy(F.xxhash64(key, F.lit(1)), key))
+    return (rows.withColumn("_own", own).join(first, ["label", "_bucket"])
+            .withColumn("fold", F.pmod(F.col("_first") + F.col("_own"), F.lit(V.ML_FOLDS))
+                        .cast("int"))
+            .drop("_bucket", "_own", "_first"))
+
+
 def out_of_fold(samples: DataFrame, key: str = "sample_id") -> DataFrame:
     """Predictions for every sample by a model that has not seen its fold.
 
-    Folds come from a hash of the key, so no ordering or shuffle is needed to cut
-    them. Texts are split into terms once, for all folds.
+    Folds keep the shares of the labels. Texts are split into terms once, for all folds.
     """
-    fold_no = F.pmod(F.xxhash64(key), F.lit(V.ML_FOLDS)).cast("int")
-    terms = materialise(_tokenised(samples.withColumn("fold", fold_no))
+    terms = materialise(_tokenised(with_folds(samples, key))
                         .select("fold", "label", "_terms"), "terms")
     result = None
     for fold in range(V.ML_FOLDS):

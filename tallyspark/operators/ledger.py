@@ -1,6 +1,6 @@
 """Stored tables: write semantics and the reports read from them."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyspark.functions import fixed_values as V
 from tallyspark.functions.money import finite
@@ -42,17 +42,31 @@ def replace_for_users(stored: DataFrame, incoming: DataFrame, users: DataFrame)
 
 
 def sanitise(df: DataFrame) -> DataFrame:
-    """Null in place of NaN and infinities, in plain and nested double columns."""
-    def clean(name: str, kind: str) -> Column:
-        if kind in ("double", "float"):
-            return finite(F.col(name)).alias(name)
-        if kind in ("array<double>", "array<float>"):
-            return F.transform(name, finite).alias(name)
-        if kind in ("map<string,double>", "map<string,float>"):
-            return F.transform_values(name, lambda _, v: finite(v)).alias(name)
-        return F.col(name)
-
-    return df.select(*[clean(name, kind) for name, kind in df.dtypes])
+    """Null in place of NaN and infinities, wherever a column holds doubles."""
+    def clean(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return finite(value)
+        if not holds_doubles(kind):
+            return value
+        if isinstance(kind, T.ArrayType):
+            return F.transform(value, lambda x: clean(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(value, lambda _, x: clean(x, kind.valueType))
+        fields = [clean(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+
+    return df.select(*[clean(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def holds_doubles(kind: T.DataType) -> bool:
+    """Whether a type has doubles at any depth (map keys aside)."""
+    if isinstance(kind, T.ArrayType):
+        return holds_doubles(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return holds_doubles(kind.valueType)
+    if isinstance(kind, T.StructType):
+        return any(holds_doubles(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.DoubleType, T.FloatType))
 
 
 # -- reports -----------------------------------------------------------------
@@ -76,17 +90,26 @@ def jobs_by_user(jobs: DataFrame, user_id: str | None = None) -> DataFrame:
 def manual_ledger(changes: DataFrame) -> DataFrame:
     """Current manual entries from a log of add, update and delete changes.
 
-    The latest change of an entry wins; an entry whose latest change is a deletion
-    is gone. An entry keeps the place in the list where it was added.
+    An entry lives if it was added and not deleted since. Its latest change replaces
+    all its fields; it keeps the place in the list where it was added. Changes of an
+    entry that isn't there do nothing.
     """
-    added = changes.groupBy("user_id", "entry_id").agg(F.min("seq").alias("added_seq"))
-    latest = (keep_first(changes, ["user_id", "entry_id"], [F.desc("seq")])
-              .where("op <> 'delete'"))
+    keys = ["user_id", "entry_id"]
+    fields = [c for c in changes.columns if c not in keys]
+    gone = (changes.where("op = 'delete'").groupBy(keys)
+            .agg(F.max("seq").alias("gone_seq")))
+    since = (changes.where("op <> 'delete'").join(gone, keys, "left")
+             .where(F.col("gone_seq").isNull() | (F.col("seq") > F.col("gone_seq"))))
+    # The latest change comes after the first add, if there is one.
+    latest = (since.groupBy(keys).agg(
+        F.min(F.when(F.col("op") == "add", F.col("seq"))).alias("added_seq"),
+        F.max_by(F.struct(*fields), "seq").alias("now"))
+        .where("added_seq is not null").select(*keys, "added_seq", "now.*"))
 
     def default(name: str, value: str) -> Column:
         return F.coalesce(F.when(F.col(name) != "", F.col(name)), F.lit(value)).alias(name)
 
-    return latest.join(added, ["user_id", "entry_id"]).select(
+    return latest.select(
         "user_id", "entry_id", "added_seq", "tx_date", "description", "amount", "tx_type",
         default("category", "miscellaneous"), default("channel", "cash"),
         default("notes", ""))
@@ -107,7 +130,7 @@ def transaction_list(tx: DataFrame, user_id: str | None = None, since=None, unti
             tx = tx.where(col == value if comparison == "=" else
                           col >= F.lit(value).cast("date") if comparison == ">=" else
                           col <= F.lit(value).cast("date"))
-    ordered = tx.orderBy(F.desc("tx_date"), F.desc("amount"), "row_ord")
+    ordered = tx.orderBy(F.desc("tx_date"), F.desc("amount"), "row_ord", "upload_id")
     return ordered if limit is None else ordered.limit(limit)
 
 

@@ -14,10 +14,12 @@ from tallyspark.operators.ledger import new_transactions, replace_for_users, ups
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared checkpoint folder that the cluster names.
 
-    Where none is named (tests on one machine) the session gets one.
+    Only a one-machine session (``local[...]``) without that setting gets one of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
         root = tempfile.mkdtemp(prefix="tallyspark-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -27,7 +29,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame that several consumers read, and read it back.
 
-    Its files outlive any executor, and every consumer scans only its own columns.
+    Its files outlive any executor, and every consumer scans only its own columns. They lie
+    below the folder's ``tallyspark`` and belong to the caller, who drops them with the job's
+    other checkpoints once no frame made from them is read any more.
     """
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)

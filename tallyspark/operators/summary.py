@@ -79,8 +79,10 @@ def dominant_bank(tx: DataFrame) -> DataFrame:
 
 
 def running_balance(tx: DataFrame, opening: float = 0) -> DataFrame:
-    """Opening amount plus all signed amounts up to each transaction."""
-    summed = running_sum(tx, signed(), ["user_id"], "tx_date", "row_ord", "running_balance")
+    """Opening amount plus all signed amounts up to each transaction; rows of two uploads
+    with the same day and place count in the order of the uploads' ids."""
+    summed = running_sum(tx, signed(), ["user_id"], "tx_date", "row_ord", "running_balance",
+                         ("upload_id",))
     return summed.withColumn("running_balance",
                              (F.col("running_balance") + F.lit(opening)).cast("decimal(28,2)"))
 

@@ -163,7 +163,8 @@ _ISO = f"concat({_DMY[2]}, '-', {_DMY[1]}, '-', {_DMY[0]})"
 RENDERED = [
     ("GTBank", ["Account Statement", "Account Name:,A CUSTOMER", "Account Number:,0123456789",
                 "Currency:,NGN", "", "Date,Details,Debit,Credit,Balance"],
-     _join(_SLASHED, "raw_desc", _DEBIT.format(_AMOUNT), _CREDIT.format(_AMOUNT), _BAL)),
+     _join(_SLASHED, "case when row_ord % 7 = 0 then concat(raw_desc, ' 12\" BOX') "
+           "else raw_desc end", _DEBIT.format(_AMOUNT), _CREDIT.format(_AMOUNT), _BAL)),
     ("Zenith", ["Trans. Date,Remarks,Debit,Credit,Balance"],
      _join(f"concat({_DMY[0]}, '-', {_MON}, '-', {_DMY[2]})", "raw_desc",
            _DEBIT.format(_NAIRA), _CREDIT.format(_NAIRA), _BAL)),
@@ -178,7 +179,7 @@ RENDERED = [
     ("Kuda", ["Date,Description,Debit,Credit,Balance"],
      _join(f"concat({_DMY[0]}, ' ', {_MON}, ' ', {_DMY[2]})", "raw_desc",
            _DEBIT.format(_QUOTED), _CREDIT.format(_QUOTED), _BAL)),
-    ("generic", ["Posting Date,Particulars,Dr,Cr,Closing Balance"],
+    ("generic", ["", "Posting Date,Particulars,Dr,Cr,Closing Balance"],
      _join(_ISO, "raw_desc", _DEBIT.format(_AMOUNT), _CREDIT.format(_AMOUNT), _BAL)),
 ]
 LAYOUT_NO = f"(cast(user_id as bigint) % {len(RENDERED)})"

@@ -97,22 +97,32 @@ _Y = "cast(year(o_orderdate) as string)"
 _MON = "substr('JanFebMarAprMayJunJulAugSepOctNovDec', cast(month(o_orderdate) as int) * 3 - 2, 3)"
 DATE_ROW = {
     "o_orderkey": "o_orderkey",
-    "date_text": choose("o_orderkey % 7", [
+    "date_text": choose("o_orderkey % 11", [
         f"concat({_D}, '/', {_M}, '/', {_Y})", f"concat({_D}, '-', {_MON}, '-', {_Y})",
         f"concat({_Y}, '-', {_M}, '-', {_D})", f"concat({_Y}, '-', {_M}, '-', {_D}, ' 10:20:30')",
         f"concat({_D}, ' ', {_MON}, ' ', {_Y})", f"concat({_D}, '-', {_M}, '-', {_Y})",
-        "'not a date'"]),
+        "'not a date'", f"concat({_D}, '/', {_M}, '/', {_Y}, ' 14:33')",
+        f"concat({_D}, ' ', {_MON}, ' ', {_Y}, ' 9:05:59 PM')",
+        f"concat({_Y}, '-', {_M}, '-', {_D}, 'T10:20:30.125Z')",
+        f"concat({_M}, '/', {_D}, '/', {_Y}, ' 00:00:01.5')"]),
 }
 #: The layouts' date patterns as strptime formats, in layout order.
 STRPTIME = ["%d/%m/%Y", "%d-%b-%Y", "%Y-%m-%d", "%d/%m/%Y", "%Y-%m-%d %H:%M:%S", "%d %b %Y"]
-_MIXED_SQL = ", ".join(f"try_strptime(date_text, '{f}')" for f in [
-    "%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y",
+_DAY = ("regexp_replace(date_text, '([0-9])[ T][0-9]+:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?( PM)?Z?$', "
+        "'\\1')")
+_MIXED_SQL = ", ".join(f"try_strptime({_DAY}, '{f}')" for f in [
+    "%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y",
     "%d-%b-%Y", "%d %b %Y"])
 
 
+def _by_layout() -> list[str]:
+    """A layout whose pattern has no time of day reads the day alone."""
+    return [f"try_strptime({'date_text' if '%H' in f else _DAY}, '{f}')" for f in STRPTIME]
+
+
 @register("parse_dates", duck.query(f"""
     select o_orderkey, date_text, cast(coalesce({_MIXED_SQL}) as date) as mixed,
-           cast({choose('o_orderkey % 6', [f"try_strptime(date_text, '{f}')" for f in STRPTIME])}
+           cast({choose('o_orderkey % 6', _by_layout())}
                 as date) as by_layout from cells""",
     cells=derive_sql("orders", DATE_ROW)))
 def parse_dates(spark, sf_dir):

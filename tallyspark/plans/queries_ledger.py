@@ -169,10 +169,14 @@ CHANGE = {
            coalesce(nullif(category, ''), 'miscellaneous') as category,
            coalesce(nullif(channel, ''), 'cash') as channel, coalesce(notes, '') as notes
     from (select *, row_number() over (partition by user_id, entry_id order by seq desc) as rn
-          from changes) c
-    join (select user_id, entry_id, min(seq) as added_seq from changes group by 1, 2) a
+          from living) c
+    join (select user_id, entry_id, min(seq) as added_seq from living where op = 'add'
+          group by 1, 2) a
       on c.user_id = a.user_id and c.entry_id = a.entry_id
-    where rn = 1 and op <> 'delete'""", changes=derive_sql("events", CHANGE)))
+    where rn = 1""", changes=derive_sql("events", CHANGE), living="""
+    select * from changes c where op <> 'delete' and not exists (
+        select 1 from changes d where d.user_id = c.user_id and d.entry_id = c.entry_id
+          and d.op = 'delete' and d.seq > c.seq)"""))
 def manual_ledger(spark, sf_dir):
     return ledger.manual_ledger(derive(table(spark, sf_dir, "events"), CHANGE))
 

@@ -20,7 +20,8 @@ HEADERS = f"""
     select user_id, upload_id,
            coalesce(min(case when n < {V.HEADER_SCAN_LINES}
                               and len(list_intersect({_TOKENS}, {_WORDS})) >= 2
-                             then n end), 0) as header_line
+                             then n end), min(case when trim(line) <> '' then n end), 0)
+               as header_line
     from numbered group by user_id, upload_id"""
 NUMBERED = """
     select *, row_number() over (partition by upload_id order by line_no) - 1 as n from lines"""
@@ -78,6 +79,8 @@ ROUND_TRIP = f"""
            cast(row_number() over (partition by upload_id order by row_ord) - 1 as bigint)
                as row_ord,
            tx_date, trim(case when {_LAYOUT} = 3 then concat(raw_desc, ', "NG"')
+                              when {_LAYOUT} = 0 and row_ord % 7 = 0
+                              then concat(raw_desc, ' 12" BOX')
                               else raw_desc end) as raw_desc,
            cast(amount as double) as amount, tx_type, cast(balance as double) as balance
     from entries"""

@@ -52,15 +52,16 @@ def _columns(found: dict[str, str], pattern: str | None, name: str) -> str:
 def named_positions(header: str, layout_name: str) -> str:
     """Positions of a layout's columns, null for a statement it does not fit.
 
-    A layout fits only if the header has its date and description columns; other
-    statements are read by synonyms.
+    A layout fits only if the header has its date, description and amount columns;
+    other statements are read by synonyms.
     """
     branches = []
     for layout in V.LAYOUTS:
         found = {field: _position(header, [name.lower()] if name else [])
                  for field, name in layout_names(layout).items()}
-        branches.append((f"{layout_name} = {quoted(layout[0])} and {found['date']} is not null "
-                         f"and {found['desc']} is not null",
+        amounts = ["amount"] if layout_names(layout)["amount"] else ["debit", "credit"]
+        needed = " and ".join(f"{found[f]} is not null" for f in ["date", "desc", *amounts])
+        branches.append((f"{layout_name} = {quoted(layout[0])} and {needed}",
                          _columns(found, layout[-1], layout[0])))
     return case(branches)
 

@@ -1,14 +1,14 @@
 """Statement files to transaction entries.
 
-A statement is one row (user_id, upload_id, text); uploads above 10 MB are refused,
-so a row is bounded. Everything up to the exploded entries is array work on that
+A statement is one row (user_id, upload_id, text). Files of any size are read; an upload
+route that refuses large ones passes its limit as ``max_bytes``. Everything up to the exploded entries is array work on that
 row: a whole folder of statements is read in one pass without a shuffle.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyspark.functions import fixed_values as V
-from tallyspark.functions.dates import MIXED, parse_mixed
+from tallyspark.functions.dates import MIXED, day_of, parse_mixed
 from tallyspark.functions.money import parse_money, signed_amount, split_amounts, typed_amount
 from tallyspark.functions.once import with_once
 from tallyspark.functions.sqltext import case, quoted
@@ -19,29 +19,40 @@ from tallyspark.sources import layouts
 LINE_BREAK = r"\r\n|\r|\n"
 CSV_TYPES = ["csv"]
 TEXT_TYPES = ["txt"]
+#: A cell of a delimited record: quoted only if it starts with a quote that is closed. A
+#: quote elsewhere is plain text.
+CELL = r'"(?:[^"]++|"")*+"[^,\r\n]*+|[^,\r\n]*+'
 TEXT_HEADER = ["date", "description", "amount", "balance"]
 
 
 # -- files --------------------------------------------------------------------
 
-def read_files(spark: SparkSession, path: str, file_type: str | None = None) -> DataFrame:
+def read_files(spark: SparkSession, path: str, file_type: str | None = None,
+               max_bytes: int | None = None) -> DataFrame:
     """Statement files under a folder laid out as ``<user>/<upload>.<type>``.
 
     ``status`` is pending for readable files and failed, with a reason, for others.
     Contents of refused files are not decoded.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
-    return describe_files(files, file_type)
+    return describe_files(files, file_type, max_bytes)
 
 
-def describe_files(files: DataFrame, file_type: str | None = None) -> DataFrame:
-    """User, upload, type, text and status of binaryFile rows."""
+def describe_files(files: DataFrame, file_type: str | None = None,
+                   max_bytes: int | None = None) -> DataFrame:
+    """User, upload, type, text and status of binaryFile rows.
+
+    Files above ``max_bytes`` are refused, if it is given (the default of uploads is
+    ``fixed_values.MAX_UPLOAD_BYTES``).
+    """
     name = F.element_at(F.split("path", "/"), -1)
     kind = (F.lit(file_type) if file_type else
             F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)))
     supported = kind.isin(*CSV_TYPES, *TEXT_TYPES)
-    error = (F.when(~supported, F.concat(F.lit("Unsupported file type: "), kind))
-             .when(F.col("length") > V.MAX_UPLOAD_BYTES, "File too large. Max 10MB."))
+    error = F.when(~supported, F.concat(F.lit("Unsupported file type: "), kind))
+    if max_bytes is not None:
+        error = error.when(F.col("length") > max_bytes,
+                           f"File too large. Max {max_bytes // 1024 // 1024}MB.")
     return (files.select(
         F.element_at(F.split("path", "/"), -2).alias("user_id"),
         F.regexp_replace(name, r"\.[^.]+$", "").alias("upload_id"),
@@ -76,16 +87,18 @@ def is_header_line(line: Column) -> Column:
 
 
 def header_line(text: Column) -> Column:
-    """Zero-based number of the header among the first 15 lines, else 0."""
+    """Zero-based number of the header among the first 15 lines, else of the first line that
+    isn't blank."""
     head = F.slice(F.split(text, LINE_BREAK, V.HEADER_SCAN_LINES + 1), 1, V.HEADER_SCAN_LINES)
     flags = F.transform(head, is_header_line)
-    return F.greatest(F.array_position(flags, True).cast("int") - 1, F.lit(0))
+    filled = F.transform(head, lambda line: F.trim(line) != "")
+    return F.greatest(F.coalesce(F.nullif(F.array_position(flags, True), F.lit(0)),
+                                 F.array_position(filled, True)).cast("int") - 1, F.lit(0))
 
 
 def csv_cells(record: Column) -> Column:
     """Cells of a comma-separated record; quoted cells may hold commas and quotes."""
-    pieces = F.regexp_extract_all(F.concat(F.lit(","), record),
-                                  F.lit(r',("(?:[^"]++|"")*+"[^,]*|[^,]*)'), 1)
+    pieces = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(f",({CELL})"), 1)
     return F.transform(pieces, lambda c: F.when(
         c.startswith('"'),
         F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
@@ -98,8 +111,8 @@ def is_data_row(cells: Column) -> Column:
 
 
 def records(text: Column) -> Column:
-    """Non-blank records of a text; a quoted cell may span lines."""
-    return F.filter(F.regexp_extract_all(text, F.lit(r'(?:[^"\r\n]++|"[^"]*+")++'), 0),
+    """Non-blank records of a text: cells joined by commas; a quoted cell may span lines."""
+    return F.filter(F.regexp_extract_all(text, F.lit(f"(?:{CELL})(?:,(?:{CELL}))*+"), 0),
                     lambda r: F.trim(r) != "")
 
 
@@ -139,13 +152,13 @@ def scan(statements: DataFrame) -> DataFrame:
 def _parsed(text: str, pattern: str, patterns: list[str]) -> str:
     """Date by the pattern a column names."""
     return case([(f"{pattern} = {quoted(p)}",
-                  f"cast(try_to_timestamp(trim({text}), {quoted(p)}) as date)")
+                  f"cast(try_to_timestamp({day_of(text, p)}, {quoted(p)}) as date)")
                  for p in patterns])
 
 
 def _guessed(text: str) -> str:
     """The first pattern that fits a value."""
-    return case([(f"try_to_timestamp(trim({text}), {quoted(p)}) is not null", quoted(p))
+    return case([(f"try_to_timestamp({day_of(text, p)}, {quoted(p)}) is not null", quoted(p))
                  for p in MIXED], "cast(null as string)")
 
 
@@ -216,12 +229,19 @@ def is_table_header(cells: Column) -> Column:
     return F.size(F.filter(cells, lambda c: F.lower(c).rlike(words))) >= 2
 
 
+def is_table_row(cells: Column) -> Column:
+    """True for rows that aren't blank and aren't totals or balances of the statement."""
+    return ((F.trim(F.array_join(cells, "")) != "")
+            & ~F.lower(F.array_join(cells, " ")).rlike(any_of(V.TABLE_SUMMARY_PHRASES)))
+
+
 def normalise_tables(tables: DataFrame) -> DataFrame:
     """Rows of extracted tables as header-to-cell maps.
 
     ``tables`` has one row per extracted table: user_id, upload_id, table_no and
     rows (array of arrays of cells). A table without a header of its own takes the
-    header of the last earlier table of the upload that has one.
+    header of the last earlier table of the upload that has one and yielded rows.
+    ``first_row`` counts the rows of the tables before.
     """
     trimmed = F.transform("rows", lambda row: F.transform(
         row, lambda c: F.trim(F.coalesce(c, F.lit("")))))
@@ -237,23 +257,26 @@ def normalise_tables(tables: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("user_id", "upload_id").orderBy("table_no").rowsBetween(
         Window.unboundedPreceding, -1)
     headers = (found.withColumn("_at", F.coalesce("_own", F.lit(1)))
-               .select("user_id", "upload_id", "table_no", "_own", named.alias("_names"))
+               .select("user_id", "upload_id", "table_no", "_own", named.alias("_names"),
+                       F.exists(F.slice("_rows", F.col("_at") + 1, F.size("_rows")),
+                                is_table_row).alias("_yields"),
+                       F.size("_rows").cast("bigint").alias("_n"))
                .withColumn("_own_names", F.when(F.col("_own").isNotNull(), F.col("_names")))
                .withColumn("_carried", F.coalesce(
-                   F.last("_own_names", ignorenulls=True).over(earlier),
-                   F.first("_names").over(earlier)))
+                   F.last(F.when(F.col("_yields"), F.col("_own_names")),
+                          ignorenulls=True).over(earlier),
+                   F.first(F.when(F.col("_yields"), F.col("_names")),
+                           ignorenulls=True).over(earlier)))
                .select("user_id", "upload_id", "table_no",
+                       F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("first_row"),
                        F.coalesce("_own_names", "_carried", "_names").alias("header"),
                        F.when(F.col("_own").isNotNull(), F.col("_own"))
                        .when(F.col("_carried").isNotNull(), 0).otherwise(1).alias("_skip")))
     cells = found.select("user_id", "upload_id", "table_no",
                          F.posexplode("_rows").alias("row_no", "cells"))
-    joined = F.lower(F.array_join("cells", " "))
     return (cells.join(headers, ["user_id", "upload_id", "table_no"])
-            .where((F.col("row_no") >= F.col("_skip"))
-                   & (F.trim(F.array_join("cells", "")) != "")
-                   & ~joined.rlike(any_of(V.TABLE_SUMMARY_PHRASES)))
-            .select("user_id", "upload_id", "table_no", "row_no", "header",
+            .where((F.col("row_no") >= F.col("_skip")) & is_table_row(F.col("cells")))
+            .select("user_id", "upload_id", "table_no", "first_row", "row_no", "header",
                     F.transform("header", lambda h, i: F.coalesce(
                         F.get("cells", i), F.lit(""))).alias("cells")))
 
@@ -265,7 +288,7 @@ def map_table_rows(rows: DataFrame) -> DataFrame:
     """
     columns = F.expr(layouts.synonym_positions("header", V.TABLE_SYNONYMS))
     ordered = _cells(with_once(rows, "columns", columns)).withColumn(
-        "row_ord", F.col("table_no").cast("bigint") * 1_000_000 + F.col("row_no"))
+        "row_ord", F.col("first_row") + F.col("row_no"))
     first = (ordered.where("trim(_date) <> ''").groupBy("user_id", "upload_id")
              .agg(F.min_by("_date", "row_ord").alias("_first"))
              .selectExpr("user_id", "upload_id", f"{_guessed('_first')} as _pattern"))

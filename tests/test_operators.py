@@ -141,11 +141,11 @@ def plans(spark, budgets=(), goals=()):
 
 
 def test_recommendations_of_an_overspender(entries, no_profiles, spark):
-    rows = [("2026-03-25", "Salary", 300_000, "credit", None),
-            ("2026-03-10", "KFC", 150_000, "debit", None),
-            ("2026-03-01", "HOUSE RENT", 100_000, "debit", None),
-            ("2026-03-05", "NETFLIX", 80_000, "debit", None),
-            ("2026-03-12", "UBER", 50_000, "debit", None)]
+    rows = [("2026-03-28", "Salary", 210_000, "credit", None),
+            ("2026-03-03", "KFC", 126_000, "debit", None),
+            ("2026-03-07", "HOUSE RENT", 61_000, "debit", None),
+            ("2026-03-16", "NETFLIX", 55_000, "debit", None),
+            ("2026-03-19", "UBER", 33_000, "debit", None)]
     budgets, goals = plans(spark, [("u1", "food", dt.date(2026, 1, 1), Decimal(999_999)),
                                    ("u1", "food", dt.date(2026, 3, 1), Decimal(100_000))])
     planned = recommend.with_plans(user_features(annotated(entries(rows))), no_profiles, budgets,
@@ -154,8 +154,8 @@ def test_recommendations_of_an_overspender(entries, no_profiles, spark):
     assert [r.title for r in got][:3] == [
         "⚠ Negative Cash Flow This Month", "↑ Overspending on Food", "Over Budget: Food"]
     assert [r.priority for r in got] == sorted(r.priority for r in got)
-    assert got[0].body.startswith("You spent ₦80,000.00 more than you earned.")
-    assert any("Subscription Overload (1 services, ₦80,000.00/mo)" in r.title for r in got)
+    assert got[0].body.startswith("You spent ₦65,000.00 more than you earned.")
+    assert any("Subscription Overload (1 services, ₦55,000.00/mo)" in r.title for r in got)
     assert len({r.title for r in got}) == len(got)
 
 
@@ -232,7 +232,8 @@ def test_spend_adds_up(entries):
 def test_manual_entries_fold(spark):
     log = spark.createDataFrame([
         ("u", 1, "a", "add", "lunch", None), ("u", 2, "b", "add", "taxi", "x"),
-        ("u", 3, "a", "update", "dinner", ""), ("u", 4, "b", "delete", "taxi", None)],
+        ("u", 3, "a", "update", "dinner", ""), ("u", 4, "b", "delete", "taxi", None),
+        ("u", 5, "b", "update", "late", None), ("u", 6, "c", "update", "never added", None)],
         "user_id string, seq long, entry_id string, op string, description string, "
         "category string").selectExpr("*", "date'2026-01-01' as tx_date", "1D as amount",
                                       "'debit' as tx_type", "'' as channel",
@@ -242,6 +243,30 @@ def test_manual_entries_fold(spark):
         ("a", "dinner", "miscellaneous", "cash", "")]
 
 
+def test_sanitise_reaches_nested_doubles(spark):
+    df = spark.sql("""select 1 as n, double('NaN') as a, array(double('inf'), 1D) as b,
+        named_struct('x', double('NaN'), 'y', 's') as c, cast(null as struct<x:double>) as e,
+        map('k', named_struct('v', array(double('-inf'), 2D))) as d""")
+    row = ledger.sanitise(df).collect()[0]
+    assert (row.n, row.a, row.b, row.c.x, row.c.y, row.e) == (1, None, [None, 1.0], None, "s", None)
+    assert row.d["k"].v == [None, 2.0]
+    assert [f.dataType for f in ledger.sanitise(df).schema][:4] == [
+        f.dataType for f in df.schema][:4]
+
+
+def test_two_uploads_with_the_same_day_and_place_are_ordered(spark, entries):
+    rows = [("2026-03-01", "A", 10, "debit", 100), ("2026-03-01", "B", 5, "credit", 200)]
+    both = entries(rows, upload="s2").union(entries(rows, upload="s1")).repartition(3)
+    tx = standardise(both)
+    got = summary.running_balance(tx).orderBy("running_balance").collect()
+    assert {(r.upload_id, r.raw_desc): float(r.running_balance) for r in got} == {
+        ("s1", "A"): -10.0, ("s2", "A"): -20.0, ("s1", "B"): -15.0, ("s2", "B"): -10.0}
+    from tallyspark.operators import forecast
+    late = tx.withColumn("balance", F.when(F.col("upload_id") == "s2", F.col("balance") + 1)
+                         .otherwise(F.col("balance")))
+    assert float(forecast.current_balance(late).first().current_balance) == 201.0
+
+
 def test_upsert_and_replace(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "user_id string, v int")
     new = spark.createDataFrame([("b", 3), ("c", 4)], "user_id string, v int")

@@ -7,18 +7,24 @@ from tallyspark.operators.clean import clean_transactions, newest_first, validat
 from tallyspark.operators.standardise import standardise
 from tallyspark.sources import statements as S
 
-GTBANK = """Account Statement
-Account Name:,SOMEBODY
-Account Number:,0123456789
-Currency:,NGN
+GTBANK = """Statement of a current account
+Branch:,NORTH QUAY
 
 Date,Details,Debit,Credit,Balance
-01/01/2026,Salary Payment Glovo,,850000,1000000
-03/01/2026,POS SHOPRITE LEKKI,25000,,975000
-25/01/2026,POS DOMINOS PIZZA,12500,,907400
-25/01/2026,POS DOMINOS PIZZA,12500,,907400
-,Opening Balance,,,
+02/05/2026,Wages Harbour Works,,412000.50,512000.50
+09/05/2026,POS GREEN GROCER 5,7300,,504700.50
+21/05/2026,FERRY SEASON TICKET,18250,,486450.50
+21/05/2026,FERRY SEASON TICKET,18250,,486450.50
+,Closing Balance,,,
 """
+QUOTES = '''
+Date,Details,Amount,Balance
+03/05/2026 14:33,PIZZA 12" BOX,1500 DR,10
+04/05/2026 09:05:10,"RENT
+PART ""2""",2000 DR,20
+05/05/2026 7:01 PM,TV 40" LG,3000 DR,30
+'''
+DR_CR = "Date,Description,Dr,Cr,Balance\n04/05/2026,BREAD,12.00,,5\n05/05/2026,GIFT,,8.00,13\n"
 OPAY = """Date,Remark,Amount,Type,Balance
 01-02-2026,"RENT, ""LEKKI""\nPHASE 1",100000,Debit,50000
 14-03-2026,OPay Transfer In,20000,Credit,
@@ -37,6 +43,8 @@ def folder(tmp_path_factory):
     for user, name, data in [("u1", "gt.csv", GTBANK.encode()), ("u1", "opay.csv", OPAY.encode()),
                              ("u2", "gen.csv", GENERIC.encode("latin-1")),
                              ("u2", "lines.txt", TEXT.encode()), ("u2", "book.xlsx", b"PK"),
+                             ("u4", "quotes.csv", QUOTES.encode()),
+                             ("u4", "drcr.csv", DR_CR.encode()),
                              ("u3", "none.csv", b"a,b\n1,2\n")]:
         (root / user).mkdir(exist_ok=True)
         (root / user / name).write_bytes(data)
@@ -62,10 +70,19 @@ def test_files_are_described(spark, folder):
 def test_metadata_lines_and_split_amounts(rows):
     assert [(str(r.tx_date), r.raw_desc, float(r.amount), r.tx_type, r.row_ord)
             for r in rows["gt"]] == [
-        ("2026-01-01", "Salary Payment Glovo", 850000.0, "credit", 0),
-        ("2026-01-03", "POS SHOPRITE LEKKI", 25000.0, "debit", 1),
-        ("2026-01-25", "POS DOMINOS PIZZA", 12500.0, "debit", 2),
-        ("2026-01-25", "POS DOMINOS PIZZA", 12500.0, "debit", 3)]
+        ("2026-05-02", "Wages Harbour Works", 412000.5, "credit", 0),
+        ("2026-05-09", "POS GREEN GROCER 5", 7300.0, "debit", 1),
+        ("2026-05-21", "FERRY SEASON TICKET", 18250.0, "debit", 2),
+        ("2026-05-21", "FERRY SEASON TICKET", 18250.0, "debit", 3)]
+
+
+def test_quotes_times_and_missing_layout_columns_lose_no_row(rows):
+    assert [(r.tx_date.day, r.tx_date.month, r.raw_desc, float(r.amount), float(r.balance))
+            for r in rows["quotes"]] == [
+        (5, 3, 'PIZZA 12" BOX', 1500.0, 10.0), (5, 4, 'RENT\nPART "2"', 2000.0, 20.0),
+        (5, 5, 'TV 40" LG', 3000.0, 30.0)]
+    assert [(r.raw_desc, float(r.amount), r.tx_type) for r in rows["drcr"]] == [
+        ("BREAD", 12.0, "debit"), ("GIFT", 8.0, "credit")]
 
 
 def test_layout_dates_fall_back_to_mixed_and_quotes_span_lines(rows):
@@ -102,11 +119,11 @@ def test_statement_to_clean_transactions(spark, folder):
     files = S.read_files(spark, folder).where("upload_id = 'gt'")
     cleaned = clean_transactions(standardise(S.ingest(files)))
     got = newest_first(cleaned).collect()
-    assert [r.description for r in got] == ["POS DOMINOS PIZZA", "POS SHOPRITE LEKKI",
-                                            "Salary Payment Glovo"]
+    assert [r.raw_desc for r in got] == ["FERRY SEASON TICKET", "POS GREEN GROCER 5",
+                                         "Wages Harbour Works"]
     assert all(len(r.fingerprint) == 64 for r in got)
     report = validation_report(cleaned).collect()[0]
-    assert (report.total_rows, float(report.total_debits), report.warnings) == (3, 37500.0, [])
+    assert (report.total_rows, float(report.total_debits), report.warnings) == (3, 25550.0, [])
 
 
 def test_table_headers_carry_over_pages(spark):
@@ -136,10 +153,42 @@ def test_tables_without_any_header_use_the_first_row(spark):
         (["x", "y"], ["1", "2"]), (["x", "y"], ["3", "4"]), (["x", "y"], ["5", ""])]
 
 
-def test_large_files_are_refused(spark):
+def test_header_is_not_carried_from_a_table_without_rows(spark):
+    tables = spark.createDataFrame([
+        ("u", "s", 0, [["Date", "Narration", "Amount"], ["1/2/2026", "A", "5.00"]]),
+        ("u", "s", 1, [["Reference", "Balance", "Channel"], ["", "Opening Balance", ""]]),
+        ("u", "s", 2, [["1/3/2026", "B", "6.00"], ["1/4/2026", "C", "7.00"]]),
+    ], "user_id string, upload_id string, table_no int, rows array<array<string>>")
+    got = S.map_table_rows(S.normalise_tables(tables)).orderBy("row_ord").collect()
+    assert [(r.raw_desc, float(r.amount), r.row_ord) for r in got] == [
+        ("A", 5.0, 1), ("B", 6.0, 4), ("C", 7.0, 5)]
+
+
+def test_description_comes_before_narration(spark):
+    tables = spark.createDataFrame([
+        ("u", "s", 0, [["Date", "Narration", "Description", "Amount"],
+                       ["1/2/2026", "n", "d", "5.00"]])],
+        "user_id string, upload_id string, table_no int, rows array<array<string>>")
+    assert S.map_table_rows(S.normalise_tables(tables)).collect()[0].raw_desc == "d"
+
+
+def test_large_files_are_read(spark, tmp_path):
+    (tmp_path / "u").mkdir()
+    line = "01/05/2026,%s %06d,5.00,,1.00\n"
+    (tmp_path / "u" / "big.csv").write_text(
+        "Date,Details,Debit,Credit,Balance\n"
+        + "".join(line % ("X" * 60, i) for i in range(130_000)))
+    assert (tmp_path / "u" / "big.csv").stat().st_size > 11_000_000
+    files = S.read_files(spark, str(tmp_path))
+    assert S.ingest(files).where("amount = 5").count() == 130_000
+    refused = S.read_files(spark, str(tmp_path), max_bytes=10 * 1024 * 1024)
+    assert refused.collect()[0].error_message == "File too large. Max 10MB."
+
+
+def test_files_above_a_given_limit_are_refused(spark):
     files = spark.createDataFrame([("/d/u/a.csv", dt.datetime(2026, 1, 1), 11 * 1024 * 1024,
                                     bytearray(b"x"))],
                                   "path string, modificationTime timestamp, length long, "
                                   "content binary")
-    row = S.describe_files(files).select("status", "error_message", F.col("text")).collect()[0]
+    row = S.describe_files(files, max_bytes=10 * 1024 * 1024).select("status", "error_message", F.col("text")).collect()[0]
     assert tuple(row) == ("failed", "File too large. Max 10MB.", None)

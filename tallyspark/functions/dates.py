@@ -19,11 +19,13 @@ TIME_OF_DAY = (r"(?<=[0-9])[ T]+[0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?( ?[
                r"( ?(Z|[+-][0-9]{2}:?[0-9]{2}))?$")
 
 
-def day_of(text: str, pattern: str) -> str:
-    """SQL of the text that a pattern reads: without its time of day, unless the pattern has
-    one."""
+def day_of(text: str, pattern: str, day: str | None = None) -> str:
+    """SQL of the text that a pattern reads: without its time of day (``day``, if it is at
+    hand), unless the pattern has one."""
     if "H" in pattern:
         return f"trim({text})"
+    if day:
+        return day
     return f"regexp_replace(trim({text}), {quoted(TIME_OF_DAY)}, '')"
 
 
@@ -36,7 +38,8 @@ def parse_date(text: Column, pattern: str) -> Column:
     return F.try_to_timestamp(day, F.lit(pattern)).cast("date")
 
 
-def parse_mixed(text: Column, day_first: bool = False) -> Column:
-    """Each value by the first pattern that fits it."""
+def parse_mixed(text: Column, day_first: bool = False, stripped: bool = False) -> Column:
+    """Each value by the first pattern that fits it; ``stripped`` if its time of day is gone."""
     patterns = DAY_FIRST + [p for p in MIXED if p not in DAY_FIRST] if day_first else MIXED
-    return F.coalesce(*[parse_date(text, p) for p in patterns])
+    day = text if stripped else without_time(text)
+    return F.coalesce(*[F.try_to_timestamp(day, F.lit(p)).cast("date") for p in patterns])

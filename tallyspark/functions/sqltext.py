@@ -36,6 +36,11 @@ def naira(amount: str) -> str:
     return f"concat('₦', format_number({amount}, 2))"
 
 
+def rounded(value: str, places: int) -> str:
+    """Round by the exact value of the double, ties to even."""
+    return f"cast({plain_number(value, places)} as double)"
+
+
 def plain_number(value: str, places: int) -> str:
     """Fixed-point text without thousands separators, ties to even."""
     return f"replace(format_number({value}, {places}), ',', '')"

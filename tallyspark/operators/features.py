@@ -9,6 +9,7 @@ daily rows, and the spread of weekly and monthly sums is a second, small aggrega
 from pyspark.sql import DataFrame, functions as F
 
 from tallyspark.functions import fixed_values as V
+from tallyspark.functions.sqltext import rounded
 from tallyspark.functions.text import any_of
 from tallyspark.operators.summary import IS_CREDIT, IS_DEBIT, sum_where
 from tallyspark.schema import MONEY
@@ -78,5 +79,6 @@ def user_features(tx: DataFrame) -> DataFrame:
         "*",
         "case when income > 0 then try_divide(cast(net as double), cast(income as double)) "
         "else 0D end as savings_rate",
-        f"round(cast({essentials} as double) "
-        "/ greatest(1D, datediff(last_date, first_date) / 30D), 2) as monthly_essentials")
+        rounded(f"cast({essentials} as double) "
+                "/ greatest(1D, datediff(last_date, first_date) / 30D)", 2)
+        + " as monthly_essentials")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from tallyspark.functions import fixed_values as V
-from tallyspark.functions.sqltext import case, fill, plain_number, quoted
+from tallyspark.functions.sqltext import case, fill, plain_number, quoted, rounded
 
 #: Score of each dimension as SQL over the feature row.
 SCORES = {
@@ -14,13 +14,13 @@ SCORES = {
              when savings_rate >= 0 then savings_rate / 0.10D * 50
              else 0D end""",
     # Neutral below four debits; 0 where a single week leaves no spread.
-    "expense_stability": """
+    "expense_stability": f"""
         case when n_debits < 4 then 70D
              when weekly_cv is null then 0D
-             else round(case when weekly_cv <= 0.15D then 100D
-                             when weekly_cv <= 0.30D then 80 - (weekly_cv - 0.15D) / 0.15D * 20
-                             when weekly_cv <= 0.50D then 60 - (weekly_cv - 0.30D) / 0.20D * 30
-                             else greatest(0D, 30 - (weekly_cv - 0.50D) * 60) end, 1) end""",
+             else {rounded("""case when weekly_cv <= 0.15D then 100D
+                  when weekly_cv <= 0.30D then 80 - (weekly_cv - 0.15D) / 0.15D * 20
+                  when weekly_cv <= 0.50D then 60 - (weekly_cv - 0.30D) / 0.20D * 30
+                  else greatest(0D, 30 - (weekly_cv - 0.50D) * 60) end""", 1)} end""",
     "debt_ratio": """
         case when debt_ratio = 0 then 100D
              when debt_ratio <= 0.15D then 90D
@@ -33,15 +33,16 @@ SCORES = {
              when emergency_months >= 1 then 25 + (emergency_months - 1) / 2 * 35
              else greatest(0D, emergency_months * 25) end""",
     # Neutral below two credits or two months with credits.
-    "income_stability": """
+    "income_stability": f"""
         case when n_credits < 2 or n_months < 2 then 70D
-             else round(case when monthly_cv <= 0.10D then 100D
-                             when monthly_cv <= 0.25D then 85D
-                             when monthly_cv <= 0.40D then 65D
-                             else greatest(30D, 65 - (monthly_cv - 0.40D) * 100) end, 1) end""",
+             else {rounded("""case when monthly_cv <= 0.10D then 100D
+                  when monthly_cv <= 0.25D then 85D
+                  when monthly_cv <= 0.40D then 65D
+                  else greatest(30D, 65 - (monthly_cv - 0.40D) * 100) end""", 1)} end""",
 }
 
 #: Column, scale, label and decimals under which a dimension is shown.
+NO_NUMBER = quoted("nan")
 SHOWN = {
     "savings_rate": ("savings_rate", 100, "{x}% savings rate", 1),
     "expense_stability": ("expense_cv", 100, "CV={x}% expense variability", 0),
@@ -67,8 +68,8 @@ def health_dimensions(features: DataFrame, profiles: DataFrame) -> DataFrame:
         "then try_divide(total_debt, cast(income as double)) else 0D end as debt_ratio",
         "case when monthly_essentials > 0 "
         "then try_divide(emergency_fund, monthly_essentials) else 0D end as emergency_months",
-        "case when n_debits < 4 then 0D else round(weekly_cv, 4) end as expense_cv",
-        "case when n_credits < 2 or n_months < 2 then 0D else round(monthly_cv, 4) end "
+        f"case when n_debits < 4 then 0D else {rounded('weekly_cv', 4)} end as expense_cv",
+        f"case when n_credits < 2 or n_months < 2 then 0D else {rounded('monthly_cv', 4)} end "
         "as income_cv")
     return values.selectExpr("*", *[f"{sql} as {name}_score" for name, sql in SCORES.items()])
 
@@ -94,8 +95,9 @@ def _breakdown() -> str:
         value = f"{column} * {scale}"
         entries.append(
             f"'{name}', named_struct('score', {name}_score, 'weight', {weight}D, "
-            f"'value', round({value}, 1), "
-            f"'label', {fill(label, x=plain_number(value, places))})")
+            f"'value', {rounded(value, 1)}, 'label', "
+            # A spread that doesn't exist is shown as not a number.
+            f"{fill(label, x=f'coalesce({plain_number(value, places)}, {NO_NUMBER})')})")
     return "map(" + ", ".join(entries) + ")"
 
 

@@ -85,7 +85,8 @@ def banded(value: Column, bands: list, make) -> Column:
 
 
 def recurring_summary(tx: DataFrame) -> DataFrame:
-    """One row per user and recurring group, costliest first within a user.
+    """One row per user and recurring group; ``rank`` 1 is the user's costliest a month, ties
+    by name.
 
     The mean gap telescopes to (last - first) / (n - 1): one aggregate, no window.
     """
@@ -98,6 +99,7 @@ def recurring_summary(tx: DataFrame) -> DataFrame:
     gap = F.try_divide(F.datediff("_last", "_first").cast("double"), n - 1)
     many = n >= 2
     factor = banded(F.col("_gap"), V.MONTHLY_FACTORS, lambda f: F.lit(f))
+    costliest = Window.partitionBy("user_id").orderBy(F.desc("estimated_monthly"), "name")
     return (
         groups.withColumn("_gap", F.when(many, gap))
         .select(
@@ -112,7 +114,8 @@ def recurring_summary(tx: DataFrame) -> DataFrame:
             subscription_advice("recurring_group").alias("action"),
             "occurrence_count",
             # Six places first: equal spreads then fall on the same side of a half cent.
-            rounded(F.round("_spread", 6), 2).alias("amount_variation")))
+            rounded(F.round("_spread", 6), 2).alias("amount_variation"))
+        .withColumn("rank", F.row_number().over(costliest)))
 
 
 def subscriptions(tx: DataFrame) -> DataFrame:

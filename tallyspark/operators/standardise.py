@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallyspark.functions.once import with_once
 from tallyspark.functions.labels import detect_bank, detect_channel
 from tallyspark.functions.text import clean_description, extract_merchant
 from tallyspark.schema import MONEY, STANDARD
@@ -29,9 +30,10 @@ def standardise(entries: DataFrame) -> DataFrame:
         # A description is empty exactly where its raw text is.
         .where(F.col("tx_date").isNotNull() & (F.col("amount") > 0)
                & (F.col("raw_desc") != "")))
-    return usable.select(
-        *[c for c in STANDARD if c in usable.columns],
-        detect_channel("raw_desc").alias("channel"),
-        extract_merchant(F.col("raw_desc")).alias("merchant"),
-        detect_bank("raw_desc").alias("bank"),
-        fingerprint().alias("fingerprint")).select(*STANDARD)
+    # Filters on the labels must not repeat their long chains below.
+    labels = F.struct(detect_channel("raw_desc").alias("channel"),
+                      extract_merchant(F.col("raw_desc")).alias("merchant"),
+                      detect_bank("raw_desc").alias("bank"))
+    named = with_once(usable.withColumn("fingerprint", fingerprint()), "_labels", labels)
+    return named.select(*[F.col(f"_labels.{c}").alias(c) if c in ("channel", "merchant", "bank")
+                          else c for c in STANDARD])

@@ -25,8 +25,9 @@ def features_sql(source: str) -> str:
         select t.*, income - expenses as net,
                cast(case when income > 0 then cast(income - expenses as double)
                          / cast(income as double) else 0 end as double) as savings_rate,
-               round(cast(essentials as double)
-                     / greatest(1, (last_date - first_date) / 30.0), 2) as monthly_essentials,
+               {duck.rounded("cast(essentials as double) "
+                             "/ greatest(1, (last_date - first_date) / 30.0)", 2)}
+                   as monthly_essentials,
                coalesce(n_weeks, 0) as n_weeks, weekly_cv, coalesce(n_months, 0) as n_months,
                monthly_cv, lowest_month
         from (select user_id, {_sum("tx_type = 'credit'")} as income,
@@ -61,12 +62,14 @@ DIMENSIONS = """
            when savings_rate >= 0 then savings_rate / 0.10::double * 50 else 0 end
         as savings_rate_score,
       case when n_debits < 4 then 70.0::double when weekly_cv is null then 0
-           else round(case when weekly_cv <= 0.15 then 100
+           else cast(format('{:.1f}', cast(case when weekly_cv <= 0.15 then 100
                 when weekly_cv <= 0.30 then 80 - (weekly_cv - 0.15::double) / 0.15::double * 20
                 when weekly_cv <= 0.50 then 60 - (weekly_cv - 0.30::double) / 0.20::double * 30
-                else greatest(0, 30 - (weekly_cv - 0.50::double) * 60) end, 1) end
+                else greatest(0, 30 - (weekly_cv - 0.50::double) * 60) end
+                as double)) as double) end
         as expense_stability_score,
-      case when n_debits < 4 then 0.0::double else round(weekly_cv, 4) end as expense_cv,
+      case when n_debits < 4 then 0.0::double else
+           cast(format('{:.4f}', cast(weekly_cv as double)) as double) end as expense_cv,
       case when debt_ratio = 0 then 100.0::double when debt_ratio <= 0.15 then 90
            when debt_ratio <= 0.30 then 70 - (debt_ratio - 0.15::double) / 0.15::double * 20
            when debt_ratio <= 0.50 then 50 - (debt_ratio - 0.30::double) / 0.20::double * 30
@@ -76,11 +79,14 @@ DIMENSIONS = """
            when emergency_months >= 1 then 25 + (emergency_months - 1) / 2 * 35
            else greatest(0, emergency_months * 25) end as emergency_coverage_score,
       case when n_credits < 2 or n_months < 2 then 70.0::double
-           else round(case when monthly_cv <= 0.10 then 100 when monthly_cv <= 0.25 then 85
+           else cast(format('{:.1f}', cast(case when monthly_cv <= 0.10 then 100
+                when monthly_cv <= 0.25 then 85
                 when monthly_cv <= 0.40 then 65
-                else greatest(30, 65 - (monthly_cv - 0.40::double) * 100) end, 1) end
+                else greatest(30, 65 - (monthly_cv - 0.40::double) * 100) end
+                as double)) as double) end
         as income_stability_score,
-      case when n_credits < 2 or n_months < 2 then 0.0::double else round(monthly_cv, 4) end
+      case when n_credits < 2 or n_months < 2 then 0.0::double else
+           cast(format('{:.4f}', cast(monthly_cv as double)) as double) end
         as income_cv
     from (select f.*, coalesce(cast(p.emergency_fund as double), 0) as emergency_fund,
                  case when income > 0 and coalesce(p.total_debt, 0) > 0
@@ -177,10 +183,16 @@ _SHOWN = {"savings_rate": ("savings_rate", 100, "{x}% savings rate", 1),
           "income_stability": ("income_cv", 100, "CV={x}% income variability", 0)}
 
 
+def _number(name: str) -> str:
+    column, scale, _, places = _SHOWN[name]
+    return f"coalesce({duck.fixed(f'{column} * {scale}', places)}, 'nan')"
+
+
 @register("health_breakdown", duck.query(" union all ".join(
     f"select user_id, '{name}' as dimension, round({name}_score, 6) as score, "
-    f"{weight}::double as weight, round({_SHOWN[name][0]} * {_SHOWN[name][1]}, 1) as value, "
-    f"{duck.fill(_SHOWN[name][2], x=duck.fixed(f'{_SHOWN[name][0]} * {_SHOWN[name][1]}', _SHOWN[name][3]))}"
+    f"{weight}::double as weight, "
+    f"{duck.rounded(f'{_SHOWN[name][0]} * {_SHOWN[name][1]}', 1)} as value, "
+    f"{duck.fill(_SHOWN[name][2], x=_number(name))}"
     f" as label from dims" for name, weight in V.HEALTH_WEIGHTS), "lab", **_parts("lab")))
 def health_breakdown(spark, sf_dir):
     scored = health.health_score(_dimensions(spark, sf_dir))

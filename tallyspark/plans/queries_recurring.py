@@ -41,7 +41,9 @@ def _bands(value: str, bands: list, show) -> str:
 
 def summary_sql(source: str) -> str:
     return f"""
-        select user_id, recurring_group as name,
+        select *, cast(row_number() over (partition by user_id
+                                          order by estimated_monthly desc, name) as int) as rank
+        from (select user_id, recurring_group as name,
                case when n < 2 then 'Unknown'
                     else {_bands('gap', V.FREQUENCY_LABELS, duck.lit)} end as frequency,
                {duck.rounded(f"case when n < 2 then mean else mean * {_bands('gap', V.MONTHLY_FACTORS, duck.lit)} end", 2)}
@@ -54,7 +56,7 @@ def summary_sql(source: str) -> str:
                      cast(sum(amount) as double) / count(*) as mean,
                      stddev_pop(cast(amount as double)) as spread, max(tx_date) as hi,
                      (max(tx_date) - min(tx_date)) / nullif(count(*) - 1, 0) as gap
-              from {source} where is_recurring group by user_id, recurring_group)"""
+              from {source} where is_recurring group by user_id, recurring_group))"""
 
 
 @register("recurring_summary", duck.query(summary_sql("rec"), "rec"))

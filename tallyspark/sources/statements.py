@@ -8,7 +8,7 @@ row: a whole folder of statements is read in one pass without a shuffle.
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyspark.functions import fixed_values as V
-from tallyspark.functions.dates import MIXED, day_of, parse_mixed
+from tallyspark.functions.dates import MIXED, day_of, parse_mixed, without_time
 from tallyspark.functions.money import parse_money, signed_amount, split_amounts, typed_amount
 from tallyspark.functions.once import with_once
 from tallyspark.functions.sqltext import case, quoted
@@ -149,16 +149,16 @@ def scan(statements: DataFrame) -> DataFrame:
                     "error_message", "rows"))
 
 
-def _parsed(text: str, pattern: str, patterns: list[str]) -> str:
-    """Date by the pattern a column names."""
+def _parsed(text: str, pattern: str, patterns: list[str], day: str | None = None) -> str:
+    """Date by the pattern a column names; ``day`` is the text without its time of day."""
     return case([(f"{pattern} = {quoted(p)}",
-                  f"cast(try_to_timestamp({day_of(text, p)}, {quoted(p)}) as date)")
+                  f"cast(try_to_timestamp({day_of(text, p, day)}, {quoted(p)}) as date)")
                  for p in patterns])
 
 
-def _guessed(text: str) -> str:
-    """The first pattern that fits a value."""
-    return case([(f"try_to_timestamp({day_of(text, p)}, {quoted(p)}) is not null", quoted(p))
+def _guessed(day: str) -> str:
+    """The first pattern that fits a text without its time of day."""
+    return case([(f"try_to_timestamp({day}, {quoted(p)}) is not null", quoted(p))
                  for p in MIXED], "cast(null as string)")
 
 
@@ -169,7 +169,7 @@ def _date_pattern() -> str:
     pattern of the first non-empty value.
     """
     known = sorted({layout[-1] for layout in V.LAYOUTS})
-    return (f"case when columns.pattern is null then {_guessed('get(_dates, 0)')} "
+    return (f"case when columns.pattern is null then {_guessed('_first')} "
             f"when exists(_dates, d -> {_parsed('d', 'columns.pattern', known)} is not null) "
             f"then columns.pattern else 'mixed' end")
 
@@ -201,17 +201,20 @@ def map_rows(scanned: DataFrame, day_first: bool = False) -> DataFrame:
     """
     dates = "filter(transform(rows, r -> get(r, columns.date - 1)), d -> trim(d) <> '')"
     readable = scanned.where("error_message is null").withColumn("_dates", F.expr(dates))
+    readable = with_once(readable, "_first", without_time(F.get("_dates", F.lit(0))))
     rows = _cells(readable.selectExpr("*", f"{_date_pattern()} as _pattern").selectExpr(
         "user_id", "upload_id", "columns", "_pattern", "posexplode(rows) as (pos, cells)"))
-    rows = rows.withColumn("row_ord", F.col("pos").cast("bigint"))
+    rows = with_once(rows.withColumn("row_ord", F.col("pos").cast("bigint")), "_day",
+                     without_time(F.col("_date")))
     amounts = (F.when(F.expr("columns.debit is not null and columns.credit is not null"),
                       split_amounts(_money("_debit"), _money("_credit")))
                .when(F.expr("columns.type is not null"),
                      typed_amount(_money("_amount"), F.col("_type")))
                .otherwise(signed_amount(F.col("_amount"))))
     known = sorted({*MIXED, *(layout[-1] for layout in V.LAYOUTS)})
-    tx_date = (F.when(F.col("_pattern") == "mixed", parse_mixed(F.col("_date"), day_first))
-               .otherwise(F.expr(_parsed("_date", "_pattern", known))))
+    tx_date = (F.when(F.col("_pattern") == "mixed", parse_mixed(F.col("_day"), day_first,
+                                                            stripped=True))
+               .otherwise(F.expr(_parsed("_date", "_pattern", known, "_day"))))
     return rows.withColumn("_money", amounts).select(
         *_entry_columns(F.col("_money"), tx_date))
 
@@ -290,15 +293,16 @@ def map_table_rows(rows: DataFrame) -> DataFrame:
     ordered = _cells(with_once(rows, "columns", columns)).withColumn(
         "row_ord", F.col("first_row") + F.col("row_no"))
     first = (ordered.where("trim(_date) <> ''").groupBy("user_id", "upload_id")
-             .agg(F.min_by("_date", "row_ord").alias("_first"))
+             .agg(without_time(F.min_by("_date", "row_ord")).alias("_first"))
              .selectExpr("user_id", "upload_id", f"{_guessed('_first')} as _pattern"))
     amounts = (F.when(F.expr("columns.debit is not null and columns.credit is not null"),
                       split_amounts(_money("_debit"), _money("_credit")))
                .otherwise(signed_amount(F.col("_amount"))))
-    return (ordered.join(first, ["user_id", "upload_id"], "left")
+    return (with_once(ordered.join(first, ["user_id", "upload_id"], "left"), "_day",
+                      without_time(F.col("_date")))
             .withColumn("_money", amounts)
             .select(*_entry_columns(F.col("_money"),
-                                    F.expr(_parsed("_date", "_pattern", MIXED)))))
+                                    F.expr(_parsed("_date", "_pattern", MIXED, "_day")))))
 
 
 # -- dispatch -----------------------------------------------------------------------

@@ -9,9 +9,9 @@
    population count estimates high similarities closely. ``MOST_ONES`` stands for a similarity
    five standard deviations below the threshold.
 3. Candidates are confirmed on their full sets, and links make components.
-4. Buckets that still hold several components are compared pair by pair across components:
-   small ones by a join, large ones in blocks of ``BLOCK`` members a side, so that no task
-   holds a bucket. Only candidates leave a block. They are confirmed and components made anew.
+4. Buckets that still hold several components are compared across components: small ones by
+   a join, large ones in blocks of ``BLOCK`` members a side, so that no task holds a bucket.
+   Blocks have the full sets, and of a dense group only links that join components leave them.
    So no link is lost that shares a bucket, whatever the hub, and no group is paired out.
 
 At similarity 0.8 a pair shares no bucket with probability (1 - 0.8^6)^40 < 6e-6; more similar
@@ -141,15 +141,15 @@ def signatures(rows: DataFrame, size: int) -> DataFrame:
 
 
 def sets_of(rows: DataFrame, size: int) -> DataFrame:
-    """(class, shingles) of (class, text)."""
+    """(node, shingles) of (node, text)."""
     def hashes(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 sets = shingle_sets(part.column(1).to_pylist(), size)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), _lists([s.view("i8") for s in sets])], ["class", "shingles"])
-    return rows.mapInArrow(hashes, "class binary, shingles array<long>")
+                    [part.column(0), _lists([s.view("i8") for s in sets])], ["node", "shingles"])
+    return rows.mapInArrow(hashes, "node long, shingles array<long>")
 
 
 def class_of(text: Column) -> Column:
@@ -165,8 +165,8 @@ def differing(a: Column, b: Column) -> Column:
 
 
 def candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow the similarity."""
-    small = classes.select("class", "n_shingles", "sketch")
+    """The pairs (a, b) of nodes whose sizes and sketches allow the similarity."""
+    small = classes.select("node", "n_shingles", "sketch")
     a = small.toDF("a", "a_n", "a_sketch")
     b = small.toDF("b", "b_n", "b_sketch")
     return (pairs.join(a, "a").join(b, "b")
@@ -175,70 +175,106 @@ def candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             .select("a", "b"))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def full_sets(nodes: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of the given nodes, from their texts.
+
+    The digests wanted grow with the corpus, so they are joined by shuffle at every size and
+    never pass through the driver.
+    """
+    wanted = nodes.distinct().join(classes.select("node", "class"), "node").select("class", "node")
+    one = (texts.join(wanted.select("class").hint("merge"), "class", "left_semi")
+           .groupBy("class").agg(F.first("text").alias("text"))
+           .join(wanted.hint("merge"), "class").select("node", "text"))
+    return written(sets_of(one, size), "sets")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
+              percent: int) -> DataFrame:
     """The pairs whose full shingle sets are similar. ``pairs`` is a written table."""
-    involved = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    one = (texts.join(involved, "class", "left_semi")
-           .groupBy("class").agg(F.first("text").alias("text")))
-    sets = written(sets_of(one, size), "sets")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    sets = full_sets(nodes, classes, texts, size)
     both = F.size(F.array_intersect("a_set", "b_set"))
     return (pairs.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b")
             .where(100 * both >= percent * (F.size("a_set") + F.size("b_set") - both))
             .select("a", "b"))
 
 
-def across(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidates between different components of the same bucket, hubs left out."""
-    few = members.where(F.col("size") <= SMALL_BUCKET).select("bucket", "class", "component")
+def across(members: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
+           percent: int) -> DataFrame:
+    """Links between different components of the same bucket, hubs left out. ``members`` is a
+    written table of (bucket, node, size, component)."""
+    few = members.where(F.col("size") <= SMALL_BUCKET).select("bucket", "node", "component")
     other = few.toDF("bucket", "b", "b_component")
-    pairs = (few.join(other, "bucket").where("class < b and component <> b_component")
-             .select(F.col("class").alias("a"), "b").distinct())
-    small = candidates(pairs, classes, percent)
+    pairs = (few.join(other, "bucket").where("node < b and component <> b_component")
+             .select(F.col("node").alias("a"), "b").distinct())
+    small = written(candidates(pairs, classes, percent), "pairs")
+    links = written(confirmed(small, classes, texts, size, percent), "confirmed")
+    many = members.where(F.col("size") > SMALL_BUCKET)
+    if many.isEmpty():
+        return links
+    sets = full_sets(many.select("node"), classes, texts, size)
     blocks = F.ceil(F.col("size") / BLOCK)
-    many = (members.where(F.col("size") > SMALL_BUCKET)
-            .join(classes.select("class", "n_shingles", "sketch"), "class")
-            .withColumn("block", F.pmod(F.xxhash64("class"), blocks))
+    rows = (many.join(classes.select("node", "n_shingles", "bands", "sketch").join(sets, "node"),
+                      "node")
+            .withColumn("block", F.pmod(F.xxhash64("node"), blocks))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
             .select("bucket", F.least("block", "other").alias("low"),
                     F.greatest("block", "other").alias("high"),
-                    "class", "component", "block", "n_shingles", "sketch"))
-    large = many.groupBy("bucket", "low", "high").applyInArrow(block_pairs(percent),
-                                                               "a binary, b binary")
-    return small.union(large).distinct()
+                    "node", "component", "block", "n_shingles", "bands", "sketch", "shingles"))
+    large = rows.groupBy("bucket", "low", "high").applyInArrow(block_links(percent),
+                                                               "a long, b long")
+    return links.union(large)
+
 
+def block_links(percent: int):
+    """Compares the members of two blocks of a bucket, or of one with itself.
 
-def block_pairs(percent: int):
-    """Compares the members of two blocks of a bucket, or of one with itself."""
+    A pair is compared in the first bucket its texts share, if its components are apart, its
+    sizes and sketches allow the similarity, and no link found here joins them yet. So of a
+    dense group only links that join something leave the block.
+    """
     most = most_ones(percent)
 
     def compare(key, table):
-        low, high = key[1].as_py(), key[2].as_py()
-        block = table["block"].to_numpy()
-        names = table["class"].to_pylist()
-        _, label = np.unique(np.array([x.hex() for x in table["component"].to_pylist()]),
-                             return_inverse=True)
-        n = table["n_shingles"].to_numpy()
-        sketch = (table["sketch"].combine_chunks().flatten().to_numpy()
-                  .reshape(len(names), -1).view("u8"))
+        table = table.combine_chunks()
+
+        def matrix(name):
+            column = table[name].chunk(0) if table[name].num_chunks else table[name]
+            return column.flatten().to_numpy().reshape(table.num_rows, -1)
+        bucket, low, high = (k.as_py() for k in key)
+        node, block = table["node"].to_numpy(), table["block"].to_numpy()
+        n, bands = table["n_shingles"].to_numpy(), matrix("bands")
+        sketch = matrix("sketch").view("u8")
+        shingles = [np.asarray(x.values) for x in table["shingles"]]
+        names, label = np.unique(table["component"].to_numpy(), return_inverse=True)
+        band = int(np.flatnonzero(bands[0] == bucket)[0])
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         a, b = [], []
         for k, i in enumerate(left):
             others = left[k + 1:] if low == high else right
             ones = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1)
-            fits = ((label[others] != label[i]) & (ones <= most)
-                    & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])))
-            for j in others[fits]:
-                a.append(min(names[i], names[j]))
-                b.append(max(names[i], names[j]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+            fits = others[(label[others] != label[i]) & (ones <= most)
+                          & (100 * np.minimum(n[others], n[i])
+                             >= percent * np.maximum(n[others], n[i]))]
+            if band and len(fits):
+                fits = fits[~(bands[fits, :band] == bands[i, :band]).any(axis=1)]
+            for j in fits:
+                if label[j] == label[i]:
+                    continue
+                both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
+                if 100 * both >= percent * (n[i] + n[j] - both):
+                    a.append(min(node[i], node[j]))
+                    b.append(max(node[i], node[j]))
+                    label[label == label[j]] = label[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return compare
 
 
 def classify(documents: DataFrame, size: int = 5, percent: int = SIMILARITY,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``documents``: ``doc_id``, ``class`` (MD5 of the text),
-    ``n_shingles`` and ``component`` (the least class it is linked with, directly or not; null
-    for empty sets)."""
+    ``n_shingles`` and ``component`` (the least node it is linked with, directly or not; null
+    for empty sets). A node is a number given to each class when the classes are written."""
     ship(documents.sparkSession)
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"),
                              class_of(F.col(text_col)).alias("class"),
@@ -246,36 +282,35 @@ def classify(documents: DataFrame, size: int = 5, percent: int = SIMILARITY,
     signed = written(signatures(texts, size), "signed")
     classes = written(signed.where("n_shingles > 0").groupBy("class")
                       .agg(F.first("n_shingles").alias("n_shingles"),
-                           F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
-                      "classes")
-    in_bands = classes.select("class", F.explode("bands").alias("bucket"))
-    hubs = (in_bands.groupBy("bucket").agg(F.min("class").alias("hub"),
+                           F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+                      .withColumn("node", F.monotonically_increasing_id()), "classes")
+    in_bands = classes.select("node", F.explode("bands").alias("bucket"))
+    hubs = (in_bands.groupBy("bucket").agg(F.min("node").alias("hub"),
                                            F.count(F.lit(1)).alias("size")).where("size > 1"))
     met = written(in_bands.join(hubs, "bucket"), "met")
     texts = texts.select("class", "text")
-    pairs = met.where("class <> hub").select(F.col("class").alias("a"),
-                                             F.col("hub").alias("b")).distinct()
-    links = written(confirmed(written(candidates(pairs, classes, percent), "pairs"), texts, size,
-                              percent), "confirmed")
+    pairs = met.where("node <> hub").select(F.col("node").alias("a"),
+                                            F.col("hub").alias("b")).distinct()
+    links = written(confirmed(written(candidates(pairs, classes, percent), "pairs"), classes,
+                              texts, size, percent), "confirmed")
     labels = components(links)
 
     # What the hubs could not decide: buckets with several components, hubs aside.
-    placed = (met.where("size > 2 and class <> hub")
-              .join(labels.toDF("class", "found"), "class", "left")
-              .select("bucket", "class", "size", F.coalesce("found", "class").alias("component")))
+    placed = (met.where("size > 2 and node <> hub")
+              .join(labels.toDF("node", "found"), "node", "left")
+              .select("bucket", "node", "size", F.coalesce("found", "node").alias("component")))
     split = (placed.groupBy("bucket").agg(F.min("component").alias("low"),
                                           F.max("component").alias("high"))
              .where("low <> high").select("bucket"))
-    more = written(across(placed.join(split, "bucket"), classes, percent), "pairs")
-    if not more.isEmpty():
-        new = written(confirmed(more, texts, size, percent), "confirmed")
+    members = written(placed.join(split, "bucket"), "members")
+    if not members.isEmpty():
+        new = written(across(members, classes, texts, size, percent), "confirmed")
         if not new.isEmpty():
             labels = components(links.union(new))
-    return (signed.select("doc_id", "class", "n_shingles")
-            .join(labels.toDF("class", "found"), "class", "left")
-            .select("doc_id", "class", "n_shingles",
-                    F.when(F.col("n_shingles") > 0, F.coalesce("found", "class"))
-                    .alias("component")))
+    nodes = (classes.select("class", "node").join(labels.toDF("node", "found"), "node", "left")
+             .select("class", F.coalesce("found", "node").alias("component")))
+    return (signed.select("doc_id", "class", "n_shingles").join(nodes, "class", "left")
+            .select("doc_id", "class", "n_shingles", "component"))
 
 
 def groups(documents: DataFrame, size: int = 5, percent: int = SIMILARITY,

@@ -1,8 +1,9 @@
 """Statement files to transaction entries.
 
 A statement is one row (user_id, upload_id, text). Files of any size are read; an upload
-route that refuses large ones passes its limit as ``max_bytes``. Everything up to the exploded entries is array work on that
-row: a whole folder of statements is read in one pass without a shuffle.
+route that refuses large ones passes its limit as ``max_bytes``. Everything up to the
+exploded entries is array work on that row: a whole folder of statements is read in one
+pass without a shuffle.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F

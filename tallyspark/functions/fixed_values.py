@@ -125,6 +125,11 @@ TEXT_LINE = (
 )
 TEXT_LINE_MIN_CHARS = 15
 
+# Why an upload without transactions failed.
+NO_TRANSACTIONS = "No transactions found in the uploaded file."
+ALL_REMOVED = ("All transactions were removed during cleaning. "
+               "Check that the file is a standard bank statement.")
+
 # Uploads above this size are refused.
 MAX_UPLOAD_BYTES = 10 * 1024 * 1024
 

@@ -223,6 +223,33 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("user_id", "upload_id", F.lit("csv").alias("file_type"), "text"))
 
 
+#: Files of every user that no transaction can be read from, and why.
+BAD_FILES = [
+    ("bad-header", "csv", "a,b\n1,2\n", "Cannot determine date/description columns."),
+    ("no-amount", "csv", "Date,Details,Balance\n01/02/2001,X,1.00\n",
+     "Cannot find amount column in statement."),
+    ("no-rows", "csv", "Date,Details,Debit,Credit,Balance\n", V.NO_TRANSACTIONS),
+    ("noise", "csv", "Date,Details,Debit,Credit,Balance\n01/02/2001,OPENING BALANCE,5.00,,1.00\n",
+     V.ALL_REMOVED),
+    ("book", "xlsx", None, "Unsupported file type: xlsx"),
+]
+
+
+def described_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statements as described files, and the unreadable ones of every user."""
+    good = statements(spark, sf_dir)
+    bad = good.select("user_id").distinct().select("user_id", F.explode(F.array(*[
+        F.struct(F.concat(F.lit(f"{name}-"), "user_id").alias("upload_id"),
+                 F.lit(kind).alias("file_type"), F.lit(text).cast("string").alias("text"))
+        for name, kind, text, _ in BAD_FILES])).alias("f")).select("user_id", "f.*")
+    refused = F.col("file_type") == "xlsx"
+    return good.unionByName(bad).select(
+        "*", F.concat("upload_id", F.lit("."), "file_type").alias("filename"),
+        F.floor(F.octet_length("text") / 1024).cast("int").alias("file_size_kb"),
+        F.when(refused, "failed").otherwise("pending").alias("status"),
+        F.when(refused, "Unsupported file type: xlsx").alias("error_message"))
+
+
 #: Printed lines as found in statements without columns.
 PRINTED = {
     "user_id": "user_id", "upload_id": "upload_id", "row_ord": "row_ord",

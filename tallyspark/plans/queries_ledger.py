@@ -12,6 +12,7 @@ from tallyspark.plans import queries_health as H
 from tallyspark.plans import queries_recommend as R
 from tallyspark.plans.queries_cleaning import DUP, EXACT
 from tallyspark.plans.queries_summary import CATEGORIES, MONTHS, PERIOD, SPEND
+from tallyspark.plans.queries_cleaning import COLUMNS, EXACT, FILL, NEAR
 from tallyspark.plans.registry import plain, register
 from tallyspark.plans.tables import derive, derive_sql, table
 
@@ -335,7 +336,13 @@ def chat_intents(spark, sf_dir):
     return assistant.reply(messages, facts).drop("message")
 
 
-@register("stream_ingest")
+@register("stream_ingest", duck.query(f"""
+    select {COLUMNS}, category, confidence, classified_by, is_recurring, recurring_group
+    from s_rec""", "norm", **{
+        "s1": EXACT.format("norm"), "s2": NEAR.format("s1"), "s3": FILL.format("s2"),
+        "s_lab": duck.classified("s3"), "s_known": duck.known("s_lab"),
+        "s_intervals": duck.intervals("s_known"),
+        "s_rec": duck.recurring("s_known", "s_intervals")}))
 def stream_ingest(spark, sf_dir):
     """Orders as a stream of entries: cleaned, classified and appended per micro-batch."""
     from tallyspark.streaming.ingest import run_available, table_stream

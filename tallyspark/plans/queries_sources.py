@@ -3,8 +3,11 @@
 from pyspark.sql import functions as F
 
 from tallyspark.functions import fixed_values as V
+from tallyspark.operators import pipeline
+from tallyspark.operators.sinks import materialise
 from tallyspark.operators.standardise import standardise
 from tallyspark.plans import duck, frames
+from tallyspark.plans.queries_cleaning import EXACT, NEAR
 from tallyspark.plans.registry import plain, register
 from tallyspark.plans.tables import entries
 from tallyspark.sources import layouts, statements as S
@@ -203,3 +206,38 @@ def ingest_statements(spark, sf_dir):
     files = (frames.statements(spark, sf_dir).unionByName(printed)
              .withColumn("status", F.lit("pending")))
     return plain(standardise(S.ingest(files)))
+
+
+def _bad_files_sql() -> str:
+    return " union all ".join(
+        f"select user_id, concat({duck.lit(name + '-')}, user_id) upload_id, "
+        f"{duck.lit(kind)} file_type, null bank_detected, null period_start, null period_end, "
+        f"0 tx_count, 'failed' status, {duck.lit(error)} error_message from users"
+        for name, kind, _, error in frames.BAD_FILES)
+
+
+def _upload_sql() -> str:
+    """Uploads of the rendered statements, by way of their entries."""
+    read = ROUND_TRIP.replace("cast(amount as double) as amount", "amount").replace(
+        "cast(balance as double) as balance", "balance")
+    return f"""
+        select user_id, upload_id, 'csv' file_type,
+               (select bank from banks b where b.upload_id = p.upload_id and rn = 1)
+                   bank_detected,
+               period_start, period_end, tx_count, 'complete' status, null error_message
+        from (select user_id, upload_id, count(*) tx_count, min(tx_date) period_start,
+                     max(tx_date) period_end from up3 group by 1, 2) p
+        union all {_bad_files_sql()}""", {
+        "read_back": read, "up_std": duck.standardised("read_back"),
+        "up1": duck.normalised("up_std"), "up2": EXACT.format("up1"), "up3": NEAR.format("up2"),
+        "banks": """select upload_id, bank, row_number() over (
+            partition by upload_id order by count(*) desc, bank) rn
+            from up3 where bank is not null group by upload_id, bank""",
+        "users": "select distinct user_id from entries"}
+
+
+@register("run_pipeline", duck.query(_upload_sql()[0], "entries", **_upload_sql()[1]))
+def run_pipeline(spark, sf_dir):
+    """A record of every upload, readable or not, after the whole pipeline."""
+    done = pipeline.run_pipeline(frames.described_files(spark, sf_dir), materialise)
+    return done.uploads.drop("filename", "file_size_kb", "processed_at")

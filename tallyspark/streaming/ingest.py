@@ -8,21 +8,20 @@ checked against the store and not against stream state.
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspark.operators.classify import classify
-from tallyspark.operators.clean import (drop_exact_duplicates, normalise_amounts,
-                                        normalise_descriptions, remove_noise)
+from tallyspark.operators.clean import clean_transactions
 from tallyspark.operators.ledger import new_transactions
-from tallyspark.operators.sinks import shared_folder
+from tallyspark.operators.pipeline import annotate, run_pipeline
+from tallyspark.operators.sinks import materialise, shared_folder
 from tallyspark.operators.standardise import standardise
 from tallyspark.plans.tables import derive, entry_columns
-from tallyspark.sources.statements import describe_files, map_rows, scan
+from tallyspark.sources.statements import describe_files
 
 
 def table_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders table as a stream of entries."""
+    """The orders table, one file or a folder of parts, as a stream of entries."""
     schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
-    rows = (spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet")
-            .parquet(sf_dir))
+    # A pattern, as the stream takes any other path for a folder.
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parque[t]")
     return derive(rows, entry_columns("spark"))
 
 
@@ -36,12 +35,8 @@ def file_stream(spark: SparkSession, folder: str, max_files: int = 10_000) -> Da
 
 
 def prepare(entries: DataFrame) -> DataFrame:
-    """Entries to classified transactions of one batch."""
-    tx = standardise(entries)
-    for stage in (remove_noise, normalise_amounts, normalise_descriptions,
-                  drop_exact_duplicates, classify):
-        tx = tx.transform(stage)
-    return tx
+    """Entries to the annotated transactions of one batch: all stages of the pipeline."""
+    return annotate(clean_transactions(standardise(entries), materialise))
 
 
 def append_batch(batch: DataFrame, batch_id: int, store: str) -> None:
@@ -78,27 +73,21 @@ def run_available(entries: DataFrame, store: str | None = None,
 def run_files(files: DataFrame, store: str, status: str, progress: str) -> None:
     """Process new statement files; one status row per file is kept beside the store.
 
-    A file ends complete, or failed with the reason it could not be read.
+    A file is processing, then complete, or failed with its reason. Rows of a batch that is
+    run again replace its own.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        known = batch.persist()
-        try:
-            scanned = scan(known.where("status = 'pending'"))
-            append_batch(prepare(map_rows(scanned)), batch_id, store)
-            states = known.select("user_id", "upload_id", "filename", "created_at",
-                                  "error_message").join(
-                scanned.select("user_id", "upload_id",
-                               F.col("error_message").alias("_scan_error"),
-                               F.size("rows").alias("_rows")), ["user_id", "upload_id"], "left")
-            error = F.coalesce("error_message", "_scan_error", F.when(
-                F.coalesce("_rows", F.lit(0)) == 0,
-                "No transactions found in the uploaded file."))
-            (states.select("user_id", "upload_id", "filename", "created_at",
-                           F.when(error.isNull(), "complete").otherwise("failed")
-                           .alias("status"), error.alias("error_message"))
-             .write.mode("overwrite").parquet(f"{status}/batch={batch_id}"))
-        finally:
-            known.unpersist()
+        known = materialise(batch, "stream-files")
+        target = f"{status}/batch={batch_id}"
+        done = run_pipeline(known, materialise)
+        columns = done.uploads.columns
+        waiting = known.withColumn("status", F.when(F.col("status") == "pending", "processing")
+                                   .otherwise(F.col("status")))
+        (waiting.select(*[F.col(c) if c in waiting.columns else
+                          F.lit(None).cast(dict(done.uploads.dtypes)[c]).alias(c)
+                          for c in columns]).write.mode("overwrite").parquet(target))
+        append_batch(done.transactions, batch_id, store)
+        done.uploads.write.mode("overwrite").parquet(target)
 
     query = (files.writeStream.option("checkpointLocation", progress)
              .foreachBatch(handle).trigger(availableNow=True).start())

@@ -12,10 +12,14 @@ Payloads can hold the same bytes, so a line is only a candidate: its header's le
 offset of its successor. Then
 
 1. each split sums its lines, which gives every candidate its offset in the file;
-2. inside a split, every candidate is followed to the first offset outside (its exit);
+2. inside a split, every candidate is followed to the first offset outside (its exit), and
+   each line notes the record that holds it if the split's first candidate is a record;
 3. pointer jumping over the splits' entries, from offset 0, doubles the reach each round;
-4. candidates on the chain are records; lines between belong to the record before them and are
-   put back into its block.
+4. where the chain enters a split at its first candidate, which is nearly always so, the notes
+   hold; lines of the other splits are followed again from the true entry;
+5. a record that is one line is done; lines of others are put together by record.
+
+Blocks are written once with their notes and not shuffled, but for records of several lines.
 
 So a file of any size is read by many tasks, and rounds grow with the logarithm of its splits.
 
@@ -27,14 +31,22 @@ ends at a successor that isn't a boundary; gzip members are not read.
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tallyspark.llm.common import ship, written
+from tallyspark.llm.common import ship, shared_folder, written
 
 LEAST_REVISIT = 100
+#: Tables of digests or splits (some 120 bytes a row) are broadcast up to this size.
+BROADCAST_ROWS = 200_000
 END = "\r\n\r\n"
 MAGIC = "WARC/1."
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A table of short rows, to be broadcast if it has at most ``BROADCAST_ROWS``; else Spark
+    joins it by shuffle. ``table`` is a written table."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             html_col: str = "html") -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, refers_to) of the records."""
@@ -43,9 +55,11 @@ def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                         F.col(url_col).cast("string").alias("url"), payload.alias("payload"),
                         F.octet_length(payload).cast("long").alias("payload_bytes"),
                         F.sha2(payload, 256).alias("payload_digest"))
-    first = (rows.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest")
-             .agg(F.min("page_id").alias("first")))
-    return (rows.join(first, "payload_digest", "left")
+    # Only payloads that occur again matter; without them no payload is moved.
+    first = written(rows.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest")
+                    .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("pages"))
+                    .where("pages > 1").drop("pages"), "first")
+    return (rows.join(small(first), "payload_digest", "left")
             .withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")),
                                             F.col("first"))).drop("first"))
 
@@ -93,25 +107,27 @@ def parse_head(line: bytes) -> tuple[int, int] | None:
     return None if length is None else (end + 4, length)
 
 
-LINES = "file string, split long, place long, size long, next long, body_at long, text binary"
+LINES = ("file string, split long, place long, size long, next long, body_at long, "
+         "noted long, text binary")
 
 
 def locate(batches):
     """Lines of splits with their places, counted from the start of their split's first line.
 
     ``text`` is what follows the magic; ``body_at`` is where the block starts in it and
-    ``next`` the successor's place, if the line has a header.
+    ``next`` the successor's place, if the line has a header. ``noted`` is the place of the
+    record that holds the line, provided that the split's first candidate is one.
     """
-    kinds = [pa.string(), *[pa.int64()] * 5, pa.binary()]
-    names = ["file", "split", "place", "size", "next", "body_at", "text"]
-    now, place = None, 0
+    kinds = [pa.string(), *[pa.int64()] * 6, pa.binary()]
+    names = ["file", "split", "place", "size", "next", "body_at", "noted", "text"]
+    now, place, noted, expected = None, 0, None, None
     magic, end = len(MAGIC), len(END)
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             out = []
             for file, split, line in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns)):
                 if now != (file, split):
-                    now, place = (file, split), 0
+                    now, place, noted, expected = (file, split), 0, None, None
                 first = split == 0 and place == 0
                 fits = not first or line.startswith(MAGIC.encode())
                 text = line[magic:] if first and fits else line
@@ -119,7 +135,10 @@ def locate(batches):
                 start = place if first else place - magic
                 size = len(line) + end + magic
                 after = start + magic + sum(found) + end if found else None
-                out.append((file, split, start, size, after, found and found[0], text))
+                if found and (expected is None or start == expected):
+                    noted, expected = start, after
+                held = noted if expected is not None and start < expected else None
+                out.append((file, split, start, size, after, found and found[0], held, text))
                 place += size
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names)
@@ -152,11 +171,12 @@ def owners(key, table):
     for place, after, _ in rows:
         if place == expected and after is not None:
             owner, expected = place, after
-        out.append(owner)
+        out.append(owner if owner is not None and place < expected else None)
     n = len(rows)
     return pa.table({"file": pa.array([key[0].as_py()] * n, pa.string()),
                      "split": pa.array([key[1].as_py()] * n, pa.int64()),
                      "place": pa.array([r[0] for r in rows], pa.int64()),
+                     "next": pa.array([r[1] for r in rows], pa.int64()),
                      "owner": pa.array(out, pa.int64())})
 
 
@@ -180,58 +200,75 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Records of the archives below ``path``: ``file``, ``offset``, ``head`` (header fields)
     and ``block``."""
     ship(spark)
-    lines = written(
-        spark.read.option("lineSep", END + MAGIC).text(path)
-        .select(F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("split"),
-                F.col("value").cast("binary").alias("line")).mapInArrow(locate, LINES), "lines")
-    narrow = lines.select("file", "split", "place", "size", "next")
-    splits = narrow.groupBy("file", "split").agg(F.sum("size").alias("size"))
+    lines = (spark.read.option("lineSep", END + MAGIC).text(path)
+             .select(F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.file_block_start").alias("split"),
+                     F.col("value").cast("binary").alias("line")).mapInArrow(locate, LINES))
+    stored = shared_folder(spark, "lines")
+    lines.write.option("compression", "zstd").parquet(stored)
+    lines = spark.read.schema(LINES).parquet(stored)
+    key = ["file", "split"]
+    narrow = lines.select(*key, "place", "size", "next", "noted")
     before = Window.partitionBy("file").orderBy("split").rowsBetween(
         Window.unboundedPreceding, -1)
+    last = F.when(F.col("place") == F.col("noted"), F.struct("place", "next"))
     # The first line of a later split starts where the lines of the splits before it end.
-    base = splits.select("file", "split",
-                         F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    found = (narrow.groupBy("file", "split")
-             .applyInArrow(exits, "file string, split long, place long, exit long")
-             .join(base, ["file", "split"])
-             .select("file", "split", "place", (F.col("base") + F.col("place")).alias("at"),
-                     (F.col("base") + F.col("exit")).alias("to")))
-    found = written(found, "exits")
+    base = written(narrow.groupBy(key).agg(F.sum("size").alias("size"),
+                                           F.min("noted").alias("guess"),
+                                           F.max(last).alias("last"))
+                   .withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))), "base")
+    found = written(narrow.groupBy(key)
+                    .applyInArrow(exits, "file string, split long, place long, exit long")
+                    .join(base, key)
+                    .select(*key, "place", (F.col("base") + F.col("place")).alias("at"),
+                            (F.col("base") + F.col("exit")).alias("to")), "exits")
     starts = found.where("at = 0").select("file", "at")
     targets = found.select("file", F.col("to").alias("at")).union(starts).distinct()
     jumps = found.join(targets, ["file", "at"], "left_semi").select("file", "at", "to")
     reached = reachable(jumps, starts)
     # A record's chain enters a split once; the least place is that entry.
     entry = (found.join(reached, ["file", "at"], "left_semi")
-             .groupBy("file", "split").agg(F.min("place").alias("entry")))
-    owned = written(narrow.join(entry, ["file", "split"], "left")
-                    .groupBy("file", "split")
-                    .applyInArrow(owners, "file string, split long, place long, owner long")
-                    .join(base, ["file", "split"])
-                    .select("file", "split", "place", (F.col("base") + F.col("place")).alias("at"),
-                            (F.col("base") + F.col("owner")).alias("owner")), "owned")
-    carried = (base.join(owned.groupBy("file", "split").agg(F.max("owner").alias("own")),
-                         ["file", "split"])
-               .select("file", "split", F.last("own", True).over(before).alias("carried")))
-    owned = (owned.join(carried, ["file", "split"])
-             .select("file", "split", "place", "at",
-                     F.coalesce("owner", "carried").alias("offset"))
-             .where("offset is not null"))
-    parts = owned.groupBy("file", "offset").agg(F.count(F.lit(1)).alias("parts"))
-    placed = (lines.select("file", "split", "place", "next", "body_at", "text")
-              .join(owned.join(parts, ["file", "offset"]), ["file", "split", "place"]))
-    kept = ["file", "offset", "next", "place", "body_at", "text"]
-    single = placed.where("parts = 1").select(kept)
+             .groupBy(key).agg(F.min("place").alias("entry")))
+    entered = written(base.join(entry, key, "left").withColumn(
+        "right", F.col("entry").eqNullSafe(F.col("guess"))), "entered")
+    wrong = entered.where("not right").select(*key, "entry")
+    again = written(narrow.join(small(written(wrong, "wrong")), key).groupBy(key)
+                    .applyInArrow(owners, "file string, split long, place long, next long, "
+                                          "owner long"), "again")
+    ends = (again.where("place = owner").groupBy(key)
+            .agg(F.max(F.struct("place", "next")).alias("own")))
+    final = F.when(F.col("right"), F.col("last")).otherwise(F.col("own"))
+    splits = written(
+        entered.join(ends, key, "left").withColumn("final", final)
+        .withColumn("final", F.when(F.col("final").isNotNull(), F.struct(
+            (F.col("base") + F.col("final.place")).alias("offset"),
+            (F.col("base") + F.col("final.next")).alias("until"))))
+        .withColumn("carried", F.last("final", True).over(before))
+        .select(*key, "base", "right", "carried"), "splits")
+    again = again.select(*key, "place", "owner")
+    placed = lines.join(small(splits), key)
+    # Lines before a split's entry belong to the last record before, as far as it goes.
+    own = F.coalesce(F.col("base") + F.col("owner"),
+                     F.when(F.col("base") + F.col("place") < F.col("carried.until"),
+                            F.col("carried.offset")))
+    kept = placed.where("right").withColumn("owner", F.col("noted"))
+    redone = placed.where("not right").join(again, [*key, "place"])
+    columns = ["file", own.alias("offset"), (F.col("base") + F.col("place")).alias("at"), "next",
+               "place", "body_at", "text"]
+    rows = kept.select(columns).unionByName(redone.select(columns)).where("offset is not null")
+    length = F.col("next") - F.col("place") - len(MAGIC) - F.col("body_at") - len(END)
+    whole = ((F.col("at") == F.col("offset"))
+             & (F.octet_length("text") >= F.col("body_at") + length))
+    single = rows.where(whole).select("file", "offset", "next", "place", "body_at", "text")
     # Bytes that looked like a boundary go back between the lines of a record.
     line = F.struct("at", "next", "place", "body_at", F.col("text").cast("string").alias("text"))
-    several = (placed.where("parts > 1").groupBy("file", "offset")
+    several = (rows.where(~F.coalesce(whole, F.lit(False))).groupBy("file", "offset")
                .agg(F.sort_array(F.collect_list(line)).alias("lines"))
+               .where(F.get("lines", F.lit(0))["at"] == F.col("offset"))
                .select("file", "offset", *[F.get("lines", F.lit(0))[c].alias(c)
                                            for c in ("next", "place", "body_at")],
                        F.array_join(F.transform("lines", lambda x: x["text"]), END + MAGIC)
                        .cast("binary").alias("text")))
-    length = F.col("next") - F.col("place") - len(MAGIC) - F.col("body_at") - len(END)
     return single.unionByName(several).select(
         "file", "offset", F.expr("substring(text, 4, body_at - 7)").cast("string").alias("head"),
         length.alias("length"),

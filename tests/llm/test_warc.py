@@ -77,7 +77,7 @@ def test_other_writers_records(spark, tmp_path):
     record = b"WARC/1.0\r\ncontent-length: %d\r\nWARC-Type: resource\r\n\r\n%s\r\n\r\n"
     good = record % (len(block), block)
     path = tmp_path / "a.warc"
-    path.write_bytes(good + record % (0, b"") + good + b"rubbish" + good)
+    path.write_bytes(good + record % (0, b"") + good + b"rubbish" + 50 * good)
     (tmp_path / "b.warc").write_bytes(b"rubbish\r\n\r\n" + good)
     rows = sorted(warc.read(spark, f"file://{tmp_path}").collect(), key=lambda x: x.offset)
     assert [(x.offset, bytes(x.block)) for x in rows] == [

@@ -6,7 +6,7 @@ so a lost executor or a failed job leaves the old version readable.
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyspark.operators.ledger import new_transactions, replace_for_users, upsert
 
@@ -38,16 +38,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def month_of() -> Column:
+    """Partition of a transaction in a store."""
+    return F.date_format("tx_date", "yyyy-MM")
+
+
+def same_months(store: DataFrame, tx: DataFrame) -> DataFrame:
+    """The rows of a store, partitioned by ``month``, in the months of ``tx``; a filter on
+    the partition, so that other months are not read. The months are a short list."""
+    months = [r[0] for r in tx.select(month_of()).distinct().collect()]
+    return store.where(F.col("month").isin(months))
+
+
 def append_transactions(tx: DataFrame, path: str, exists: bool = True) -> None:
     """Append the transactions whose fingerprint is new for their user.
 
     The store is partitioned by month; rows are spread by (month, user) so that a
-    month is written by many tasks, each writing few files.
+    month is written by many tasks, each writing few files. Equal fingerprints have
+    equal dates, so only the months of the incoming rows are read.
     """
-    store = tx.sparkSession.read.parquet(path) if exists else None
-    month = F.date_format("tx_date", "yyyy-MM")
-    known = store.drop("month") if exists else tx.limit(0)
-    fresh = new_transactions(tx, known).withColumn("month", month)
+    known = same_months(tx.sparkSession.read.parquet(path), tx) if exists else tx.limit(0)
+    fresh = new_transactions(tx, known).withColumn("month", month_of())
     (fresh.repartition("month", "user_id")
      .write.mode("append").partitionBy("month").parquet(path))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyspark.operators.clean import clean_transactions
 from tallyspark.operators.ledger import new_transactions
 from tallyspark.operators.pipeline import annotate, run_pipeline
-from tallyspark.operators.sinks import materialise, shared_folder
+from tallyspark.operators.sinks import materialise, month_of, same_months, shared_folder
 from tallyspark.operators.standardise import standardise
 from tallyspark.plans.tables import derive, entry_columns
 from tallyspark.sources.statements import describe_files
@@ -41,14 +41,17 @@ def prepare(entries: DataFrame) -> DataFrame:
 
 def append_batch(batch: DataFrame, batch_id: int, store: str) -> None:
     """Append what is new. A batch that is retried replaces its own folder only, so a
-    transaction is stored once however often its batch runs."""
+    transaction is stored once however often its batch runs. Of the store, only the
+    batch's months are read."""
     spark = batch.sparkSession
     earlier = spark.read.schema(batch.schema).option("basePath", store).parquet(store) \
         if _has_batches(spark, store) else None
     fresh = batch
     if earlier is not None:
-        fresh = new_transactions(batch, earlier.where(F.col("batch") < batch_id))
-    fresh.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        fresh = new_transactions(batch, same_months(earlier, batch)
+                                 .where(F.col("batch") < batch_id))
+    (fresh.withColumn("month", month_of()).write.mode("overwrite").partitionBy("month")
+     .parquet(f"{store}/batch={batch_id}"))
 
 
 def _has_batches(spark: SparkSession, store: str) -> bool:
@@ -67,7 +70,7 @@ def run_available(entries: DataFrame, store: str | None = None,
              .foreachBatch(lambda batch, i: append_batch(prepare(batch), i, store))
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.parquet(store).drop("batch")
+    return spark.read.parquet(store).drop("batch", "month")
 
 
 def run_files(files: DataFrame, store: str, status: str, progress: str) -> None:

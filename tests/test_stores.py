@@ -21,6 +21,10 @@ def test_append_skips_known_fingerprints(spark, entries, tmp_path):
     stored = spark.read.parquet(store)
     assert sorted(r.description for r in stored.collect()) == ["KFC", "SPAR", "UBER"]
     assert "2026-02" in {str(r.month) for r in stored.collect()}
+    known = sinks.same_months(stored, again.where("tx_date >= '2026-02-01'"))
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "2026-02" in plan
+    assert known.count() == 2
 
 
 def test_rewrites_leave_the_old_version(spark, tmp_path):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyspark.operators import clean
+from tallyspark.operators.sinks import materialise
 from tallyspark.plans import duck, frames
 from tallyspark.plans.registry import plain, register
 
@@ -61,7 +62,7 @@ def ffill_balance(spark, sf_dir):
 @register("clean_transactions", duck.query(
     f"select {COLUMNS} from c4", "entries", **CLEANED))
 def clean_transactions(spark, sf_dir):
-    cleaned = clean.clean_transactions(frames.repeated(spark, sf_dir))
+    cleaned = clean.clean_transactions(frames.repeated(spark, sf_dir), materialise)
     return plain(clean.newest_first(cleaned))
 
 

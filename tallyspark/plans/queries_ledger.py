@@ -7,12 +7,12 @@ from tallyspark.operators import assistant, clean, ledger, recommend, recurring,
 from tallyspark.operators.health import health_dimensions, health_score
 from tallyspark.operators.features import user_features
 from tallyspark.operators.learn import macro_f1
+from tallyspark.operators.sinks import materialise
 from tallyspark.plans import duck, frames
 from tallyspark.plans import queries_health as H
 from tallyspark.plans import queries_recommend as R
-from tallyspark.plans.queries_cleaning import DUP, EXACT
+from tallyspark.plans.queries_cleaning import COLUMNS, DUP, EXACT, FILL, NEAR
 from tallyspark.plans.queries_summary import CATEGORIES, MONTHS, PERIOD, SPEND
-from tallyspark.plans.queries_cleaning import COLUMNS, EXACT, FILL, NEAR
 from tallyspark.plans.registry import plain, register
 from tallyspark.plans.tables import derive, derive_sql, table
 
@@ -82,7 +82,8 @@ _SNAPSHOT_COLUMNS = ["user_id", "month", "total_income", "total_expenses", "net_
 
 
 def snapshots(spark, sf_dir):
-    tx = frames.labelled(spark, sf_dir)
+    # Months, spend and features read the labelled rows; they are labelled once.
+    tx = materialise(frames.labelled(spark, sf_dir), "labelled")
     scored = health_score(health_dimensions(user_features(tx), frames.profiles(spark, sf_dir)))
     return ledger.stored_snapshot(summary.monthly_summary(tx), scored,
                                   summary.category_spend(tx))
@@ -96,7 +97,7 @@ def snapshots(spark, sf_dir):
     from snapshots""", "lab", **SNAPSHOT_PARTS))
 def upsert_snapshots(spark, sf_dir):
     """Older snapshots without scores; those of 2001 are written again with scores."""
-    fresh = snapshots(spark, sf_dir).select(*_SNAPSHOT_COLUMNS)
+    fresh = materialise(snapshots(spark, sf_dir).select(*_SNAPSHOT_COLUMNS), "snapshots")
     stored = (fresh.withColumn("health_score", F.lit(0))
               .withColumn("expense_by_category", F.lit("{}")))
     return plain(ledger.upsert(stored, fresh.where("month >= date'2001-01-01'"),
@@ -126,7 +127,7 @@ _REC = "user_id, cast(rank as int) as rank, type, title, priority"
     "rec", **R.PARTS, **_recs("stored", ["spending"]), **_recs("fresh", ["savings"])))
 def replace_recs(spark, sf_dir):
     """Users with a cash-flow alert get that alert in place of their stored advice."""
-    planned = R.planned(spark, sf_dir)
+    planned = materialise(R.planned(spark, sf_dir), "planned")
     columns = ["user_id", "rank", "type", "title", "priority"]
     stored = recommend.recommend(planned, ["spending"]).select(*columns)
     fresh = (recommend.recommend(planned, ["savings"]).where("type = 'alert'")
@@ -247,7 +248,8 @@ def goal_progress(spark, sf_dir):
     left join spend s on m.user_id = s.user_id and m.month = s.month where rn = 1""",
     "lab", categories=CATEGORIES, months=MONTHS.format("lab"), spend=SPEND.format("lab")))
 def dashboard(spark, sf_dir):
-    tx = frames.labelled(spark, sf_dir)
+    tx = materialise(frames.labelled(spark, sf_dir).select(
+        "user_id", "tx_date", "tx_type", "amount", "category"), "labelled")
     return plain(ledger.dashboard(summary.monthly_summary(tx), summary.category_spend(tx)))
 
 
@@ -259,7 +261,6 @@ def result_doc(spark, sf_dir):
     back column by column.
     """
     from tallyspark.operators.classify import classify
-    from tallyspark.operators.sinks import materialise
     from tallyspark.schema import ANNOTATIONS
     cleaned = materialise(clean.clean_transactions(frames.repeated(spark, sf_dir), materialise),
                           "cleaned")

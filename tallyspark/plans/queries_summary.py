@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import fixed_values as V
 from tallyspark.operators import summary
 from tallyspark.operators.classify import fall_through
+from tallyspark.operators.sinks import materialise
 from tallyspark.plans import duck, frames
 from tallyspark.plans.registry import plain, register
 from tallyspark.plans.queries_cleaning import DUP
@@ -122,7 +123,10 @@ def running_balance(spark, sf_dir):
             "having min(tx_date) < date '1995-01-15'"))
 def constraint_checks(spark, sf_dir):
     from tallyspark.operators.classify import classify
-    tx = classify(frames.repeated(spark, sf_dir))
+    # Every check reads the rows; they are read, cleaned and classified once.
+    tx = materialise(classify(frames.repeated(spark, sf_dir)).select(
+        "user_id", "upload_id", "tx_date", "tx_type", "amount", "category", "fingerprint"),
+        "checked")
     uploads = (tx.groupBy("upload_id").agg(F.min("tx_date").alias("lo"))
                .where("lo < date'1995-01-15'").select("upload_id"))
     budgets = frames.derive(table(spark, sf_dir, "customer"), frames.BUDGET)

@@ -116,12 +116,19 @@ def dow_factors(tx: DataFrame) -> DataFrame:
 
 
 def forecast_features(tx: DataFrame, as_of: Column | None = None,
-                      users: DataFrame | None = None) -> DataFrame:
+                      users: DataFrame | None = None,
+                      opening: DataFrame | None = None) -> DataFrame:
     """History features with the forecast's start date (default: the user's last day).
 
-    ``users`` adds users without any transaction; their forecast is empty.
+    ``users`` adds users without any transaction; their forecast is empty. ``opening``
+    (user_id, balance) states balances to start from in place of the statements' last.
     """
     features = history_features(tx)
+    if opening is not None:
+        stated = opening.select("user_id", F.col("balance").cast("double").alias("_stated"))
+        features = (features.join(stated, "user_id", "left")
+                    .withColumn("current_balance", F.coalesce("_stated", "current_balance"))
+                    .drop("_stated"))
     if users is not None:
         features = users.select("user_id").distinct().join(features, "user_id", "left")
     return (features.withColumn("as_of", F.col("last_date") if as_of is None else as_of)
@@ -168,8 +175,9 @@ def forecast_rows(features: DataFrame, horizon: int = V.HORIZON_DAYS) -> DataFra
 
 
 def cashflow_forecast(tx: DataFrame, as_of: Column | None = None,
-                      horizon: int = V.HORIZON_DAYS) -> DataFrame:
-    rows = forecast_rows(forecast_features(tx, as_of), horizon)
+                      horizon: int = V.HORIZON_DAYS,
+                      opening: DataFrame | None = None) -> DataFrame:
+    rows = forecast_rows(forecast_features(tx, as_of, opening=opening), horizon)
     return rows.select("user_id", "day_no", "forecast_date",
                        rounded(F.col("net_flow"), 2).alias("net_flow"),
                        rounded(F.col("projected_balance"), 2).alias("projected_balance"))
@@ -177,9 +185,10 @@ def cashflow_forecast(tx: DataFrame, as_of: Column | None = None,
 
 def forecast_summary(tx: DataFrame, as_of: Column | None = None,
                      horizon: int = V.HORIZON_DAYS,
-                     users: DataFrame | None = None) -> DataFrame:
+                     users: DataFrame | None = None,
+                     opening: DataFrame | None = None) -> DataFrame:
     """Days until the balance is low, month-end balance, monthly flows per user."""
-    features = forecast_features(tx, as_of, users)
+    features = forecast_features(tx, as_of, users, opening)
     ahead = forecast_rows(features, horizon).groupBy("user_id").agg(
         F.min(F.when(~F.col("thin") & (rounded(F.col("projected_balance"), 2) < V.LOW_BALANCE),
                      F.col("day_no"))).alias("days_until_low"),

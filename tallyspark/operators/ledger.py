@@ -188,13 +188,18 @@ def stored_snapshot(summary: DataFrame, health: DataFrame, spend: DataFrame) ->
 
 
 def result_documents(summary: DataFrame, tx: DataFrame, recurring: DataFrame,
-                     validation: DataFrame, banks: DataFrame) -> DataFrame:
+                     validation: DataFrame, banks: DataFrame, health: DataFrame | None = None,
+                     recommendations: DataFrame | None = None,
+                     forecast: DataFrame | None = None,
+                     outlook: DataFrame | None = None) -> DataFrame:
     """JSON results of every user as (user_id, part, item, document).
 
     Part "result" is one document per user: summary, category map, validation. A
     user's recurring payments and transactions have no bound, so they are not folded
     into one value; they follow as one document each, parts "recurring" and
-    "transaction", under the same user.
+    "transaction", under the same user. The analytics given are parts "health_score" (one
+    document), "recommendation" (one each, item its rank) and "cash_flow_forecast" (one of
+    the ``outlook`` with the days of ``forecast``, whose number is the horizon).
     """
     spend = period_category_spend(tx).groupBy("user_id").agg(
         F.map_from_entries(F.sort_array(F.collect_list(
@@ -228,7 +233,29 @@ def result_documents(summary: DataFrame, tx: DataFrame, recurring: DataFrame,
         "user_id", F.lit("transaction").alias("part"),
         F.concat_ws("/", "upload_id", "row_ord").alias("item"),
         F.col("record").alias("document"))
-    return results.unionByName(payments).unionByName(records)
+    parts = [results, payments, records]
+
+    def part(df: DataFrame, name: str, item, *fields) -> DataFrame:
+        return df.select("user_id", F.lit(name).alias("part"), item.alias("item"),
+                         F.to_json(F.struct(*fields)).alias("document"))
+
+    if health is not None:
+        parts.append(part(health, "health_score", F.lit(""), "score", "grade", "breakdown",
+                          "insights"))
+    if recommendations is not None:
+        parts.append(part(recommendations, "recommendation", F.col("rank").cast("string"),
+                          *[c for c in recommendations.columns if c != "user_id"]))
+    if forecast is not None:
+        days = forecast.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(
+            *[c for c in forecast.columns if c != "user_id"]))).alias("daily_forecast"))
+        if outlook is not None:
+            days = outlook.join(days, "user_id", "left")
+        parts.append(part(days, "cash_flow_forecast", F.lit(""),
+                          *[c for c in days.columns if c != "user_id"]))
+    union = parts[0]
+    for more in parts[1:]:
+        union = union.unionByName(more)
+    return union
 
 
 def transaction_documents(tx: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from tallyspark.functions import fixed_values as V
-from tallyspark.operators import assistant, clean, ledger, recommend, recurring, search, summary
-from tallyspark.operators.health import health_dimensions, health_score
+from tallyspark.operators import assistant, clean, forecast, ledger, recommend, recurring, search, summary
+from tallyspark.operators.health import health_dimensions, health_score, score_users
 from tallyspark.operators.features import user_features
 from tallyspark.operators.learn import macro_f1
 from tallyspark.operators.sinks import materialise
@@ -265,9 +265,15 @@ def result_doc(spark, sf_dir):
     cleaned = materialise(clean.clean_transactions(frames.repeated(spark, sf_dir), materialise),
                           "cleaned")
     tx = materialise(classify(recurring.detect_recurring(cleaned)), "annotated")
+    profiles = frames.profiles(spark, sf_dir)
+    features = materialise(user_features(tx), "features")
+    planned = recommend.with_plans(features, profiles, frames.budgets(spark, sf_dir),
+                                   frames.goals(spark, sf_dir))
     return ledger.result_documents(
         summary.period_summary(tx), tx, recurring.recurring_summary(tx),
-        clean.validation_report(tx.drop(*ANNOTATIONS)), summary.dominant_bank(tx))
+        clean.validation_report(tx.drop(*ANNOTATIONS)), summary.dominant_bank(tx),
+        score_users(features, profiles), recommend.recommend(planned),
+        forecast.cashflow_forecast(tx), forecast.forecast_summary(tx))
 
 
 @register("transaction_records")

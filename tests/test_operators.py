@@ -202,6 +202,41 @@ def test_forecast_rows_and_closed_forms(entries):
     assert feature.current_balance == 355_000.0
 
 
+def test_a_stated_balance_opens_the_forecast(spark, entries):
+    tx = standardise(entries([(f"2026-01-{d:02d}", "X", 10, "debit", 500) for d in range(1, 11)]))
+    stated = spark.createDataFrame([("u1", 70.0)], "user_id string, balance double")
+    assert forecast.forecast_summary(tx).first().current_balance == 500.0
+    assert forecast.forecast_summary(tx, opening=stated).first().current_balance == 70.0
+    first = forecast.cashflow_forecast(tx, opening=stated).orderBy("day_no").first()
+    assert round(first.projected_balance - first.net_flow, 2) == 70.0
+
+
+@pytest.mark.parametrize("column, value, score", [
+    ("monthly_cv", 0.10, 100.0), ("monthly_cv", 0.101, 85.0), ("monthly_cv", 0.25, 85.0),
+    ("monthly_cv", 0.40, 65.0), ("monthly_cv", 0.5, 55.0), ("monthly_cv", 0.9, 30.0),
+    ("weekly_cv", 0.15, 100.0), ("weekly_cv", 0.30, 60.0), ("weekly_cv", 0.50, 30.0),
+    ("weekly_cv", 0.75, 15.0), ("weekly_cv", 2.0, 0.0), ("weekly_cv", None, 0.0),
+    ("debt_ratio", 0.0, 100.0), ("debt_ratio", 0.15, 90.0), ("debt_ratio", 0.30, 50.0),
+    ("debt_ratio", 0.50, 20.0), ("debt_ratio", 2.0, 0.0), ("emergency_months", 6.0, 100.0),
+    ("emergency_months", 3.0, 60.0), ("emergency_months", 1.0, 25.0),
+    ("emergency_months", 0.5, 12.5), ("savings_rate", 0.3, 100.0), ("savings_rate", 0.2, 80.0),
+    ("savings_rate", 0.1, 50.0), ("savings_rate", 0.05, 25.0), ("savings_rate", -0.1, 0.0)])
+def test_score_bands(spark, column, value, score):
+    """Literal expectations at the edges of every band."""
+    name = {"monthly_cv": "income_stability", "weekly_cv": "expense_stability",
+            "emergency_months": "emergency_coverage"}.get(column, column)
+    row = spark.createDataFrame([(value, 9, 9, 9)], f"{column} double, n_debits int, "
+                                                    "n_credits int, n_months int")
+    assert row.selectExpr(health.SCORES[name]).first()[0] == pytest.approx(score)
+
+
+def test_a_single_week_has_no_spread(entries, no_profiles):
+    tx = classify(standardise(entries([(f"2026-03-0{d}", "FOOD", d, "debit", None)
+                                       for d in range(2, 7)])))
+    shown = health.score_users(user_features(tx), no_profiles).first().breakdown
+    assert shown["expense_stability"].label == "CV=nan% expense variability"
+
+
 def test_thin_history_and_no_history(spark, entries):
     tx = standardise(entries([("2026-03-01", "PAY", 700, "credit", None),
                               ("2026-03-03", "SPEND", 100, "debit", None)]))
@@ -261,7 +296,6 @@ def test_two_uploads_with_the_same_day_and_place_are_ordered(spark, entries):
     got = summary.running_balance(tx).orderBy("running_balance").collect()
     assert {(r.upload_id, r.raw_desc): float(r.running_balance) for r in got} == {
         ("s1", "A"): -10.0, ("s2", "A"): -20.0, ("s1", "B"): -15.0, ("s2", "B"): -10.0}
-    from tallyspark.operators import forecast
     late = tx.withColumn("balance", F.when(F.col("upload_id") == "s2", F.col("balance") + 1)
                          .otherwise(F.col("balance")))
     assert float(forecast.current_balance(late).first().current_balance) == 201.0

@@ -276,10 +276,12 @@ def normalise_tables(tables: DataFrame) -> DataFrame:
                        F.coalesce("_own_names", "_carried", "_names").alias("header"),
                        F.when(F.col("_own").isNotNull(), F.col("_own"))
                        .when(F.col("_carried").isNotNull(), 0).otherwise(1).alias("_skip")))
-    cells = found.select("user_id", "upload_id", "table_no",
-                         F.posexplode("_rows").alias("row_no", "cells"))
-    return (cells.join(headers, ["user_id", "upload_id", "table_no"])
-            .where((F.col("row_no") >= F.col("_skip")) & is_table_row(F.col("cells")))
+    # A table meets its header as one row; its cells come apart afterwards.
+    cells = (found.select("user_id", "upload_id", "table_no", "_rows")
+             .join(headers, ["user_id", "upload_id", "table_no"])
+             .select("user_id", "upload_id", "table_no", "first_row", "header", "_skip",
+                     F.posexplode("_rows").alias("row_no", "cells")))
+    return (cells.where((F.col("row_no") >= F.col("_skip")) & is_table_row(F.col("cells")))
             .select("user_id", "upload_id", "table_no", "first_row", "row_no", "header",
                     F.transform("header", lambda h, i: F.coalesce(
                         F.get("cells", i), F.lit(""))).alias("cells")))

@@ -30,7 +30,8 @@ def luhn(s):
     ("+442071234567", r"\+44\d{10}"), ("123-45-6789", r"\d{3}-\d\d-\d{4}"),
     ("2024-02-29", r"\d{4}-\d\d-\d\d"), ("31/12/1999", r"\d\d/\d\d/\d{4}"),
     ("MARCH 3, 1987", r"[A-Z]+ \d+, \d{4}"), ("3 Mar 1987", r"\d+ [A-Z][a-z]{2} \d{4}"),
-    ("joe.Bloggs+1@Mail9.example.com", r"[a-z]{3}\.[A-Z][a-z]{5}\+\d@[A-Z][a-z]{3}\d\.[a-z]{7}\.com"),
+    ("joe.Bloggs+1@Mail9.example.com",
+     r"[a-z]{3}\.[A-Z][a-z]{5}\+\d@[A-Z][a-z]{3}\d\.[a-z]{7}\.com"),
     ("GB82 WEST 1234 5698 7654 32", r"GB\d\d WEST \d{4} \d{4} \d{4} \d\d"),
     ("DE89370400440532013000", r"DE\d{20}")])
 def test_formats(text, form):

@@ -64,7 +64,7 @@ def _fit_terms(terms: DataFrame) -> list:
         learner = LogisticRegression(
             family="multinomial", featuresCol="features", labelCol="_label",
             weightCol="weight", maxIter=V.ML_MAX_ITERATIONS, regParam=1.0 / data.count(),
-            elasticNetParam=0.0, standardization=False,
+            elasticNetParam=0.0, standardization=False, tol=V.ML_TOLERANCE,
             probabilityCol="_probability", rawPredictionCol="_raw",
             predictionCol="_prediction")
         fitted = learner.fit(prepared.select("_label", "weight", "features"))

@@ -76,3 +76,47 @@ def test_removal_keeps_clean_rows_and_columns(docs, bench, clashing, prose):
         [(1, prose(1, 40)), (3, ""), (-1, prose(2, 9))])
     assert decontaminate.remove_overlapping(table.limit(0), bench).count() == 0
     assert decontaminate.remove_overlapping(table, bench.limit(0)).count() == 6
+
+
+def highest(masks, wrong, n, anywhere):
+    """Highest scores (word in place: +1, wrong one: ``wrong``) of texts of 1 to ``n`` words that
+    no mask hits; of the whole text, or of a stretch of it ``anywhere``."""
+    span = max(mask[-1] for mask in masks) + 1
+    ends = [sum(1 << (mask[-1] - o) for o in mask) for mask in masks]
+    scores, out = {0: 0}, []  # by the last words, one bit each
+    for _ in range(n):
+        after = {0: 0} if anywhere else {}
+        for last, score in scores.items():
+            for hit in (0, 1):
+                seen = last << 1 | hit
+                if not any(seen & end == end for end in ends):
+                    key = seen & ((1 << span - 1) - 1)
+                    after[key] = max(after.get(key, -10 ** 9), score + (1 if hit else wrong))
+        scores = after
+        out.append(max(scores.values()))
+    return out
+
+
+def test_no_accepted_text_is_missed_by_the_masks():
+    share = decontaminate.IDENTITY / (100 - decontaminate.IDENTITY)
+    whole = highest(decontaminate.MASKS, -share, 400, False)
+    assert max(whole[4:]) < 0 and whole[-1] < whole[100]
+    assert max(highest(decontaminate.MASKS, -2, 400, True)) < decontaminate.STRETCH
+
+
+def test_a_quarter_replaced_is_found(spark, docs, prose):
+    r = random.Random(8)
+    items, texts = [], []
+    for i in range(200):
+        n = 11 + i % 10
+        words = prose(1000 + i, n).split()
+        items.append((i, " ".join(words)))
+        for k in r.sample(range(n), n // 4):
+            words[k] = "zzz"
+        texts.append(f"{prose(2, 9)} {' '.join(words)} {prose(3, 9)}")
+    items.append((200, "alba bruno carla dino elena fabio gino hilda ivo lara mino nora"))
+    texts.append("zzz bruno carla dino zzz fabio gino zzz ivo lara mino nora")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(x.doc_id, x.item_id): x.matched for x in
+             decontaminate.overlaps(docs(texts), bench).collect()}
+    assert all(found.get((i, i)) == laid(texts[i], items[i][1])[0] for i in range(201))

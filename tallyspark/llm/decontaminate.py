@@ -11,8 +11,9 @@ A document overlaps an item if, on one diagonal,
   item has fewer than ``SPAN``), or
 * some stretch scores ``STRETCH`` or more (a word in place: +1, a wrong one: -2).
 
-Words are runs of letters and digits in lower case. Items below ``LEAST_TOKENS`` words are
-ignored; items of fewer than ``SPAN`` are searched by one unspaced seed over all their words.
+Words are runs of letters and digits in lower case; in scripts written without spaces each
+letter is a word. Items of fewer than ``SPAN`` words are searched by one unspaced seed over all
+their words; only items without a word are ignored.
 Equal items are searched once: ``item_id`` is the smallest id and ``n_items`` their number.
 
 Documents are exploded to positions, hashed and probed inside one generated stage; only hits
@@ -29,17 +30,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: a text of five words or more that none hits has less than ``IDENTITY`` percent of its words
 #: in place, and no stretch of it scores above 3 (worked out over all texts in the tests).
 MASKS = ((0, 1, 2, 4), (0, 3, 4, 5), (0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4))
-LEAST_TOKENS = 5
+LEAST_TOKENS = 1
 IDENTITY = 75
 STRETCH = 12
 BROADCAST_SEEDS = 2_000_000
 #: Items of this many words or more may have words replaced.
-SPAN = 11
+SPAN = 5
+
+# Scripts written without spaces, read character by character.
+UNSPACED = (r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}"
+            r"\p{IsMyanmar}]")
 
 
 def token_hashes(text: Column) -> Column:
-    tokens = F.array_remove(
-        F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    text = F.coalesce(text, F.lit(""))
+    text = F.when(text.rlike(UNSPACED), F.regexp_replace(text, f"({UNSPACED})", " $1 ")
+                  ).otherwise(text)
+    tokens = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
     return F.transform(tokens, lambda w: F.xxhash64(w))
 
 

@@ -120,3 +120,16 @@ def test_a_quarter_replaced_is_found(spark, docs, prose):
     found = {(x.doc_id, x.item_id): x.matched for x in
              decontaminate.overlaps(docs(texts), bench).collect()}
     assert all(found.get((i, i)) == laid(texts[i], items[i][1])[0] for i in range(201))
+
+
+def test_short_items_and_unspaced_scripts(spark, docs):
+    items = ["who wrote the iliad", "name the longest river in africa", "capital of peru now ok",
+             "法国的首都是哪座城市", "เมืองหลวงของไทย", "日本の首都", "osmosis"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["So, who wrote the Iliad?", "who wrote an iliad", "name the widest river in africa",
+             "name the widest river in europe", "capital of chile now ok", "问：法国的首都是哪个城市？",
+             "法国的人口是多少", "คำถาม เมืองหลวงของไทย", "これは日本の首都です", "by osmosis, then", "osmotic"]
+    found = {(x.doc_id, x.item_id) for x in decontaminate.overlaps(docs(texts), bench).collect()}
+    assert found == {(0, 0), (2, 1), (4, 2), (5, 3), (7, 4), (8, 5), (9, 6)}
+    kept = decontaminate.remove_overlapping(docs(texts), bench).collect()
+    assert sorted(x.doc_id for x in kept) == [1, 3, 6, 10]

@@ -1,7 +1,8 @@
 """Secret scan: candidate strings judged by a random forest trained on labelled findings.
 
-A candidate is a run of at least ``LEAST`` letters, digits and ``+/_=-`` that holds a digit and
-a letter, or capitals inside. Its features are its length, its character transitions and
+A candidate is a run of at least ``LEAST`` letters, digits and ``+/_=-``; any value, of whatever
+length and symbols, that is assigned to or follows a word of ``SECRET_WORDS``; or the password
+of a URL. Equal places are one candidate. Its features are its length, its character transitions and
 make-up, how much of it a dictionary covers, words of its path, and the words and marks around
 it. The forest (Spark's own) removes false positives: digests, identifiers, placeholders,
 ordinary words.
@@ -9,8 +10,8 @@ ordinary words.
 Labelled findings are planted in real text: for at most ``LABELLED`` documents (the least by a
 hash of their text, so the same ones at any partitioning) strings of known kind are put at a
 place in the text, and their features are taken there. Secrets are keys and tokens in usual
-formats; false findings are digests, UUIDs, placeholders, camel-case and file names in their
-usual surroundings. ``train`` takes any such table, so findings of an audit can be used.
+formats, passwords and pass phrases; false findings are digests, UUIDs, placeholders, references
+to variables, numbers, camel-case and file names and ordinary words in their usual surroundings. ``train`` takes any such table, so findings of an audit can be used.
 
 Only the scan touches all documents: one pass over whole texts, without a shuffle.
 
@@ -53,7 +54,16 @@ TEST_PATHS = ("test", "example", "sample", "mock", "fixture", "doc")
 
 FEATURES = ("length", "transitions", "digits", "uppers", "others", "distinct", "entropy", "hex",
             "longest_run", "dictionary", "vowels", "path_test", "path_depth", "secret_before",
-            "digest_before", "assigned", "quoted", "word_after")
+            "digest_before", "assigned", "quoted", "word_after", "in_url", "spaces", "reference")
+# A secret's name (also inside identifiers), and what follows it up to the end of a value.
+_WORDS = sorted(SECRET_WORDS, key=len, reverse=True)
+NAME = re.compile(rf"(?:(?<![A-Za-z])(?i:{'|'.join(_WORDS)})"
+                  rf"|(?<=[a-z])(?:{'|'.join(w.capitalize() for w in _WORDS)}))(?![a-z])")
+VALUE = re.compile(r"[\w.-]{0,100}+[\"'`\])]{0,3}+"
+                   r"(?:[ \t]*+(?:=>|:=|->|={1,3}|:|\b(?:is|was)\b)\s*+|[ \t]++)"
+                   r"(?:\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`|([^\s\"'`]+))")
+URL = re.compile(r"://[^\s/?#:@\"'`<>]*:([^\s/\"'`<>]+)@(?=[\w\[])")
+REFERENCE = re.compile(r"[$%<{]|\w\(|^\*+$|^\w+(\.\w+)+$|\[")
 COVER = re.compile("|".join(sorted(set(DICTIONARY), key=len, reverse=True)))
 
 
@@ -62,11 +72,7 @@ def _kind(c: str) -> str:
 
 
 def is_candidate(value: str) -> bool:
-    body = value.strip("=-_/+")
-    digit = any(c.isdigit() for c in body)
-    letter = any(c.isalpha() for c in body)
-    return len(body) >= LEAST and ((digit and letter) or (
-        not body[1:].islower() and not body.isupper() and letter))
+    return len(value.strip("=-_/+")) >= LEAST
 
 
 def features(text: str, start: int, end: int, path: str | None) -> list[float]:
@@ -92,24 +98,88 @@ def features(text: str, start: int, end: int, path: str | None) -> list[float]:
         sum(c in "aeiou" for c in low) / n, any(w in where for w in TEST_PATHS),
         where.count("/"), any(w in SECRET_WORDS for w in words),
         any(w in DIGEST_WORDS for w in words), mark in ("=", ":"), before[-1:] in ("\"", "'", "`"),
-        text[end:end + 2].strip(" \"'`").isalpha())]
+        text[end:end + 2].strip(" \"'`").isalpha(),
+        re.search(r"://[^\s/@]*:$", before) is not None, value.count(" ") / n,
+        REFERENCE.search(value) is not None)]
 
 
-def candidates(text: str | None):
-    for m in CANDIDATE.finditer(text or ""):
-        if is_candidate(m.group()):
-            yield m.start(), m.end()
+def candidates(text: str | None) -> list[tuple[int, int]]:
+    text = text or ""
+    places = {m.span() for m in CANDIDATE.finditer(text) if is_candidate(m.group())}
+    places |= {m.span(1) for m in URL.finditer(text)}
+    for name in NAME.finditer(text):
+        if m := VALUE.match(text, name.end()):
+            start, end = m.span(m.lastindex)
+            if m.lastindex == 4:  # without quotes; what ends a clause is no part of it
+                end = start + len(m.group(4).rstrip(".,;:)]}>"))
+            if any(c.isalnum() for c in text[start:end]):
+                places.add((start, end))
+    return sorted(places)
 
 
 def _word(r, alphabet: str, n: int) -> str:
     return "".join(r.choice(alphabet) for _ in range(n))
 
 
-def plant(r, words: list[str]) -> tuple[str, str, str, int]:
+def _password(r, pool: list[str]) -> str:
+    """A password as people choose them, or as programs make short ones."""
+    alnum = string.ascii_letters + string.digits
+
+    def leet():
+        word = "".join(r.choices(pool, k=2))[:r.randint(5, 12)].ljust(5, "q")
+        return word.capitalize().translate(str.maketrans("aeio", "4310")) + str(r.randint(1, 999))
+    return r.choice([
+        leet, leet, lambda: leet() + r.choice("!#$@%&*") + _word(r, alnum, 3),
+        lambda: r.choice("!#$%&*").join(w[:9].capitalize() for w in r.choices(pool, k=3))
+        + r.choice("!#$%&*") + str(r.randint(1, 99)),
+        lambda: _word(r, alnum + "!#$%&*", r.randint(7, 14)) + r.choice(alnum),
+        lambda: _word(r, alnum, r.randint(8, 15)),
+        lambda: _word(r, string.ascii_lowercase, 16),
+        lambda: _word(r, string.ascii_uppercase, 16),
+        lambda: _word(r, string.digits, r.randint(6, 20))])()
+
+
+def _no_secret(r, words: list[str], pool: list[str]) -> tuple[str, str, str]:
+    """(text before, value, text after) of what stands beside secret words but is none."""
+    name = r.choice(sorted(SECRET_WORDS))
+    word, other = (r.choice(pool).lower()[:12] for _ in range(2))
+    lead, end = r.choice(((f"{name} = \"", "\""), (f"{name}: ", ""), (f"{name}=", "")))
+
+    def placeholder():
+        value = r.choice("-_").join(r.choices(DICTIONARY, k=r.randint(2, 4)))
+        return lead, value + r.choice(("", "1", "-1", "_0", "123")), end
+    return r.choice([
+        lambda: (f"{word} {name} ", word, f" {other}"),
+        lambda: (f"{name} ", other, f" {word}"),
+        lambda: (f"{name} is ", r.choice(("required", "not", word)), f" {other}"),
+        lambda: (lead, r.choice(("changeme", "password", "your_password", "example", "none",
+                                 "null", "true", "false", "string", "test", "secret")), end),
+        lambda: (lead, r.choice(("${%s}", "<%s>x", "{{%s}}x", "os.environ.%s", "get_%s(x",
+                                 "config.%s", "$%s", "%%%s%%x")) % word.upper(), end),
+        placeholder, placeholder, placeholder,
+        lambda: ("http://user:", r.choice(("password", "changeme", "pass", "secret")), "@host/"),
+        lambda: (f"{other} ", "".join(w.lower() for w in r.choices(pool, k=6)).ljust(16, "e"),
+                 f" {word}"),
+        lambda: (r.choice(("id: ", "order ", "id=", f"{word} ")),
+                 _word(r, string.digits, r.randint(16, 20)), "")])()
+
+
+def plant(r, words: list[str], secret: bool | None = None) -> tuple[str, str, str, int]:
     """(text before, value, text after, label) of one finding of a random kind."""
     hexes, alnum = "0123456789abcdef", string.ascii_letters + string.digits
-    secret = r.random() < 0.5
+    if secret is None:
+        secret = r.random() < 0.5
+    pool = [w for w in words if w.isascii() and w.isalpha()] or ["word"]
     if secret:
+        if r.random() < 0.4:
+            name = r.choice(sorted(SECRET_WORDS))
+            name = r.choice((name, name.upper(), "db_" + name, "my" + name.capitalize()))
+            before, after = r.choice((
+                (f"{name} = \"", "\""), (f"{name}: \"", "\""), (f"{name}=", ""), (f"{name}: ", ""),
+                (f"{name}: '", "'"), (f"{name} is ", ""), (f"\"{name}\": \"", "\","),
+                (f"{r.choice(('postgres', 'https', 'redis', 'amqp'))}://"
+                 f"{r.choice(pool).lower()[:8]}:", f"@{r.choice(('db', 'host', 'cache.local'))}/")))
+            return before, _password(r, pool), after, 1
         value = r.choice([
             lambda: _word(r, hexes, r.choice((32, 40, 64))),
             lambda: _word(r, hexes, 40).upper(),
@@ -123,7 +193,8 @@ def plant(r, words: list[str]) -> tuple[str, str, str, int]:
             (f"{name} = \"", "\""), (f"{name}: ", ""), (f"{name}=", ""), (f"{name}: '", "'"),
             (f"\"{name}\": \"", "\","), ("Authorization: Bearer ", "")))
         return before, value, after, 1
-    pool = [w for w in words if w.isascii() and w.isalpha()] or ["word"]
+    if r.random() < 0.5:
+        return *_no_secret(r, words, pool), 0
     value, before, after = r.choice([
         lambda: (_word(r, hexes, 40), r.choice(("commit ", "revision ", "sha1: ")), ""),
         lambda: (_word(r, hexes, r.choice((32, 64))),
@@ -164,11 +235,11 @@ def labelled_findings(documents: DataFrame, text_col: str = "text", path_col: st
                 r = random.Random(seed_)
                 words = text.split()
                 before, value, after, label = plant(r, words)
-                if not is_candidate(value):
-                    continue
                 k = r.randint(0, len(words))
                 head = " ".join([*words[:k], before])
                 whole = head + value + after + " " + " ".join(words[k:])
+                if (len(head), len(head) + len(value)) not in candidates(whole):
+                    continue
                 out.append(features(whole, len(head), len(head) + len(value), path))
                 labels.append(float(label))
             yield pa.RecordBatch.from_arrays(

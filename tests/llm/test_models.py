@@ -87,3 +87,29 @@ def test_bounds_and_empty_tables(docs, prose):
     assert secretscan.labelled_findings(texts, most=10).count() <= 10
     assert secretscan.scan(texts.limit(0)).count() == 0
     assert secretscan.scan(docs([None, ""])).count() == 0
+
+
+SECRETS = ['password = "Tr0ub4dor3x9"', "url postgres://app:s3cr3tPa55@db",
+           'password: "c0rrect!Horse#Battery9$staple"', "app password: abcdqrstefghwxyz",
+           "secret=83920175"]
+VALUES = ["Tr0ub4dor3x9", "s3cr3tPa55", "c0rrect!Horse#Battery9$staple", "abcdqrstefghwxyz",
+          "83920175"]
+
+
+def test_short_secrets_and_symbols_are_candidates():
+    for text, value in zip(SECRETS, VALUES):
+        whole = f"see {text} there"
+        assert value in [whole[a:b] for a, b in secretscan.candidates(whole)], text
+    assert secretscan.candidates("the monkeys tokenise keyboards") == []
+    assert secretscan.candidates('key = "' + "7" * 40 + '"') == [(7, 47)]
+
+
+def test_short_secrets_are_found(docs, prose):
+    texts = [f"{prose(k, 20)} {text} {prose(k + 9, 20)}" for k, text in enumerate(SECRETS)]
+    clean = ["set the password to the new one and keep it", 'password = "${DB_PASSWORD}"',
+             "http://user:password@host/ is the form", 'password = "changeme"']
+    plain = [prose(k, 60) for k in range(100, 1100)]
+    rows = secretscan.scan(docs(texts + clean + plain)).where("is_secret").collect()
+    got = {(x.doc_id, (texts + clean + plain)[x.doc_id][x.start:x.start + x.length]) for x in rows}
+    assert got >= set(enumerate(VALUES))
+    assert not any(len(texts) <= k for k, _ in got)

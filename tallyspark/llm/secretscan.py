@@ -7,8 +7,8 @@ make-up, how much of it a dictionary covers, words of its path, and the words an
 it. The forest (Spark's own) removes false positives: digests, identifiers, placeholders,
 ordinary words.
 
-Labelled findings are planted in real text: for at most ``LABELLED`` documents (the least by a
-hash of their text, so the same ones at any partitioning) strings of known kind are put at a
+Labelled findings are planted in real text: for at most ``LABELLED`` distinct texts (the least by a
+hash, so the same ones at any partitioning and number of copies) strings of known kind are put at a
 place in the text, and their features are taken there. Secrets are keys and tokens in usual
 formats, passwords and pass phrases; false findings are digests, UUIDs, placeholders, references
 to variables, numbers, camel-case and file names and ordinary words in their usual surroundings. ``train`` takes any such table, so findings of an audit can be used.
@@ -29,12 +29,13 @@ import re
 import string
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyspark.llm.common import ship, written
 
 LEAST = 16
 LABELLED = 3000
+FEW = 200  # findings planted at least, also in fewer texts
 TREES, DEPTH = 40, 8
 AROUND = 48  # characters on each side that neighbouring words are taken from
 
@@ -216,32 +217,39 @@ def plant(r, words: list[str], secret: bool | None = None) -> tuple[str, str, st
 
 def labelled_findings(documents: DataFrame, text_col: str = "text", path_col: str = "source",
                       most: int = LABELLED) -> DataFrame:
-    """(features, label): one planted finding for each of at most ``most`` documents."""
+    """(features, label): one planted finding for each of at most ``most`` distinct texts, secrets
+    and others in turn; several for each if the texts are fewer than ``FEW``."""
     ship(documents.sparkSession)
     seed = F.xxhash64(text_col)
     texts = documents.where(F.length(text_col) > 0)
-    # Hashes below a bound that some 1.5 * most rows meet; so no more than these are ordered.
-    share = min(1.0, 1.5 * most / max(texts.count(), 1))
+    # Hashes below a bound that some 1.5 * most texts meet; so no more than these are ordered.
+    kinds = texts.select(seed).distinct().count()
+    share = min(1.0, 1.5 * most / max(kinds, 1))
+    n = max(min(kinds, most), 1)
+    each = max(min(FEW, most) // n, 2 if n == 1 else 1)
     chosen = (texts.select(seed.alias("seed"), F.col(text_col).cast("string").alias("text"),
                            F.col(path_col).cast("string").alias("path"))
               .where(F.pmod("seed", F.lit(2**31)) < int(share * 2**31))
               .groupBy("seed").agg(F.min("text").alias("text"), F.min("path").alias("path"))
-              .orderBy("seed").limit(most))
+              .orderBy("seed").limit(most)
+              .withColumn("k", F.row_number().over(Window.orderBy("seed"))))
 
     def make(batches):
         for batch in batches:
             out, labels = [], []
-            for seed_, text, path in zip(*(c.to_pylist() for c in batch.columns)):
+            for seed_, text, path, row in zip(*(c.to_pylist() for c in batch.columns)):
                 r = random.Random(seed_)
                 words = text.split()
-                before, value, after, label = plant(r, words)
-                k = r.randint(0, len(words))
-                head = " ".join([*words[:k], before])
-                whole = head + value + after + " " + " ".join(words[k:])
-                if (len(head), len(head) + len(value)) not in candidates(whole):
-                    continue
-                out.append(features(whole, len(head), len(head) + len(value), path))
-                labels.append(float(label))
+                for turn in range(row, row + each):  # secrets and others in turn
+                    place = None
+                    while place is None or place not in candidates(whole):
+                        before, value, after, label = plant(r, words, turn % 2 == 0)
+                        k = r.randint(0, len(words))
+                        head = " ".join([*words[:k], before])
+                        whole = head + value + after + " " + " ".join(words[k:])
+                        place = len(head), len(head) + len(value)
+                    out.append(features(whole, *place, path))
+                    labels.append(float(label))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out, pa.list_(pa.float64())), pa.array(labels, pa.float64())],
                 ["features", "label"])

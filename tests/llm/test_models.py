@@ -113,3 +113,12 @@ def test_short_secrets_are_found(docs, prose):
     got = {(x.doc_id, (texts + clean + plain)[x.doc_id][x.start:x.start + x.length]) for x in rows}
     assert got >= set(enumerate(VALUES))
     assert not any(len(texts) <= k for k, _ in got)
+
+
+def test_copies_do_not_empty_the_training(docs, prose):
+    key = 'set token = "8b1f0c9a7d3e4f5061728394a5b6c7d8e9f00112" now ' + prose(1, 30)
+    found = secretscan.scan(docs([key] * 40)).collect()
+    assert len([x for x in found if x.is_secret]) == 40
+    few = docs([prose(1, 30)] * 300 + [prose(2, 30)], ids=range(301))
+    rows = secretscan.labelled_findings(few, most=10).collect()
+    assert {x.label for x in rows} == {0.0, 1.0} and len(rows) == 10

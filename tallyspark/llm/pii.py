@@ -43,6 +43,14 @@ MONTHS = ("january february march april may june july august september october n
 FIRST_DAY = dt.date(1900, 1, 1).toordinal()
 DAYS = dt.date(2100, 1, 1).toordinal() - FIRST_DAY
 
+#: Lengths of IBANs by country.
+IBAN_SIZES = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 "
+    "EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 "
+    "IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 "
+    "NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SD18 SE24 SI19 SK24 SM27 ST25 SV28 "
+    "TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
+
 START, STOP = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 _NAMES = "|".join(MONTHS + [m[:3] for m in MONTHS])
 EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@"
@@ -214,6 +222,29 @@ NUMBERS = [("iban", IBAN, iban),
            *[("date", pattern, (lambda o: lambda p, m: date(p, m, o))(order))
              for pattern, order in DATES],
            ("card", CARD, card), ("ssn", SSN, ssn), ("ip", IP, ip), ("phone", PHONE, phone)]
+
+
+def iban_ends(m) -> list[int]:
+    """Where the value may end: at its country's length, then as found; for unknown countries at
+    each gap, from the last."""
+    at = [k for k in range(m.start(), m.end()) if m.string[k] != " "]
+    size = IBAN_SIZES.get(m.group()[:2])
+    if size is None:
+        gaps = [k for k in range(m.start(), m.end()) if m.string[k] == " "]
+        return [m.end(), *reversed(gaps)]
+    cut = at[size - 1] + 1 if len(at) >= size else m.end()
+    whole = cut == m.end() or m.string[cut] == " "
+    return [cut, m.end()] if whole and cut < m.end() else [m.end()]
+
+
+def card_ends(m) -> list[int]:
+    """As found, then without a last group of three digits."""
+    shorter = re.search(r"[ -][0-9]{3}$", m.group())
+    return [m.end(), *([m.start() + shorter.start()] if shorter else [])]
+
+
+#: Where a value that was found may end, likeliest first; other kinds have one reading.
+ENDS = {"iban": iban_ends, "card": card_ends}
 HAS_DIGIT = re.compile("[0-9]")
 
 
@@ -226,11 +257,17 @@ def find(text: str, permuter: Permuter) -> list[tuple[int, int, str, str]]:
         kinds += NUMBERS
     found: list = []
     for kind, pattern, change in kinds:
-        for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _, _ in found):
-                continue
-            if (new := change(permuter, m)) is not None:
-                found.append((m.start(), m.end(), kind, new))
+        at = 0
+        while m := pattern.search(text, at):
+            at = m.start() + 1  # what is no value hides none that starts inside it
+            for end in ENDS[kind](m) if kind in ENDS else [m.end()]:
+                if any(a < end and m.start() < b for a, b, _, _ in found):
+                    continue
+                part = m if end == m.end() else pattern.fullmatch(text, m.start(), end)
+                if part and (new := change(permuter, part)) is not None:
+                    found.append((m.start(), end, kind, new))
+                    at = end
+                    break
     return sorted(found)
 
 

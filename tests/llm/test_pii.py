@@ -82,3 +82,17 @@ def test_tables(docs, clashing, prose):
         None, "en"].text
     assert rows[1, "en"]._pii == "x" and rows[1, "en"].n_chars == 21
     assert out.count() == 5 and pii.pseudonymise(table.limit(0), KEY).count() == 0
+
+
+@pytest.mark.parametrize("value, after", [
+    ("BE68 5390 0754 7034", " BIC"), ("AT611904300234573201", " BIC"),
+    ("ES91 2100 0418 4502 0005 1332", " IBAN"), ("BE68 5390 0754 7034", " KREDBEBB"),
+    ("4111 1111 1111 1111", " 123"), ("4111-1111-1111-1111", "-123")])
+def test_values_end_before_the_next_word(value, after):
+    alone = new(f"see {value}.")[4:-1]
+    assert alone != value and new(f"see {value}{after}.") == f"see {alone}{after}."
+
+
+def test_a_number_before_a_card_hides_it_not():
+    card = new("4111 1111 1111 1111")
+    assert new("1234 4111 1111 1111 1111") == f"1234 {card}" != "1234 4111 1111 1111 1111"

@@ -11,11 +11,12 @@ kind        found and checked                                        kept
 ==========  =======================================================  =====================
 email       address with a dotted domain                             shape, last label
 iban        country, mod 97                                          country, letters' places
-date        ISO, day/month/year, day.month.year, English month name  spelling; 1900 to 2099
+date        ISO, year/month/day, day/month/year, day.month.year      spelling; 1 to 999, to
+            (also two-digit years), English month name, ordinals     1899, to 2099, later
 card        13 to 19 digits, plain or grouped, Luhn                  first digit, Luhn
 ssn         AAA-GG-SSSS in the valid ranges                          the ranges
 ip          four octets up to 255                                    four octets
-phone       ``+`` and 8 to 15 digits, or (AAA) EEE-NNNN              country code
+phone       ``+`` and 8 to 15 digits, (AAA) EEE-NNNN, AAA-EEE-NNNN   country code
 ==========  =======================================================  =====================
 
 Numbers that fail their check are no such value and stay. Texts without a digit or an ``@``
@@ -40,8 +41,10 @@ ROUNDS = 8
 # Month names, and days that dates are permuted among.
 MONTHS = ("january february march april may june july august september october november "
           "december").split()
-FIRST_DAY = dt.date(1900, 1, 1).toordinal()
-DAYS = dt.date(2100, 1, 1).toordinal() - FIRST_DAY
+SPANS = [(kind, dt.date(first, 1, 1).toordinal(), dt.date(last, 12, 31).toordinal())
+         for kind, first, last in (("date first", 1, 999), ("date early", 1000, 1899),
+                                   ("date", 1900, 2099), ("date late", 2100, 9999))]
+PIVOT = 30  # two-digit years from here on are of the 1900s
 
 #: Lengths of IBANs by country.
 IBAN_SIZES = {x[:2]: int(x[2:]) for x in (
@@ -52,22 +55,31 @@ IBAN_SIZES = {x[:2]: int(x[2:]) for x in (
     "TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
 
 START, STOP = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
-_NAMES = "|".join(MONTHS + [m[:3] for m in MONTHS])
+_NAMES = "|".join(MONTHS + ["sept"] + [m[:3] for m in MONTHS])
+_TH = "(?:st|nd|rd|th)?"
 EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@"
                    r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.ASCII)
 IBAN = re.compile(START + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + STOP)
 DATES = [
-    (re.compile(START + r"([0-9]{4})(-)([0-9]{1,2})(-)([0-9]{1,2})" + STOP), "ymd"),
-    (re.compile(START + r"([0-9]{1,2})([/.-])([0-9]{1,2})(\2)([0-9]{4})" + STOP), "dmy"),
-    (re.compile(START + rf"([0-9]{{1,2}})( )({_NAMES})(,? )([0-9]{{4}})" + STOP, re.I), "dmy"),
-    (re.compile(START + rf"({_NAMES})( )([0-9]{{1,2}})(,? )([0-9]{{4}})" + STOP, re.I), "mdy"),
+    (re.compile(START + r"([0-9]{4})([-/.])([0-9]{1,2})(\2)([0-9]{1,2})"
+                rf"(?:(?=[Tt][0-9]{{2}})|{STOP})"), "ymd"),
+    (re.compile(START + r"([0-9]{1,2})([/.-])([0-9]{1,2})(\2)([0-9]{4})"
+                rf"(?:(?=[Tt][0-9]{{2}})|{STOP})"), "dmy"),
+    (re.compile(START + rf"([0-9]{{1,2}})({_TH}(?: (?:of )?|-))({_NAMES})(\.?,? |-)([0-9]{{4}})"
+                + STOP, re.I), "dmy"),
+    (re.compile(START + rf"({_NAMES})(\.? )([0-9]{{1,2}})({_TH},? )([0-9]{{4}})" + STOP, re.I),
+     "mdy"),
 ]
+#: Looked for last: parts of other values look like it.
+SHORT_DATE = re.compile(r"(?<![0-9A-Za-z./+-])([0-9]{1,2})([/.-])([0-9]{1,2})(\2)([0-9]{2})"
+                        r"(?![./-]?[0-9A-Za-z])")
 CARD = re.compile(START + r"(?:[0-9]{13,19}"
                   r"|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?"
                   r"|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})" + STOP)
 SSN = re.compile(START + r"([0-9]{3})-([0-9]{2})-([0-9]{4})" + STOP)
 IP = re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])")
 PHONE = re.compile(r"(?<![0-9A-Za-z+])(?:(?:\+1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}"
+                   r"|[0-9]{3}(?P<mark>[.-])[0-9]{3}(?P=mark)[0-9]{4}"
                    r"|\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
                    r"|\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?!\)))" + STOP)
 
@@ -156,26 +168,39 @@ def date(p: Permuter, m, order: str) -> str | None:
     named = not parts["m"].isdigit()
     month = [x[:3] for x in MONTHS].index(parts["m"][:3].lower()) + 1 if named else int(parts["m"])
     year, day = int(parts["y"]), int(parts["d"])
+    short = len(parts["y"]) == 2
+    if short:
+        year += 1900 if year >= PIVOT else 2000
     swapped = month > 12 and order == "dmy" and not named  # month first
     if swapped:
         day, month = month, day
     try:
-        rank = dt.date(year, month, day).toordinal() - FIRST_DAY
+        number = dt.date(year, month, day).toordinal()
     except ValueError:
         return None
-    if not 0 <= rank < DAYS:
-        return None
-    new = dt.date.fromordinal(FIRST_DAY + p.permute("date", DAYS, rank))
-    d, mo = (new.month, new.day) if swapped else (new.day, new.month)
-    if named:
-        text = MONTHS[new.month - 1]
-        text = text[:3] if len(parts["m"]) == 3 else text
-        old = parts["m"]
-        shown = text.upper() if old.isupper() else text.capitalize() if old[0].isupper() else text
-    else:
-        shown = str(mo).zfill(len(parts["m"]))
-    out = {"y": f"{new.year:04d}", "m": shown, "d": str(d).zfill(len(parts["d"]))}
-    return out[order[0]] + m.group(2) + out[order[1]] + m.group(4) + out[order[2]]
+    kind, first, last = next(x for x in SPANS if x[1] <= number <= x[2])
+    whole = m.group()
+    while whole == m.group():  # two-digit years of two centuries are written alike
+        number = first + p.permute(kind, last - first + 1, number - first)
+        new = dt.date.fromordinal(number)
+        d, mo = (new.month, new.day) if swapped else (new.day, new.month)
+        if named:
+            old = parts["m"]
+            text = MONTHS[new.month - 1]
+            text = text[:3] if len(old) == 3 or old.lower() == "sept" else text
+            shown = (text.upper() if old.isupper() else text.capitalize() if old[0].isupper()
+                     else text)
+        else:
+            shown = str(mo).zfill(len(parts["m"]))
+        year = f"{new.year % 100:02d}" if short else f"{new.year:04d}"
+        out = {"y": year, "m": shown, "d": str(d).zfill(len(parts["d"]))}
+        gaps = [m.group(2), m.group(4)]
+        k = order.index("d")
+        if k < 2 and (th := re.match("st|nd|rd|th", gaps[k], re.I)):
+            end = "th" if d in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(d % 10, "th")
+            gaps[k] = (end.upper() if th.group().isupper() else end) + gaps[k][2:]
+        whole = out[order[0]] + gaps[0] + out[order[1]] + gaps[1] + out[order[2]]
+    return whole
 
 
 def card(p: Permuter, m) -> str | None:
@@ -221,7 +246,8 @@ def phone(p: Permuter, m) -> str | None:
 NUMBERS = [("iban", IBAN, iban),
            *[("date", pattern, (lambda o: lambda p, m: date(p, m, o))(order))
              for pattern, order in DATES],
-           ("card", CARD, card), ("ssn", SSN, ssn), ("ip", IP, ip), ("phone", PHONE, phone)]
+           ("card", CARD, card), ("ssn", SSN, ssn), ("ip", IP, ip), ("phone", PHONE, phone),
+           ("date", SHORT_DATE, lambda p, m: date(p, m, "dmy"))]
 
 
 def iban_ends(m) -> list[int]:

@@ -96,3 +96,24 @@ def test_values_end_before_the_next_word(value, after):
 def test_a_number_before_a_card_hides_it_not():
     card = new("4111 1111 1111 1111")
     assert new("1234 4111 1111 1111 1111") == f"1234 {card}" != "1234 4111 1111 1111 1111"
+
+
+@pytest.mark.parametrize("text, form", [
+    ("2021-03-04T10:00:00Z", r"\d{4}-\d\d-\d\dT10:00:00Z"), ("2021/03/04", r"\d{4}/\d\d/\d\d"),
+    ("04/03/85", r"\d\d/\d\d/\d\d"), ("5th March 2020", r"\d+(st|nd|rd|th) [A-Z][a-z]+ \d{4}"),
+    ("5 Sept 2020", r"\d+ [A-Z][a-z]{2} \d{4}"), ("Jan. 5, 2020", r"[A-Z][a-z]{2}\. \d+, \d{4}"),
+    ("12 May 1867", r"\d+ [A-Z][a-z]{2} 1\d{3}"), ("415-555-0123", r"\d{3}-\d{3}-\d{4}"),
+    ("415.555.0123", r"\d{3}\.\d{3}\.\d{4}")])
+def test_everyday_formats(text, form):
+    out = new(f"see {text}.")[4:-1]
+    assert out != text and re.fullmatch(form, out)
+
+
+def test_everyday_formats_are_linked_and_checked():
+    day = new("2021-03-04|2021-03-04T10:00:00Z|2021/03/04|04/03/21|4th March 2021").split("|")
+    assert day[1] == day[0] + "T10:00:00Z" and day[2] == day[0].replace("-", "/")
+    assert day[3].split("/") == [day[0][8:], day[0][5:7], day[0][2:4]]
+    assert re.match(r"\d+", day[4]).group() == str(int(day[0][8:]))
+    assert new("(415) 555-0123")[1:4] == new("415-555-0123")[:3]
+    for text in ("31/02/85", "45/45/85", "31st February 2020", "1.2.34.5.6", "2021/13/14"):
+        assert new(text) == text

@@ -10,8 +10,8 @@ A line fails by one of three rules:
 * boilerplate: a license, copyright, cookie or log-in notice of at most ``NOTICE_WORDS`` words.
 
 A document is rejected if the base measures fail it, or if the lines lost to punctuation and
-navigation hold more than ``MOST_LOST`` percent of its words. Notices are cut out but never
-reject a document.
+navigation hold more than ``MOST_LOST`` percent of its words. Notices are cut out and don't count
+for that verdict; ``clean`` also drops a document if what is left of it fails the base measures.
 
 Defined cases: null or empty text has no words, so ``base_failed``; lines without a word are
 kept as they are; repeated rows are judged one by one; a null ``doc_id`` is passed through.
@@ -71,6 +71,15 @@ def repeated_words(items: Column, windows: Column) -> Column:
             .otherwise(F.lit(0).cast("long")))
 
 
+def windows_of(w: Column) -> Column:
+    """A hash for each window of ``WINDOW`` words."""
+    n = F.size(w)
+    return (F.when(n >= WINDOW, F.transform(
+        F.slice(w, 1, n - WINDOW + 1),
+        lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, WINDOW)])))
+        .otherwise(F.array().cast("array<bigint>")))
+
+
 def line_verdicts(text: Column) -> Column:
     """Per line: its text, its words, and the rule it fails (null: none)."""
     def verdict(line):
@@ -113,10 +122,7 @@ def assess(documents: DataFrame, text_col: str = "text", prefix: str = "q_") ->
     p = prefix
     df = documents.withColumn(f"{p}words", words(F.col(text_col)))
     w, n = F.col(f"{p}words"), F.size(F.col(f"{p}words"))
-    df = df.withColumn(f"{p}windows", F.when(n >= WINDOW, F.transform(
-        F.slice(w, 1, n - WINDOW + 1),
-        lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, WINDOW)])))
-        .otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn(f"{p}windows", windows_of(w))
     df = df.withColumn(f"{p}marks", F.regexp_replace(text, MARKS, ""))
     df = df.withColumn(f"{p}low", F.lower(text))
     marks = F.col(f"{p}marks")
@@ -148,12 +154,22 @@ def assess(documents: DataFrame, text_col: str = "text", prefix: str = "q_") ->
 
 
 def clean(documents: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """The documents that pass, with their failing lines cut out and ``chars_col`` to match."""
+    """The documents that pass, with their failing lines cut out and ``chars_col`` to match.
+
+    What is left after a cut must pass the base rules too, so no document is kept without text.
+    """
     q = fresh(documents.columns, "q_")
     text = F.col(f"{q}text")
+    same = text == F.col(text_col)
     new = {text_col: text}
     if chars_col in documents.columns:
-        new[chars_col] = F.when(text == F.col(text_col), F.col(chars_col)).otherwise(
+        new[chars_col] = F.when(same, F.col(chars_col)).otherwise(
             F.char_length(text).cast("long"))
-    return (assess(documents, text_col, q).where(f"{q}kept")
-            .select(*[new.get(c, F.col(c)).alias(c) for c in documents.columns]))
+    left, n_left = F.col(f"{q}left"), F.size(F.col(f"{q}left"))
+    df = (assess(documents, text_col, q).where(f"{q}kept")
+          .withColumn(f"{q}left", words(F.when(~same, text)))
+          .withColumn(f"{q}left_windows", windows_of(left)))
+    passes = (n_left >= LEAST_WORDS) & (
+        100 * repeated_words(left, F.col(f"{q}left_windows")) <= MOST_REPEATED * n_left)
+    return df.where(same | passes).select(
+        *[new.get(c, F.col(c)).alias(c) for c in documents.columns])

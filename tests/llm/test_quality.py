@@ -53,3 +53,11 @@ def test_clean_keeps_columns_and_null_ids(docs, clashing, prose):
 def test_main_path_has_no_python(docs):
     plan = quality.clean(docs(["a"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_clean_drops_what_notices_leave_empty(docs, prose):
+    notices = "Licensed under the MIT License\nAll rights reserved by us.\nPlease enable cookies"
+    texts = [notices, notices + "\nand four words more", notices + "\n" + prose(8, 12),
+             notices + "\n" + "a b c d e f " * 2 + "\n" + "some other words", prose(9, 12)]
+    assert [r.doc_id for r in quality.assess(docs(texts)).where("q_kept").collect()][:3] == [0, 1, 2]
+    assert sorted(r.doc_id for r in quality.clean(docs(texts)).collect()) == [2, 4]

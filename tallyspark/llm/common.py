@@ -33,6 +33,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write a frame as a bucketed table in the shared folder and read it back: joins on ``key``
+    leave its rows where they are and shuffle the other side alone."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_folder(spark, name)
+    table = f"corpus_{name}_{uuid.uuid4().hex}"
+    (df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key)
+     .option("path", path).saveAsTable(table))
+    return spark.table(table)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no frame in use reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each context."""
     context = spark.sparkContext

@@ -4,8 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspark.llm import (decontaminate, langid, neardup, packing, pii, quality, secretscan,
-                            sharding, tokenfile, warc)
+from tallyspark.llm import (capfilters, decontaminate, langid, neardup, packing, pii, quality,
+                            secretscan, sharding, tokenfile, vafile, vectorcodes, warc)
 from tallyspark.llm.common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,91 @@ def op5(spark, sf_dir):
 def op9(spark, sf_dir):
     """Every candidate string of every document with the forest's verdict."""
     return secretscan.scan(read(spark, sf_dir, "documents"))
+
+
+#: Floor of a quotient of integers, for a positive divisor.
+def floored(a: str, n: str) -> str:
+    return f"(({a}) - ((({a}) % ({n})) + ({n})) % ({n})) // ({n})"
+
+
+def clusters_sql() -> str:
+    v, d = vafile, vafile.DIMENSIONS
+    far = "list_sum(list_transform(list_zip(x, c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
+    rounds = "".join(f"""
+a{r} as (select rid, k, x, far from (
+    select rid, k, x, {far}::bigint far, row_number() over (
+      partition by rid order by {far}, k) r from v, c{r}) where r = 1),""" + (f"""
+m{r} as (select k, list(q order by pos) c from (
+    select k, pos, {floored('sum(v)::bigint', 'count(*)')} q from (
+      select k, generate_subscripts(x, 1) pos, unnest(x) v from a{r}) group by k, pos) group by k),
+c{r + 1} as (select c{r}.k, coalesce(m{r}.c, c{r}.c) c from c{r} left join m{r} using (k)),"""
+                        if r < v.ROUNDS else "") for r in range(v.ROUNDS + 1))
+    last = v.ROUNDS
+    return f"""
+with e as (select row_number() over () rid, vec_id,
+       list_transform(embedding, lambda t: floor({v.SCALE}::double * t::double)::bigint) x
+       from embeddings where len(embedding) = {d}
+       and len(list_filter(embedding, lambda t: isfinite(t))) = {d}),
+v as materialized (select * from e),
+c0 as (select row_number() over (order by h, x) - 1 k, x c from (
+       select sha256('2:' || vec_id) h, x from v order by h nulls last, x limit {v.CENTROIDS})),
+{rounds}
+s as (select k, sum(far)::bigint s from a{last} group by k),
+f as (select k, sha256(array_to_string(c, ',')) h from c{last})
+select vec_id, k::int as cluster, far as distance, s as cluster_inertia,
+       (select sum(s)::bigint from s) as inertia, h as centroid_sha256
+from a{last} join v using (rid) join s using (k) join f using (k)"""
+
+
+def codes_sql() -> str:
+    v = vectorcodes
+    far = "list_sum(list_transform(list_zip(x, c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
+    rounds = "".join(f"""
+a{r} as (select rid, p, k, x, far from (
+    select rid, v.p, k, x, {far}::bigint far, row_number() over (
+      partition by rid, v.p order by {far}, k) r from v join c{r} on v.p = c{r}.p) where r = 1),"""
+                     + (f"""
+m{r} as (select p, k, list(q order by pos) c from (
+    select p, k, pos, {floored('sum(v)::bigint', 'count(*)')} q from (
+      select p, k, generate_subscripts(x, 1) pos, unnest(x) v from a{r})
+    group by p, k, pos) group by p, k),
+c{r + 1} as (select c{r}.p, c{r}.k, coalesce(m{r}.c, c{r}.c) c
+             from c{r} left join m{r} on c{r}.p = m{r}.p and c{r}.k = m{r}.k),"""
+                        if r < v.ROUNDS else "") for r in range(v.ROUNDS + 1))
+    last = v.ROUNDS
+    return f"""
+with e as (select row_number() over () rid, vec_id, label,
+       list_transform(embedding, lambda t: floor({v.SCALE}::double * t::double)::bigint) y
+       from embeddings where len(embedding) > 0
+       and len(list_filter(embedding, lambda t: isfinite(t))) = len(embedding)),
+v as materialized (select rid, p, list_slice(y, p * (len(y) // {v.PARTS}) + 1,
+                          (p + 1) * (len(y) // {v.PARTS})) x
+      from e, range({v.PARTS}) t(p)),
+f as (select rid, row_number() over (order by vec_id, y) - 1 k from e
+      order by vec_id nulls last, y limit {v.ENTRIES}),
+c0 as (select p, k, x c from v join f using (rid)),
+{rounds}
+o as (select rid, string_agg(printf('%02x', k), '' order by p) code, sum(far)::bigint error
+      from a{last} group by rid),
+l as (select rid, code, error, vec_id, label from o join e using (rid)),
+h as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, k)) h from c{last})
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+       h as codebooks_sha256 from l, h"""
+
+
+@register("op11_clusters", clusters_sql())
+def op11(spark, sf_dir):
+    """Every vector's cluster after five rounds of k-means over a VA-file."""
+    return vafile.clusters(read(spark, sf_dir, "embeddings"))
+
+
+@register("op12_vector_codes", codes_sql())
+def op12(spark, sf_dir):
+    """Every vector's product code after six rounds of training."""
+    return vectorcodes.codes(read(spark, sf_dir, "embeddings"))
+
+
+@register("op13_near_vectors")
+def op13(spark, sf_dir):
+    """Every vector's links and component at a cosine of 0.95."""
+    return capfilters.groups(read(spark, sf_dir, "embeddings"))

@@ -165,11 +165,11 @@ def clean(documents: DataFrame, text_col: str = "text", chars_col: str = "n_char
     if chars_col in documents.columns:
         new[chars_col] = F.when(same, F.col(chars_col)).otherwise(
             F.char_length(text).cast("long"))
-    left, n_left = F.col(f"{q}left"), F.size(F.col(f"{q}left"))
-    df = (assess(documents, text_col, q).where(f"{q}kept")
-          .withColumn(f"{q}left", words(F.when(~same, text)))
-          .withColumn(f"{q}left_windows", windows_of(left)))
-    passes = (n_left >= LEAST_WORDS) & (
-        100 * repeated_words(left, F.col(f"{q}left_windows")) <= MOST_REPEATED * n_left)
-    return df.where(same | passes).select(
+    df = once(assess(documents, text_col, q).where(f"{q}kept"), f"{q}left",
+              words(F.when(~same, text)))
+    left = F.col(f"{q}left")
+    df = once(df, f"{q}left_windows", windows_of(left))
+    df = once(df, f"{q}passes", (F.size(left) >= LEAST_WORDS) & (
+        100 * repeated_words(left, F.col(f"{q}left_windows")) <= MOST_REPEATED * F.size(left)))
+    return df.where(same | F.col(f"{q}passes")).select(
         *[new.get(c, F.col(c)).alias(c) for c in documents.columns])

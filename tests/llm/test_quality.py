@@ -1,5 +1,6 @@
 import collections
 import re
+import time
 
 from tallyspark.llm import quality
 
@@ -61,3 +62,15 @@ def test_clean_drops_what_notices_leave_empty(docs, prose):
              notices + "\n" + "a b c d e f " * 2 + "\n" + "some other words", prose(9, 12)]
     assert [r.doc_id for r in quality.assess(docs(texts)).where("q_kept").collect()][:3] == [0, 1, 2]
     assert sorted(r.doc_id for r in quality.clean(docs(texts)).collect()) == [2, 4]
+
+
+def test_long_cut_texts_are_split_once(docs, prose):
+    """Time grows with the words of a cut text, not with their square."""
+    table = docs([prose(10, 20_000) + "\nhome | about | help | login", prose(11, 30)])
+    plan = quality.clean(table)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.split("\n") if "Filter " in line]
+    assert filters and not any("split(" in line for line in filters)
+    start = time.monotonic()
+    rows = quality.clean(table).collect()
+    assert time.monotonic() - start < 30
+    assert {r.doc_id: r.text for r in rows} == {0: prose(10, 20_000), 1: prose(11, 30)}

@@ -9,9 +9,13 @@ A line fails by one of three rules:
   ``/``) and these are at least a fifth of them;
 * boilerplate: a license, copyright, cookie or log-in notice of at most ``NOTICE_WORDS`` words.
 
-A document is rejected if the base measures fail it, or if the lines lost to punctuation and
-navigation hold more than ``MOST_LOST`` percent of its words. Notices are cut out and don't count
-for that verdict; ``clean`` also drops a document if what is left of it fails the base measures.
+Symbols that mean something are not counted: Markdown's heading and quote marks, emphasis, line
+of marks under a heading, table row; operators of code and the marks around comments; two or
+three marks that end a line.
+
+A document is rejected if the base measures fail it, or if the lines lost to any rule hold more
+than ``MOST_LOST`` percent of its words. ``clean`` also drops a document if what is left of it
+after its cuts fails the base measures.
 
 Defined cases: null or empty text has no words, so ``base_failed``; lines without a word are
 kept as they are; repeated rows are judged one by one; a null ``doc_id`` is passed through.
@@ -35,6 +39,17 @@ MARKS = r"[^#*$%&<>~^=_!?|»·/]+"
 SYMBOL = r"[^#*$%&|<>]+"
 RUN = r"[#*$%&<>~^=_!?|]{2,}"
 SEPARATOR = r"^[|»>·/]+$"
+# What has a meaning, in the order of its removal: a pattern and what takes its place.
+MEANT = (
+    (r"^[\x20\t]*(#+|\*+|=+|_+|~+|\^+)[\x20\t\r]*$", ""),
+    (r"^[\x20\t]*(/\*\*+|<!--|<\?|#!)|(\*\*+/|\?>)[\x20\t\r]*$", ""),
+    (r"(?:\*\*|__|~~)([^\s*_~](?:[^*_~]*[^\s*_~])?)(?:\*\*|__|~~)", r"\1"),
+    (r"^[\x20\t]*(?:#{1,6}|//+|>[>\x20]*)[\x20\t]+", ""),
+    (r"(^|[\x20\t]|[\p{L}0-9_)\]\"'])(?:===|!==|==|!=|<=|>=|&&|\|\||=>|->|<<|>>|<>|\*\*|__)"
+     r"($|[\x20\t]|[\p{L}0-9_(\[\"'!:;,-])", r"\1 \2"),
+    (r"[?!]{2,3}([)\"'\x20\t\r]*)$", r"!\1"),
+)
+TABLE_ROW = r"^[\x20\t]*\|.*\|[\x20\t\r]*$"
 NOTICE = (r"all rights reserved|licen[sc]ed under|released under|general public license|"
           r"creative commons|copyright (\(c\)|©|[0-9]{4})|terms of (use|service)|"
           r"privacy policy|(use|uses|accept|enable) (of )?cookies|enable javascript")
@@ -80,20 +95,30 @@ def windows_of(w: Column) -> Column:
         .otherwise(F.array().cast("array<bigint>")))
 
 
+def without_meant(line: Column) -> Column:
+    """The line without the symbols that mean something."""
+    out = line
+    for pattern, instead in MEANT:
+        out = F.regexp_replace(out, pattern, instead.replace("\\", "$"))
+    return F.when(line.rlike(f"{RUN}|[|»>·/]"), out).otherwise(line)
+
+
 def line_verdicts(text: Column) -> Column:
     """Per line: its text, its words, and the rule it fails (null: none)."""
     def verdict(line):
         def of(tokens):
-            n = F.size(tokens)
-            runs = F.size(F.filter(tokens, lambda w: w.rlike(RUN)))
-            menu = F.size(F.filter(tokens, lambda w: w.rlike(SEPARATOR)))
+            n = F.size(tokens["all"])
+            runs = F.size(F.filter(tokens["judged"], lambda w: w.rlike(RUN)))
+            menu = F.size(F.filter(tokens["judged"], lambda w: w.rlike(SEPARATOR)))
             rule = (F.when(n == 0, F.lit(None).cast("string"))
-                    .when(5 * runs >= n, F.lit("punctuation"))
-                    .when((menu >= 2) & (5 * menu >= n), F.lit("navigation"))
+                    .when((runs > 0) & (5 * runs >= n), F.lit("punctuation"))
+                    .when((menu >= 2) & (5 * menu >= n) & ~line.rlike(TABLE_ROW),
+                          F.lit("navigation"))
                     .when((n <= NOTICE_WORDS) & F.lower(line).rlike(NOTICE),
                           F.lit("boilerplate")))
             return F.struct(line.alias("line"), n.cast("long").alias("n"), rule.alias("rule"))
-        return F.get(F.transform(F.array(words(line)), of), F.lit(0))
+        tokens = F.struct(words(line).alias("all"), words(without_meant(line)).alias("judged"))
+        return F.get(F.transform(F.array(tokens), of), F.lit(0))
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), verdict)
 
 
@@ -148,7 +173,8 @@ def assess(documents: DataFrame, text_col: str = "text", prefix: str = "q_") ->
                 "lost_punctuation", "lost_navigation", "lost_boilerplate", "text"]
     failed = ((m["n_words"] < LEAST_WORDS)
               | (100 * m["n_repeat_words"] > MOST_REPEATED * m["n_words"]))
-    lost = 100 * (m["lost_punctuation"] + m["lost_navigation"]) > MOST_LOST * m["n_words"]
+    lost = (100 * (m["lost_punctuation"] + m["lost_navigation"] + m["lost_boilerplate"])
+            > MOST_LOST * m["n_words"])
     return df.select(*documents.columns, *[m[x].alias(f"{p}{x}") for x in measures],
                      failed.alias(f"{p}base_failed"), (~failed & ~lost).alias(f"{p}kept"))
 

@@ -52,6 +52,9 @@ def op8(spark, sf_dir):
 def quality_sql() -> str:
     q = quality
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+    judged = "line"
+    for pattern, instead in q.MEANT:
+        judged = f"regexp_replace({judged}, {quote(pattern)}, {quote(instead)}, 'g')"
     return f"""
 with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
 w as (select *, regexp_extract_all(t, {quote(q.WORD + '+')}) w from d),
@@ -62,13 +65,16 @@ r as (select rid, count(distinct pos) n_repeat_words
       from (select rid, unnest(range(i, i + {q.WINDOW})) pos from c where n > 1) group by rid),
 l as (select rid, line, regexp_extract_all(line, {quote(q.WORD + '+')}) lw
       from (select rid, unnest(string_split(t, chr(10))) line from d)),
-m as (select rid, line, len(lw) n,
-             len(list_filter(lw, lambda x: regexp_matches(x, {quote(q.RUN)}))) runs,
-             len(list_filter(lw, lambda x: regexp_matches(x, {quote(q.SEPARATOR)}))) menu
+j as (select rid, line, lw, regexp_extract_all({judged}, {quote(q.WORD + '+')}) jw
       from l where len(lw) > 0),
+m as (select rid, line, len(lw) n,
+             len(list_filter(jw, lambda x: regexp_matches(x, {quote(q.RUN)}))) runs,
+             len(list_filter(jw, lambda x: regexp_matches(x, {quote(q.SEPARATOR)}))) menu
+      from j),
 v as (select rid, line, n, case
-        when 5 * runs >= n then 'punctuation'
-        when menu >= 2 and 5 * menu >= n then 'navigation'
+        when runs > 0 and 5 * runs >= n then 'punctuation'
+        when menu >= 2 and 5 * menu >= n
+             and not regexp_matches(line, {quote(q.TABLE_ROW)}) then 'navigation'
         when n <= {q.NOTICE_WORDS} and regexp_matches(lower(line), {quote(q.NOTICE)})
         then 'boilerplate' end rule_ from m),
 s as (select rid, count(*) - count(distinct line) n_dup_lines,
@@ -84,7 +90,7 @@ a as (select doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::big
       from w left join s using (rid) left join r using (rid)),
 b as (select *, n_words < {q.LEAST_WORDS}
                 or 100 * n_repeat_words > {q.MOST_REPEATED} * n_words as base_failed from a)
-select *, not base_failed and 100 * (lost_punctuation + lost_navigation)
+select *, not base_failed and 100 * (lost_punctuation + lost_navigation + lost_boilerplate)
           <= {q.MOST_LOST} * n_words as kept from b"""
 
 

@@ -29,12 +29,12 @@ def test_rules_cut_lines_and_reject_documents(docs, prose):
     texts = [good, good + "\nAll rights reserved.", good + "\nhome | about | help | login",
              "first line here\n" + " ".join(w + "***" for w in prose(6, 40).split()),
              "some words first\n" + " | ".join(prose(7, 40).split()),
-             "Licensed under the MIT License\nAll rights reserved.\n" + prose(8, 12)]
+             "Licensed under the MIT License\nAll rights reserved.\n" + prose(8, 22)]
     rows = {r.doc_id: r for r in quality.assess(docs(texts)).collect()}
     assert [rows[i].q_kept for i in range(6)] == [True, True, True, False, False, True]
     assert rows[0].q_text == texts[0]
     assert rows[1].q_text == good and rows[2].q_text == good
-    assert rows[5].q_text == prose(8, 12)
+    assert rows[5].q_text == prose(8, 22)
     assert rows[3].q_lost_punctuation == 40 and rows[4].q_lost_navigation == 79
 
 
@@ -56,12 +56,65 @@ def test_main_path_has_no_python(docs):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
-def test_clean_drops_what_notices_leave_empty(docs, prose):
+def test_notices_count_for_the_verdict(docs, prose):
     notices = "Licensed under the MIT License\nAll rights reserved by us.\nPlease enable cookies"
-    texts = [notices, notices + "\nand four words more", notices + "\n" + prose(8, 12),
-             notices + "\n" + "a b c d e f " * 2 + "\n" + "some other words", prose(9, 12)]
-    assert [r.doc_id for r in quality.assess(docs(texts)).where("q_kept").collect()][:3] == [0, 1, 2]
-    assert sorted(r.doc_id for r in quality.clean(docs(texts)).collect()) == [2, 4]
+    texts = [notices, notices + "\nand four words more", notices + "\n" + prose(8, 31),
+             notices + "\n" + prose(8, 29), prose(9, 12)]
+    found = {r.doc_id: r for r in quality.assess(docs(texts)).collect()}
+    assert [found[i].q_lost_boilerplate for i in range(5)] == [13, 13, 13, 13, 0]
+    assert [found[i].q_kept for i in range(5)] == [False, False, True, False, True]
+    assert {r.doc_id: r.text for r in quality.clean(docs(texts)).collect()} == {
+        2: prose(8, 31), 4: prose(9, 12)}
+
+
+def test_clean_drops_what_cuts_leave_repeated(docs, prose):
+    text = "a b c d e f " * 2 + prose(3, 60) + "\n" + prose(4, 20) + "\nhome | about | help"
+    short = prose(5, 9) + "\na | b | c"
+    rows = quality.clean(docs([text, short])).collect()
+    assert [r.doc_id for r in rows] == [0]
+
+
+MARKDOWN = """# A Heading
+
+Some **bold words** and __more__ of them, with ~~old~~ text. Is it really so?!
+
+Underlined
+==========
+
+> quoted > text here
+>> and deeper | text
+
+| name | value |
+|------|-------|
+| a    | b     |
+
+***
+
+## Second heading
+Wow!!"""
+
+CODE = """#!/bin/sh
+/** A comment. */
+def __init__(self, *args, **kwargs):
+    if a == b and c != d && x || y:
+        return a <= b >= c
+template: vector<vector<int>> x = y->z << 3;
+items.map(x => x === 1);
+<!-- markup -->
+<?php echo 1; ?>
+// a path / that / is described in some words of a comment here"""
+
+
+def test_markdown_and_code_pass_unchanged(docs):
+    found = quality.assess(docs([MARKDOWN, CODE])).collect()
+    assert all(r.q_kept for r in found)
+    assert {r.doc_id: r.q_text for r in found} == {0: MARKDOWN, 1: CODE}
+
+
+def test_shouts_and_symbol_junk_fail(docs, prose):
+    junk = [" ".join(w + mark for w in prose(k, 30).split())
+            for k, mark in enumerate(["!!", "***", "&&&", "###", "$$$", "%%%"])]
+    assert not any(r.q_kept for r in quality.assess(docs(junk)).collect())
 
 
 def test_long_cut_texts_are_split_once(docs, prose):

@@ -422,10 +422,9 @@ VALIDATION_WARNINGS = {
 ML_MIN_DOC_FREQ = 2
 ML_MAX_FEATURES = 10_000
 ML_MAX_ITERATIONS = 1000
-#: Relative progress at which Spark's optimiser stops. 1e-4 and 1e-6 did not end in 110 and 200
-#: seconds over the smallest tables' documents, so this is a stated choice (see README).
-ML_TOLERANCE = 1e-2
 ML_FOLDS = 5
+#: Hash digits of a sample's key that name its bucket when folds are dealt: 4,096 buckets a label.
+ML_FOLD_BUCKET_DIGITS = 3
 ML_MIN_CONFIDENCE = 0.65
 
 # Widths of the stored transaction columns.

@@ -1,9 +1,19 @@
-"""Learned classifier: TF-IDF of one- and two-word terms, multinomial logistic regression."""
+"""Learned classifier: TF-IDF of one- and two-word terms, multinomial logistic regression.
 
-from pyspark import StorageLevel
+Narrations repeat, so equal (terms, label) are one row with its number of samples before
+anything is fitted. Document frequencies, class weights and the loss are sums over samples,
+hence the same sums over these rows weighted by their numbers: the optimum is unchanged and a
+pass of the optimiser costs what the distinct texts cost.
+"""
+
+import math
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, IndexToString, NGram,
+from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, IndexToString, NGram,
                                 Normalizer, RegexTokenizer, SQLTransformer, StringIndexer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -14,15 +24,23 @@ from tallyspark.operators.classify import classify
 from tallyspark.operators.sinks import materialise
 
 
+def distinct_samples(terms: DataFrame, *keys: str) -> DataFrame:
+    """One row for each (keys, label, _terms) with ``n``, its number of samples."""
+    n = F.sum("n") if "n" in terms.columns else F.count(F.lit(1))
+    return terms.groupBy(*keys, "label", "_terms").agg(n.alias("n"))
+
+
 def balanced(samples: DataFrame) -> DataFrame:
-    """Add a weight per sample so that every label weighs the same in total."""
-    counts = samples.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    """Add a weight per row so that every label weighs the same in total. A row stands for
+    ``n`` samples, if there is such a column."""
+    n = F.col("n") if "n" in samples.columns else F.lit(1)
+    counts = samples.groupBy("label").agg(F.sum(n).alias("_n"))
     # One row per label: few enough for a window over all of them.
     every = Window.partitionBy(F.lit(1))
     weights = counts.select("label", (
         F.sum("_n").over(every) / (F.count(F.lit(1)).over(every) * F.col("_n")))
         .alias("weight"))
-    return samples.join(weights, "label")
+    return samples.join(weights, "label").withColumn("weight", F.col("weight") * n)
 
 
 def _tokenisers() -> list:
@@ -40,29 +58,46 @@ def _tokenised(df: DataFrame) -> DataFrame:
     return df
 
 
-def _fit_terms(terms: DataFrame) -> list:
-    """Fitted stages from terms to a named category."""
-    data = balanced(terms.select("label", "_terms")).persist(StorageLevel.MEMORY_AND_DISK)
+def vocabulary(distinct: DataFrame) -> list:
+    """The most frequent terms that enough samples hold, each with its number of samples.
+
+    At most ``ML_MAX_FEATURES`` rows; ties go by the term.
+    """
+    def marked(terms, uses, samples):
+        return F.transform(terms, lambda t: F.struct(
+            t.alias("term"), F.lit(uses).alias("uses"), F.lit(samples).alias("samples")))
+
+    held = distinct.select("n", F.explode(F.concat(
+        marked(F.col("_terms"), 1, 0), marked(F.array_distinct("_terms"), 0, 1))).alias("t"))
+    return (held.groupBy("t.term").agg(F.sum(F.col("n") * F.col("t.samples")).alias("samples"),
+                                       F.sum(F.col("n") * F.col("t.uses")).alias("uses"))
+            .where(F.col("samples") >= V.ML_MIN_DOC_FREQ)
+            .orderBy(F.desc("uses"), "term").limit(V.ML_MAX_FEATURES).collect())
+
+
+def _fit_terms(distinct: DataFrame) -> list:
+    """Fitted stages from terms to a named category; ``distinct`` has label, _terms and n."""
+    data = balanced(distinct).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         labels = StringIndexer(inputCol="label", outputCol="_label",
                                stringOrderType="alphabetAsc").fit(data)
-        counter = CountVectorizer(inputCol="_terms", outputCol="_counts",
-                                  minDF=V.ML_MIN_DOC_FREQ,
-                                  vocabSize=V.ML_MAX_FEATURES).fit(data)
-        counted = counter.transform(labels.transform(data))
-        idf = IDF(inputCol="_counts", outputCol="_idf").fit(counted)
-        # Term weight is ln((1 + n) / (1 + df)) + 1; Spark's IDF lacks the "+ 1".
-        scale = ElementwiseProduct(inputCol="_counts", outputCol="_tfidf",
-                                   scalingVec=Vectors.dense(idf.idf.toArray() + 1.0))
+        samples = data.agg(F.sum("n")).first()[0]
+        terms = vocabulary(data)
+        counter = CountVectorizerModel.from_vocabulary(
+            [r.term for r in terms], inputCol="_terms", outputCol="_counts")
+        # Term weight: ln((1 + n) / (1 + df)) + 1.
+        scale = ElementwiseProduct(
+            inputCol="_counts", outputCol="_tfidf",
+            scalingVec=Vectors.dense([math.log((1 + samples) / (1 + r.samples)) + 1
+                                      for r in terms]))
         unit = Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)
-        prepared = unit.transform(scale.transform(counted))
+        prepared = unit.transform(scale.transform(counter.transform(labels.transform(data))))
         # Weights sum to the number of samples, so C = 1 is a penalty of 1 / n.
         learner = LogisticRegression(
             family="multinomial", featuresCol="features", labelCol="_label",
-            weightCol="weight", maxIter=V.ML_MAX_ITERATIONS, regParam=1.0 / data.count(),
-            elasticNetParam=0.0, standardization=False, tol=V.ML_TOLERANCE,
-            probabilityCol="_probability", rawPredictionCol="_raw",
-            predictionCol="_prediction")
+            weightCol="weight", maxIter=V.ML_MAX_ITERATIONS, regParam=1.0 / samples,
+            elasticNetParam=0.0, standardization=False, probabilityCol="_probability",
+            rawPredictionCol="_raw", predictionCol="_prediction")
         fitted = learner.fit(prepared.select("_label", "weight", "features"))
         named = IndexToString(inputCol="_prediction", outputCol="category_ml",
                               labels=labels.labels)
@@ -77,7 +112,8 @@ def fit_classifier(samples: DataFrame) -> PipelineModel:
     The only data on the driver is the vocabulary, at most 10,000 terms, and one
     coefficient row per label.
     """
-    return PipelineModel(stages=[*_tokenisers(), *_fit_terms(_tokenised(samples))])
+    distinct = materialise(distinct_samples(_tokenised(samples)), "terms")
+    return PipelineModel(stages=[*_tokenisers(), *_fit_terms(distinct)])
 
 
 def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
@@ -98,28 +134,53 @@ def score_classifier(tx: DataFrame, model: PipelineModel) -> DataFrame:
         F.when(unsure, "rule").otherwise("ml").alias("classified_by"))
 
 
-def out_of_fold(samples: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Predictions for every sample by a model that has not seen its fold.
+def stratified_folds(samples: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Add ``fold``: every label's samples are dealt to the folds in turn, so that a label's
+    numbers in two folds differ by one at most.
 
-    Folds come from a hash of the key, so no ordering or shuffle is needed to cut
-    them. Texts are split into terms once, for all folds.
+    Samples are ordered by a hash of their key. Each bucket of hashes is numbered on its own and
+    starts where the label's earlier buckets end, which their counts tell: no label is sorted
+    as a whole, however many samples it has. Equal keys are numbered in any order.
     """
-    fold_no = F.pmod(F.xxhash64(key), F.lit(V.ML_FOLDS)).cast("int")
-    terms = materialise(_tokenised(samples.withColumn("fold", fold_no))
-                        .select("fold", "label", "_terms"), "terms")
-    result = None
-    for fold in range(V.ML_FOLDS):
-        model = PipelineModel(stages=_fit_terms(terms.where(F.col("fold") != fold)))
-        part = model.transform(terms.where(F.col("fold") == fold)).select(
-            "fold", "label", F.col("category_ml").alias("prediction"))
-        result = part if result is None else result.unionByName(part)
-    return result
+    keyed = samples.withColumn("_bucket", F.substring(
+        F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, V.ML_FOLD_BUCKET_DIGITS))
+    counts = keyed.groupBy("label", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("label").orderBy("_bucket").rowsBetween(
+        Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("label").alias("_of"), F.col("_bucket").alias("_at"),
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = Window.partitionBy("label", "_bucket").orderBy(key)
+    return (keyed.withColumn("_place", F.row_number().over(own) - 1)
+            .join(starts, F.col("label").eqNullSafe(F.col("_of"))
+                  & (F.col("_bucket") == F.col("_at")))
+            .select(*samples.columns, F.pmod(F.col("_start") + F.col("_place"),
+                                             F.lit(V.ML_FOLDS)).cast("int").alias("fold")))
+
+
+def out_of_fold(samples: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(fold, label, prediction, n): predictions by models that have not seen their fold, with
+    the number of samples they stand for. Texts are split into terms once, for all folds."""
+    terms = materialise(distinct_samples(_tokenised(stratified_folds(samples, key)), "fold"),
+                        "terms")
+
+    def one_fold(fold: int) -> DataFrame:
+        seen = distinct_samples(terms.where(F.col("fold") != fold))
+        model = PipelineModel(stages=_fit_terms(seen))
+        return model.transform(terms.where(F.col("fold") == fold)).select(
+            "fold", "label", F.col("category_ml").alias("prediction"), "n")
+
+    # A pass over few rows is mostly waiting, so the folds' optimisers run side by side.
+    with ThreadPool(V.ML_FOLDS) as pool:
+        parts = pool.map(inheritable_thread_target(samples.sparkSession)(one_fold),
+                         range(V.ML_FOLDS))
+    return materialise(reduce(DataFrame.unionByName, parts), "predictions")
 
 
 def fold_f1(predictions: DataFrame) -> DataFrame:
-    """Macro F1 per fold: plain mean over the labels seen or predicted in it."""
-    cells = (predictions.groupBy("fold", "label", "prediction")
-             .agg(F.count(F.lit(1)).alias("n")))
+    """Macro F1 per fold: plain mean over the labels seen or predicted in it. A row stands for
+    ``n`` samples, if there is such a column."""
+    n = F.sum("n") if "n" in predictions.columns else F.count(F.lit(1))
+    cells = predictions.groupBy("fold", "label", "prediction").agg(n.alias("n"))
     hit = F.col("label") == F.col("prediction")
     per_label = cells.select("fold", F.explode(F.array(
         F.struct(F.col("label").alias("name"), F.when(hit, F.col("n")).otherwise(0).alias("tp"),

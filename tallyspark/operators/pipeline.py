@@ -41,13 +41,17 @@ def annotate(tx: DataFrame, model=None) -> DataFrame:
 
 
 def run_pipeline(files: DataFrame, cut: Callable[[DataFrame, str], DataFrame] | None = None,
-                 model=None, processed_at: Column | None = None) -> Processed:
+                 model=None, processed_at: Column | None = None,
+                 model_path: str | None = None) -> Processed:
     """Read, standardise, clean and annotate described files (see ``statements.read_files``).
 
     A file that cannot be read, or of which no transaction is left, is a failed upload with
     its reason; the others go on. ``cut`` (such as ``sinks.materialise``) stores frames that
-    several steps read.
+    several steps read. Categories are by ``model``, else by the classifier saved at
+    ``model_path`` if there is one, else by the rules.
     """
+    if model is None and model_path:
+        model = load_classifier(files.sparkSession, model_path)
     keep = cut or (lambda df, name: df)
     scanned = keep(statements.scan(files.where("status = 'pending'")), "scanned")
     standard = keep(standardise(statements.map_rows(scanned)), "standard")

@@ -373,6 +373,37 @@ def train_classifier(spark, sf_dir):
     return train(documents(spark, sf_dir))[1]
 
 
+FOLDS = """
+    select doc_id as sample_id, label, cast((row_number() over (
+             partition by label order by substr(md5(cast(doc_id as varchar)), 1, 3), doc_id)
+             - 1) % 5 as int) as fold
+    from (select doc_id, concat('q', cast(quality as varchar)) as label
+          from labels join documents using (doc_id))"""
+
+
+@register("stratified_folds", FOLDS)
+def stratified_folds(spark, sf_dir):
+    from tallyspark.operators.learn import stratified_folds as deal
+    return deal(documents(spark, sf_dir).drop("description"))
+
+
+@register("training_classes", f"""
+    with f as ({FOLDS}), t as (select count(*) as n, count(distinct label) as k from f)
+    select label, count(*) as samples, (select n from t)::double / ((select k from t) * count(*))
+           as weight, min(c) as least_in_fold, max(c) as most_in_fold
+    from f join (select label, fold, count(*) as c from f group by label, fold)
+           using (label, fold) group by label""")
+def training_classes(spark, sf_dir):
+    """Samples, balanced weight and share of the folds of every label."""
+    from tallyspark.operators.learn import balanced, stratified_folds as deal
+    folds = balanced(deal(documents(spark, sf_dir).drop("description")))
+    each = folds.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("c"),
+                                              F.first("weight").alias("weight"))
+    return each.groupBy("label").agg(
+        F.sum("c").alias("samples"), F.first("weight").alias("weight"),
+        F.min("c").alias("least_in_fold"), F.max("c").alias("most_in_fold"))
+
+
 @register("score_classifier")
 def score_classifier(spark, sf_dir):
     from tallyspark.operators.learn import fit_classifier, score_classifier as score

@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tallyspark.operators import learn, sinks
 from tallyspark.operators.classify import classify
 from tallyspark.operators.standardise import standardise
@@ -82,3 +84,77 @@ def test_macro_f1(spark):
     per_fold = {r.fold: r.f1_macro for r in learn.fold_f1(predictions).collect()}
     assert per_fold[0] == pytest.approx((2 / 3 + 2 / 3) / 2)
     assert per_fold[1] == pytest.approx((1 + 0 + 0) / 3)
+
+
+def test_repeated_samples_fit_like_one_row_each(spark):
+    """Weighted distinct rows have the optimum of the rows they stand for."""
+    rows = [("fuel station lekki", "transport"), ("bus ticket fare", "transport"),
+            ("fuel bus pass", "transport"), ("rice market bread", "food"),
+            ("bread bakery market", "food"), ("fuel for bakery oven", "food")]
+    times = [4, 1, 3, 2, 5, 1]
+    repeated = [r for r, n in zip(rows, times) for _ in range(n)]
+    names = "description string, label string"
+    once = learn._tokenised(spark.createDataFrame(repeated, names))
+    single = once.select("label", "_terms", F.lit(1).alias("n"))
+    a, b = learn._fit_terms(learn.distinct_samples(once)), learn._fit_terms(single)
+    assert a[0].vocabulary == b[0].vocabulary and a[1].getScalingVec() == b[1].getScalingVec()
+    assert abs(a[3].coefficientMatrix.toArray() - b[3].coefficientMatrix.toArray()).max() < 1e-3
+    from collections import Counter
+    terms = [r._terms for r in once.collect()]
+    uses = Counter(t for ts in terms for t in ts)
+    held = Counter(t for ts in terms for t in set(ts))
+    want = sorted((t for t in uses if held[t] >= 2), key=lambda t: (-uses[t], t))
+    assert [(r.term, r.samples) for r in learn.vocabulary(learn.distinct_samples(once))] == [
+        (t, held[t]) for t in want]
+
+
+def test_folds_are_stratified(spark):
+    samples = spark.createDataFrame(
+        [(k, "many" if k % 9 else "few") for k in range(100)] + [(None, "one"), (7, None)],
+        "sample_id int, label string")
+    counts = {}
+    rows = learn.stratified_folds(samples).collect()
+    assert len(rows) == 102
+    for r in rows:
+        counts.setdefault(r.label, [0] * 5)[r.fold] += 1
+    assert all(max(c) - min(c) <= 1 for c in counts.values())
+    assert sum(counts["few"]) == 12 and min(counts["few"]) == 2
+    assert learn.stratified_folds(samples.limit(0)).count() == 0
+
+
+def test_training_report_counts_stored_predictions(spark):
+    words = {"food": ["rice market", "bread bakery", "market bread", "lunch rice"],
+             "transport": ["fuel station", "bus fare", "bus station", "fuel fare"]}
+    rows = [(f"{k}{label}", words[label][k % 4], label) for label in words for k in range(20)]
+    samples = spark.createDataFrame(rows, "sample_id string, description string, label string")
+    predictions = learn.out_of_fold(samples)
+    found = predictions.collect()
+    assert sum(r.n for r in found) == 40 and {r.fold for r in found} == set(range(5))
+    scores = []
+    for fold in range(5):
+        part, f1 = [r for r in found if r.fold == fold], []
+        for label in sorted({r.label for r in part} | {r.prediction for r in part}):
+            tp = sum(r.n for r in part if r.label == r.prediction == label)
+            wrong = sum(r.n for r in part if r.label != r.prediction
+                        and label in (r.label, r.prediction))
+            f1.append(2 * tp / (2 * tp + wrong))
+        scores.append(sum(f1) / len(f1))
+    report = learn.macro_f1(predictions).first()
+    assert report.cv_f1_macro_mean == round(sum(scores) / 5, 4) == 1.0
+
+
+def test_saved_model_is_used_if_there(spark, tmp_path):
+    from tallyspark.operators import pipeline
+    assert pipeline.load_classifier(spark, str(tmp_path / "none")) is None
+    files = spark.createDataFrame([("u", "s", "s.csv", "csv", 1, "Date,Details,Debit,Credit,"
+                                    "Balance\n1/2/2024,zebra,10.00,,90.00\n", "pending", None)],
+                                  "user_id string, upload_id string, filename string, file_type "
+                                  "string, file_size_kb int, text string, status string, "
+                                  "error_message string")
+    rules = pipeline.run_pipeline(files, model_path=str(tmp_path / "none")).transactions
+    assert [r.classified_by for r in rules.collect()] == ["rule"]
+    samples = spark.createDataFrame([("zebra", "food"), ("zebra", "food"), ("lion", "rent"),
+                                     ("lion", "rent")] * 20, "description string, label string")
+    learn.fit_classifier(samples).save(str(tmp_path / "model"))
+    learned = pipeline.run_pipeline(files, model_path=str(tmp_path / "model")).transactions
+    assert [(r.category, r.classified_by) for r in learned.collect()] == [("food", "ml")]

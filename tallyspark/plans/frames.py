@@ -266,3 +266,27 @@ def printed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def printed_lines_sql() -> str:
     return derive_sql("entries", PRINTED)
+
+
+# -- large statements, from orders -------------------------------------------------
+
+#: A statement has the orders of a thousand neighbouring users of one layout.
+LARGE_UPLOAD = f"concat({LAYOUT_NO}, '-', cast(floor(cast(user_id as bigint) / 1000) as bigint))"
+#: Quoted cells of the layout ``Access`` span two lines in every fifth row.
+LARGE_ROW = (f"case when {LAYOUT_NO} = 3 and row_ord % 5 = 0 then replace({ROW_LINE['line']}, "
+             f"', \"\"NG', concat(chr(10), 'x, \"\"NG')) else {ROW_LINE['line']} end")
+
+
+def write_large_statements(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Statements as files ``upload=<upload>/...``: header lines, then rows by user and order."""
+    rows = entries(spark, sf_dir).selectExpr(
+        "user_id", f"{LARGE_UPLOAD} as upload", "upload_id", "row_ord", "1 as part",
+        f"{LARGE_ROW} as line")
+    uploads = rows.groupBy("upload").agg(F.min("user_id").alias("user_id")).withColumn(
+        "line_no", F.explode(F.sequence(F.lit(0), F.lit(HEAD_LINES - 1))))
+    head = uploads.selectExpr("user_id", "upload", "'' as upload_id",
+                              "cast(line_no as bigint) as row_ord", "0 as part",
+                              f"{_HEAD_TEXT} as line").where("line is not null")
+    (head.unionByName(rows).repartition("upload")
+     .sortWithinPartitions("upload", "part", "user_id", "upload_id", "row_ord")
+     .select("upload", "line").write.partitionBy("upload").text(path))

@@ -4,13 +4,13 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import fixed_values as V
 from tallyspark.operators import pipeline
-from tallyspark.operators.sinks import materialise
+from tallyspark.operators.sinks import materialise, shared_folder
 from tallyspark.operators.standardise import standardise
 from tallyspark.plans import duck, frames
 from tallyspark.plans.queries_cleaning import EXACT, NEAR
 from tallyspark.plans.registry import plain, register
 from tallyspark.plans.tables import entries
-from tallyspark.sources import layouts, statements as S
+from tallyspark.sources import layouts, splits, statements as S
 
 LINES = {"lines": frames.statement_lines_sql()}
 _LAYOUT = frames.LAYOUT_NO
@@ -94,6 +94,26 @@ def scan_csv_statement(spark, sf_dir):
     return plain(S.read_statements(frames.statements(spark, sf_dir)))
 
 
+@register("scan_large_statements", duck.query(f"""
+    select 'all' as user_id, upload as upload_id,
+           cast(row_number() over (partition by upload order by user_id, upload_id, row_ord) - 1
+                as bigint) as row_ord, tx_date,
+           trim(case when {_LAYOUT} = 3 and row_ord % 5 = 0
+                     then concat(raw_desc, chr(10), 'x, "NG"')
+                     when {_LAYOUT} = 3 then concat(raw_desc, ', "NG"')
+                     when {_LAYOUT} = 0 and row_ord % 7 = 0 then concat(raw_desc, ' 12" BOX')
+                     else raw_desc end) as raw_desc,
+           cast(amount as double) as amount, tx_type, cast(balance as double) as balance
+    from (select *, concat({_LAYOUT}, '-', cast(floor(cast(user_id as bigint) / 1000) as bigint))
+                    as upload from entries)""", "entries"))
+def scan_large_statements(spark, sf_dir):
+    """All orders as a few large statements, read in splits."""
+    path = shared_folder(spark, "statements")
+    frames.write_large_statements(spark, sf_dir, path)
+    return plain(splits.read_statements(spark, path, lambda p: (
+        F.lit("all"), F.regexp_extract(p, "upload=([^/]+)", 1)), cut=materialise))
+
+
 @register("apply_profile", duck.query(
     f"{ROUND_TRIP} where {_LAYOUT} <> 6", "entries"))
 def apply_profile(spark, sf_dir):

@@ -203,8 +203,29 @@ def map_rows(scanned: DataFrame, day_first: bool = False) -> DataFrame:
     dates = "filter(transform(rows, r -> get(r, columns.date - 1)), d -> trim(d) <> '')"
     readable = scanned.where("error_message is null").withColumn("_dates", F.expr(dates))
     readable = with_once(readable, "_first", without_time(F.get("_dates", F.lit(0))))
-    rows = _cells(readable.selectExpr("*", f"{_date_pattern()} as _pattern").selectExpr(
-        "user_id", "upload_id", "columns", "_pattern", "posexplode(rows) as (pos, cells)"))
+    return entries_of(readable.selectExpr("*", f"{_date_pattern()} as _pattern").selectExpr(
+        "user_id", "upload_id", "columns", "_pattern", "posexplode(rows) as (pos, cells)"),
+        day_first)
+
+
+def date_patterns(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, _pattern) of statements whose data rows (columns, cells) are rows of their own."""
+    text = F.expr("get(cells, columns.date - 1)")
+    dated = with_once(rows.select(key, order, "columns.pattern", text.alias("_text")), "_day",
+                      without_time(F.col("_text")))
+    known = sorted({layout[-1] for layout in V.LAYOUTS})
+    fits = F.expr(f"{_parsed('_text', 'pattern', known)} is not null")
+    filled = F.trim("_text") != ""
+    return (dated.groupBy(key, "pattern").agg(
+        F.bool_or(fits & filled).alias("_fits"),
+        F.min_by(F.when(filled, F.col("_day")), F.when(filled, F.col(order))).alias("_first"))
+        .select(key, F.expr(f"""case when pattern is null then {_guessed('_first')}
+                                when _fits then pattern else 'mixed' end""").alias("_pattern")))
+
+
+def entries_of(rows: DataFrame, day_first: bool = False) -> DataFrame:
+    """Entries of data rows (user_id, upload_id, columns, _pattern, pos, cells)."""
+    rows = _cells(rows)
     rows = with_once(rows.withColumn("row_ord", F.col("pos").cast("bigint")), "_day",
                      without_time(F.col("_date")))
     amounts = (F.when(F.expr("columns.debit is not null and columns.credit is not null"),

@@ -11,14 +11,19 @@ kind        found and checked                                        kept
 ==========  =======================================================  =====================
 email       address with a dotted domain                             shape, last label
 iban        country, mod 97                                          country, letters' places
-date        ISO, year/month/day, day/month/year, day.month.year      spelling; 1 to 999, to
-            (also two-digit years), English month name, ordinals     1899, to 2099, later
+date        ISO, year/month/day, day/month/year, day.month.year      spelling; the span of
+            (also two-digit years), English month name, ordinals     years; day above 12
 card        13 to 19 digits, plain or grouped, Luhn                  first digit, Luhn
 ssn         AAA-GG-SSSS in the valid ranges                          the ranges
 ip          four octets up to 255                                    four octets
-phone       ``+`` and 8 to 15 digits, (AAA) EEE-NNNN, AAA-EEE-NNNN   country code
+phone       ``+`` and 8 to 15 digits, (AAA) EEE-NNNN, AAA-EEE-NNNN   country code, (0)
 ==========  =======================================================  =====================
 
+Spans of years are 1 to 999, to 1899, to 1929, to 2029, to 2099 and later; two-digit years are
+1930 to 2029, so they are a span of their own. Days up to 12 and above are permuted apart, as a
+number above 12 tells which part of a date is the day. So a date has one pseudonym in all its
+spellings and no two dates share one. Country codes are cut by the numbering plan.
+
 Numbers that fail their check are no such value and stay. Texts without a digit or an ``@``
 are not searched. One pass by Arrow batches; nothing is shuffled.
 
@@ -31,6 +36,7 @@ import hashlib
 import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -43,8 +49,14 @@ MONTHS = ("january february march april may june july august september october n
           "december").split()
 SPANS = [(kind, dt.date(first, 1, 1).toordinal(), dt.date(last, 12, 31).toordinal())
          for kind, first, last in (("date first", 1, 999), ("date early", 1000, 1899),
-                                   ("date", 1900, 2099), ("date late", 2100, 9999))]
-PIVOT = 30  # two-digit years from here on are of the 1900s
+                                   ("date before", 1900, 1929), ("date", 1930, 2029),
+                                   ("date after", 2030, 2099), ("date late", 2100, 9999))]
+PIVOT = 30  # two-digit years from here on are of the 1900s: 1930 to 2029
+
+# Country codes of one and two digits in the public numbering plan; all others
+# have three.
+SHORT_CODES = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 "
+                  "58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 #: Lengths of IBANs by country.
 IBAN_SIZES = {x[:2]: int(x[2:]) for x in (
@@ -163,6 +175,15 @@ def iban(p: Permuter, m) -> str | None:
     return "".join(c if c == " " else next(following) for c in m.group())
 
 
+@lru_cache(None)
+def days(first: int, last: int, late: bool) -> np.ndarray:
+    """Ordinals from ``first`` to ``last`` whose day of the month is above 12, or not."""
+    number = np.arange(first, last + 1)
+    day = (number - 719163).astype("M8[D]")  # 719163: 1 January 1970
+    of_month = (day - day.astype("M8[M]")).astype(int) + 1
+    return number[(of_month > 12) == late].astype("i4")
+
+
 def date(p: Permuter, m, order: str) -> str | None:
     parts = {order[0]: m.group(1), order[1]: m.group(3), order[2]: m.group(5)}
     named = not parts["m"].isdigit()
@@ -179,28 +200,26 @@ def date(p: Permuter, m, order: str) -> str | None:
     except ValueError:
         return None
     kind, first, last = next(x for x in SPANS if x[1] <= number <= x[2])
-    whole = m.group()
-    while whole == m.group():  # two-digit years of two centuries are written alike
-        number = first + p.permute(kind, last - first + 1, number - first)
-        new = dt.date.fromordinal(number)
-        d, mo = (new.month, new.day) if swapped else (new.day, new.month)
-        if named:
-            old = parts["m"]
-            text = MONTHS[new.month - 1]
-            text = text[:3] if len(old) == 3 or old.lower() == "sept" else text
-            shown = (text.upper() if old.isupper() else text.capitalize() if old[0].isupper()
-                     else text)
-        else:
-            shown = str(mo).zfill(len(parts["m"]))
-        year = f"{new.year % 100:02d}" if short else f"{new.year:04d}"
-        out = {"y": year, "m": shown, "d": str(d).zfill(len(parts["d"]))}
-        gaps = [m.group(2), m.group(4)]
-        k = order.index("d")
-        if k < 2 and (th := re.match("st|nd|rd|th", gaps[k], re.I)):
-            end = "th" if d in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(d % 10, "th")
-            gaps[k] = (end.upper() if th.group().isupper() else end) + gaps[k][2:]
-        whole = out[order[0]] + gaps[0] + out[order[1]] + gaps[1] + out[order[2]]
-    return whole
+    among = days(first, last, day > 12)
+    rank = p.permute(f"{kind} {day > 12}", len(among), int(np.searchsorted(among, number)))
+    new = dt.date.fromordinal(int(among[rank]))
+    d, mo = (new.month, new.day) if swapped else (new.day, new.month)
+    if named:
+        old = parts["m"]
+        text = MONTHS[new.month - 1]
+        text = text[:3] if len(old) == 3 or old.lower() == "sept" else text
+        shown = (text.upper() if old.isupper() else text.capitalize() if old[0].isupper()
+                 else text)
+    else:
+        shown = str(mo).zfill(len(parts["m"]))
+    year = f"{new.year % 100:02d}" if short else f"{new.year:04d}"
+    out = {"y": year, "m": shown, "d": str(d).zfill(len(parts["d"]))}
+    gaps = [m.group(2), m.group(4)]
+    k = order.index("d")
+    if k < 2 and (th := re.match("st|nd|rd|th", gaps[k], re.I)):
+        end = "th" if d in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(d % 10, "th")
+        gaps[k] = (end.upper() if th.group().isupper() else end) + gaps[k][2:]
+    return out[order[0]] + gaps[0] + out[order[1]] + gaps[1] + out[order[2]]
 
 
 def card(p: Permuter, m) -> str | None:
@@ -232,12 +251,15 @@ def ip(p: Permuter, m) -> str | None:
 
 
 def phone(p: Permuter, m) -> str | None:
-    whole = m.group()
-    head = re.match(r"\+[0-9]{1,3}(?=[ .(-])", whole)
-    # Without a separator the country code is taken as two digits.
-    cut = head.end() if head else 3 if whole[0] == "+" else 0
+    whole, cut = m.group(), 0
+    if whole[0] == "+":
+        at = [k for k, c in enumerate(whole) if c.isdigit()]
+        code = next((n for n in (1, 2) if "".join(whole[k] for k in at[:n]) in SHORT_CODES), 3)
+        cut = at[code - 1] + 1
+        if trunk := re.match(r"[ .-]?\(0\)", whole[cut:]):  # dialled inside the country only
+            cut += trunk.end()
     digits = "".join(c for c in whole[cut:] if c.isdigit())
-    if not 7 <= len(digits) <= 14:
+    if not 5 <= len(digits) <= 14:
         return None
     new = str(p.permute("phone", 10 ** len(digits), int(digits))).zfill(len(digits))
     return whole[:cut] + refill(whole[cut:], new)

@@ -1,3 +1,4 @@
+import datetime as dt
 import re
 
 import pytest
@@ -117,3 +118,30 @@ def test_everyday_formats_are_linked_and_checked():
     assert new("(415) 555-0123")[1:4] == new("415-555-0123")[:3]
     for text in ("31/02/85", "45/45/85", "31st February 2020", "1.2.34.5.6", "2021/13/14"):
         assert new(text) == text
+
+
+def test_all_short_dates_map_one_to_one():
+    days = [dt.date(1930, 1, 1) + dt.timedelta(n) for n in range(36525)]
+    spelled = [f"{d.day:02d}/{d.month:02d}/{d.year % 100:02d}" for d in days]
+    spelled += [f"{d.month:02d}/{d.day:02d}/{d.year % 100:02d}" for d in days if d.day > 12]
+    permuter = Permuter(b"key")
+    out = [replace(s, permuter)[0] for s in spelled]
+    assert sorted(out) == sorted(spelled) and all(a != b for a, b in zip(out, spelled))
+    for k in range(0, 36525, 997):  # short and long spellings are linked
+        long = replace(days[k].isoformat(), permuter)[0]
+        assert out[k].split("/") == [long[8:], long[5:7], long[2:4]]
+
+
+def test_spellings_of_a_phone_are_linked():
+    def bare(text):
+        out = new(text)
+        assert out != text
+        return re.sub(r"\(0\)|[^0-9]", "", out)
+    us = ["+12125551234", "+1 212 555 1234", "+1-212-555-1234", "+1 (212) 555-1234",
+          "+1.212.555.1234"]
+    assert len({bare(x) for x in us}) == 1 and bare(us[0])[0] == "1"
+    assert {bare("(212) 555-1234"), bare("212-555-1234")} == {bare(us[0])[1:]}
+    gb = ["+442079460018", "+44 20 7946 0018", "+44 (0)20 7946 0018", "+44-20-7946-0018"]
+    assert len({bare(x) for x in gb}) == 1 and bare(gb[0]).startswith("44")
+    far = ["+2348012345678", "+234 801 234 5678"]
+    assert len({bare(x) for x in far}) == 1 and bare(far[0]).startswith("234")

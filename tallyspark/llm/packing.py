@@ -118,7 +118,7 @@ def rows(sequences, first: int, source: int, leftover: bool) -> pa.RecordBatch:
 
 def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id",
          text_col: str = "text", size: int = SIZE, windows: int = WINDOWS,
-         slack: int = SLACK) -> DataFrame:
+         slack: int = SLACK, special_as_text: bool = False) -> DataFrame:
     """Pieces of packed sequences: ``doc_id``, ``start`` (the document's ids before the piece),
     ``length``, ``ids`` (little-endian unsigned 32-bit), ``doc_tokens``, ``sequence_id`` and
     ``offset``. Each document ends with ``end_id``."""
@@ -129,7 +129,8 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "d
     def pack_partition(batches):
         from pyspark import TaskContext
         source = TaskContext.get().partitionId()
-        packer, encode, number = Packer(size, windows, slack), encoder(tokenizer).encode, 0
+        packer, number = Packer(size, windows, slack), 0
+        encode = encoder(tokenizer, special_as_text).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, done = batch.slice(at, 256), []

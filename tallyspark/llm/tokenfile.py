@@ -119,7 +119,8 @@ class TokenFile:
 
 
 def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 0,
-          id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> None:
+          id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS,
+          special_as_text: bool = False) -> None:
     """Encode whole texts, in ascending order of ``id_col``, into token files below ``path``."""
     ship(documents.sparkSession)
     end = end_id.to_bytes(4, "little")
@@ -127,7 +128,8 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 0,
     def files(batches):
         from pyspark import TaskContext
         partition, before = TaskContext.get().partitionId(), 0
-        encode, docs, counts, parts, n = encoder(tokenizer).encode, [], [], [], 0
+        encode = encoder(tokenizer, special_as_text).encode
+        docs, counts, parts, n = [], [], [], 0
 
         def flush():
             ids = np.frombuffer(b"".join(parts), "<u4")

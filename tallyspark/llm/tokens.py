@@ -7,7 +7,8 @@ ids of chunks it has seen in a dictionary of bounded size; the library encodes o
 others. ``Encoder`` checks the tokenizer's file for this
 property and encodes whole texts where it isn't given.
 
-Strings of special tokens in a text are ordinary text.
+A text that holds the string of a special token is encoded whole, as the library does by
+default; with ``special_as_text`` such strings are ordinary text.
 """
 
 import json
@@ -33,13 +34,16 @@ _encoders: dict = {}
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             config = json.load(file)
+        special = [re.escape(t["content"]) for t in config["added_tokens"]]
+        self.special = (None if special_as_text or not special
+                        else re.compile("|".join(special)).search)
         pattern = _chunk_pattern(config)
         self.split = re.compile(pattern).findall if pattern else None
         self.known: dict[str, bytes] = {}
@@ -54,6 +58,10 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers; none for null."""
+        if self.special and (marked := {t for t in texts if t and self.special(t)}):
+            ids = {t: self._with_special(t) for t in marked}
+            plain = iter(self.encode([t for t in texts if t not in marked]))
+            return [ids[t] if t in marked else next(plain) for t in texts]
         if self.split is None:
             return [self._alone(t) if t else b"" for t in texts]
         parts = [self.split(t) if t else () for t in texts]
@@ -67,6 +75,13 @@ class Encoder:
         found = self.known | long if long else self.known
         return [b"".join(map(found.__getitem__, p)) for p in parts]
 
+    def _with_special(self, text: str) -> bytes:
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return self._alone(text)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -121,8 +136,9 @@ def _chunk_pattern(config: dict) -> str | None:
     return None
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """This worker's encoder of a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = path, special_as_text
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, special_as_text)
+    return _encoders[key]

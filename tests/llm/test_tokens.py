@@ -16,23 +16,25 @@ FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 def library_ids(name, text):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("special_as_text", [False, True])
 @pytest.mark.parametrize("name", FILES)
-def test_chunks_give_the_library_ids(name, prose):
+def test_chunks_give_the_library_ids(name, special_as_text, prose):
+    from tokenizers import Tokenizer
     r = random.Random(3)
-    odd = ["", " ", "\n\n a  b \t c\x1cd !\x1c! \xa0x　y  ", "a\x85b  c", "İİ İx, Σς ΑΣ ǰ ŉ ẞ",
+    odd = ["", " ", "<|endoftext|>", "hello <|endoftext|> world <|startoftext|>", "\n\n a  b \t c\x1cd !\x1c! \xa0x　y  ", "a\x85b  c", "İİ İx, Σς ΑΣ ǰ ŉ ẞ",
            "café ́x <|endoftext|>b don't 'll\n's", "１２ ½ 中文 😀​ ‍x",
            "w" * 300 + " x", prose(1, 500), prose(2, 30).upper() + "!!! " + prose(3, 9) + "\n"]
     marks = " \n\t\x1c\xa0ab'sé1.,!<|>́İß\0-_"
     odd += ["".join(r.choice(marks) for _ in range(r.randint(1, 25))) for _ in range(1500)]
-    encoder = Encoder(public_tokenizers.path(name))
+    encoder = Encoder(public_tokenizers.path(name), special_as_text)
     assert encoder.split is not None
     got = encoder.encode([None, *odd])
     assert got[0] == b""
-    t = encoder.tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = special_as_text
     for text, ids in zip(odd, got[1:]):
         want = t.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want, repr(text)

@@ -1,6 +1,6 @@
 """Fuzzy search of transaction descriptions."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyspark.functions.once import with_once
 from tallyspark.functions.text import trigram_similarity, trigrams
@@ -16,3 +16,54 @@ def trigram_search(tx: DataFrame, text: str, threshold: float = 0.3) -> DataFram
     score = trigram_similarity(trigrams(F.col("description")), trigrams(F.lit(text)))
     return (with_once(uses, "similarity", F.round(score, 6))
             .where(F.col("similarity") >= threshold))
+
+
+def _postings(rows: DataFrame, key: str, share: DataFrame, threshold: float) -> DataFrame:
+    """(gram, key, size): the rarest trigrams of each text, as many as a similar text must hold
+    one of; ``share`` has the number of texts that hold a trigram."""
+    size = F.size("grams")
+    # Fewer shared trigrams than the threshold asks for leave out no more than the rest.
+    most = size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)) + 1
+    by_rarity = Window.partitionBy(key).orderBy(F.coalesce("n", F.lit(0)), "gram")
+    return (rows.select(key, size.alias("size"), most.alias("most"),
+                        F.explode("grams").alias("gram"))
+            .join(share, "gram", "left").withColumn("place", F.row_number().over(by_rarity))
+            .where("place <= most").select("gram", key, "size"))
+
+
+def search_many(texts: DataFrame, searches: DataFrame, threshold: float = 0.5,
+                text_col: str = "description", search_col: str = "search",
+                cut=lambda df, name: df) -> DataFrame:
+    """(search, text, similarity, n): all pairs of a distinct search and a distinct text whose
+    trigram similarity reaches the threshold, with the text's number of uses.
+
+    A text as similar as that shares one of a search's rarest trigrams, and its number of
+    trigrams lies within the threshold; so only postings of rare trigrams are joined, and what
+    meets is verified on whole trigram sets. Texts without a letter or digit are found by none.
+    ``cut`` stores frames that several steps read.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("a threshold above 0 and up to 1")
+
+    def grams(name: str) -> Column:
+        return trigrams(F.col(name))
+
+    uses = texts.groupBy(F.col(text_col).alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    stored = cut(with_once(uses, "grams", grams("text")).where(F.size("grams") > 0)
+                 .withColumn("text_key", F.monotonically_increasing_id()), "texts")
+    asked = cut(with_once(searches.select(F.col(search_col).alias("search")).distinct(), "grams",
+                          grams("search")).where(F.size("grams") > 0)
+                .withColumn("search_key", F.monotonically_increasing_id()), "searches")
+    share = cut(stored.select(F.explode("grams").alias("gram")).groupBy("gram")
+                .agg(F.count(F.lit(1)).alias("n")), "grams")
+    left = _postings(asked, "search_key", share, threshold)
+    right = _postings(stored, "text_key", share, threshold).withColumnRenamed("size", "other")
+    met = (left.join(right, "gram")
+           .where((F.col("other") >= F.col("size") * threshold - 1e-9)
+                  & (F.col("size") >= F.col("other") * threshold - 1e-9))
+           .select("search_key", "text_key").distinct())
+    both = (met.join(asked.select("search_key", "search", F.col("grams").alias("a")), "search_key")
+            .join(stored.select("text_key", "text", "n", F.col("grams").alias("b")), "text_key"))
+    return (with_once(both, "exact", trigram_similarity(F.col("a"), F.col("b")))
+            .where(F.col("exact") >= threshold)
+            .select("search", "text", F.round("exact", 6).alias("similarity"), "n"))

@@ -284,8 +284,8 @@ def transaction_records(spark, sf_dir):
 SEARCH = "netflx subscripton web"
 
 
-def _trigrams_sql(expr: str) -> str:
-    words = (f"list_filter(regexp_split_to_array(lower({expr}), '[^a-z0-9]+'), "
+def _trigrams_sql(expr: str, other: str = "[^a-z0-9]+") -> str:
+    words = (f"list_filter(regexp_split_to_array(lower({expr}), '{other}'), "
              f"lambda w: w <> '')")
     return (f"list_distinct(flatten(list_transform({words}, lambda w: list_transform("
             f"range(1, length(w) + 2), lambda i: substr(concat('  ', w, ' '), "
@@ -304,6 +304,31 @@ def trigram_search(spark, sf_dir):
     return search.trigram_search(tx, SEARCH)
 
 
+_SENTENCES = "trim(unnest(regexp_split_to_array(text, '[.\\n]')))"
+_GRAMS = _trigrams_sql("s", r"[^\p{L}\p{N}]+")
+
+
+@register("search_documents", f"""
+    with t as (select s, count(*) as n from (select {_SENTENCES} as s from documents)
+               group by s),
+    tg as materialized (select s, n, g from (select s, n, {_GRAMS} as g from t) where len(g) > 0),
+    q as (select distinct s from (select {_SENTENCES} as s from benchmark)),
+    qg as materialized (select s, g from (select s, {_GRAMS} as g from q) where len(g) > 0),
+    p as (select qu.s as search, tu.s as text, count(*) as shared
+          from (select s, unnest(g) as u from qg) qu join (select s, unnest(g) as u from tg) tu
+               on qu.u = tu.u group by qu.s, tu.s)
+    select search, text, round(shared::double / (len(qg.g) + len(tg.g) - shared), 6) as similarity, n
+    from p join qg on qg.s = search join tg on tg.s = text
+    where shared::double / (len(qg.g) + len(tg.g) - shared) >= 0.5""")
+def search_documents(spark, sf_dir):
+    """All sentences of the benchmark against all sentences of the documents."""
+    def sentences(name, column):
+        return table(spark, sf_dir, name).select(
+            F.explode(F.split("text", "[.\\n]")).alias("s")).select(F.trim("s").alias(column))
+    return search.search_many(sentences("documents", "description"),
+                              sentences("benchmark", "search"), 0.5, cut=materialise)
+
+
 #: Questions appended to the users' turns of conversations, by turns.
 QUESTIONS = ["Where did my money go?", "How to SAVE more", "what is my health score",
              "do I earn enough", "hello there", "did I overspend or save"]

@@ -314,3 +314,33 @@ def test_upsert_and_replace(spark):
 def test_annotations_are_complete(entries):
     tx = annotated(entries([("2026-01-01", "X", 1, "debit", None)]))
     assert set(ANNOTATIONS) <= set(tx.columns)
+
+
+def test_search_of_many_texts_equals_all_pairs(spark):
+    import random
+    from tallyspark.operators import search
+    r = random.Random(4)
+    words = ["netflix", "subscription", "web", "fuel", "station", "lekki", "market", "rice"]
+
+    def typo(w):
+        k = r.randrange(len(w))
+        return w[:k] + r.choice("aeiou") + w[k + 1:]
+    texts = [" ".join(r.choice([w, typo(w)]) for w in r.choices(words, k=r.randint(1, 4)))
+             for _ in range(200)] + [None, "", "--", "rice", "rice"]
+    asked = [" ".join(r.choices(words, k=2)) for _ in range(30)] + [None, "", "ab"]
+
+    def grams(t):
+        return {p[i:i + 3] for w in (t or "").split() for p in [f"  {w} "]
+                for i in range(len(p) - 2)}
+    for threshold in (0.3, 0.5, 1.0):
+        got = search.search_many(spark.createDataFrame([(t,) for t in texts], "description string"),
+                                 spark.createDataFrame([(t,) for t in asked], "search string"),
+                                 threshold).collect()
+        want = {}
+        for a in {x for x in asked if grams(x)}:
+            for b in {x for x in texts if grams(x.strip("-") if x else x)}:
+                share = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+                if share >= threshold:
+                    want[a, b] = (round(share, 6), texts.count(b))
+        assert {(x.search, x.text): (x.similarity, x.n) for x in got} == want
+        assert want

@@ -47,13 +47,13 @@ CHANNEL_KEYWORDS = [
 ]
 DEFAULT_CHANNEL = "Bank Transfer"
 
-# Narration prefixes and reference words removed from a merchant.
-NARRATION_PREFIXES = [
-    "trf from", "trf to", "transfer from", "transfer to", "payment to", "payment from",
-    "pos purchase at", "atm withdrawal at", "via", "nip", "neft", "ussd", "web purchase",
-    "internet banking", "mobile banking", "debit card purchase",
-]
-REFERENCE_WORDS = ["ref", "ref#", "trans", "trn", "rrn", "session"]
+# The narration prefix and the trailing reference removed from a merchant.
+MERCHANT_PREFIX = (
+    r"(?i)^(trf from|trf to|transfer from|transfer to|payment to|payment from|"
+    r"pos purchase at|atm withdrawal at|via|nip|neft|ussd|web purchase|"
+    r"internet banking|mobile banking|debit card purchase)\s*[:\-]?\s*"
+)
+MERCHANT_REFERENCE = r"(?i)[\|/\\]\s*(ref|ref#|trans|trn|rrn|session)?[\s#:]?\w{5,}.*$"
 
 # Statement layouts. Columns absent from a layout are None; the
 # date pattern is the Spark spelling of the layout's day format.
@@ -133,11 +133,18 @@ ALL_REMOVED = ("All transactions were removed during cleaning. "
 # Uploads above this size are refused.
 MAX_UPLOAD_BYTES = 10 * 1024 * 1024
 
-# Descriptions that are statement furniture (matched from the start).
+# Descriptions that are statement furniture, whatever their case.
 NOISE_PATTERNS = [
-    r"opening balance$", r"closing balance$", r"brought forward$", r"carried forward$",
-    r"balance b/f", r"balance c/f", r"total (debit|credit|transactions)",
-    r"statement of account", r"account summary", r"\s*$",
+    r"^opening balance$",
+    r"^closing balance$",
+    r"^brought forward$",
+    r"^carried forward$",
+    r"^balance b/f",
+    r"^balance c/f",
+    r"^total (debit|credit|transactions)",
+    r"^statement of account",
+    r"^account summary",
+    r"^\s*$",
 ]
 
 # Ordered, case-insensitive rewrites of descriptions.
@@ -269,8 +276,9 @@ SUBSCRIPTIONS = [
 DEFAULT_ADVICE = "review"
 
 # Words left out of a merchant key, and its greatest length.
-MERCHANT_KEY_NOISE = ["pos", "atm", "trf", "transfer", "payment", "purchase", "via", "from",
-                      "to", "online", "card", "web", "mobile"]
+MERCHANT_KEY_NOISE = (
+    r"\b(pos|atm|trf|transfer|payment|purchase|via|from|to|online|card|web|mobile)\b"
+)
 MERCHANT_KEY_CHARS = 40
 
 # Billing cycles in days, and how far gaps may stray from them.

@@ -56,34 +56,22 @@ def title_case(col: Column) -> Column:
     return F.array_join(F.transform(runs, lambda run: F.initcap(run)), "")
 
 
-def merchant_prefix_pattern() -> str:
-    return r"(?i)^(" + any_of(V.NARRATION_PREFIXES) + r")\s*[:\-]?\s*"
-
-
-def merchant_reference_pattern() -> str:
-    return r"(?i)[\|/\\]\s*(" + any_of(V.REFERENCE_WORDS) + r")?[\s#:]?\w{5,}.*$"
-
-
 def extract_merchant(raw: Column) -> Column:
     """Readable counterparty name: no narration prefix, no trailing reference."""
-    name = F.regexp_replace(raw, merchant_prefix_pattern(), "")
-    name = squeeze(F.regexp_replace(name, merchant_reference_pattern(), ""))
+    name = F.regexp_replace(raw, V.MERCHANT_PREFIX, "")
+    name = squeeze(F.regexp_replace(name, V.MERCHANT_REFERENCE, ""))
     return F.substring(F.coalesce(F.nullif(title_case(name), F.lit("")), raw), 1, 100)
 
 
-def merchant_key_pattern() -> str:
-    return r"\b(" + any_of(V.MERCHANT_KEY_NOISE) + r")\b"
-
-
 def merchant_key(desc: Column) -> Column:
     """Grouping key of a description: lower-case letters without payment jargon."""
-    bare = F.regexp_replace(F.lower(desc), merchant_key_pattern(), "")
+    bare = F.regexp_replace(F.lower(desc), V.MERCHANT_KEY_NOISE, "")
     return F.substring(squeeze(F.regexp_replace(bare, r"[^a-z\s]", "")), 1,
                        V.MERCHANT_KEY_CHARS)
 
 
 def noise_pattern() -> str:
-    return "(?i)^(" + "|".join(V.NOISE_PATTERNS) + ")"
+    return "(?i)" + any_of(V.NOISE_PATTERNS)
 
 
 def is_noise(desc: Column) -> Column:

@@ -93,8 +93,7 @@ def title_case(expr: str) -> str:
 
 
 def extract_merchant(expr: str) -> str:
-    name = squeeze(replace(replace(expr, text.merchant_prefix_pattern()),
-                           text.merchant_reference_pattern()))
+    name = squeeze(replace(replace(expr, V.MERCHANT_PREFIX), V.MERCHANT_REFERENCE))
     return f"substr(case when {name} <> '' then {title_case(name)} else {expr} end, 1, 100)"
 
 
@@ -105,7 +104,7 @@ def normalise_description(expr: str) -> str:
 
 
 def merchant_key(expr: str) -> str:
-    bare = replace(replace(f"lower({expr})", text.merchant_key_pattern()), r"[^a-z\s]")
+    bare = replace(replace(f"lower({expr})", V.MERCHANT_KEY_NOISE), r"[^a-z\s]")
     return f"substr({squeeze(bare)}, 1, {V.MERCHANT_KEY_CHARS})"
 
 

@@ -17,8 +17,14 @@ their words; only items without a word are ignored.
 Equal items are searched once: ``item_id`` is the smallest id and ``n_items`` their number.
 
 Documents are exploded to positions, hashed and probed inside one generated stage; only hits
-leave it, so nothing of the corpus is shuffled but hits. The seed table is broadcast if it has
-at most ``BROADCAST_SEEDS`` rows (some 32 bytes each); a larger one is joined by shuffle.
+leave it, so nothing of the corpus is shuffled but hits. A short item that occurs many times in a
+document leaves the stage once. The seed table is broadcast if it has at most ``BROADCAST_SEEDS``
+rows (some 32 bytes each); with a larger one (text digest, position, seed) is shuffled to its seed,
+and the words of the texts that were hit come by a second join, once a text.
+
+``overlaps`` reports every overlap. ``remove_overlapping`` takes an item of fewer than
+``EVIDENCE`` words as evidence only where it stands alone as a line of the document: words like
+"yes" or "New York" within a sentence show no leak.
 
 Defined cases: null or empty texts overlap nothing; a null ``doc_id`` is a key like others;
 repeated rows of a document give one row; other columns are not read.
@@ -36,6 +42,8 @@ STRETCH = 12
 BROADCAST_SEEDS = 2_000_000
 #: Items of this many words or more may have words replaced.
 SPAN = 5
+#: Items of fewer words remove a document only as a whole line of it.
+EVIDENCE = 3
 
 # Scripts written without spaces, read character by character.
 UNSPACED = (r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}"
@@ -88,6 +96,33 @@ def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
             .select(F.xxhash64("h").alias("item_key"), "item", "n_items", F.col("h").alias("ih")))
 
 
+def diagonal() -> Column:
+    """Where the item would start if its seed lay on the document's."""
+    return (F.col("at") - F.col("item_at")).alias("token_start")
+
+
+def once_a_text(hits: DataFrame, *keys: str) -> DataFrame:
+    """One row for each diagonal of an item; an item of fewer than ``SPAN`` words matches whole
+    wherever its seed hits, so its first place stands for all. Reduced before the exchange."""
+    place = F.when(F.col("item_size") >= SPAN, F.col("token_start"))
+    return (hits.groupBy(*keys, "item_key", "item_size", place.alias("place"))
+            .agg(F.min("token_start").alias("token_start")).drop("place"))
+
+
+def alone_on_a_line(documents: DataFrame, items: DataFrame, keys: list[str],
+                    text_col: str) -> DataFrame:
+    """Keys of the documents with a line that is an item of fewer than ``EVIDENCE`` words."""
+    weak = items.where(F.size("ih") < EVIDENCE).select(F.col("ih").alias("line_h"))
+    n = weak.count()
+    if not n:
+        return documents.select(*keys).limit(0)
+    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\r\n]+"), token_hashes)
+    short = F.filter(lines, lambda h: F.size(h).between(1, EVIDENCE - 1))
+    return (documents.select(*keys, F.explode(short).alias("line_h"))
+            .join(F.broadcast(weak) if n <= BROADCAST_SEEDS else weak, "line_h", "left_semi")
+            .select(*keys))
+
+
 def overlaps(documents: DataFrame, benchmark: DataFrame, keys=("doc_id",), text_col: str = "text",
              item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and distinct item that overlap: the document's ``keys``,
@@ -103,18 +138,24 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, keys=("doc_id",), text_
     table = (seeds(items.withColumn("h", F.col("ih")), masks, least, sizes)
              .select("seed", "item_key", F.col("at").alias("item_at"),
                      F.size("ih").alias("item_size")).distinct())
-    if table.count() <= BROADCAST_SEEDS:
-        table = F.broadcast(table)
     docs = documents.select(*[F.col(k).alias(f"key{n}") for n, k in enumerate(keys)],
+                            F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_md5"),
                             token_hashes(F.col(text_col)).alias("h"))
     ids = [f"key{n}" for n in range(len(keys))]
-    start = F.col("at") - F.col("item_at")
+    if table.count() <= BROADCAST_SEEDS:
+        found = (seeds(docs, masks, least).join(F.broadcast(table), "seed")
+                 .select(*ids, "h", "item_key", "item_size", diagonal()))
+    else:
+        found = (seeds(docs, masks, least).select("text_md5", "at", "seed").join(table, "seed")
+                 .select("text_md5", "item_key", "item_size", diagonal()))
+        found = docs.join(once_a_text(found, "text_md5"), "text_md5")
+    start = F.col("token_start")
     # The part of the document below the item, cut at the document's ends.
     under = F.slice("h", F.greatest(start, F.lit(0)) + 1,
                     F.greatest(F.least(F.col("item_size") + F.least(start, F.lit(0)),
                                        F.size("h")), F.lit(0)))
-    hits = (seeds(docs, masks, least).join(table, "seed")
-            .select(*ids, "item_key", start.alias("token_start"), under.alias("under")).distinct())
+    hits = once_a_text(found.select(*ids, "item_key", "item_size", start, under.alias("under")),
+                       *ids, "under")
     shift = F.greatest(-F.col("token_start"), F.lit(0))
     laid = (hits.join(items, "item_key")
             .withColumn("same", F.transform("ih", lambda t, k: F.coalesce(
@@ -136,13 +177,19 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, keys=("doc_id",), text_
 
 
 def remove_overlapping(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
-                       text_col: str = "text") -> DataFrame:
-    """The documents that overlap no item, all columns kept. Rows are told apart by id and the
-    digest of their text, so equal or null ids of different texts do no harm."""
+                       text_col: str = "text", item_col: str = "item_id",
+                       item_text_col: str = "text") -> DataFrame:
+    """The documents that overlap no item, all columns kept; an item of fewer than ``EVIDENCE``
+    words counts only as a line of its own. Rows are told apart by id and the digest of their
+    text, so equal or null ids of different texts do no harm."""
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     known = documents.select(F.col(id_col).alias("k_id"), digest.alias("k_md5"),
                              F.col(text_col).alias("k_text"))
-    found = (overlaps(known, benchmark, ("k_id", "k_md5"), "k_text")
-             .select("k_id", "k_md5").distinct())
+    keys = ["k_id", "k_md5"]
+    strong = (overlaps(known, benchmark.where(F.size(token_hashes(F.col(item_text_col)))
+                                              >= EVIDENCE),
+                       tuple(keys), "k_text", item_col, item_text_col).select(*keys))
+    weak = alone_on_a_line(known, items_of(benchmark, item_col, item_text_col), keys, "k_text")
+    found = strong.unionByName(weak).distinct()
     return documents.join(found, documents[id_col].eqNullSafe(found["k_id"])
                           & (digest == found["k_md5"]), "left_anti")

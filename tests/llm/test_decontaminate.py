@@ -132,4 +132,44 @@ def test_short_items_and_unspaced_scripts(spark, docs):
     found = {(x.doc_id, x.item_id) for x in decontaminate.overlaps(docs(texts), bench).collect()}
     assert found == {(0, 0), (2, 1), (4, 2), (5, 3), (7, 4), (8, 5), (9, 6)}
     kept = decontaminate.remove_overlapping(docs(texts), bench).collect()
-    assert sorted(x.doc_id for x in kept) == [1, 3, 6, 10]
+    assert sorted(x.doc_id for x in kept) == [1, 3, 6, 9, 10]
+
+
+def test_items_without_evidence_remove_whole_lines_only(spark, docs, prose):
+    bench = spark.createDataFrame(
+        [(0, "Yes"), (1, "New York"), (2, "a b c"), (3, prose(11, 30))],
+        "item_id long, text string")
+    texts = ["yes, we can", "Q: is it?\n YES! \nmore words here", "She left New York today",
+             "answer:\r\nNew York.\r\n", "york new", None, "", "so a b c it is", "yes\u2028no",
+             "see " + prose(11, 30), "yes " * 3000]
+    found = {(x.doc_id, x.item_id) for x in decontaminate.overlaps(docs(texts), bench).collect()}
+    assert found == {(0, 0), (1, 0), (2, 1), (3, 1), (7, 2), (8, 0), (9, 3), (10, 0)}
+    kept = decontaminate.remove_overlapping(docs(texts), bench).collect()
+    assert sorted(x.doc_id for x in kept) == [0, 2, 4, 5, 6, 8, 10]
+
+
+@pytest.mark.parametrize("limit", [0, 2_000_000])
+def test_a_hot_short_item_leaves_the_stage_once_a_document(spark, docs, prose, limit, monkeypatch):
+    """A word that a document holds 20,000 times is one hit of it before the exchange."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", limit)
+    bench = spark.createDataFrame([(0, "yes"), (1, prose(12, 20))], "item_id long, text string")
+    texts = ["no " + "yes " * 20_000, prose(12, 20) + " yes", "yes\n" * 500, prose(5, 90)] * 2
+    rows = decontaminate.overlaps(docs(texts), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.token_start, r.matched) for r in rows) == [
+        (0, 0, 1, 1), (1, 0, 20, 1), (1, 1, 0, 20), (2, 0, 0, 1),
+        (4, 0, 1, 1), (5, 0, 20, 1), (5, 1, 0, 20), (6, 0, 0, 1)]
+
+
+def test_large_seed_tables_shuffle_no_words(docs, bench, prose, monkeypatch):
+    """What is shuffled to its seed is a digest, a position and the seed."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    plan = decontaminate.overlaps(docs([prose(6, 60)]), bench)._jdf.queryExecution().optimizedPlan()
+    sides, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        todo += children
+        if node.nodeName() == "Join" and "(seed#" in node.simpleString(1000):
+            sides.append(children[0].output().mkString(" "))
+    assert len(sides) == 1 and "text_md5#" in sides[0]
+    assert sorted(c.split("#")[0] for c in sides[0].split()) == ["at", "seed", "text_md5"]

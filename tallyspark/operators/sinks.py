@@ -5,6 +5,8 @@ so a lost executor or a failed job leaves the old version readable.
 """
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -38,29 +40,66 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def paths_like(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in any file system that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return [status.getPath().toString() for status in found]
+
+
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that no frame in use reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def held(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """A frame that is computed once, written to the shared folder, and deleted at the end of
+    the block; what is made from it must be written before."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        dropped(df.sparkSession, path)
+
+
 def month_of() -> Column:
     """Partition of a transaction in a store."""
-    return F.date_format("tx_date", "yyyy-MM")
+    return F.coalesce(F.date_format("tx_date", "yyyy-MM"), F.lit("none"))
 
 
 def same_months(store: DataFrame, tx: DataFrame) -> DataFrame:
-    """The rows of a store, partitioned by ``month``, in the months of ``tx``; a filter on
-    the partition, so that other months are not read. The months are a short list."""
-    months = [r[0] for r in tx.select(month_of()).distinct().collect()]
-    return store.where(F.col("month").isin(months))
+    """The rows of a store, partitioned by ``month``, in the months of ``tx``, which is read
+    twice: give a stored frame. The join is on the partition column, so Spark prunes the store's
+    partitions by the months it finds at run time. The months are broadcast: the calendar bounds
+    them, twelve for each year from 1 to 9999."""
+    months = tx.select(month_of().alias("month")).where("month > ''").distinct()
+    return store.join(F.broadcast(months), "month", "left_semi")
+
+
+def by_month(tx: DataFrame) -> DataFrame:
+    """Rows with their ``month``, together by month: few files each, and adaptive execution
+    splits a month too large for one task."""
+    return tx.withColumn("month", month_of()).hint("rebalance", "month")
 
 
 def append_transactions(tx: DataFrame, path: str, exists: bool = True) -> None:
     """Append the transactions whose fingerprint is new for their user.
 
-    The store is partitioned by month; rows are spread by (month, user) so that a
-    month is written by many tasks, each writing few files. Equal fingerprints have
-    equal dates, so only the months of the incoming rows are read.
+    The incoming rows are computed once. Equal fingerprints have equal dates, so of the store,
+    partitioned by month, only the months of the incoming rows are read.
     """
-    known = same_months(tx.sparkSession.read.parquet(path), tx) if exists else tx.limit(0)
-    fresh = new_transactions(tx, known).withColumn("month", month_of())
-    (fresh.repartition("month", "user_id")
-     .write.mode("append").partitionBy("month").parquet(path))
+    with held(tx, "append") as batch:
+        known = same_months(stored_months(tx, path), batch) if exists else batch.limit(0)
+        (by_month(new_transactions(batch, known))
+         .write.mode("append").partitionBy("month").parquet(path))
+
+
+def stored_months(tx: DataFrame, path: str) -> DataFrame:
+    """A store of transactions like ``tx``; its months are text."""
+    return tx.sparkSession.read.schema(tx.withColumn("month", month_of()).schema).parquet(path)
 
 
 def write_upsert(spark: SparkSession, old_path: str | None, new_path: str, incoming: DataFrame,

@@ -62,6 +62,11 @@ def period_summary(tx: DataFrame) -> DataFrame:
         sum_where(IS_DEBIT).alias("total_expenses"),
         F.min("tx_date").alias("period_start"), F.max("tx_date").alias("period_end"),
         F.count(F.lit(1)).alias("tx_count"))
+    return with_rate(totals)
+
+
+def with_rate(totals: DataFrame) -> DataFrame:
+    """Add net savings and the savings rate to sums of income and expenses."""
     net = F.col("total_income") - F.col("total_expenses")
     return (totals.withColumn("net_savings", net.cast(MONEY))
             .withColumn("savings_rate_pct", F.when(
@@ -87,31 +92,50 @@ def running_balance(tx: DataFrame, opening: float = 0) -> DataFrame:
                              (F.col("running_balance") + F.lit(opening)).cast("decimal(28,2)"))
 
 
+CHECKS = ["tx_type_domain", "unique_fingerprint", "unique_budget", "unique_snapshot",
+          "upload_reference", "category_reference"]
+
+
 def constraint_checks(tx: DataFrame, uploads: DataFrame, budgets: DataFrame,
                       snapshots: DataFrame) -> DataFrame:
-    """Violations per table constraint: domain, uniqueness, references.
+    """Violations per table constraint: domain (rows), uniqueness (keys held by several rows),
+    references (distinct keys that refer to nothing; null is such a key).
 
-    Uniqueness is counted from grouped counts; references by anti join.
+    Every row yields the keys it has in each check, and one aggregate counts the rows that use
+    a key and those that own it. So each table is read once, whatever the number of checks, and
+    keys are summed up before the one shuffle of keys.
     """
-    def one(name, violations):
-        return violations.agg(F.count(F.lit(1)).alias("violations")).select(
-            F.lit(name).alias("check_name"), "violations")
-
-    def repeated(df, *keys):
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-    checks = [
-        one("tx_type_domain", tx.where("tx_type is null or tx_type not in "
-                                       "('debit', 'credit')")),
-        one("unique_fingerprint", repeated(tx, "user_id", "fingerprint")),
-        one("unique_budget", repeated(budgets, "user_id", "category", "month")),
-        one("unique_snapshot", repeated(snapshots, "user_id", "month")),
-        one("upload_reference", tx.select("upload_id").distinct()
-            .join(uploads, "upload_id", "left_anti")),
-        one("category_reference", tx.select(F.col("category").alias("slug")).distinct()
-            .join(F.broadcast(categories(tx.sparkSession)), "slug", "left_anti")),
-    ]
-    union = checks[0]
-    for check in checks[1:]:
-        union = union.unionByName(check)
-    return union
+    def key(check: str, *columns: str, uses: Column = F.lit(1), owns: Column = F.lit(0)) -> Column:
+        parts = [F.col(c).cast("string") for c in columns]
+        parts += [F.lit(None).cast("string")] * (3 - len(parts))
+        return F.struct(F.lit(check).alias("check_name"),
+                        *[p.alias(f"k{n}") for n, p in enumerate(parts)],
+                        uses.cast("long").alias("uses"), owns.cast("long").alias("owns"))
+
+    def keys(df: DataFrame, *found: Column) -> DataFrame:
+        return df.select(F.inline(F.array(*found)))
+
+    valid = F.coalesce(F.col("tx_type").isin("debit", "credit"), F.lit(False))
+    slug = F.coalesce(F.col("category").isin([c[2] for c in V.CATEGORIES]), F.lit(False))
+    parts = [
+        keys(tx, key("tx_type_domain", uses=(~valid).cast("int")),
+             key("unique_fingerprint", "user_id", "fingerprint"),
+             key("upload_reference", "upload_id"),
+             key("category_reference", "category", owns=slug.cast("int"))),
+        keys(uploads.where("upload_id is not null"),
+             key("upload_reference", "upload_id", uses=F.lit(0), owns=F.lit(1))),
+        keys(budgets, key("unique_budget", "user_id", "category", "month")),
+        keys(snapshots, key("unique_snapshot", "user_id", "month")),
+        # Checks without a row are reported too.
+        tx.sparkSession.createDataFrame([(c, None, None, None, 0, 0) for c in CHECKS],
+                                        "check_name string, k0 string, k1 string, k2 string, "
+                                        "uses long, owns long")]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    counted = union.groupBy("check_name", "k0", "k1", "k2").agg(
+        F.sum("uses").alias("uses"), F.sum("owns").alias("owns"))
+    violations = (F.when(F.col("check_name") == "tx_type_domain", F.col("uses"))
+                  .when(F.col("check_name").startswith("unique"), (F.col("uses") > 1).cast("long"))
+                  .otherwise(((F.col("uses") > 0) & (F.col("owns") == 0)).cast("long")))
+    return counted.groupBy("check_name").agg(F.sum(violations).alias("violations"))

@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from tallyspark.functions import fixed_values as V
-from tallyspark.operators import assistant, clean, forecast, ledger, recommend, recurring, search, summary
+from tallyspark.operators import (assistant, clean, forecast, ledger, recommend, recurring, search,
+                                  stores, summary)
 from tallyspark.operators.health import health_dimensions, health_score, score_users
 from tallyspark.operators.features import user_features
 from tallyspark.operators.learn import macro_f1
-from tallyspark.operators.sinks import materialise
+from tallyspark.operators.sinks import materialise, shared_folder
 from tallyspark.plans import duck, frames
 from tallyspark.plans import queries_health as H
 from tallyspark.plans import queries_recommend as R
@@ -104,6 +105,50 @@ def upsert_snapshots(spark, sf_dir):
                                ["user_id", "month"]))
 
 
+@register("upsert_versions", duck.query(f"""
+    select user_id, month, case when month < date '1996-01-01' then 0 else total_expenses end
+               as total_expenses, tx_count
+    from ({MONTHS.format("lab")})""", "lab"))
+def upsert_versions(spark, sf_dir):
+    """Months are stored without expenses; those since 1996 are upserted with them, by user
+    buckets, and the newest version is read."""
+    months = materialise(summary.monthly_summary(frames.normal(spark, sf_dir))
+                         .select("user_id", "month", "total_expenses", "tx_count"), "months")
+    path = shared_folder(spark, "months-store")
+    stores.upsert(months.withColumn("total_expenses", F.lit(0).cast("decimal(18,2)")), path,
+                  ["user_id", "month"])
+    stores.upsert(months.where("month >= date'1996-01-01'"), path, ["user_id", "month"])
+    return plain(stores.read_store(spark, path))
+
+
+def _state(spark, sf_dir):
+    """Monthly totals after three batches, each with rows of all months."""
+    tx = materialise(frames.labelled(spark, sf_dir).select(
+        "user_id", "tx_date", "category", "tx_type", "amount", "row_ord"), "labelled")
+    path = shared_folder(spark, "month-state")
+    for batch in range(3):
+        stores.add_to_state(tx.where(F.col("row_ord") % 3 == batch), path, batch=batch)
+    return stores.read_store(spark, path)
+
+
+@register("merged_months", duck.query(MONTHS.format("lab"), "lab"))
+def merged_months(spark, sf_dir):
+    """The monthly summary from running totals."""
+    return plain(stores.monthly_summary(_state(spark, sf_dir)))
+
+
+@register("merged_spend", duck.query(SPEND.format("lab"), "lab", categories=CATEGORIES))
+def merged_spend(spark, sf_dir):
+    """Spend by month and category from running totals."""
+    return plain(stores.category_spend(_state(spark, sf_dir)))
+
+
+@register("merged_periods", duck.query(PERIOD.format("lab"), "lab"))
+def merged_periods(spark, sf_dir):
+    """The summary of each user's whole period from running totals."""
+    return plain(stores.period_summary(_state(spark, sf_dir)))
+
+
 @register("latest_snapshot", duck.query("""
     select * exclude (rn) from (select *, row_number() over (
         partition by user_id order by month desc) as rn from snapshots) where rn = 1""",

@@ -123,11 +123,12 @@ def running_balance(spark, sf_dir):
             "having min(tx_date) < date '1995-01-15'"))
 def constraint_checks(spark, sf_dir):
     from tallyspark.operators.classify import classify
-    # Every check reads the rows; they are read, cleaned and classified once.
+    # The stored tables that the checks read, each once.
     tx = materialise(classify(frames.repeated(spark, sf_dir)).select(
         "user_id", "upload_id", "tx_date", "tx_type", "amount", "category", "fingerprint"),
         "checked")
-    uploads = (tx.groupBy("upload_id").agg(F.min("tx_date").alias("lo"))
-               .where("lo < date'1995-01-15'").select("upload_id"))
+    uploads = materialise(tx.groupBy("upload_id").agg(F.min("tx_date").alias("lo"))
+                          .where("lo < date'1995-01-15'").select("upload_id"), "uploads")
+    snapshots = materialise(summary.monthly_summary(tx), "snapshots")
     budgets = frames.derive(table(spark, sf_dir, "customer"), frames.BUDGET)
-    return summary.constraint_checks(tx, uploads, budgets, summary.monthly_summary(tx))
+    return summary.constraint_checks(tx, uploads, budgets, snapshots)

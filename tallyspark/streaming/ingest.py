@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyspark.operators.clean import clean_transactions
 from tallyspark.operators.ledger import new_transactions
 from tallyspark.operators.pipeline import annotate, run_pipeline
-from tallyspark.operators.sinks import materialise, month_of, same_months, shared_folder
+from tallyspark.operators.sinks import (by_month, held, materialise, month_of, paths_like,
+                                        same_months, shared_folder)
+from tallyspark.operators.stores import add_to_state
 from tallyspark.operators.standardise import standardise
 from tallyspark.plans.tables import derive, entry_columns
 from tallyspark.sources.statements import describe_files
@@ -39,25 +41,22 @@ def prepare(entries: DataFrame) -> DataFrame:
     return annotate(clean_transactions(standardise(entries), materialise))
 
 
-def append_batch(batch: DataFrame, batch_id: int, store: str) -> None:
+def append_batch(batch: DataFrame, batch_id: int, store: str, state: str | None = None) -> None:
     """Append what is new. A batch that is retried replaces its own folder only, so a
-    transaction is stored once however often its batch runs. Of the store, only the
-    batch's months are read."""
+    transaction is stored once however often its batch runs. The batch is computed once; of
+    the store, only its months are read. ``state`` names a store of monthly totals that the
+    new transactions are added to, once a batch."""
     spark = batch.sparkSession
-    earlier = spark.read.schema(batch.schema).option("basePath", store).parquet(store) \
-        if _has_batches(spark, store) else None
-    fresh = batch
-    if earlier is not None:
-        fresh = new_transactions(batch, same_months(earlier, batch)
-                                 .where(F.col("batch") < batch_id))
-    (fresh.withColumn("month", month_of()).write.mode("overwrite").partitionBy("month")
-     .parquet(f"{store}/batch={batch_id}"))
-
-
-def _has_batches(spark: SparkSession, store: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(path)
+    target = f"{store}/batch={batch_id}"
+    with held(batch, "stream-batch") as fresh:
+        if paths_like(spark, store):
+            schema = batch.withColumn("batch", F.lit(0)).withColumn("month", month_of()).schema
+            earlier = spark.read.schema(schema).option("basePath", store).parquet(store)
+            fresh = new_transactions(fresh, same_months(earlier, fresh)
+                                     .where(F.col("batch") < batch_id))
+        by_month(fresh).write.mode("overwrite").partitionBy("month").parquet(target)
+    if state:
+        add_to_state(spark.read.schema(batch.schema).parquet(target), state, batch=batch_id)
 
 
 def run_available(entries: DataFrame, store: str | None = None,
@@ -73,11 +72,12 @@ def run_available(entries: DataFrame, store: str | None = None,
     return spark.read.parquet(store).drop("batch", "month")
 
 
-def run_files(files: DataFrame, store: str, status: str, progress: str) -> None:
+def run_files(files: DataFrame, store: str, status: str, progress: str,
+              state: str | None = None) -> None:
     """Process new statement files; one status row per file is kept beside the store.
 
     A file is processing, then complete, or failed with its reason. Rows of a batch that is
-    run again replace its own.
+    run again replace its own. ``state`` as in :func:`append_batch`.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         known = materialise(batch, "stream-files")
@@ -89,7 +89,7 @@ def run_files(files: DataFrame, store: str, status: str, progress: str) -> None:
         (waiting.select(*[F.col(c) if c in waiting.columns else
                           F.lit(None).cast(dict(done.uploads.dtypes)[c]).alias(c)
                           for c in columns]).write.mode("overwrite").parquet(target))
-        append_batch(done.transactions, batch_id, store)
+        append_batch(done.transactions, batch_id, store, state)
         done.uploads.write.mode("overwrite").parquet(target)
 
     query = (files.writeStream.option("checkpointLocation", progress)

@@ -344,3 +344,32 @@ def test_search_of_many_texts_equals_all_pairs(spark):
                     want[a, b] = (round(share, 6), texts.count(b))
         assert {(x.search, x.text): (x.similarity, x.n) for x in got} == want
         assert want
+
+
+def test_constraint_checks_read_each_table_once(spark, tmp_path):
+    from tallyspark.operators import summary
+    tx = spark.createDataFrame(
+        [("a", "f1", "s1", "food", "debit"), ("a", "f1", "s1", "food", "credit"),
+         ("b", "f1", "s2", "nothing", "other"), ("b", None, None, None, None),
+         ("b", None, "s3", "rent", "debit")],
+        "user_id string, fingerprint string, upload_id string, category string, tx_type string")
+    uploads = spark.createDataFrame([("s1",), (None,), ("s9",)], "upload_id string")
+    budgets = spark.createDataFrame([("a", "food", 1), ("a", "food", 1), ("a", "food", 2),
+                                     ("a", None, 2), ("a", None, 2), ("a", "", 2)],
+                                    "user_id string, category string, month int")
+    months = spark.createDataFrame([("a", 1), ("b", 1), ("a", 1), ("a", 1)],
+                                   "user_id string, month int")
+    found = summary.constraint_checks(tx, uploads, budgets, months).collect()
+    assert {r.check_name: r.violations for r in found} == {
+        "tx_type_domain": 2, "unique_fingerprint": 2, "unique_budget": 2, "unique_snapshot": 1,
+        "upload_reference": 3, "category_reference": 2}
+    none = summary.constraint_checks(*[t.limit(0) for t in (tx, uploads, budgets, months)])
+    assert sorted((r.check_name, r.violations) for r in none.collect()) == [
+        (name, 0) for name in sorted(summary.CHECKS)]
+    stored = []
+    for n, frame in enumerate((tx, uploads, budgets, months)):
+        frame.write.parquet(str(tmp_path / str(n)))
+        stored.append(spark.read.parquet(str(tmp_path / str(n))))
+    plan = summary.constraint_checks(*stored)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 4
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan

@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import learn, sinks
+from tallyspark.operators import learn, sinks, stores, summary
 from tallyspark.operators.classify import classify
 from tallyspark.operators.standardise import standardise
 from tallyspark.streaming import ingest
@@ -23,12 +23,100 @@ def test_append_skips_known_fingerprints(spark, entries, tmp_path):
     stored = spark.read.parquet(store)
     assert sorted(r.description for r in stored.collect()) == ["KFC", "SPAR", "UBER"]
     assert "2026-02" in {str(r.month) for r in stored.collect()}
-    known = sinks.same_months(stored, again.where("tx_date >= '2026-02-01'"))
+    batch = sinks.materialise(again.where("tx_date >= '2026-02-01'"), "test")
+    known = sinks.same_months(sinks.stored_months(batch, store), batch)
     plan = known._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(month" in plan and "2026-02" in plan
+    assert "dynamicpruning" in plan.lower() and "month" in plan.split("PartitionFilters")[1]
     assert known.count() == 2
 
 
+def test_append_computes_its_batch_once(spark, entries, tmp_path):
+    """However often the batch is read, its rows are made once; nothing temporary stays."""
+    store, made = str(tmp_path / "tx"), spark.sparkContext.accumulator(0)
+    first = classify(standardise(entries([("2026-01-01", "KFC", 1, "debit", None)])))
+    sinks.append_transactions(first, store, exists=False)
+    schema = first.schema
+
+    def counted(row):
+        made.add(1)
+        return row
+    rows = classify(standardise(entries([("2026-01-01", "KFC", 1, "debit", None),
+                                         ("2026-03-01", "SPAR", 2, "debit", None)])))
+    again = spark.createDataFrame(rows.rdd.map(counted), schema)
+    sinks.append_transactions(again, store)
+    assert made.value == 2
+    assert sorted(r.month for r in spark.read.parquet(store).collect()) == ["2026-01", "2026-03"]
+    root = spark.conf.get("spark.checkpoint.dir")
+    assert sinks.paths_like(spark, f"{root}/tallyspark/append-*") == []
+
+
+def files_of(folder):
+    return {str(p): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_a_write_touches_its_buckets_only(spark, tmp_path):
+    path, names = str(tmp_path / "s"), "user_id string, month int, v int"
+    rows = [(f"u{k}", m, 0) for k in range(40) for m in (1, 2)]
+    stores.upsert(spark.createDataFrame(rows, names), path, ["user_id", "month"], buckets=8)
+    before = files_of(tmp_path / "s" / "rows")
+    stores.upsert(spark.createDataFrame([("u3", 2, 9), ("new", 1, 5)], names), path,
+                  ["user_id", "month"])
+    want = {(u, m): v for u, m, v in rows} | {("u3", 2): 9, ("new", 1): 5}
+    assert {(r.user_id, r.month): r.v for r in stores.read_store(spark, path).collect()} == want
+    after = files_of(tmp_path / "s" / "rows")
+    assert before.items() <= after.items()
+    places = stores.manifest(spark, path).places
+    assert set(places.values()) == {0, 1} and 1 <= sum(v == 1 for v in places.values()) <= 2
+    users = spark.createDataFrame([("u5",), ("u6",)], "user_id string")
+    stores.replace(spark.createDataFrame([("u5", 7, 7)], names), path, users)
+    left = stores.read_store(spark, path)
+    assert [tuple(r) for r in left.where("user_id in ('u5', 'u6')").collect()] == [("u5", 7, 7)]
+    assert left.count() == len(want) - 3
+    assert stores.read_store(spark, path, 0).count() == 80
+    stores.expire(spark, path, keep=1)
+    assert stores.versions(spark, path) == [2] and stores.read_store(spark, path).count() == 78
+
+
+def test_a_failed_write_leaves_the_old_version(spark, tmp_path):
+    path, names = str(tmp_path / "s"), "user_id string, v int"
+    good = spark.createDataFrame([("a", 1), ("b", 1)], names)
+    stores.upsert(good, path, ["user_id"], buckets=2)
+    bad = good.withColumn("v", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        stores.upsert(bad, path, ["user_id"])
+    with pytest.raises(Exception, match="lost"):
+        stores.merge(good, path, lambda old, new: old.unionByName(
+            new.withColumn("v", F.raise_error(F.lit("lost")).cast("int"))))
+    assert stores.versions(spark, path) == [0]
+    assert sorted(map(tuple, stores.read_store(spark, path).collect())) == [("a", 1), ("b", 1)]
+    stores.upsert(good.withColumn("v", F.lit(2)), path, ["user_id"])
+    assert {r.v for r in stores.read_store(spark, path).collect()} == {2}
+    stores.upsert(good.limit(0), path, ["user_id"])
+    assert stores.read_store(spark, path).count() == 2
+    empty = str(tmp_path / "empty")
+    stores.upsert(good.limit(0), empty, ["user_id"])
+    assert stores.read_store(spark, empty).count() == 0
+    with pytest.raises(FileNotFoundError):
+        stores.read_store(spark, str(tmp_path / "none"))
+
+
+def test_merged_months_equal_the_whole_history(spark, entries, tmp_path):
+    path = str(tmp_path / "state")
+    rows = [(f"2026-{1 + k % 5:02d}-{1 + k % 27:02d}", text, k, kind, None) for k, (text, kind)
+            in enumerate([("KFC AJAH", "debit"), ("SALARY", "credit"), ("UBER", "debit")] * 20)]
+    tx = classify(standardise(entries(rows)))
+    for batch, part in enumerate((tx.where("row_ord % 2 = 0"), tx.where("row_ord % 2 = 1"))):
+        stores.add_to_state(part, path, batch=batch)
+        stores.add_to_state(part, path, batch=batch)  # a batch that is run again
+    state = stores.read_store(spark, path)
+    for ours, whole in ((stores.monthly_summary, summary.monthly_summary),
+                        (stores.category_spend, summary.category_spend),
+                        (stores.period_summary, summary.period_summary)):
+        a, b = ours(state), whole(tx)
+        assert a.dtypes == b.dtypes
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
 def test_rewrites_leave_the_old_version(spark, tmp_path):
     old, new = str(tmp_path / "v1"), str(tmp_path / "v2")
     rows = spark.createDataFrame([("a", 1), ("b", 1)], "user_id string, v int")
@@ -42,10 +130,11 @@ def test_rewrites_leave_the_old_version(spark, tmp_path):
 def test_new_files_are_processed_once(spark, tmp_path):
     folder, store = tmp_path / "in", str(tmp_path / "store")
     status, progress = str(tmp_path / "status"), str(tmp_path / "progress")
+    state = str(tmp_path / "state")
     (folder / "u1").mkdir(parents=True)
 
     def run():
-        ingest.run_files(ingest.file_stream(spark, str(folder)), store, status, progress)
+        ingest.run_files(ingest.file_stream(spark, str(folder)), store, status, progress, state)
         return spark.read.parquet(store)
 
     (folder / "u1" / "jan.csv").write_text(CSV)
@@ -54,6 +143,8 @@ def test_new_files_are_processed_once(spark, tmp_path):
     (folder / "u1" / "again.csv").write_text(CSV + "03 Jan 2026,UBER TRIP,50.00,,1350.00\n")
     stored = run()
     assert sorted(r.description for r in stored.collect()) == ["KFC AJAH", "SALARY", "UBER TRIP"]
+    totals = stores.period_summary(stores.read_store(spark, state)).first()
+    assert (totals.tx_count, totals.total_income, totals.total_expenses) == (3, 500, 150)
     states = {r.filename: (r.status, r.error_message)
               for r in spark.read.parquet(status).collect()}
     assert states == {"jan.csv": ("complete", None), "again.csv": ("complete", None),

@@ -42,8 +42,10 @@ STRETCH = 12
 BROADCAST_SEEDS = 2_000_000
 #: Items of this many words or more may have words replaced.
 SPAN = 5
-#: Items of fewer words remove a document only as a whole line of it.
-EVIDENCE = 3
+#: Items of fewer words remove a document only as a whole line of it. Of the 10,000 documents of
+#: table 0.1, the first one, two, three, four and five words of its benchmark items lie in 9,869,
+#: 5,773, 342, 248 and 247, and the first fifteen words in as many as five.
+EVIDENCE = 4
 
 # Scripts written without spaces, read character by character.
 UNSPACED = (r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}"

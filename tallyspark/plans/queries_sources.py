@@ -215,7 +215,53 @@ def standardize(spark, sf_dir):
     return plain(frames.standard(spark, sf_dir))
 
 
-@register("ingest_statements")
+#: Formats of printed dates in the order in which a statement's first date is tried on them.
+_PRINTED_FORMATS = ["%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y"]
+
+
+def _ingested_sql() -> tuple[str, dict[str, str]]:
+    """Entries of the delimited statements and of the printed ones.
+
+    All dates of a printed statement follow the first one; lines of another form have no date.
+    """
+    fits = duck.lit(V.TEXT_LINE)
+    day = duck.case([(f"pattern = {i}", f"try_strptime(d, '{f}')")
+                     for i, f in enumerate(_PRINTED_FORMATS)], "null")
+    value, balance = duck.parse_money("a"), duck.parse_money("nullif(b, '')")
+    return """
+        select user_id, upload_id, row_ord, tx_date, description, raw_desc,
+               cast(amount as double) as amount, tx_type, cast(balance as double) as balance,
+               channel, merchant, bank, fingerprint from ingested""", {
+        "delimited": ROUND_TRIP.replace("cast(amount as double) as amount", "amount").replace(
+            "cast(balance as double) as balance", "balance"),
+        "printed": frames.printed_lines_sql(),
+        "printed_cells": f"""
+            select user_id, concat(upload_id, '-printed') as upload_id,
+                   cast(row_number() over (partition by upload_id order by row_ord) - 1 as bigint)
+                       as row_ord,
+                   regexp_extract(s, {fits}, 1) as d, trim(regexp_extract(s, {fits}, 2)) as t,
+                   trim(regexp_extract(s, {fits}, 3)) as a,
+                   trim(regexp_extract(s, {fits}, 4)) as b
+            from (select *, trim(line) as s from printed)
+            where length(s) >= {V.TEXT_LINE_MIN_CHARS} and regexp_matches(s, {fits})""",
+        "printed_forms": "select upload_id as of_upload, " + duck.case(
+            [(f"try_strptime(d, '{f}') is not null", str(i))
+             for i, f in enumerate(_PRINTED_FORMATS)], "null")
+        + " as pattern from printed_cells where row_ord = 0",
+        "read_back": f"""
+            select user_id, upload_id, row_ord, tx_date, raw_desc, amount, tx_type, balance
+            from delimited
+            union all
+            select user_id, upload_id, row_ord, cast({day} as date), t,
+                   cast(round(abs({value}), 2) as decimal(18,2)),
+                   case when {value} >= 0 and regexp_matches(a, '(?i)cr\\b') then 'credit'
+                        else 'debit' end,
+                   case when b <> '' then cast(round({balance}, 2) as decimal(18,2)) end
+            from printed_cells join printed_forms on upload_id = of_upload""",
+        "ingested": duck.standardised("read_back")}
+
+
+@register("ingest_statements", duck.query(_ingested_sql()[0], "entries", **_ingested_sql()[1]))
 def ingest_statements(spark, sf_dir):
     """Delimited and printed statements of all orders, read and standardised in one pass."""
     printed = frames.printed_lines(spark, sf_dir).groupBy("user_id", "upload_id").agg(

@@ -16,6 +16,7 @@ from tallyspark.plans.queries_cleaning import COLUMNS, DUP, EXACT, FILL, NEAR
 from tallyspark.plans.queries_summary import CATEGORIES, MONTHS, PERIOD, SPEND
 from tallyspark.plans.registry import plain, register
 from tallyspark.plans.tables import derive, derive_sql, table
+from tallyspark.schema import STANDARD
 
 _WIDTHS = {c: f"substr({c}, 1, {n}) as {c}" for c, n in V.STORED_WIDTHS.items()}
 _STORED = ", ".join(_WIDTHS.get(c, c) for c in [
@@ -321,7 +322,19 @@ def result_doc(spark, sf_dir):
         forecast.cashflow_forecast(tx), forecast.forecast_summary(tx))
 
 
-@register("transaction_records")
+#: Fields of a transaction's record in their order; texts and dates are quoted.
+_RECORD = {name: name not in ("row_ord", "amount", "balance", "is_recurring", "confidence")
+           for name in [*STANDARD, "recurring_group", "is_recurring", "category", "confidence",
+                        "classified_by"]}
+_RECORD_SQL = "concat('{', concat_ws(',', " + ", ".join(
+    f"""case when {name} is not null then '"{name}":' || """
+    + (f"cast(to_json(cast({name} as varchar)) as varchar)" if quoted
+       else f"cast({name} as varchar)") + " end"
+    for name, quoted in _RECORD.items()) + "), '}')"
+
+
+@register("transaction_records", duck.query(f"""
+    select user_id, upload_id, row_ord, {_RECORD_SQL} as record from rec""", "rec"))
 def transaction_records(spark, sf_dir):
     return ledger.transaction_documents(frames.annotated(spark, sf_dir))
 

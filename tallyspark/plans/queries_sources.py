@@ -171,6 +171,11 @@ def extracted_tables(spark, sf_dir):
         .otherwise(F.concat(F.array(blank), F.col("body")))).drop("body")
 
 
+def stored_tables(spark, sf_dir):
+    """The tables, written once: headers and rows are two reads of them."""
+    return materialise(extracted_tables(spark, sf_dir), "extracted-tables")
+
+
 def _upload():
     from pyspark.sql import Window
     return Window.partitionBy("user_id", "upload_id")
@@ -193,7 +198,7 @@ _KEPT = " and ".join(f"not contains(lower(concat(cast(tx_date as varchar), ' ',
                   coalesce(cast(balance as varchar), '')) as cells
     from table_rows where {_KEPT}""", "entries", table_rows=_TABLE_ROWS))
 def normalize_table_rows(spark, sf_dir):
-    return S.normalise_tables(extracted_tables(spark, sf_dir)).select(
+    return S.normalise_tables(stored_tables(spark, sf_dir)).select(
         "upload_id", "table_no", F.array_join("header", "|").alias("header"),
         F.array_join("cells", "|").alias("cells"))
 
@@ -203,7 +208,7 @@ def normalize_table_rows(spark, sf_dir):
            cast(balance as double) as balance
     from table_rows where {_KEPT}""", "entries", table_rows=_TABLE_ROWS))
 def map_table_rows(spark, sf_dir):
-    rows = S.normalise_tables(extracted_tables(spark, sf_dir))
+    rows = S.normalise_tables(stored_tables(spark, sf_dir))
     return plain(S.map_table_rows(rows)).drop("user_id", "row_ord")
 
 

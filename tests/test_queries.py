@@ -14,7 +14,8 @@ TABLES = "/root/testdata/sf0.001"
 CHECKED = ["parse_money", "parse_dates", "extract_merchant", "classify_rules", "dedup_near",
            "scan_csv_statement", "normalize_table_rows", "monthly_summary", "running_balance",
            "frequency_recurring", "health_score", "recommendations", "cashflow_forecast",
-           "upsert_snapshots", "manual_ledger", "trigram_search", "chat_intents"]
+           "upsert_snapshots", "manual_ledger", "trigram_search", "chat_intents",
+           "ingest_statements", "transaction_records"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="tables not present")
 

@@ -18,17 +18,47 @@ def trigram_search(tx: DataFrame, text: str, threshold: float = 0.3) -> DataFram
             .where(F.col("similarity") >= threshold))
 
 
+#: Bits of a text's sketch, in words of 64.
+SKETCH_WORDS = 8
+
+
 def _postings(rows: DataFrame, key: str, share: DataFrame, threshold: float) -> DataFrame:
-    """(gram, key, size): the rarest trigrams of each text, as many as a similar text must hold
-    one of; ``share`` has the number of texts that hold a trigram."""
+    """(gram, key, size, place, sketch_0 ...): the rarest trigrams of each text, as many as a
+    similar text must hold one of, with their place by rarity and one bit for each trigram of
+    the whole text; ``share`` has the number of texts that hold a trigram."""
     size = F.size("grams")
     # Fewer shared trigrams than the threshold asks for leave out no more than the rest.
     most = size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)) + 1
     by_rarity = Window.partitionBy(key).orderBy(F.coalesce("n", F.lit(0)), "gram")
+    sketch = {f"sketch_{w}": F.bit_or(F.expr(
+        f"case when bit div 64 = {w} then shiftleft(1L, cast(bit % 64 as int)) else 0L end"))
+        .over(Window.partitionBy(key)) for w in range(SKETCH_WORDS)}
     return (rows.select(key, size.alias("size"), most.alias("most"),
                         F.explode("grams").alias("gram"))
-            .join(share, "gram", "left").withColumn("place", F.row_number().over(by_rarity))
-            .where("place <= most").select("gram", key, "size"))
+            .join(share, "gram", "left")
+            .withColumn("bit", F.pmod(F.xxhash64("gram"), F.lit(64 * SKETCH_WORDS)))
+            .withColumn("place", F.row_number().over(by_rarity)).withColumns(sketch)
+            .where("place <= most").select("gram", key, "size", "place", *sketch))
+
+
+def _may_reach(threshold: float) -> Column:
+    """False for postings ``l`` and ``r`` of one trigram only if their texts cannot be similar
+    or share a rarer trigram.
+
+    Two texts share at most the trigrams from their first common one on, and at most those of
+    either text whose bit the other has too.
+    """
+    needed = f"ceil((l.size + r.size) * {threshold / (1 + threshold)!r}D - 1e-9D)"
+
+    def missing(one: str, other: str) -> str:
+        return " + ".join(f"bit_count({one}.sketch_{w} & ~{other}.sketch_{w})"
+                          for w in range(SKETCH_WORDS))
+
+    return F.expr(" and ".join(
+        [f"r.size >= l.size * {threshold!r}D - 1e-9D", f"l.size >= r.size * {threshold!r}D - 1e-9D"]
+        + [f"{side}.size - {side}.place + 1 >= {needed}" for side in "lr"]
+        + [f"l.size - ({missing('l', 'r')}) >= {needed}",
+           f"r.size - ({missing('r', 'l')}) >= {needed}"]))
 
 
 def search_many(texts: DataFrame, searches: DataFrame, threshold: float = 0.5,
@@ -38,8 +68,9 @@ def search_many(texts: DataFrame, searches: DataFrame, threshold: float = 0.5,
     trigram similarity reaches the threshold, with the text's number of uses.
 
     A text as similar as that shares one of a search's rarest trigrams, and its number of
-    trigrams lies within the threshold; so only postings of rare trigrams are joined, and what
-    meets is verified on whole trigram sets. Texts without a letter or digit are found by none.
+    trigrams lies within the threshold; so only postings of rare trigrams are joined. Pairs whose
+    places and sketches rule the threshold out are left in the join, and what is left is verified
+    on whole trigram sets. Texts without a letter or digit are found by none.
     ``cut`` stores frames that several steps read.
     """
     if not 0 < threshold <= 1:
@@ -56,12 +87,10 @@ def search_many(texts: DataFrame, searches: DataFrame, threshold: float = 0.5,
                 .withColumn("search_key", F.monotonically_increasing_id()), "searches")
     share = cut(stored.select(F.explode("grams").alias("gram")).groupBy("gram")
                 .agg(F.count(F.lit(1)).alias("n")), "grams")
-    left = _postings(asked, "search_key", share, threshold)
-    right = _postings(stored, "text_key", share, threshold).withColumnRenamed("size", "other")
-    met = (left.join(right, "gram")
-           .where((F.col("other") >= F.col("size") * threshold - 1e-9)
-                  & (F.col("size") >= F.col("other") * threshold - 1e-9))
-           .select("search_key", "text_key").distinct())
+    left = _postings(asked, "search_key", share, threshold).alias("l")
+    right = _postings(stored, "text_key", share, threshold).alias("r")
+    met = cut(left.join(right, F.col("l.gram") == F.col("r.gram")).where(_may_reach(threshold))
+              .select("search_key", "text_key").distinct(), "pairs")
     both = (met.join(asked.select("search_key", "search", F.col("grams").alias("a")), "search_key")
             .join(stored.select("text_key", "text", "n", F.col("grams").alias("b")), "text_key"))
     return (with_once(both, "exact", trigram_similarity(F.col("a"), F.col("b")))

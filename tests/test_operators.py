@@ -346,6 +346,37 @@ def test_search_of_many_texts_equals_all_pairs(spark):
         assert want
 
 
+def test_search_of_many_texts_verifies_few_pairs(spark):
+    """Words made of the same few pieces share many trigrams, yet hardly any pair is verified."""
+    import random
+    from tallyspark.operators import search
+    draw = random.Random(7)
+    parts = ["an", "de", "the", "ion", "er", "re", "on", "ha", "ou", "ly"]
+
+    def sentence():
+        return " ".join("".join(draw.choices(parts, k=3)) for _ in range(8))
+
+    texts = [sentence() for _ in range(300)]
+    asked = [sentence() for _ in range(20)] + [texts[5] + " an", texts[9][:40]]
+    sizes = {}
+
+    def cut(df, name):
+        sizes[name] = df.count()
+        return df
+
+    got = search.search_many(spark.createDataFrame([(t,) for t in texts], "description string"),
+                             spark.createDataFrame([(t,) for t in asked], "search string"),
+                             0.5, cut=cut).collect()
+
+    def grams(text):
+        return {f"  {w} "[i:i + 3] for w in text.split() for i in range(len(w) + 1)}
+
+    want = {(a, b) for a in asked for b in texts
+            if 2 * len(grams(a) & grams(b)) >= len(grams(a) | grams(b))}
+    assert {(r.search, r.text) for r in got} == want and len(want) >= 2
+    assert sizes["pairs"] < 300 * 22 / 10 + 2 * len(want)
+
+
 def test_constraint_checks_read_each_table_once(spark, tmp_path):
     from tallyspark.operators import summary
     tx = spark.createDataFrame(

@@ -316,6 +316,58 @@ def test_annotations_are_complete(entries):
     assert set(ANNOTATIONS) <= set(tx.columns)
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_cleaned_once_and_unread_labels_not_made(entries, spark):
+    from tallyspark.operators.clean import remove_noise
+    from tallyspark.operators.standardise import standardise
+    from tallyspark.schema import ENTRY
+    spark.conf.set("spark.sql.maxPlanStringLength", "1000000")
+    raw = spark.createDataFrame([], ENTRY).repartition(2)
+    plan = _plan(remove_noise(standardise(raw)).select("user_id", "description"))
+    assert plan.count("d{8,}") == 1
+    assert "initcap" not in plan and "Contains" not in plan
+
+
+def _some_orders(spark, folder):
+    """Orders whose keys lie outside the looked-up values or are missing, and customers."""
+    spark.sql("""select * from values
+        (-7L, 35L, 'O', 100D, timestamp'2001-01-02 00:00:00', 'x'),
+        (3L, -40L, 'O', 80D, timestamp'2001-02-02 00:00:00', 'x'),
+        (3L, 40L, 'O', 80D, timestamp'2001-02-02 00:00:00', 'x'),
+        (4L, 40L, 'O', 90D, timestamp'2001-03-02 00:00:00', 'x'),
+        (5L, 40L, 'O', 90D, timestamp'2001-03-02 00:00:00', 'x'),
+        (null, null, 'O', 90D, timestamp'2001-03-02 00:00:00', 'x')
+        as t(o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority)
+        """).write.parquet(f"{folder}/orders.parquet")
+    spark.sql("""select * from values (40L, 'c', 12.5D) as t(c_custkey, c_name, c_acctbal)
+        """).write.parquet(f"{folder}/customer.parquet")
+
+
+def test_looked_up_entry_values_equal_their_cases(spark, tmp_path):
+    from tallyspark.plans import tables
+    _some_orders(spark, str(tmp_path))
+    cases = tables.derive(tables.table(spark, str(tmp_path), "orders"), {
+        "o_orderkey": "o_orderkey", "o_custkey": "o_custkey",
+        "raw_desc": tables.entry_columns("duckdb")["raw_desc"],
+        "amount": tables.entry_columns("duckdb")["amount"]})
+    found = tables.derive(tables.table(spark, str(tmp_path), "orders"), {
+        "o_orderkey": "o_orderkey", "o_custkey": "o_custkey",
+        "raw_desc": tables.entry_columns("spark")["raw_desc"],
+        "amount": tables.entry_columns("spark")["amount"]})
+    assert found.dtypes == cases.dtypes
+    assert sorted(map(str, found.collect())) == sorted(map(str, cases.collect()))
+
+
+def test_recommendations_read_orders_once(spark, tmp_path):
+    from tallyspark.plans import queries_recommend
+    _some_orders(spark, str(tmp_path))
+    plan = _plan(queries_recommend.planned(spark, str(tmp_path)))
+    assert "o_orderkey" not in plan and "paystack" not in plan.lower()
+
+
 def test_search_of_many_texts_equals_all_pairs(spark):
     import random
     from tallyspark.operators import search

@@ -117,3 +117,28 @@ def test_mixed_dates(spark):
 def test_trigram_similarity(spark):
     score = text.trigram_similarity(text.trigrams(F.col("x")), text.trigrams(F.lit("word")))
     assert evaluate(spark, ["word", "words", "zzz"], score) == [1.0, 4 / 7, 0.0]
+
+
+def test_shapes_leave_out_no_text_that_a_pattern_reads(spark):
+    from tallyspark.functions import fixed_values as V
+    texts = ["2026-1-5", "02026-1-5", "+12026-01-05", "2026/01/05", "13/2/2026", "1/2/26",
+             "1-2-2026", "001-2-2026", "5-Jan-2026", "05 jan 26", "January 5, 2026", "Jan 5 2026", "Sep 5, 2026",
+             "20260105", "2026-01-05 9:30:00", "2026-01-05 09:30:00", "-2026-1-5", "x", "", None]
+    patterns = sorted({*dates.MIXED, *(layout[-1] for layout in V.LAYOUTS)})
+    policy = "spark.sql.legacy.timeParserPolicy"
+    spark.conf.set(policy, "CORRECTED")
+    try:
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        for p in patterns:
+            read = df.selectExpr("t", f"cast(try_to_timestamp(t, '{p}') as string) as whole",
+                                 f"cast({dates.read_as('t', p)} as string) as shaped").collect()
+            assert [r for r in read if r.whole != r.shaped] == [], p
+    finally:
+        spark.conf.unset(policy)
+
+
+def test_plain_numbers_are_read_like_others(spark):
+    cells = ["5", "+5.", "-.5", "1e3", "5\n", "5d", "NaN", "Infinity", "5\u0085", " 5 ", "1,000.50",
+             "₦7 DR", "", None]
+    assert str(evaluate(spark, cells, money.parse_money(F.col("x")))) == str(
+        [5.0, 5.0, -0.5, 1000.0, 5.0, 0.0, None, 0.0, 5.0, 5.0, 1000.5, 7.0, 0.0, None])

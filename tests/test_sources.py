@@ -192,3 +192,37 @@ def test_files_above_a_given_limit_are_refused(spark):
                                   "content binary")
     row = S.describe_files(files, max_bytes=10 * 1024 * 1024).select("status", "error_message", F.col("text")).collect()[0]
     assert tuple(row) == ("failed", "File too large. Max 10MB.", None)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cells_are_read_once_a_row(spark):
+    files = spark.createDataFrame([("u", "s", "csv", "x")],
+                                  "user_id string, upload_id string, file_type string, text string")
+    # One search gives all cells of a printed line.
+    assert "regexp_extract" not in _plan(files.select(S.text_cells(F.col("text"))))
+    # One number each for debit, credit, amount and balance.
+    assert _plan(S.read_statements(files)).count("₦") <= 4
+
+
+def test_lines_after_the_header_are_not_tested(spark):
+    # The third line can't be read as a number: testing it would fail.
+    lines = F.array(*[F.lit(x) for x in ["0", "1", "x"]])
+    tested = S._first_place(lines, lambda c: c.cast("int") > 0)
+    assert spark.range(1).select(tested.alias("n")).first().n == 2
+    heads = ["\n\nDate,Details\nDate,Debit", "a\nb", "", "\n \n x"]
+    got = spark.createDataFrame([(t,) for t in heads], "text string").select(
+        S.header_line(F.col("text")).alias("n")).collect()
+    assert [r.n for r in got] == [2, 0, 0, 2]
+
+
+def test_printed_groups_may_hold_any_character(spark):
+    lines = [" \t2026-03-15  A B  1,000.00DR  5.00", "x 1/2/26 POS $1 \\ |  7 CR",
+             "2026-03-15  \x01TAB\tBED  12.5\n", "2026-03-15", None]
+    got = [r.c for r in spark.createDataFrame([(x,) for x in lines], "x string").select(
+        S.text_cells(F.col("x")).alias("c")).collect()]
+    # A line separator ends the description's search, so no cell holds one.
+    assert got == [None, ["1/2/26", "POS $1 \\ |", "7 CR", ""],
+                   ["2026-03-15", "\x01TAB\tBED", "12.5", ""], None, None]

@@ -46,6 +46,23 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
                     F.monotonically_increasing_id().alias("line"), "value"))
 
 
+def numbered(lines: DataFrame, cut: Cut = keep) -> DataFrame:
+    """Add ``nth``, the number of each line in its file, and ``latin``, whether a line of the
+    file isn't UTF-8. A split is read in one piece, so its lines are numbered without gaps: the
+    first number and the count of every split tell all places. Where these few rows are stored
+    (``cut``) no line is moved for them."""
+    earlier = (Window.partitionBy("path").orderBy("block")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    starts = (lines.groupBy(*SPLIT).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("line").alias("_first"),
+        F.bool_or(~F.is_valid_utf8("value")).alias("_bad"))
+        .select(*SPLIT, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+                F.bool_or("_bad").over(Window.partitionBy("path")).alias("latin")))
+    return (lines.join(cut(starts, "splits"), SPLIT)
+            .withColumn("nth", F.col("_before") + F.col("line") - F.col("_first") + 1)
+            .drop("_first", "_before"))
+
+
 def running_count(rows: DataFrame, flag: Column, name: str, *order: str) -> DataFrame:
     """Add the number of flagged rows of the file up to each row: counted inside splits, then
     shifted by the counts of earlier splits."""
@@ -128,11 +145,10 @@ def read_statements(spark: SparkSession, path: str, ids=folder_ids,
                     day_first: bool = False, cut: Cut = keep) -> DataFrame:
     """Entries of all delimited files below a folder; ``ids`` makes user and upload of a path.
     Files whose columns can't be told give none."""
-    raw = cut(running_count(read_lines(spark, path), F.lit(True), "nth", "line"), "lines")
-    latin = raw.groupBy("path").agg(F.bool_or(~F.is_valid_utf8("value")).alias("latin"))
+    raw = numbered(cut(read_lines(spark, path), "lines"), cut)
     text = F.when(F.col("latin"), F.decode(F.col("value").cast("binary"), "ISO-8859-1")) \
         .otherwise(F.col("value"))
-    raw = raw.join(latin, "path").withColumn(
+    raw = raw.withColumn(
         "value", F.when(F.col("nth") == 1, F.regexp_replace(text, "^\\uFEFF", "")).otherwise(text))
     head = F.sort_array(F.collect_list(F.struct("nth", "value")))
     user, upload = ids(F.col("path"))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.operators.sinks import materialise
 from tallyspark.sources import splits, statements
 
 CELLS = ["RICE", '"a, b"', '"say ""hi"""', '"two\nlines"', '"three\n\nli,nes\n"', 'x "y" z', "",
@@ -25,6 +26,25 @@ def text(seed, rows, unclosed=False):
     return "\n".join(lines) + "\n"
 
 
+def test_lines_are_numbered_without_moving_them(spark, small_splits, tmp_path):
+    texts = {"a": text(1, 60), "b": "x\n\n\ny\n", "c": "caf\u00e9\n"}
+    for name, value in texts.items():
+        (tmp_path / f"{name}.csv").write_bytes(value.encode("latin-1" if name == "c" else "utf-8"))
+    lines = splits.read_lines(spark, str(tmp_path))
+    assert lines.groupBy("path", "block").count().count() > len(texts)
+    got = splits.numbered(lines).select(
+        F.regexp_extract("path", r"(\w)\.csv$", 1).alias("f"), "nth", "value", "latin").collect()
+    for name, value in texts.items():
+        own = sorted((r for r in got if r.f == name), key=lambda r: r.nth)
+        assert [r.nth for r in own] == list(range(1, len(own) + 1))
+        assert {r.latin for r in own} == {name == "c"}
+        if name != "c":
+            assert [r.value for r in own] == value.replace("\r\n", "\n").split("\n")[:-1]
+    # With stored counts the lines meet them where they are.
+    plan = splits.numbered(lines, materialise)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Sort [" not in plan and "hashpartitioning" not in plan
+
+
 @pytest.fixture()
 def small_splits(spark):
     names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]

@@ -8,7 +8,8 @@ splits of a file, one row each, picks the true one. Lines outside of quotes are
 stand; only records of several lines are grouped.
 
 The first lines of a file give its header and column positions, one row for each file, as small
-as for small files, and the rest is the same code as theirs. Lines are shuffled once, by split.
+as for small files, and the rest is the same code as theirs. Lines are shuffled by split to
+tell their state, and data rows once more to number them.
 
 A quote that is never closed is plain text: the lines after it are held as one text and cut
 again, as for small files. Line breaks inside quotes are read as ``\\n``. A file with a line that

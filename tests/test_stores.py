@@ -199,6 +199,66 @@ def test_repeated_samples_fit_like_one_row_each(spark):
         (t, held[t]) for t in want]
 
 
+def test_a_fit_reaches_the_optimum_in_few_passes(spark, monkeypatch):
+    """The slope of the loss, taken from whole rows, is nearly zero at the fitted model."""
+    import math
+    import random
+    import numpy as np
+    from tallyspark.operators import softmax
+    draw, passes = random.Random(3), []
+    words = ["".join(draw.choices("abcdefgh", k=3)) for _ in range(300)]
+    rows = [(k, " ".join(draw.choices(words, weights=[1 / (i + 1) for i in range(300)], k=40))
+             + f" {label * 2}", label) for k in range(300) for label in draw.choices("xyyyz")]
+    rows += [(900, "7 !", "x"), (901, "", "z"), (902, words[0], None)] + [(903 + k, "none none", None) for k in range(2)]
+    summed = softmax._summed
+    monkeypatch.setattr(softmax, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(softmax, "_summed", lambda *a: passes.append(1) or summed(*a))
+    samples = spark.createDataFrame(rows, "sample_id int, description string, label string")
+    model = learn.fit_classifier(samples)
+    assert 2 < len(passes) < 60 and "none" not in model.stages[3].vocabulary
+    counter, unit, fitted = model.stages[3], model.stages[5], model.stages[6]
+    named = [r for r in rows if r[2]]
+    assert model.stages[7].getLabels() == ["x", "y", "z"] and unit.getP() == 2
+    x = np.zeros((len(named), len(counter.vocabulary)))
+    place = {t: k for k, t in enumerate(counter.vocabulary)}
+    for row, (_, text, _) in zip(x, named):
+        w = [v for v in text.split() if v.isalpha()]
+        for t in w + [f"{a} {b}" for a, b in zip(w, w[1:])]:
+            if t in place:
+                row[place[t]] += 1
+    x *= [math.log((1 + len(named)) / (1 + n)) + 1 for t, n in zip(
+        counter.vocabulary, (x > 0).sum(axis=0))]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    y = np.array(["xyz".index(r[2]) for r in named])
+    one = np.eye(3)[y]
+    # The unlabelled samples count for a label of its own in the balance, as it ever did.
+    weight = (len(rows) / (4 * one.sum(axis=0)))[y]
+    w, b = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+    margins = x @ w.T + b
+    shares = np.exp(margins - margins.max(axis=1, keepdims=True))
+    rest = (shares / shares.sum(axis=1, keepdims=True) - one) * weight[:, None] / weight.sum()
+    slope = rest.T @ x + w / len(named)
+    assert abs(slope).max() < 1e-4 and abs(rest.sum(axis=0)).max() < 1e-4
+    assert model.transform(samples).count() == len(rows)
+
+
+def test_folds_count_terms_together(spark):
+    """Terms of the parts a model sees are what they are when counted alone."""
+    texts = spark.createDataFrame(
+        [("a", "one two two three", 2, 0), ("b", "two two", 1, 1), ("a", "", 3, 1),
+         ("b", "one two", 4, 2), (None, "four one two", 1, 2)],
+        "label string, _text string, n long, _part int")
+    counts = learn._counted(texts, 3)
+    assert {r.term: (r.uses_0, r.samples_0, r.uses_1, r.samples_1, r.uses_2, r.samples_2)
+            for r in counts.collect()} == {
+        "one": (2, 2, 0, 0, 5, 5), "two": (4, 2, 2, 1, 5, 5), "three": (2, 2, 0, 0, 0, 0),
+        "one two": (2, 2, 0, 0, 5, 5), "two two": (2, 2, 1, 1, 0, 0),
+        "two three": (2, 2, 0, 0, 0, 0), "four": (0, 0, 0, 0, 1, 1),
+        "four one": (0, 0, 0, 0, 1, 1)}
+    assert [(r.term, r.samples) for r in learn._most_used(counts, [0, 1])] == [
+        ("two", 3), ("two two", 3), ("one", 2), ("one two", 2), ("three", 2), ("two three", 2)]
+
+
 def test_folds_are_stratified(spark):
     samples = spark.createDataFrame(
         [(k, "many" if k % 9 else "few") for k in range(100)] + [(None, "one"), (7, None)],

@@ -259,6 +259,19 @@ def test_folds_count_terms_together(spark):
         ("two", 3), ("two two", 3), ("one", 2), ("one two", 2), ("three", 2), ("two three", 2)]
 
 
+def test_rules_read_unsure_texts_alone(spark):
+    samples = spark.createDataFrame([("zebra", "food"), ("lion", "rent")] * 20,
+                                    "description string, label string")
+    model = learn.fit_classifier(samples)
+    tx = spark.createDataFrame([("zebra", "debit"), ("HOUSE RENT", "debit")],
+                               "description string, tx_type string")
+    scored = learn.score_classifier(tx, model)
+    assert {tuple(r)[:3] for r in scored.select("description", "category", "classified_by")
+            .collect()} == {("zebra", "food", "ml"), ("HOUSE RENT", "rent", "rule")}
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "(probability" in plan and "THEN description" in plan
+
+
 def test_folds_are_stratified(spark):
     samples = spark.createDataFrame(
         [(k, "many" if k % 9 else "few") for k in range(100)] + [(None, "one"), (7, None)],

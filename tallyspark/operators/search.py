@@ -1,9 +1,11 @@
 """Fuzzy search of transaction descriptions."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyspark.functions.once import with_once
 from tallyspark.functions.text import trigram_similarity, trigrams
+from tallyspark.operators import postings
 
 
 def trigram_search(tx: DataFrame, text: str, threshold: float = 0.3) -> DataFrame:
@@ -18,27 +20,30 @@ def trigram_search(tx: DataFrame, text: str, threshold: float = 0.3) -> DataFram
             .where(F.col("similarity") >= threshold))
 
 
-#: Bits of a text's sketch, in words of 64.
-SKETCH_WORDS = 8
+def _words(col: Column) -> Column:
+    """The words that trigrams are cut from, with one blank between them."""
+    return F.trim(F.regexp_replace(F.lower(col), r"[^\p{L}\p{N}]+", " "))
 
 
-def _postings(rows: DataFrame, key: str, share: DataFrame, threshold: float) -> DataFrame:
-    """(gram, key, size, place, sketch_0 ...): the rarest trigrams of each text, as many as a
-    similar text must hold one of, with their place by rarity and one bit for each trigram of
-    the whole text; ``share`` has the number of texts that hold a trigram."""
-    size = F.size("grams")
-    # Fewer shared trigrams than the threshold asks for leave out no more than the rest.
-    most = size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)) + 1
-    by_rarity = Window.partitionBy(key).orderBy(F.coalesce("n", F.lit(0)), "gram")
-    sketch = {f"sketch_{w}": F.bit_or(F.expr(
-        f"case when bit div 64 = {w} then shiftleft(1L, cast(bit % 64 as int)) else 0L end"))
-        .over(Window.partitionBy(key)) for w in range(SKETCH_WORDS)}
-    return (rows.select(key, size.alias("size"), most.alias("most"),
-                        F.explode("grams").alias("gram"))
-            .join(share, "gram", "left")
-            .withColumn("bit", F.pmod(F.xxhash64("gram"), F.lit(64 * SKETCH_WORDS)))
-            .withColumn("place", F.row_number().over(by_rarity)).withColumns(sketch)
-            .where("place <= most").select("gram", key, "size", "place", *sketch))
+def _bucket_counts(rows: DataFrame) -> np.ndarray:
+    """How many texts hold a trigram of each bucket; ``rows`` has their ``words``."""
+    counts = (rows.select("words").mapInArrow(lambda b: postings.bucket_counts(b),
+                                              "bucket long, n long")
+              .groupBy("bucket").agg(F.sum("n").alias("n")).collect())
+    total = np.zeros(postings.BUCKETS, np.int64)
+    for r in counts:
+        total[r.bucket] = r.n
+    return total
+
+
+def _postings(rows: DataFrame, counts: np.ndarray, asked: np.ndarray | None,
+              threshold: float) -> DataFrame:
+    """(gram, bucket, key, size, place, sketch_0 ...) from (key, words), without a shuffle."""
+    shared = rows.sparkSession.sparkContext.broadcast((counts, asked))
+    sketch = ", ".join(f"sketch_{w} long" for w in range(postings.SKETCH_WORDS))
+    return rows.select("key", "words").mapInArrow(
+        lambda b: postings.rare_postings(b, *shared.value, threshold),
+        f"gram long, bucket long, key long, size long, place long, {sketch}")
 
 
 def _may_reach(threshold: float) -> Column:
@@ -52,7 +57,7 @@ def _may_reach(threshold: float) -> Column:
 
     def missing(one: str, other: str) -> str:
         return " + ".join(f"bit_count({one}.sketch_{w} & ~{other}.sketch_{w})"
-                          for w in range(SKETCH_WORDS))
+                          for w in range(postings.SKETCH_WORDS))
 
     return F.expr(" and ".join(
         [f"r.size >= l.size * {threshold!r}D - 1e-9D", f"l.size >= r.size * {threshold!r}D - 1e-9D"]
@@ -68,31 +73,35 @@ def search_many(texts: DataFrame, searches: DataFrame, threshold: float = 0.5,
     trigram similarity reaches the threshold, with the text's number of uses.
 
     A text as similar as that shares one of a search's rarest trigrams, and its number of
-    trigrams lies within the threshold; so only postings of rare trigrams are joined. Pairs whose
+    trigrams lies within the threshold; so only postings of rare trigrams are joined, and of the
+    texts' only those of trigrams that a search's postings may have. Pairs whose
     places and sketches rule the threshold out are left in the join, and what is left is verified
     on whole trigram sets. Texts without a letter or digit are found by none.
-    ``cut`` stores frames that several steps read.
+    ``cut`` stores frames that several steps read: texts once, without their trigrams.
     """
     if not 0 < threshold <= 1:
         raise ValueError("a threshold above 0 and up to 1")
 
-    def grams(name: str) -> Column:
-        return trigrams(F.col(name))
+    def worded(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(F.col(f"{name}_key").alias("key"), _words(F.col(name)).alias("words"))
 
     uses = texts.groupBy(F.col(text_col).alias("text")).agg(F.count(F.lit(1)).alias("n"))
-    stored = cut(with_once(uses, "grams", grams("text")).where(F.size("grams") > 0)
+    stored = cut(uses.where(_words(F.col("text")) != "")
                  .withColumn("text_key", F.monotonically_increasing_id()), "texts")
-    asked = cut(with_once(searches.select(F.col(search_col).alias("search")).distinct(), "grams",
-                          grams("search")).where(F.size("grams") > 0)
+    asked = cut(searches.select(F.col(search_col).alias("search")).distinct()
+                .where(_words(F.col("search")) != "")
                 .withColumn("search_key", F.monotonically_increasing_id()), "searches")
-    share = cut(stored.select(F.explode("grams").alias("gram")).groupBy("gram")
-                .agg(F.count(F.lit(1)).alias("n")), "grams")
-    left = _postings(asked, "search_key", share, threshold).alias("l")
-    right = _postings(stored, "text_key", share, threshold).alias("r")
-    met = cut(left.join(right, F.col("l.gram") == F.col("r.gram")).where(_may_reach(threshold))
-              .select("search_key", "text_key").distinct(), "pairs")
-    both = (met.join(asked.select("search_key", "search", F.col("grams").alias("a")), "search_key")
-            .join(stored.select("text_key", "text", "n", F.col("grams").alias("b")), "text_key"))
-    return (with_once(both, "exact", trigram_similarity(F.col("a"), F.col("b")))
-            .where(F.col("exact") >= threshold)
+    counts = _bucket_counts(worded(stored, "text"))
+    left = cut(_postings(worded(asked, "search"), counts, None, threshold), "asked")
+    wanted = np.zeros(postings.BUCKETS, bool)
+    wanted[[r.bucket for r in left.select("bucket").distinct().collect()]] = True
+    right = _postings(worded(stored, "text"), counts, wanted, threshold)
+    met = cut(left.alias("l").join(right.alias("r"), F.col("l.gram") == F.col("r.gram"))
+              .where(_may_reach(threshold))
+              .select(F.col("l.key").alias("search_key"), F.col("r.key").alias("text_key"))
+              .distinct(), "pairs")
+    # Trigrams are made of the texts that met, after the join, so texts alone are moved.
+    both = stored.join(met, "text_key").join(asked, "search_key")
+    exact = trigram_similarity(trigrams(F.col("search")), trigrams(F.col("text")))
+    return (with_once(both, "exact", exact).where(F.col("exact") >= threshold)
             .select("search", "text", F.round("exact", 6).alias("similarity"), "n"))

@@ -429,6 +429,47 @@ def test_search_of_many_texts_verifies_few_pairs(spark):
     assert sizes["pairs"] < 300 * 22 / 10 + 2 * len(want)
 
 
+def test_search_of_many_texts_moves_few_bytes(spark, tmp_path):
+    """Texts are stored and moved without their trigrams; postings of the texts are not moved."""
+    from tallyspark.operators import search
+
+    def cut(df, name):
+        if name == "pairs":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        if name == "texts":
+            assert df.columns == ["text", "n", "text_key"]
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    plans, texts = [], [(f"rice market number {k} lekki",) for k in range(50)]
+    got = search.search_many(spark.createDataFrame(texts, "description string"),
+                             spark.createDataFrame([("rice market number 7 lekki",), ("fuel",)],
+                                                   "search string"), 0.9, cut=cut)
+    assert ("rice market number 7 lekki", 1.0) in [(r.text, r.similarity) for r in got.collect()]
+    assert plans[0].count("MapInArrow") == 1 and "Window" not in plans[0]
+    assert plans[0].count("Exchange hashpartitioning") == 1  # of the pairs that are left
+
+
+def test_postings_hold_the_rarest_trigrams_of_any_letters(spark):
+    import numpy as np
+    import pyarrow as pa
+    from tallyspark.operators import postings
+    words = ["ab a", "\u00e9t\u00e9 \U00010400x", "", "ab"]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(4)), "words": words})
+    found = pa.Table.from_batches(postings.rare_postings(
+        [batch], np.zeros(postings.BUCKETS, np.int64), None, 0.01)).to_pylist()
+
+    def codes(text):
+        return {sum(ord(c) << s for c, s in zip(p[i:i + 3], (42, 21, 0)))
+                for w in text.split() for p in [f"  {w} "] for i in range(len(p) - 2)}
+    for key, text in enumerate(words):
+        own = [r for r in found if r["key"] == key]
+        assert {r["gram"] for r in own} == codes(text)
+        assert [r["place"] for r in own] == list(range(1, len(own) + 1))
+        assert all(r["size"] == len(own) for r in own)
+    assert sum(r["n"] for b in postings.bucket_counts([batch]) for r in b.to_pylist()) == len(found)
+
+
 def test_constraint_checks_read_each_table_once(spark, tmp_path):
     from tallyspark.operators import summary
     tx = spark.createDataFrame(
